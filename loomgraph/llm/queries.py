@@ -5,17 +5,30 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomgraph.llm.bpe import bpe_encode
 from loomgraph.llm.common import table
 from loomgraph.llm.decontaminate import search_benchmark
 from loomgraph.llm.exact_dedup import exact_dedup
+from loomgraph.llm.html_text import extract_pages
+from loomgraph.llm.language_id import identify_language
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    return identify_language(docs, docs.filter(~held_out), held_out=held_out)
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
