@@ -13,6 +13,11 @@ from loomgraph.llm.decontaminate import search_benchmark
 from loomgraph.llm.exact_dedup import exact_dedup
 from loomgraph.llm.html_text import extract_pages
 from loomgraph.llm.language_id import identify_language
+from loomgraph.llm.license_scan import scan_licenses
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
