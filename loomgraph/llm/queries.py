@@ -14,6 +14,7 @@ from loomgraph.llm.exact_dedup import exact_dedup
 from loomgraph.llm.html_text import extract_pages
 from loomgraph.llm.language_id import identify_language
 from loomgraph.llm.license_scan import scan_licenses
+from loomgraph.llm.near_dedup import near_duplicates
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +39,10 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return search_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
