@@ -14,7 +14,9 @@ from loomgraph.llm.exact_dedup import exact_dedup
 from loomgraph.llm.html_text import extract_pages
 from loomgraph.llm.language_id import identify_language
 from loomgraph.llm.license_scan import scan_licenses
+from loomgraph.llm.lm_score import score_documents
 from loomgraph.llm.near_dedup import near_duplicates
+from loomgraph.llm.quality import classify_quality
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +27,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
@@ -35,6 +41,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(docs, docs.filter(~held_out), held_out=held_out)
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
