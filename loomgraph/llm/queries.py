@@ -17,6 +17,7 @@ from loomgraph.llm.license_scan import scan_licenses
 from loomgraph.llm.lm_score import score_documents
 from loomgraph.llm.near_dedup import near_duplicates
 from loomgraph.llm.quality import classify_quality
+from loomgraph.llm.secret_scan import scan_secrets
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +46,10 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"), path=F.col("source"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
