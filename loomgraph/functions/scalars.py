@@ -1,0 +1,94 @@
+"""Scalar functions of the model as column expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+TOOLS_AI = "copilot|agent|assistant|llm|gpt|bot"
+TOOLS_SERVICE = "ci|jenkins|actions|runner|service|daemon|cron"
+STOPWORDS = ["the", "and", "for", "with", "from", "into", "that", "this", "add", "update", "make", "use", "new", "all", "our", "any", "how", "its"]
+
+
+def handle(path: Column, kind: Column, name: Column, fqn: Column) -> Column:
+    """path of a file, service:name of a service, else path:fqn."""
+    return F.when(kind == "file", path).when(kind == "service", F.concat(F.lit("service:"), name)).otherwise(F.concat_ws(":", path, fqn))
+
+
+def stored_handle(path: Column, kind: Column, fqn: Column) -> Column:
+    """As in leases and requests: no case for services."""
+    return F.when(kind == "file", path).otherwise(F.concat_ws(":", path, fqn))
+
+
+def secs_left(expires: Column, now: int | Column) -> Column:
+    """Floors: -1 ms is -1 s."""
+    return F.floor((expires - now) / 1000).cast("long")
+
+
+def age_secs(since: Column, now: int | Column) -> Column:
+    """Truncates toward zero."""
+    return F.call_function("try_divide", (F.lit(now) - since) - F.pmod(F.lit(now) - since, F.lit(1000)), F.lit(1000)).cast("long")
+
+
+def human_secs(secs: Column) -> Column:
+    short = F.concat(secs.cast("string"), F.lit("s"))
+    return F.when(secs < 60, short).otherwise(F.concat(F.floor(secs / 60).cast("string"), F.lit("m "), (secs % 60).cast("string"), F.lit("s")))
+
+
+def slug(text: Column) -> Column:
+    dashed = F.trim(F.lit("-"), F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"))
+    return F.trim(F.lit("-"), F.substring(dashed, 1, 32))
+
+
+def parent_dir(path: Column) -> Column:
+    return F.regexp_extract(path, "^(.*)/[^/]*$", 1)
+
+
+def leaf(path: Column) -> Column:
+    return F.regexp_extract(path, "([^/]*)$", 1)
+
+
+def top_dir(path: Column) -> Column:
+    return F.when(path.contains("/"), F.substring_index(path, "/", 1)).otherwise(F.lit(""))
+
+
+def is_under(path: Column, dir_: Column) -> Column:
+    return (dir_ == "") | (path == dir_) | path.startswith(F.concat(dir_, F.lit("/")))
+
+
+def normalize_path(path: Column) -> Column:
+    """Resolves . and ..; .. at the root is dropped."""
+    parts = F.aggregate(
+        F.split(path, "/"),
+        F.array().cast("array<string>"),
+        lambda done, p: F.when((p == "") | (p == "."), done).when(p == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(p))),
+    )
+    return F.array_join(parts, "/")
+
+
+def symbol_id(repo: Column, path: Column, kind: Column, fqn: Column, disambiguator: Column) -> Column:
+    return F.concat(F.lit("s_"), F.substring(F.sha2(F.concat_ws("\u0000", repo, path, kind, fqn, disambiguator.cast("string")), 256), 1, 16))
+
+
+def content_hash(text: Column) -> Column:
+    return F.substring(F.sha2(text, 256), 1, 16)
+
+
+def worker_type(tool: Column, kind: Column, transport: Column) -> Column:
+    needle = F.lower(F.coalesce(tool, kind))
+    return F.when(transport == "ide", "human").when(kind.isin("human", "person", "dev"), "human").when(needle.rlike(TOOLS_AI), "ai").when(needle.rlike(TOOLS_SERVICE), "service").otherwise("human")
+
+
+def keywords(text: Column) -> Column:
+    """Lower-cased words of three letters or more without stopwords; each also without a final es or else s."""
+    words = F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda w: (F.octet_length(w) >= 3) & ~w.isin(STOPWORDS))
+    stem = lambda w: F.regexp_replace(w, "(?:es|s)$", "")
+    return F.array_distinct(F.concat(words, F.transform(words, stem)))
+
+
+def is_test_path(path: Column) -> Column:
+    return F.lower(path).rlike(r"(^|/)(tests?|__tests__|spec|specs)/|(^|/)test_[^/]*$|_test\.[^/]*$|\.(test|spec)\.[^/]*$|_spec\.[^/]*$|tests?\.[^/.]*$|(^|/)conftest\.py$")
+
+
+def normalize_ident(name: Column) -> Column:
+    return F.lower(F.regexp_replace(F.regexp_extract(name, r"([^.]*)$", 1), "[\"'`\\[\\]]", ""))
