@@ -27,7 +27,7 @@ def secs_left(expires: Column, now: int | Column) -> Column:
 
 def age_secs(since: Column, now: int | Column) -> Column:
     """Truncates toward zero."""
-    return F.call_function("try_divide", (F.lit(now) - since) - F.pmod(F.lit(now) - since, F.lit(1000)), F.lit(1000)).cast("long")
+    return ((F.lit(now) - since) / 1000).cast("long")
 
 
 def human_secs(secs: Column) -> Column:
@@ -36,8 +36,8 @@ def human_secs(secs: Column) -> Column:
 
 
 def slug(text: Column) -> Column:
-    dashed = F.trim(F.lit("-"), F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"))
-    return F.trim(F.lit("-"), F.substring(dashed, 1, 32))
+    dashed = F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), F.lit("-"))
+    return F.trim(F.substring(dashed, 1, 32), F.lit("-"))
 
 
 def parent_dir(path: Column) -> Column:

@@ -1,10 +1,10 @@
 """The same derivation as sources/adapter.py in DuckDB SQL, written on its own, for the oracle."""
 
 MODEL = r"""
-ev AS (SELECT event_id, epoch_ms(ts) AS ms, user_id, event_type, value, props, 'A' || (user_id % 10) AS agent FROM events),
+ev AS (SELECT event_id, (epoch_us(ts) // 1000) AS ms, user_id, event_type, value, props, 'A' || (user_id % 10) AS agent FROM events),
 k AS (SELECT (SELECT max(ms) FROM ev) AS now, (SELECT count(*) FROM orders) AS n_orders, (SELECT count(*) FROM customer) AS n_customers),
 nations AS (SELECT n_nationkey, n_regionkey, n_name, r_name || '/' || n_name AS path FROM nation JOIN region ON n_regionkey = r_regionkey),
-ord AS (SELECT o_orderkey, o_custkey, o_orderstatus, epoch_ms(o_orderdate) AS ms, o_orderpriority FROM orders),
+ord AS (SELECT o_orderkey, o_custkey, o_orderstatus, (epoch_us(o_orderdate) // 1000) AS ms, o_orderpriority FROM orders),
 chain AS (SELECT *, lag(o_orderkey) OVER w AS prev, lead(o_orderkey) OVER w AS nxt, first_value(o_orderkey) OVER w AS first_order FROM ord WINDOW w AS (PARTITION BY o_custkey ORDER BY ms, o_orderkey)),
 symbols AS (
   SELECT 'R' || r_regionkey AS id, r_name AS path, 'service' AS kind, r_name AS name, r_name AS fqn, CAST(NULL AS VARCHAR) AS parent_id, CAST(r_regionkey AS BIGINT) AS start_byte, CAST(NULL AS VARCHAR) AS role, 'R1' AS repo_id FROM region

@@ -1,0 +1,691 @@
+"""One query for each operator over the driver's tables, with the DuckDB statement it is held against."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomgraph.functions import scalars as fn
+from loomgraph.model_sql import oracle
+from loomgraph.operators import graph as g
+from loomgraph.operators import relational as r
+from loomgraph.sources.adapter import DAY, HOUR, Model
+
+c = F.col
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None, *more: str):
+    """Register a function of the model as a query, and its statement."""
+
+    def add(f: Callable[[Model], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: f(Model(spark, sf_dir))
+        if sql:
+            ORACLE[name] = oracle(sql, *more)
+        return f
+
+    return add
+
+
+HANDLE = "CASE WHEN kind = 'file' THEN path WHEN kind = 'service' THEN 'service:' || name ELSE path || ':' || fqn END"
+STORED = "CASE WHEN s.kind = 'file' THEN s.path ELSE s.path || ':' || s.fqn END"
+SYM = ("id", "path", "kind", "name", "fqn", "start_byte", "role")
+SYMS = ", ".join(SYM)
+
+# Lookups
+
+
+@query("sym_by_id", f"SELECT {SYMS} FROM symbols WHERE id = 'C7'")
+def _(m):
+    return m.symbols.filter("id = 'C7'").select(*SYM)
+
+
+@query("sym_in_file", f"SELECT {SYMS} FROM symbols WHERE path = 'ASIA/NATION_12' OR path = (SELECT min(path) FROM nations)")
+def _(m):
+    first = m.nations.agg(F.min("path").alias("p"))
+    return m.symbols.join(F.broadcast(first), (c("path") == c("p")) | (c("path") == "ASIA/NATION_12")).select(*SYM)
+
+
+@query("sym_list", f"SELECT {SYMS} FROM symbols WHERE kind = 'class' AND (name ILIKE '%00%1%' OR fqn ILIKE '%00%1%' OR path ILIKE '%00%1%') ORDER BY path, start_byte, id LIMIT 50")
+def _(m):
+    return r.list_symbols(m.symbols, kind="class", pattern="00%1", limit=50).select(*SYM)
+
+
+@query("sym_role", f"SELECT {SYMS} FROM symbols WHERE role = 'api'")
+def _(m):
+    return m.symbols.filter("role = 'api'").select(*SYM)
+
+
+@query("sym_list_role", f"SELECT * FROM (SELECT {SYMS} FROM symbols WHERE kind = 'method' ORDER BY path, start_byte, id LIMIT 200) WHERE role = 'test'")
+def _(m):
+    return r.list_symbols(m.symbols, kind="method", role="test").select(*SYM)
+
+
+@query("sym_resolve_all", f"SELECT {SYMS} FROM symbols WHERE kind = 'service' AND name = 'ASIA'")
+def _(m):
+    return r.resolve(m.symbols, "service:ASIA").select(*SYM)
+
+
+@query("sym_resolve", f"SELECT {SYMS} FROM symbols WHERE name = 'O12'")
+def _(m):
+    return r.resolve(m.symbols, "O12").filter("kind = 'method'").select(*SYM)
+
+
+@query("sym_resolve_fuzzy", f"SELECT {SYMS} FROM symbols WHERE fqn ILIKE '%00003.o%' OR path ILIKE '%00003.o%' ORDER BY path, start_byte, id LIMIT 25")
+def _(m):
+    return r.resolve(m.symbols, "00003.o").select(*SYM)
+
+
+@query("f_handle", f"SELECT id, {HANDLE} AS handle FROM symbols")
+def _(m):
+    return m.symbols.select("id", fn.handle(c("path"), c("kind"), c("name"), c("fqn")).alias("handle"))
+
+
+@query("ep_list", f"SELECT id, {HANDLE} AS handle FROM symbols WHERE role = 'api' AND contains(fqn, '.O1')")
+def _(m):
+    return m.symbols.filter((c("role") == "api") & c("fqn").contains(".O1")).select("id", fn.handle(c("path"), c("kind"), c("name"), c("fqn")).alias("handle"))
+
+
+@query("lease_active", f"SELECT l.id, l.agent, l.symbol_id, coalesce({STORED}, l.symbol_id) AS symbol_handle, l.acquired_at FROM leases l LEFT JOIN symbols s ON l.symbol_id = s.id WHERE l.state = 'active'")
+def _(m):
+    return r.with_handle(m.leases.filter("state = 'active'"), m.symbols, "symbol_id").select("id", "agent", "symbol_id", "symbol_handle", "acquired_at")
+
+
+@query("lease_by_id", "SELECT id, agent, symbol_id, state FROM leases ORDER BY id LIMIT 1")
+def _(m):
+    return m.leases.orderBy("id").limit(1).select("id", "agent", "symbol_id", "state")
+
+
+@query("lease_history", "SELECT id, agent, acquired_at FROM leases ORDER BY acquired_at DESC, id LIMIT 50")
+def _(m):
+    return m.leases.orderBy(F.desc("acquired_at"), "id").limit(50).select("id", "agent", "acquired_at")
+
+
+@query("lease_handle", f"SELECT l.id, coalesce({STORED}, l.symbol_id) AS symbol_handle FROM leases l LEFT JOIN symbols s ON l.symbol_id = s.id")
+def _(m):
+    return r.with_handle(m.leases, m.symbols, "symbol_id").select("id", "symbol_handle")
+
+
+@query("owner_leases", f"SELECT l.id, {STORED} AS handle FROM leases l JOIN symbols s ON l.symbol_id = s.id WHERE l.state = 'active' AND starts_with({STORED}, 'ASIA')")
+def _(m):
+    return r.with_handle(m.leases.filter("state = 'active'"), m.symbols, "symbol_id", "handle", fallback=False).filter(c("handle").startswith("ASIA")).select("id", "handle")
+
+
+@query("f_secs_left", "SELECT id, CAST(floor((expires_at - now) / 1000.0) AS BIGINT) AS secs FROM leases, k")
+def _(m):
+    return m.leases.select("id", fn.secs_left(c("expires_at"), m.now).alias("secs"))
+
+
+@query("f_human_secs", "SELECT id, CASE WHEN ttl_secs < 60 THEN ttl_secs || 's' ELSE (ttl_secs // 60) || 'm ' || (ttl_secs % 60) || 's' END AS human FROM leases")
+def _(m):
+    return m.leases.select("id", fn.human_secs(c("ttl_secs")).alias("human"))
+
+
+@query("inbox_msgs", "SELECT id, from_agent, to_agent FROM messages WHERE to_agent = 'A3' AND read_at IS NULL")
+def _(m):
+    return m.messages.filter("to_agent = 'A3' AND read_at IS NULL").select("id", "from_agent", "to_agent")
+
+
+@query("mem_get", "SELECT key, author, tags FROM memory WHERE key = '5'")
+def _(m):
+    return m.memory.filter("key = '5'").select("key", "author", "tags")
+
+
+@query("mem_list", "SELECT key, tags FROM memory WHERE list_contains(string_split(tags, ','), 'fr')")
+def _(m):
+    return m.memory.filter(F.array_contains(F.filter(F.split("tags", ","), lambda x: x != ""), "fr")).select("key", "tags")
+
+
+@query("mem_standing", "SELECT key FROM memory WHERE len(list_intersect(string_split(lower(tags), ','), ['de', 'src3'])) > 0")
+def _(m):
+    return m.memory.filter(F.arrays_overlap(F.split(F.lower("tags"), ","), F.array(F.lit("de"), F.lit("src3")))).select("key")
+
+
+@query("req_list", "SELECT id, kind, from_agent, to_agent, priority FROM requests WHERE (to_agent = 'A3' OR to_agent IS NULL) AND from_agent <> 'A3' AND state IN ('open', 'accepted')")
+def _(m):
+    return m.requests.filter("(to_agent = 'A3' OR to_agent IS NULL) AND from_agent <> 'A3' AND state IN ('open', 'accepted')").select("id", "kind", "from_agent", "to_agent", "priority")
+
+
+@query("req_handle", f"SELECT q.id, {STORED} AS handle FROM requests q LEFT JOIN symbols s ON q.resource_symbol = s.id")
+def _(m):
+    return r.with_handle(m.requests, m.symbols, "resource_symbol", "handle", fallback=False).select("id", "handle")
+
+
+@query("req_expire", "SELECT id FROM requests, k WHERE state IN ('open', 'accepted') AND deadline_at <= now")
+def _(m):
+    return m.requests.filter(c("state").isin("open", "accepted") & (c("deadline_at") <= m.now)).select("id")
+
+
+@query("session_list", "SELECT id, agent, started_at FROM sessions WHERE ended_at IS NULL")
+def _(m):
+    return m.sessions.filter("ended_at IS NULL").select("id", "agent", "started_at")
+
+
+@query("session_by_key", "SELECT agent, id FROM (SELECT *, row_number() OVER (PARTITION BY agent ORDER BY ended_at IS NULL DESC, started_at DESC, id) AS rn FROM sessions) WHERE rn = 1")
+def _(m):
+    return r.latest(m.sessions, ["agent"], c("ended_at").isNull().desc(), F.desc("started_at"), c("id")).select("agent", "id")
+
+
+@query("live_sessions_count", "SELECT agent, count(*) AS n FROM sessions WHERE ended_at IS NULL AND id IS DISTINCT FROM 'S5' GROUP BY agent")
+def _(m):
+    return m.sessions.filter(c("ended_at").isNull() & ~c("id").eqNullSafe("S5")).groupBy("agent").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("progress_for", "SELECT id, percent, ts FROM progress WHERE agent = 'A2' ORDER BY id DESC LIMIT 10")
+def _(m):
+    return m.progress.filter("agent = 'A2'").orderBy(F.desc("id")).limit(10).select("id", "percent", "ts")
+
+
+@query("progress_handle", f"SELECT p.id, {STORED} AS handle FROM progress p LEFT JOIN symbols s ON p.symbol_id = s.id")
+def _(m):
+    return r.with_handle(m.progress, m.symbols, "symbol_id", "handle", fallback=False).select("id", "handle")
+
+
+@query("progress_latest", "SELECT agent, id, percent FROM progress WHERE id IN (SELECT max(id) FROM progress GROUP BY agent)")
+def _(m):
+    return r.latest(m.progress, ["agent"], F.desc("id")).select("agent", "id", "percent")
+
+
+@query("goal_list", "SELECT id, title, priority FROM goals WHERE state = 'open'")
+def _(m):
+    return m.goals.filter("state = 'open'").select("id", "title", "priority")
+
+
+@query("task_list", "SELECT id, state, priority, assignee FROM tasks")
+def _(m):
+    return m.tasks.select("id", "state", "priority", "assignee")
+
+
+@query("tasks_in_review", "SELECT id, assignee FROM tasks WHERE state = 'review'")
+def _(m):
+    return m.tasks.filter("state = 'review'").select("id", "assignee")
+
+
+# Sources
+
+
+@query("src_events_tail", "SELECT id, ts, kind FROM log WHERE id > 100 ORDER BY id LIMIT 200")
+def _(m):
+    return m.events.filter("id > 100").orderBy("id").limit(200).select("id", "ts", "kind")
+
+
+@query("src_events_recent", "SELECT id, ts, kind FROM log ORDER BY id DESC LIMIT 50")
+def _(m):
+    return r.recent(m.events, 50).select("id", "ts", "kind")
+
+
+@query("src_last_event_id", "SELECT coalesce(max(id), 0) AS last_id FROM log")
+def _(m):
+    return m.events.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last_id"))
+
+
+@query("recent_then_filter", "SELECT id FROM (SELECT * FROM log ORDER BY id DESC LIMIT 200) WHERE kind = 'task.completed'")
+def _(m):
+    return r.recent(m.events, 200).filter("kind = 'task.completed'").select("id")
+
+
+# Joins
+
+
+@query("nbr_in", f"SELECT e.dst AS id, e.kind, e.src AS other, {HANDLE.replace('kind', 's.kind')} AS handle FROM edges e JOIN symbols s ON e.src = s.id WHERE e.kind <> 'contains'")
+def _(m):
+    return r.neighbours(m.edges, m.symbols, incoming=True)
+
+
+@query("nbr_out", f"SELECT e.src AS id, e.kind, e.dst AS other, {HANDLE.replace('kind', 's.kind')} AS handle FROM edges e JOIN symbols s ON e.dst = s.id WHERE e.kind <> 'contains'")
+def _(m):
+    return r.neighbours(m.edges, m.symbols, incoming=False)
+
+
+@query("children", f"SELECT {SYMS} FROM symbols WHERE parent_id = 'N3'")
+def _(m):
+    return m.symbols.filter("parent_id = 'N3'").select(*SYM)
+
+
+@query("neighbors", "SELECT s.id, coalesce(i.n, 0) AS callers, coalesce(o.n, 0) AS callees, coalesce(h.n, 0) AS children FROM symbols s LEFT JOIN (SELECT dst, count(*) AS n FROM edges JOIN symbols x ON src = x.id WHERE edges.kind <> 'contains' GROUP BY dst) i ON i.dst = s.id LEFT JOIN (SELECT src, count(*) AS n FROM edges JOIN symbols x ON dst = x.id WHERE edges.kind <> 'contains' GROUP BY src) o ON o.src = s.id LEFT JOIN (SELECT parent_id, count(*) AS n FROM symbols GROUP BY parent_id) h ON h.parent_id = s.id")
+def _(m):
+    n = lambda df, name: df.groupBy("id").agg(F.count(F.lit(1)).alias(name))
+    callers, callees = n(r.neighbours(m.edges, m.symbols, incoming=True), "callers"), n(r.neighbours(m.edges, m.symbols, incoming=False), "callees")
+    children = n(m.symbols.filter("parent_id is not null").select(c("parent_id").alias("id")), "children")
+    df = m.symbols.select("id").join(callers, "id", "left").join(callees, "id", "left").join(children, "id", "left")
+    return df.select("id", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("callers", "callees", "children")])
+
+
+@query("svc_edge_rollup", "SELECT DISTINCT a.parent_id AS src, b.parent_id AS dst FROM edges e JOIN symbols a ON e.src = a.id JOIN symbols b ON e.dst = b.id WHERE e.kind = 'imports' AND a.parent_id <> b.parent_id")
+def _(m):
+    files = m.symbols.filter("kind = 'file'").select("id", "parent_id")
+    e = m.edges.filter("kind = 'imports'").join(F.broadcast(files.select(c("id").alias("src"), c("parent_id").alias("a"))), "src").join(F.broadcast(files.select(c("id").alias("dst"), c("parent_id").alias("b"))), "dst")
+    return e.filter("a <> b").select(c("a").alias("src"), c("b").alias("dst")).distinct()
+
+
+@query("svc_deps", "SELECT s.id, (SELECT count(*) FROM symbols f WHERE f.parent_id = s.id) AS files, count(DISTINCT x.dst) AS imports FROM symbols s LEFT JOIN (SELECT DISTINCT a.parent_id AS src, b.parent_id AS dst FROM edges e JOIN symbols a ON e.src = a.id JOIN symbols b ON e.dst = b.id WHERE e.kind = 'imports' AND a.parent_id <> b.parent_id) x ON x.src = s.id WHERE s.kind = 'service' GROUP BY s.id")
+def _(m):
+    files = m.symbols.filter("kind = 'file'").select("id", "parent_id")
+    rolled = m.edges.filter("kind = 'imports'").join(files.select(c("id").alias("src"), c("parent_id").alias("a")), "src").join(files.select(c("id").alias("dst"), c("parent_id").alias("b")), "dst").filter("a <> b")
+    imports = rolled.groupBy(c("a").alias("id")).agg(F.count_distinct("b").alias("imports"))
+    n = files.groupBy(c("parent_id").alias("id")).agg(F.count(F.lit(1)).alias("files"))
+    return m.symbols.filter("kind = 'service'").select("id").join(n, "id", "left").join(imports, "id", "left").select("id", F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("imports", F.lit(0)).alias("imports"))
+
+
+@query("orphan_tasks", "SELECT t.id, t.assignee FROM tasks t LEFT JOIN agents a ON t.assignee = a.name, k WHERE t.state = 'running' AND (a.name IS NULL OR a.heartbeat_at < now - 60000)")
+def _(m):
+    t = m.tasks.filter("state = 'running'").join(F.broadcast(m.agents), c("assignee") == c("name"), "left")
+    return t.filter(c("name").isNull() | (c("heartbeat_at") < m.now - 60_000)).select("id", "assignee")
+
+
+@query("goal_covers", "SELECT s.id FROM symbols s WHERE s.kind = 'method' AND EXISTS (SELECT 1 FROM task_symbols ts JOIN task_goals tg ON ts.task_id = tg.task_id WHERE ts.symbol_id = s.id AND tg.goal_id IN ('G1', 'G2', 'G4', 'G5'))")
+def _(m):
+    covered = m.task_symbols.join(m.task_goals.filter(c("goal_id").isin("G1", "G2", "G4", "G5")), "task_id").select(c("symbol_id").alias("id"))
+    return m.symbols.filter("kind = 'method'").join(covered, "id", "left_semi").select("id")
+
+
+@query("goal_tasks", "SELECT id FROM tasks WHERE id IN (SELECT task_id FROM task_goals WHERE goal_id = 'G1')")
+def _(m):
+    return m.tasks.join(m.task_goals.filter("goal_id = 'G1'").select(c("task_id").alias("id")), "id", "left_semi").select("id")
+
+
+@query("task_scope", "SELECT task_id, symbol_id FROM task_symbols JOIN symbols ON symbol_id = id")
+def _(m):
+    return m.task_symbols.join(m.symbols.select(c("id").alias("symbol_id")), "symbol_id").select("task_id", "symbol_id")
+
+
+VIEW = "d AS (SELECT task_id, list(depends_on ORDER BY depends_on) AS deps, coalesce(list(depends_on ORDER BY depends_on) FILTER (WHERE coalesce(t.state, '') <> 'done'), []) AS blocked_by FROM task_deps LEFT JOIN tasks t ON depends_on = t.id GROUP BY task_id)"
+
+
+@query("task_deps_attach", "SELECT t.id, t.state, array_to_string(coalesce(d.deps, []), ',') AS deps, array_to_string(coalesce(d.blocked_by, []), ',') AS blocked_by, t.state = 'pending' AND len(coalesce(d.blocked_by, [])) = 0 AS ready FROM tasks t LEFT JOIN d ON d.task_id = t.id", VIEW)
+def _(m):
+    return r.task_view(m.tasks, m.task_deps).select("id", "state", F.array_join("deps", ",").alias("deps"), F.array_join("blocked_by", ",").alias("blocked_by"), "ready")
+
+
+@query("ready_tasks", "SELECT t.id FROM tasks t LEFT JOIN d ON d.task_id = t.id WHERE t.state = 'pending' AND len(coalesce(d.blocked_by, [])) = 0", VIEW)
+def _(m):
+    return r.task_view(m.tasks, m.task_deps).filter("ready").select("id")
+
+
+@query("blocked_by", "SELECT task_id AS id, depends_on AS other, 'blocked_by' AS relation FROM task_deps WHERE task_id = 'T7' UNION ALL SELECT depends_on, task_id, 'blocks' FROM task_deps WHERE depends_on = 'T7'")
+def _(m):
+    d = m.task_deps
+    return d.filter("task_id = 'T7'").select(c("task_id").alias("id"), c("depends_on").alias("other"), F.lit("blocked_by").alias("relation")).unionAll(d.filter("depends_on = 'T7'").select("depends_on", "task_id", F.lit("blocks")))
+
+
+@query("table_accessors", "SELECT t.id, count(*) AS accessors, count(*) FILTER (WHERE e.kind = 'queries') AS querying FROM symbols t JOIN edges e ON e.dst = t.id JOIN symbols s ON e.src = s.id WHERE t.kind = 'table' AND e.kind <> 'contains' GROUP BY t.id")
+def _(m):
+    tables = m.symbols.filter("kind = 'table'").select("id")
+    return r.neighbours(m.edges, m.symbols, incoming=True).join(tables, "id", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("accessors"), F.count_if(c("kind") == "queries").alias("querying"))
+
+
+@query("tests_of", "SELECT e.dst AS id, e.src AS test FROM edges e JOIN symbols s ON e.src = s.id WHERE e.kind = 'tests'")
+def _(m):
+    return r.neighbours(m.edges, m.symbols, incoming=True).filter("kind = 'tests'").select("id", c("other").alias("test"))
+
+
+@query("tests_reaching", "SELECT e.dst AS id, count(*) AS n FROM edges e JOIN symbols s ON e.src = s.id WHERE e.kind <> 'contains' AND (e.kind = 'tests' OR s.role = 'test') GROUP BY e.dst")
+def _(m):
+    e = m.edges.filter("kind <> 'contains'").join(m.symbols.select(c("id").alias("src"), "role"), "src")
+    return e.filter((c("kind") == "tests") | (c("role") == "test")).groupBy(c("dst").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("agent_view", "SELECT a.name, a.kind, a.paused, now - a.heartbeat_at <= 60000 AS online, coalesce(n, 0) AS leases FROM agents a LEFT JOIN (SELECT agent, count(*) AS n FROM leases WHERE state = 'active' GROUP BY agent) ON agent = name, k")
+def _(m):
+    held = m.leases.filter("state = 'active'").groupBy("agent").agg(F.count(F.lit(1)).alias("n"))
+    return m.agents.join(held, c("name") == c("agent"), "left").select("name", "kind", "paused", (F.lit(m.now) - c("heartbeat_at") <= 60_000).alias("online"), F.coalesce("n", F.lit(0)).alias("leases"))
+
+
+RANK = "CASE state WHEN 'running' THEN 0 WHEN 'review' THEN 1 WHEN 'blocked' THEN 2 WHEN 'pending' THEN 3 END"
+
+
+@query("worker_task_pick", f"SELECT assignee, id FROM (SELECT *, row_number() OVER (PARTITION BY assignee ORDER BY {RANK}, priority DESC, created_at, id) AS rn FROM tasks WHERE {RANK} IS NOT NULL AND assignee IS NOT NULL) WHERE rn = 1")
+def _(m):
+    rank = F.when(c("state") == "running", 0).when(c("state") == "review", 1).when(c("state") == "blocked", 2).when(c("state") == "pending", 3)
+    open_ = m.tasks.withColumn("rank", rank).filter("rank is not null and assignee is not null")
+    return r.latest(open_, ["assignee"], c("rank"), F.desc("priority"), c("created_at"), c("id")).select("assignee", "id")
+
+
+@query("worker_session_pick", "SELECT agent, id FROM (SELECT *, row_number() OVER (PARTITION BY agent ORDER BY started_at DESC, id) AS rn FROM sessions WHERE ended_at IS NULL) WHERE rn = 1")
+def _(m):
+    return r.latest(m.sessions.filter("ended_at is null"), ["agent"], F.desc("started_at"), c("id")).select("agent", "id")
+
+
+@query("f_worker_type", "SELECT id, CASE WHEN transport = 'ide' THEN 'human' WHEN tool = 'copilot' THEN 'ai' WHEN tool = 'jenkins' THEN 'service' ELSE 'human' END AS type FROM sessions")
+def _(m):
+    return m.sessions.select("id", fn.worker_type(c("tool"), F.lit("unknown"), c("transport")).alias("type"))
+
+
+@query("repo_for_path", "SELECT n.path, max_by(r.r_name, length(r.r_name)) AS repo FROM nations n JOIN region r ON n.path = r.r_name OR starts_with(n.path, r.r_name || '/') GROUP BY n.path")
+def _(m):
+    roots = m.raw("region").select(c("r_name").alias("root"))
+    n = m.nations.select("path")
+    return n.join(F.broadcast(roots), fn.is_under(c("path"), c("root"))).groupBy("path").agg(F.max_by("root", F.length("root")).alias("repo"))
+
+
+RULES = [("*", "core"), ("ASIA/", "east"), ("EUROPE/*", "west"), ("db/", "data"), ("*/NATION_1*", "ones")]
+
+
+@query("owner_rule", "SELECT path, CASE WHEN path LIKE '%/NATION_1%' THEN 4 WHEN path = 'db' OR path LIKE 'db/%' THEN 3 WHEN path LIKE 'EUROPE/%' THEN 2 WHEN path = 'ASIA' OR path LIKE 'ASIA/%' THEN 1 ELSE 0 END AS rule_no FROM (SELECT DISTINCT path FROM symbols)")
+def _(m):
+    return r.owner_rule(m.symbols.select("path").distinct(), RULES).select("path", "rule_no")
+
+
+# Aggregates
+
+
+@query("cnt_symbols", "SELECT kind, count(*) AS n FROM symbols GROUP BY kind")
+def _(m):
+    return m.symbols.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("cnt_edges", "SELECT kind, count(*) AS n FROM edges GROUP BY kind")
+def _(m):
+    return m.edges.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("cnt_waiting", "SELECT count(*) AS n FROM lease_queue WHERE state = 'waiting'")
+def _(m):
+    return m.lease_queue.filter("state = 'waiting'").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("knowledge", "SELECT count(*) FILTER (WHERE kind = 'service') AS services, count(*) FILTER (WHERE role = 'api') AS endpoints, count(*) FILTER (WHERE kind = 'table') AS tables, count(*) FILTER (WHERE role = 'test') AS tests FROM symbols")
+def _(m):
+    return m.symbols.agg(F.count_if(c("kind") == "service").alias("services"), F.count_if(c("role") == "api").alias("endpoints"), F.count_if(c("kind") == "table").alias("tables"), F.count_if(c("role") == "test").alias("tests"))
+
+
+@query("throughput_counts", "SELECT count(*) FILTER (WHERE kind = 'task.completed') AS completed, count(*) FILTER (WHERE kind = 'task.started') AS started, count(*) FILTER (WHERE kind = 'lease.denied') AS denied, count(*) FILTER (WHERE kind = 'lease.acquired') AS acquired, count(*) FILTER (WHERE kind = 'lease.released') AS released, count(DISTINCT agent) AS agents FROM log, k WHERE ts >= now - 604800000")
+def _(m):
+    return r.throughput(m.events, m.now, 7 * DAY)
+
+
+@query("throughput_agents", "SELECT count(DISTINCT agent) AS agents FROM log, k WHERE ts >= now - 7200000")
+def _(m):
+    return m.events.filter(c("ts") >= m.now - 2 * HOUR).agg(F.count_distinct("agent").alias("agents"))
+
+
+@query("throughput_mean", "SELECT round(avg(updated_at - claimed_at) / 1000.0, 6) AS mean_secs FROM tasks WHERE state = 'done' AND claimed_at IS NOT NULL")
+def _(m):
+    return m.tasks.filter("state = 'done' and claimed_at is not null").agg(F.round(F.avg(c("updated_at") - c("claimed_at")) / 1000.0, 6).alias("mean_secs"))
+
+
+@query("throughput_series", "SELECT b.bucket, count(l.id) AS n FROM range(24) b(bucket) CROSS JOIN k LEFT JOIN log l ON l.kind = 'task.completed' AND l.ts >= now - 604800000 AND least((l.ts - (now - 604800000)) // 25200000, 23) = b.bucket GROUP BY b.bucket")
+def _(m):
+    return r.throughput_series(m.events, m.now, 7 * DAY, 24, "task.completed")
+
+
+@query("goal_progress", "SELECT g.id, g.title, count(t.id) AS total, count(*) FILTER (WHERE t.state = 'done') AS done, count(*) FILTER (WHERE t.state = 'running') AS running, count(*) FILTER (WHERE t.state = 'review') AS review, count(*) FILTER (WHERE t.state IN ('pending', 'blocked')) AS pending, CASE WHEN count(t.id) = 0 THEN 0.0 ELSE round(100.0 * count(*) FILTER (WHERE t.state = 'done') / count(t.id), 6) END AS percent, coalesce(string_agg(DISTINCT t.assignee, ',' ORDER BY t.assignee), '') AS agents FROM goals g LEFT JOIN task_goals tg ON tg.goal_id = g.id LEFT JOIN tasks t ON t.id = tg.task_id GROUP BY g.id, g.title")
+def _(m):
+    return r.goal_progress(m.goals, m.tasks, m.task_goals).withColumn("agents", F.array_join("agents", ","))
+
+
+@query("owners_by_owner", None)
+def _(m):
+    rows = m.spark.createDataFrame([(i, p, o) for i, (p, owners) in enumerate(RULES) for o in owners.split()], "rule_no long, pattern string, owner string")
+    return rows.groupBy("owner").agg(F.transform(F.sort_array(F.collect_list(F.struct("rule_no", "pattern"))), lambda x: x["pattern"]).alias("patterns"))
+
+
+@query("arch_counts", "SELECT s.path AS node, count(*) FILTER (WHERE x.kind = 'file') AS files, count(*) FILTER (WHERE x.kind NOT IN ('file', 'service')) AS symbols, count(*) FILTER (WHERE x.role = 'api') AS endpoints, count(*) FILTER (WHERE x.role = 'test') AS tests FROM symbols s JOIN symbols x ON x.path = s.path OR starts_with(x.path, s.path || '/') WHERE s.kind = 'service' GROUP BY s.path")
+def _(m):
+    # A path counts for each directory above it: expand once, then one aggregate.
+    x = m.symbols.withColumn("node", F.explode(F.filter(F.array(fn.top_dir(c("path")), c("path")), lambda p: p != ""))).filter((c("node") == c("path")) | c("path").contains("/"))
+    services = m.symbols.filter("kind = 'service'").select(c("path").alias("node"))
+    counts = [F.count_if(c("kind") == "file").alias("files"), F.count_if(~c("kind").isin("file", "service")).alias("symbols"), F.count_if(c("role") == "api").alias("endpoints"), F.count_if(c("role") == "test").alias("tests")]
+    return x.join(F.broadcast(services), "node", "left_semi").groupBy("node").agg(*counts)
+
+
+@query("arch_edge_weight", "SELECT split_part(a.path, '/', 1) AS src, split_part(b.path, '/', 1) AS dst, e.kind, count(*) AS weight FROM edges e JOIN symbols a ON e.src = a.id JOIN symbols b ON e.dst = b.id WHERE e.kind <> 'contains' AND split_part(a.path, '/', 1) <> split_part(b.path, '/', 1) GROUP BY ALL")
+def _(m):
+    top = lambda name: m.symbols.select(c("id").alias(name), F.substring_index("path", "/", 1).alias(f"{name}_top"))
+    e = m.edges.filter("kind <> 'contains'").join(top("src"), "src").join(top("dst"), "dst").filter("src_top <> dst_top")
+    return e.groupBy(c("src_top").alias("src"), c("dst_top").alias("dst"), "kind").agg(F.count(F.lit(1)).alias("weight"))
+
+
+# Windows and rankings
+
+
+@query("lease_queue", "SELECT id, symbol_id, row_number() OVER (PARTITION BY symbol_id ORDER BY priority DESC, seq) AS place FROM lease_queue WHERE state = 'waiting'")
+def _(m):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("symbol_id").orderBy(F.desc("priority"), "seq")
+    return m.lease_queue.filter("state = 'waiting'").select("id", "symbol_id", F.row_number().over(w).cast("long").alias("place"))
+
+
+@query("waiter_ahead", "SELECT symbol_id, id, agent FROM (SELECT *, row_number() OVER (PARTITION BY symbol_id ORDER BY priority DESC, seq) AS rn FROM lease_queue WHERE state = 'waiting' AND agent <> 'A1' AND polled_at >= requested_at) WHERE rn = 1")
+def _(m):
+    waiting = m.lease_queue.filter("state = 'waiting' and agent <> 'A1' and polled_at >= requested_at")
+    return r.latest(waiting, ["symbol_id"], F.desc("priority"), c("seq")).select("symbol_id", "id", "agent")
+
+
+@query("queue_next_seq", "SELECT coalesce(max(seq), 0) + 1 AS next_seq FROM lease_queue")
+def _(m):
+    return m.lease_queue.agg((F.coalesce(F.max("seq"), F.lit(0)) + 1).alias("next_seq"))
+
+
+# Sets
+
+
+@query("svc_distinct", "SELECT DISTINCT kind, role FROM symbols")
+def _(m):
+    return m.symbols.select("kind", "role").distinct()
+
+
+@query("missing_symbols", "SELECT id FROM symbols WHERE kind = 'method' AND id NOT IN (SELECT 'O' || l_orderkey FROM lineitem WHERE l_quantity > 25)")
+def _(m):
+    seen = m.raw("lineitem").filter("l_quantity > 25").select(F.concat(F.lit("O"), c("l_orderkey").cast("string")).alias("id"))
+    return m.symbols.filter("kind = 'method'").join(seen, "id", "left_anti").select("id")
+
+
+@query("diff_targets", "SELECT path FROM symbols WHERE kind = 'file' UNION SELECT 'db/' || p_brand FROM part")
+def _(m):
+    return m.symbols.filter("kind = 'file'").select("path").union(m.raw("part").select(F.concat(F.lit("db/"), c("p_brand")).alias("path"))).distinct()
+
+
+@query("notice_union", "SELECT id, 'request' AS source FROM requests WHERE state IN ('open', 'accepted') UNION ALL SELECT CAST(id AS VARCHAR), 'event' FROM (SELECT * FROM log ORDER BY id DESC LIMIT 400), k WHERE kind IN ('task.completed', 'lease.denied') AND ts >= now - 7200000")
+def _(m):
+    events = r.recent(m.events, 400).filter(c("kind").isin("task.completed", "lease.denied") & (c("ts") >= m.now - 2 * HOUR))
+    return m.requests.filter("state in ('open', 'accepted')").select("id", F.lit("request").alias("source")).unionByName(events.select(c("id").cast("string").alias("id"), F.lit("event").alias("source")))
+
+
+# Graph
+
+
+@query("descendants", "SELECT root, id, depth FROM down WHERE depth > 0", "down AS (SELECT id AS root, id, 0 AS depth FROM symbols WHERE kind IN ('service', 'file') UNION ALL SELECT root, s.id, depth + 1 FROM down JOIN symbols s ON s.parent_id = down.id)")
+def _(m):
+    return g.descendants(m.symbols, m.symbols.filter("kind in ('service', 'file')").select(c("id").alias("root")))
+
+
+UP = "up AS (SELECT id AS start, id, 0 AS depth FROM symbols WHERE kind IN ('method', 'class') UNION ALL SELECT start, s.parent_id, depth + 1 FROM up JOIN symbols s ON s.id = up.id WHERE s.parent_id IS NOT NULL)"
+
+
+@query("ancestors", "SELECT start, id, depth FROM up", UP)
+def _(m):
+    return g.ancestors(m.symbols, m.symbols.filter("kind in ('method', 'class')").select(c("id").alias("start")))
+
+
+@query("owning_service", "SELECT start, min(up.id) AS service FROM up JOIN symbols s ON s.id = up.id WHERE s.kind = 'service' GROUP BY start", UP)
+def _(m):
+    up = g.ancestors(m.symbols, m.symbols.filter("kind in ('method', 'class')").select(c("id").alias("start")))
+    services = m.symbols.filter("kind = 'service'").select("id")
+    return up.join(F.broadcast(services), "id").groupBy("start").agg(F.min_by("id", "depth").alias("service"))
+
+
+BFS = "bfs AS (SELECT id AS seed, id, 0 AS distance FROM symbols WHERE role = 'api' UNION SELECT seed, e.src, distance + 1 FROM bfs JOIN edges e ON e.dst = bfs.id WHERE e.kind <> 'contains' AND distance < {}), hit AS (SELECT seed, id, min(distance) AS distance FROM bfs WHERE id <> seed GROUP BY seed, id)"
+
+
+@query("impact", "SELECT h.seed, h.id AS symbol_id, h.distance, s.path, s.start_byte, l.agent AS lease_agent FROM hit h JOIN symbols s ON s.id = h.id LEFT JOIN (SELECT symbol_id, max_by(agent, acquired_at) AS agent FROM leases WHERE state = 'active' GROUP BY symbol_id) l ON l.symbol_id = h.id", BFS.format(3))
+def impact(m):
+    hit = g.impact(m.edges, m.symbols.filter("role = 'api'").select(c("id").alias("seed")), 3)
+    held = m.leases.filter("state = 'active'").groupBy("symbol_id").agg(F.max_by("agent", "acquired_at").alias("lease_agent"))
+    s = m.symbols.select("id", "path", "start_byte")
+    return hit.join(s, "id").withColumnRenamed("id", "symbol_id").join(held, "symbol_id", "left").select("seed", "symbol_id", "distance", "path", "start_byte", "lease_agent")
+
+
+@query("impact_multi", "SELECT id, min(distance) AS distance FROM hit WHERE id NOT IN (SELECT id FROM symbols WHERE role = 'api') GROUP BY id", BFS.format(4))
+def _(m):
+    seeds = m.symbols.filter("role = 'api'").select(c("id").alias("seed"))
+    hit = g.impact(m.edges, seeds, 4)
+    return hit.join(seeds.select(c("seed").alias("id")), "id", "left_anti").groupBy("id").agg(F.min("distance").alias("distance"))
+
+
+@query("impact_topk", "SELECT h.id, h.distance FROM (SELECT id, min(distance) AS distance FROM hit GROUP BY id) h JOIN symbols s ON s.id = h.id ORDER BY h.distance, s.path, h.id LIMIT 40", BFS.format(2))
+def _(m):
+    hit = g.impact(m.edges, m.symbols.filter("role = 'api'").select(c("id").alias("seed")), 2).groupBy("id").agg(F.min("distance").alias("distance"))
+    return hit.join(m.symbols.select("id", "path"), "id").orderBy("distance", "path", "id").limit(40).select("id", "distance")
+
+
+CLOSURE = UP.replace(" WHERE kind IN ('method', 'class')", "") + ", closure AS (SELECT start AS symbol, id AS other, CASE WHEN depth = 0 THEN 'same' ELSE 'ancestor' END AS relation FROM up UNION ALL SELECT id, start, 'descendant' FROM up WHERE depth > 0)"
+
+
+def closure_of(m):
+    up = g.ancestors(m.symbols, m.symbols.select(c("id").alias("start")))
+    same = up.select(c("start").alias("symbol"), c("id").alias("other"), F.when(c("depth") == 0, "same").otherwise("ancestor").alias("relation"))
+    return same.unionAll(up.filter("depth > 0").select("id", "start", F.lit("descendant")))
+
+
+@query("conflict_relation", "SELECT symbol, relation, count(*) AS n FROM closure GROUP BY symbol, relation", CLOSURE)
+def _(m):
+    return closure_of(m).groupBy("symbol", "relation").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("conflicts", "SELECT t.id AS task, x.symbol, x.agent, x.lease, x.holder, x.relation FROM (SELECT ts.task_id AS id, cl.symbol, t.assignee AS agent, l.id AS lease, l.agent AS holder, cl.relation FROM tasks t JOIN task_symbols ts ON ts.task_id = t.id JOIN closure cl ON cl.symbol = ts.symbol_id JOIN leases l ON l.symbol_id = cl.other, k WHERE t.assignee IS NOT NULL AND l.state = 'active' AND l.expires_at > now AND l.agent <> t.assignee) x JOIN tasks t ON t.id = x.id", CLOSURE)
+def _(m):
+    asking = m.tasks.filter("assignee is not null").join(m.task_symbols, c("id") == c("task_id")).select(c("id").alias("task"), c("symbol_id").alias("symbol"), c("assignee").alias("agent"))
+    found = r.conflicts(m.leases, closure_of(m), asking.select("symbol", "agent").distinct(), m.now)
+    return asking.join(found, ["symbol", "agent"]).select("task", "symbol", "agent", "lease", "holder", "relation")
+
+
+@query("guard", "SELECT s.id AS symbol, CASE WHEN EXISTS (SELECT 1 FROM closure cl JOIN leases l ON l.symbol_id = cl.other, k WHERE cl.symbol = s.id AND l.state = 'active' AND l.expires_at > now AND l.agent <> 'A1') THEN 'denied' WHEN EXISTS (SELECT 1 FROM closure cl JOIN leases l ON l.symbol_id = cl.other, k WHERE cl.symbol = s.id AND cl.relation <> 'descendant' AND l.state = 'active' AND l.expires_at > now AND l.agent = 'A1') THEN 'allowed' ELSE 'warn' END AS verdict FROM symbols s WHERE s.kind = 'class'", CLOSURE)
+def _(m):
+    live = m.leases.filter((c("state") == "active") & (c("expires_at") > m.now)).select(c("symbol_id").alias("other"), c("agent").alias("holder"))
+    at = closure_of(m).join(live, "other").groupBy("symbol").agg(F.bool_or(c("holder") != "A1").alias("others"), F.bool_or((c("holder") == "A1") & (c("relation") != "descendant")).alias("own"))
+    s = m.symbols.filter("kind = 'class'").select(c("id").alias("symbol")).join(at, "symbol", "left")
+    return s.select("symbol", F.when(c("others"), "denied").when(c("own"), "allowed").otherwise("warn").alias("verdict"))
+
+
+REACH = "reach AS (SELECT task_id AS a, depends_on AS b FROM task_deps UNION SELECT reach.a, d.depends_on FROM reach JOIN task_deps d ON d.task_id = reach.b), cyc AS (SELECT x.a AS node, min(x.b) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a)"
+
+
+@query("dep_cycles", "SELECT node, component FROM cyc", REACH)
+def _(m):
+    return g.components_of_cycles(m.task_deps.select(c("task_id").alias("a"), c("depends_on").alias("b")))
+
+
+@query("would_cycle", "SELECT a AS task_id FROM reach WHERE a = b", REACH)
+def _(m):
+    return g.components_of_cycles(m.task_deps.select(c("task_id").alias("a"), c("depends_on").alias("b"))).select(c("node").alias("task_id"))
+
+
+# A level per round: a task is at level n when its longest chain of unmet dependencies is n long and all of them are open and off cycles.
+WAVES = REACH + """, cand AS (SELECT id FROM tasks WHERE state IN ('pending', 'blocked') AND id NOT IN (SELECT node FROM cyc)),
+need AS (SELECT DISTINCT task_id, depends_on FROM task_deps JOIN tasks t ON t.id = depends_on WHERE t.state <> 'done' AND task_id IN (SELECT id FROM cand)),
+stall AS (SELECT task_id AS id FROM need WHERE depends_on NOT IN (SELECT id FROM cand) UNION SELECT n.task_id FROM need n JOIN stall ON n.depends_on = stall.id),
+walk AS (SELECT id, 0 AS level FROM cand WHERE id NOT IN (SELECT id FROM stall) UNION SELECT n.task_id, level + 1 FROM walk JOIN need n ON n.depends_on = walk.id),
+lev AS (SELECT id, max(level) AS level FROM walk GROUP BY id)"""
+
+
+def waves_of(m):
+    cyclic = g.components_of_cycles(m.task_deps.select(c("task_id").alias("a"), c("depends_on").alias("b")))
+    return g.waves(m.tasks, m.task_deps, cyclic)
+
+
+@query("plan_waves", "SELECT id, level FROM lev WHERE id NOT IN (SELECT id FROM stall)", WAVES)
+def _(m):
+    return waves_of(m)
+
+
+@query("plan_parallelism", "SELECT count(*) FILTER (WHERE level = 0) AS startable, max(n) AS max_parallel, max(level) + 1 AS n_waves FROM (SELECT level, count(*) OVER (PARTITION BY level) AS n FROM lev WHERE id NOT IN (SELECT id FROM stall))", WAVES)
+def _(m):
+    per = waves_of(m).groupBy("level").agg(F.count(F.lit(1)).alias("n"))
+    return per.agg(F.sum(F.when(c("level") == 0, c("n")).otherwise(0)).alias("startable"), F.max("n").alias("max_parallel"), (F.max("level") + 1).alias("n_waves"))
+
+
+@query("critical_path", None)
+def _(m):
+    return g.critical_path(waves_of(m), m.task_deps)
+
+
+@query("arch_cycles", "SELECT x.a AS node, min(x.b) AS component FROM reach2 x JOIN reach2 y ON x.a = y.b AND x.b = y.a GROUP BY x.a", "reach2 AS (SELECT src AS a, dst AS b FROM edges WHERE kind = 'imports' UNION SELECT reach2.a, e.dst FROM reach2 JOIN edges e ON e.src = reach2.b AND e.kind = 'imports')")
+def _(m):
+    return g.components_of_cycles(m.edges.filter("kind = 'imports'").select(c("src").alias("a"), c("dst").alias("b")))
+
+
+@query("svc_clusters", "SELECT split_part(s.path, '/', 1) AS service, count(DISTINCT h.id) AS n FROM hit h JOIN symbols s ON s.id = h.id GROUP BY ALL", BFS.format(2))
+def _(m):
+    hit = g.impact(m.edges, m.symbols.filter("role = 'api'").select(c("id").alias("seed")), 2)
+    return hit.join(m.symbols.select("id", "path"), "id").groupBy(F.substring_index("path", "/", 1).alias("service")).agg(F.count_distinct("id").alias("n"))
+
+
+@query("followup_tasks", "SELECT h.id, CASE s.role WHEN 'test' THEN 'testing' END AS capability FROM (SELECT DISTINCT id FROM hit) h JOIN symbols s ON s.id = h.id WHERE h.id NOT IN (SELECT ts.symbol_id FROM task_symbols ts JOIN task_goals tg ON tg.task_id = ts.task_id WHERE tg.goal_id LIKE 'G1%')", BFS.format(2))
+def _(m):
+    hit = g.impact(m.edges, m.symbols.filter("role = 'api'").select(c("id").alias("seed")), 2).select("id").distinct()
+    covered = m.task_symbols.join(m.task_goals.filter(c("goal_id").startswith("G1")), "task_id").select(c("symbol_id").alias("id"))
+    return hit.join(covered, "id", "left_anti").join(m.symbols.select("id", "role"), "id").select("id", F.when(c("role") == "test", "testing").alias("capability"))
+
+
+# Activity windows
+
+
+WINDOWS = "SELECT agent, path, min(ts) AS started_at, max(ts) AS updated_at, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY agent, path ORDER BY ts, event_id) AS grp FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY agent, path ORDER BY ts, event_id) <= 86400000 THEN 0 ELSE 1 END AS fresh FROM touches)) GROUP BY agent, path, grp"
+
+
+@query("activity_windows", WINDOWS)
+def _(m):
+    w = F.session_window(F.timestamp_millis("ts"), "86400001 milliseconds")
+    return m.touches.groupBy("agent", "path", w).agg(F.min("ts").alias("started_at"), F.max("ts").alias("updated_at"), F.count(F.lit(1)).alias("n")).drop("session_window")
+
+
+@query("act_live", "SELECT agent, path, max(ts) AS updated_at FROM touches, k GROUP BY agent, path, now HAVING max(ts) >= now - 86400000")
+def _(m):
+    return m.touches.groupBy("agent", "path").agg(F.max("ts").alias("updated_at")).filter(c("updated_at") >= m.now - DAY)
+
+
+@query("lease_expire", "SELECT id FROM leases, k WHERE state = 'active' AND expires_at <= now")
+def _(m):
+    return m.leases.filter((c("state") == "active") & (c("expires_at") <= m.now)).select("id")
+
+
+# Text
+
+
+@query("rx_table_refs", "SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\\b(?:from|join|into|update)\\s+([a-z_]+)', 1)) AS ref FROM documents) WHERE lower(ref) IN ('the', 'of', 'and', 'this', 'that') GROUP BY doc_id")
+def _(m):
+    refs = m.raw("documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"(?i)\b(?:from|join|into|update)\s+([a-z_]+)"), 1)).alias("ref"))
+    return refs.filter(F.lower("ref").isin("the", "of", "and", "this", "that")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("kw_match", "SELECT key FROM memory WHERE value ILIKE '%license%' OR value ILIKE '%apache%'")
+def _(m):
+    return m.memory.filter(c("value").ilike("%license%") | c("value").ilike("%apache%")).select("key")
+
+
+@query("mem_near", "SELECT key FROM memory WHERE contains(value, 'tion') AND updated_at > 100 ORDER BY updated_at DESC, key LIMIT 20")
+def _(m):
+    return m.memory.filter(c("value").contains("tion") & (c("updated_at") > 100)).orderBy(F.desc("updated_at"), "key").limit(20).select("key")
+
+
+@query("f_slug", "SELECT id, trim(substr(trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-'), 1, 32), '-') AS slug FROM goals")
+def _(m):
+    return m.goals.select("id", fn.slug(c("title")).alias("slug"))
+
+
+@query("json_get", "SELECT id, CAST(json_extract_string(detail, '$.k') AS BIGINT) AS k FROM log")
+def _(m):
+    return m.events.select("id", F.get_json_object("detail", "$.k").cast("long").alias("k"))
+
+
+@query("f_hash", "SELECT item_id, substr(sha256(text), 1, 16) AS hash FROM benchmark")
+def _(m):
+    return m.raw("benchmark").select("item_id", fn.content_hash(c("text")).alias("hash"))
+
+
+@query("f_dir", "SELECT DISTINCT path, CASE WHEN contains(path, '/') THEN regexp_extract(path, '^(.*)/[^/]*$', 1) ELSE '' END AS dir, regexp_extract(path, '([^/]*)$', 1) AS leaf FROM symbols")
+def _(m):
+    return m.symbols.select("path", fn.parent_dir(c("path")).alias("dir"), fn.leaf(c("path")).alias("leaf")).distinct()
+
+
+def queries():
+    return dict(QUERIES)
+
+
+def oracle_sql():
+    return dict(ORACLE)
