@@ -1,0 +1,97 @@
+"""Scanners of source text: routes, DDL, table references, imports, manifests, and where they belong."""
+
+from __future__ import annotations
+
+import json
+import re
+
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from loomgraph.functions.scalars import normalize_ident
+
+VERBS = "get|post|put|patch|delete|head|options"
+#: Route declarations: method call with a path, router registration, annotation, attribute.
+ROUTES = [rf"\.({VERBS})\(\s*[\"'](/[^\"']*)[\"']", rf"@({VERBS})\(\s*[\"'](/[^\"']*)[\"']", rf"(?i)@({VERBS})mapping\(\s*(?:value\s*=\s*|path\s*=\s*)?[\"']([^\"']*)[\"']", rf"(?i)\[http({VERBS})\(\s*\"([^\"]*)\""]
+ANY_ROUTE = r"\.(?:route|handle|handlefunc|add_url_rule)\(\s*[\"'](/[^\"']*)[\"']"
+DDL = r"(?i)\b(create|alter|drop)\s+table\s+(?:if\s+(?:not\s+)?exists\s+)?([\w.\"`\[\]]+)"
+REFS = r"(?i)\b(?:from|join|into|update)\s+([\w.\"`\[\]]+)"
+COMMENT = r"^\s*(?://|#|\*|--)"
+
+
+def code_lines(files: DataFrame) -> DataFrame:
+    """(path, line_no, line) without comment lines."""
+    lines = files.select("path", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.filter(~F.col("line").rlike(COMMENT))
+
+
+def routes(files: DataFrame) -> DataFrame:
+    """(path, line_no, method, route); method ANY where the declaration names none."""
+    lines = code_lines(files)
+
+    def declared(pattern: str):
+        return F.transform(F.regexp_extract_all("line", F.lit(pattern), F.lit(0)), lambda m: F.struct(F.upper(F.regexp_extract(m, pattern, 1)).alias("method"), F.regexp_extract(m, pattern, 2).alias("route")))
+
+    found = [declared(p) for p in ROUTES]
+    found.append(F.transform(F.regexp_extract_all("line", F.lit(ANY_ROUTE), F.lit(1)), lambda m: F.struct(F.lit("ANY").alias("method"), m.alias("route"))))
+    return lines.select("path", "line_no", F.explode(F.array_distinct(F.concat(*found))).alias("r")).select("path", "line_no", "r.method", "r.route")
+
+
+def tables_defined(files: DataFrame) -> DataFrame:
+    """(path, table, verb): one row for each table of a file; CREATE wins, else the first mention."""
+    lines = code_lines(files).select("path", "line_no", F.posexplode(F.regexp_extract_all("line", F.lit(DDL), F.lit(0))).alias("at", "hit"))
+    hits = lines.select("path", "line_no", "at", F.lower(F.regexp_extract("hit", DDL, 1)).alias("verb"), normalize_ident(F.regexp_extract("hit", DDL, 2)).alias("table"))
+    w = W.partitionBy("path", "table").orderBy(F.when(F.col("verb") == "create", 0).otherwise(1), "line_no", "at")
+    return hits.withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("path", "table", "verb")
+
+
+def table_references(files: DataFrame, known: DataFrame) -> DataFrame:
+    """(path, table) where a known table is read or written."""
+    refs = code_lines(files).select("path", F.explode(F.regexp_extract_all("line", F.lit(REFS), F.lit(1))).alias("ref")).select("path", normalize_ident(F.col("ref")).alias("table")).distinct()
+    return refs.join(known.select("table").distinct(), "table", "left_semi").select("path", "table")
+
+
+def attribute_routes(found: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(path, route, symbol): the innermost symbol that encloses the declaration, else the next that starts within 400 bytes.
+
+    Both tables have byte offsets; the join is by path, so only a file's own symbols meet.
+    """
+    s = symbols.select("path", F.col("id").alias("symbol"), "start_byte", "end_byte")
+    near = found.join(s, "path").filter(((F.col("start_byte") <= F.col("at")) & (F.col("at") < F.col("end_byte"))) | ((F.col("start_byte") >= F.col("at")) & (F.col("start_byte") - F.col("at") < 400)))
+    encloses = F.col("start_byte") <= F.col("at")
+    w = W.partitionBy("path", "route", "at").orderBy(F.when(encloses, 0).otherwise(1), F.when(encloses, -F.col("start_byte")).otherwise(F.col("start_byte")), "symbol")
+    return near.withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("path", "route", "symbol")
+
+
+def service_name(path: str, text: str) -> str | None:
+    """Name of the service that a manifest declares."""
+    name, _, file = path.rpartition("/")[0].rpartition("/")[2], None, path.rpartition("/")[2]
+    if file == "package.json":
+        try:
+            return json.loads(text).get("name")
+        except (ValueError, AttributeError):
+            return None
+    if file == "Cargo.toml":
+        m = re.search(r"\[package\][^\[]*?^\s*name\s*=\s*\"([^\"]+)\"", text, re.M | re.S)
+        return m and m[1]
+    if file == "pyproject.toml":
+        m = re.search(r"^\s*name\s*=\s*\"([^\"]+)\"", text, re.M)
+        return m and m[1]
+    if file == "go.mod":
+        m = re.search(r"^module\s+(\S+)", text, re.M)
+        return m and m[1].rpartition("/")[2]
+    if file == "pom.xml":
+        m = re.search(r"<artifactId>([^<]+)</artifactId>", re.sub(r"<parent>.*?</parent>", "", text, flags=re.S))
+        return m and m[1]
+    if file in ("build.gradle", "build.gradle.kts"):
+        return name or None
+    return None
+
+
+def owning_service(files: DataFrame, services: DataFrame) -> DataFrame:
+    """(path, dir) of the deepest service directory that contains a path: each path looks up its own parents, an equi-join."""
+    parts = F.split("path", "/")
+    parents = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    up = files.select("path", F.explode(parents).alias("dir"))
+    return up.join(services.select("dir").distinct(), "dir").groupBy("path").agg(F.max_by("dir", F.length("dir")).alias("dir"))

@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars as fn
 from loomgraph.model_sql import oracle
+from loomgraph.operators import diff as df_
+from loomgraph.operators import extract as ex
 from loomgraph.operators import graph as g
 from loomgraph.operators import relational as r
-from loomgraph.sources.adapter import DAY, HOUR, Model
+from loomgraph.operators import state as st
+from loomgraph.sources.adapter import DAY, HOUR, Model, millis
+from loomgraph.streaming import jobs as sj
 
 c = F.col
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -683,6 +687,75 @@ def _(m):
     return m.symbols.select("path", fn.parent_dir(c("path")).alias("dir"), fn.leaf(c("path")).alias("leaf")).distinct()
 
 
+# Sources and extraction
+
+
+@query("rx_routes", None)
+def _(m):
+    return ex.routes(m.raw("documents").select(c("doc_id").cast("string").alias("path"), "text"))
+
+
+@query("rx_ddl", None)
+def _(m):
+    return ex.tables_defined(m.raw("documents").select(c("doc_id").cast("string").alias("path"), "text"))
+
+
+@query("svc_of_path", "SELECT path, r_name AS dir FROM symbols JOIN region ON starts_with(path, r_name || '/') WHERE kind = 'file'")
+def _(m):
+    return ex.owning_service(m.symbols.filter("kind = 'file'").select("path"), m.symbols.filter("kind = 'service'").select(c("path").alias("dir"))).select("path", "dir")
+
+
+@query("changed_files", "SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' ELSE 'modified' END AS change FROM (SELECT CAST(doc_id AS VARCHAR) AS path, sha256(text) AS h FROM documents WHERE doc_id % 7 <> 0) a FULL JOIN (SELECT CAST(doc_id AS VARCHAR) AS path, sha256(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 11 <> 0) b ON a.path = b.path WHERE a.h IS DISTINCT FROM b.h")
+def _(m):
+    docs = m.raw("documents").select("doc_id", c("doc_id").cast("string").alias("path"), "text")
+    old = docs.filter("doc_id % 7 <> 0").select("path", fn.content_hash(c("text")).alias("content_hash"))
+    new = docs.filter("doc_id % 11 <> 0").select("path", fn.content_hash(F.when(c("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(c("text"))).alias("content_hash"))
+    return df_.changed_files(old, new)
+
+
+@query("deps_infer", "SELECT a.task_id, b.task_id AS depends_on, min(e.src) AS via FROM task_symbols a JOIN edges e ON e.src = a.symbol_id AND e.kind IN ('calls', 'uses', 'imports', 'queries') JOIN task_symbols b ON b.symbol_id = e.dst JOIN tasks ta ON ta.id = a.task_id AND ta.state <> 'done' JOIN tasks tb ON tb.id = b.task_id AND tb.state <> 'done' WHERE a.task_id <> b.task_id GROUP BY a.task_id, b.task_id")
+def _(m):
+    return st.infer_dependencies(m.task_symbols, m.edges, m.tasks, m.task_deps.limit(0)).select("task_id", "depends_on", "via")
+
+
+@query("task_claim", "SELECT t.id FROM tasks t LEFT JOIN d ON d.task_id = t.id WHERE t.state = 'pending' AND len(coalesce(d.blocked_by, [])) = 0 AND (required_capability IS NULL OR required_capability = 'testing') ORDER BY priority DESC, created_at, t.id LIMIT 1", VIEW)
+def _(m):
+    return st.startable(r.task_view(m.tasks, m.task_deps).filter("ready"), "testing", False).limit(1).select("id")
+
+
+@query("lease_fold", None)
+def _(m):
+    leases = m.leases.join(m.symbols.select(c("id").alias("symbol_id"), "parent_id", "path"), "symbol_id")
+    files = m.nations.select("path", F.concat(F.lit("N"), c("n_nationkey").cast("string")).alias("root"))
+    rows = leases.join(F.broadcast(files), "path").withColumn("ancestors", F.array_distinct(F.filter(F.array("parent_id", "root"), lambda x: x.isNotNull() & (x != c("symbol_id")))))
+    return st.lease_fold(rows.select(F.substring("id", 2, 20).cast("long").alias("id"), c("acquired_at").alias("ts"), F.lit("acquire").alias("op"), c("symbol_id").alias("symbol"), "ancestors", "agent", "priority", "ttl_secs", "root"))
+
+
+# Streams
+
+
+@query("st_event_tail", "SELECT event_id, event_type FROM ev WHERE event_id > 500")
+def _(m):
+    stream = sj.event_stream(m.spark, f"{m.dir}/events.parque[t]", m.raw("events").schema)
+    return sj.run_to_table(stream.filter("event_id > 500").select("event_id", "event_type"), "append", "tail")
+
+
+@query("st_activity_window", WINDOWS)
+def _(m):
+    stream = sj.event_stream(m.spark, f"{m.dir}/events.parque[t]", m.raw("events").schema)
+    ms = millis(stream, "ts")
+    touches = stream.filter("event_type = 'click'").select("event_id", F.concat(F.lit("A"), (c("user_id") % 10).cast("string")).alias("agent"), ms.alias("ts"))
+    touches = touches.join(F.broadcast(m.nations.select("n_nationkey", "path")), c("event_id") % 25 == c("n_nationkey"))
+    return sj.run_to_table(sj.activity_windows(touches, DAY), "complete", "windows")
+
+
+@query("st_presence", "SELECT agent, max(ms) AS heartbeat_at FROM ev GROUP BY agent")
+def _(m):
+    stream = sj.event_stream(m.spark, f"{m.dir}/events.parque[t]", m.raw("events").schema)
+    beats = stream.select(F.concat(F.lit("A"), (c("user_id") % 10).cast("string")).alias("agent"), millis(stream, "ts").alias("ts"))
+    return sj.run_to_table(sj.presence(beats), "complete", "presence")
+
+
 def queries():
     return dict(QUERIES)
 
