@@ -634,7 +634,7 @@ WINDOWS = "SELECT agent, path, min(ts) AS started_at, max(ts) AS updated_at, cou
 
 @query("activity_windows", WINDOWS)
 def _(m):
-    w = F.session_window(F.timestamp_millis("ts"), "86400001 milliseconds")
+    w = F.session_window(F.timestamp_millis("ts"), "86400000 milliseconds")
     return m.touches.groupBy("agent", "path", w).agg(F.min("ts").alias("started_at"), F.max("ts").alias("updated_at"), F.count(F.lit(1)).alias("n")).drop("session_window")
 
 

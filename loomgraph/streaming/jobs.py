@@ -27,7 +27,7 @@ def activity_windows(touches: DataFrame, gap_ms: int = 60_000, late: str | None
     t = touches.withColumn("at", F.timestamp_millis("ts"))
     if late and t.isStreaming:
         t = t.withWatermark("at", late)
-    return t.groupBy("agent", "path", F.session_window("at", f"{gap_ms + 1} milliseconds").alias("w")).agg(F.min("ts").alias("started_at"), F.max("ts").alias("updated_at"), F.count(F.lit(1)).alias("n")).drop("w")
+    return t.groupBy("agent", "path", F.session_window("at", f"{gap_ms} milliseconds").alias("w")).agg(F.min("ts").alias("started_at"), F.max("ts").alias("updated_at"), F.count(F.lit(1)).alias("n")).drop("w")
 
 
 def expire(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
