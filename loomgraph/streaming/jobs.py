@@ -35,13 +35,13 @@ def expire(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
     if state.hasTimedOut:
         (until,) = state.get
         state.remove()
-        yield pd.DataFrame({"lease": [keys[0]], "expired_at": [until]})
-        return
+        return iter([pd.DataFrame({"lease": [keys[0]], "expired_at": [until]})])
     until = state.get[0] if state.exists else 0
     for b in batches:
         until = max(until, int(b["expires_at"].max()))
     state.update((until,))
     state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
+    return iter([])
 
 
 def lease_expiry(heartbeats: DataFrame, late: str = "10 minutes") -> DataFrame:

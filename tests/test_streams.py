@@ -1,3 +1,5 @@
+import os
+
 from loomgraph.streaming import jobs
 from pyspark.sql import functions as F
 
@@ -12,9 +14,11 @@ def test_activity_windows_by_gap(spark, tmp_path):
 
 def test_lease_expiry_follows_heartbeats(spark, tmp_path):
     schema = "lease string, ms long, expires_at long"
-    for i, part in enumerate([[("x", 0, 1_000), ("y", 0, 500_000)], [("x", 900, 300_000)], [("z", 2_000_000, 9_000_000)], [("z", 2_100_000, 9_000_000)]]):
+    for i, part in enumerate([[("x", 500, 1_000), ("y", 500, 500_000)], [("x", 900, 300_000)], [("z", 2_000_000, 9_000_000)], [("z", 2_100_000, 9_000_000)], [("z", 2_200_000, 9_000_000)]]):
         spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{i}"))
+        for f in (tmp_path / "in" / f"b{i}").iterdir():
+            os.utime(f, (1_700_000_000 + i, 1_700_000_000 + i))  # files are taken in order of time
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
     beats = stream.select("lease", F.timestamp_millis("ms").alias("at"), "expires_at")
-    got = {r.lease for r in jobs.run_to_table(jobs.lease_expiry(beats), "append", "t").collect()}
-    assert got == {"x", "y"}
+    got = dict(map(tuple, jobs.run_to_table(jobs.lease_expiry(beats), "append", "t").collect()))
+    assert got == {"x": 300_000, "y": 500_000}
