@@ -46,11 +46,25 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+#: Spark's setting that drops an execution's shuffle files at its end.
+CLEANUP = "spark.sql.shuffleDependency.fileCleanup.enabled", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: cuts the lineage and survives lost executors."""
+    """Write df as a Parquet table in the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    Shuffle files of the write go with its end; the table holds all that later steps need.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomgraph/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = {key: spark.conf.get(key, None) for key in CLEANUP}
+    try:
+        for key in CLEANUP:
+            spark.conf.set(key, "true")
+        df.write.parquet(path)
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 
