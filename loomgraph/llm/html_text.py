@@ -1,15 +1,16 @@
 """Main text of web pages by nearest-URL page differencing.
 
 A page is cut into blocks (runs of text between block-level tags). Blocks of menus, forms, adverts and the like are
-known by their elements, classes and roles. The rest that stands outside an article or main element is compared with
-the nearest page of the same host: pages are put in order of (host, path), each takes the neighbour that shares more of
+known by their elements, classes and roles. All others, inside an article or main element or not, are compared with the
+nearest page of the same host: pages are put in order of (host, path), each takes the neighbour that shares more of
 its path, their block sequences are aligned by longest common subsequence, and what they share is deleted as the
-host's furniture. Text inside article or main elements is the page's own even where another page repeats it; a page
-without such an element keeps every other block that differencing leaves. Two pages that share most of their text
-are copies, not one template twice; nothing is deleted for such a pair.
+host's furniture. Of what is left, text outside the page's article or main elements stays only where there is no such
+element or more text outside than inside, so that the element is a teaser.
+
+Two pages that share most of their text are copies, not one template twice; nothing is deleted for such a pair.
 
 Order over all pages is by range partitioning and a running index, and neighbours are met by an equi-join on that index,
-so a host with a third of all pages is as evenly spread as any other.
+so a host with a third of all pages is as evenly spread as any other. Pages with equal url and html are one page there.
 
 Defined cases: null html is an empty page with empty text; a null url is the empty host and path; pages that repeat
 an id are each extracted; an empty table gives an empty result; very long pages are taken whole; other columns aren't read.
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import materialize, ship
+from loomgraph.llm.common import drop_table, materialize, ship
 
 TOKEN = re.compile(
     r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*+)(?P<attrs>(?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*+>|<[a-zA-Z!/?][^<>]*+\Z""",
@@ -132,10 +133,8 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
     return out
 
 
-def shared_lines(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Index pairs of a longest common subsequence, by bit-parallel rows."""
-    if not a or not b:
-        return []
+def _aligned(a: list[int], b: list[int]) -> list[int]:
+    """Bit rows of the longest common subsequences of each prefix of a with the prefixes of b."""
     where: dict[int, int] = {}
     for j, x in enumerate(b):
         where[x] = where.get(x, 0) | 1 << j
@@ -145,6 +144,49 @@ def shared_lines(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         s = rows[-1]
         u = s & where.get(x, 0)
         rows.append(((s + u) | (s - u)) & full)
+    return rows
+
+
+def _lengths(a: list[int], b: list[int]) -> list[int]:
+    """Length of a longest common subsequence of a with each prefix of b."""
+    where: dict[int, int] = {}
+    for j, x in enumerate(b):
+        where[x] = where.get(x, 0) | 1 << j
+    s = full = (1 << len(b)) - 1
+    for x in a:
+        u = s & where.get(x, 0)
+        s = ((s + u) | (s - u)) & full
+    out = [0]
+    for bit in reversed(f"{s:0{len(b)}b}"):
+        out.append(out[-1] + (bit == "0"))
+    return out
+
+
+def shared_lines(a: list[int], b: list[int], most: int = 1 << 30) -> list[tuple[int, int]]:
+    """Index pairs of a longest common subsequence, by bit-parallel rows; halved where the rows have more than `most` bits."""
+    first = 0
+    while first < min(len(a), len(b)) and a[first] == b[first]:
+        first += 1
+    last = 0
+    while last < min(len(a), len(b)) - first and a[-1 - last] == b[-1 - last]:
+        last += 1
+    both = set(a[first : len(a) - last]) & set(b[first : len(b) - last])
+    at_a = [i for i in range(first, len(a) - last) if a[i] in both]
+    at_b = [j for j in range(first, len(b) - last) if b[j] in both]
+    inner = _pairs([a[i] for i in at_a], [b[j] for j in at_b], most)
+    ends = [(len(a) - k, len(b) - k) for k in range(last, 0, -1)]
+    return [(i, i) for i in range(first)] + [(at_a[i], at_b[j]) for i, j in inner] + ends
+
+
+def _pairs(a: list[int], b: list[int], most: int) -> list[tuple[int, int]]:
+    if not a or not b:
+        return []
+    if len(a) > 1 and len(a) * len(b) > most:
+        half = len(a) // 2
+        ahead, back = _lengths(a[:half], b), _lengths(a[half:][::-1], b[::-1])
+        cut = max(range(len(b) + 1), key=lambda j: ahead[j] + back[len(b) - j])
+        return _pairs(a[:half], b[:cut], most) + [(i + half, j + cut) for i, j in _pairs(a[half:], b[cut:], most)]
+    rows = _aligned(a, b)
 
     def length(i: int, j: int) -> int:
         return j - (rows[i] & ((1 << j) - 1)).bit_count()
@@ -182,44 +224,66 @@ def common_segments(a: str, b: str) -> int:
     return n
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each page the hashes of its lines and the characters of each; -1 for furniture, which only takes part in the alignment."""
     for batch in batches:
-        pages = [blocks(h or "") for h in batch.column(2).to_pylist()]
-        at = [address(u) for u in batch.column(1).to_pylist()]
-        own = []
-        lines = []
-        for page in pages:
-            article = any(i and not s for _, s, i in page)
-            own.append([{"text": t, "soft": not i} for t, s, i in page if not s and (i or not article)])
-            # Furniture too is part of what neighbours are aligned by.
-            lines.append([xxhash.xxh64_intdigest(t.encode("utf-8", "replace")) - (1 << 63) for t, _, i in page if not i])
+        pages = [blocks(h or "") for h in batch.column(3).to_pylist()]
+        at = [address(u) for u in batch.column(2).to_pylist()]
+        lines = [[xxhash.xxh64_intdigest(t.encode("utf-8", "replace")) - (1 << 63) for t, _, _ in page] for page in pages]
+        chars = [[-1 if s else len(t) for t, s, _ in page] for page in pages]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array([a[0] for a in at], pa.string()), pa.array([a[1] for a in at], pa.string()), pa.array(own, pa.list_(pa.struct([("text", pa.string()), ("soft", pa.bool_())]))), pa.array(lines, pa.list_(pa.int64()))],
-            ["page_id", "url", "host", "path", "blocks", "lines"],
+            [batch.column(0), batch.column(1), pa.array([a[0] for a in at], pa.string()), pa.array([a[1] for a in at], pa.string()), pa.array(lines, pa.list_(pa.int64())), pa.array(chars, pa.list_(pa.int32()))],
+            ["k1", "k2", "host", "path", "lines", "chars"],
         )
 
 
-#: A pair that shares more than this part of the soft text is a pair of copies.
+#: A pair that shares more than this part of the text of both is a pair of copies.
 COPY = 0.8
 
 
-def own_text(page: list[dict], lines: list[int], other: list[int] | None) -> str:
-    """Text of a page after the lines it shares with its neighbour are gone."""
-    gone = {lines[i] for i, _ in shared_lines(lines, other)} if other else set()
-    key = lambda t: xxhash.xxh64_intdigest(t.encode("utf-8", "replace")) - (1 << 63)
-    drop = [b["soft"] and bool(gone) and key(b["text"]) in gone for b in page]
-    soft = sum(len(b["text"]) for b in page if b["soft"])
-    if sum(len(b["text"]) for b, d in zip(page, drop, strict=True) if d) > COPY * soft:
-        drop = [False] * len(page)
-    return " ".join(b["text"] for b, d in zip(page, drop, strict=True) if not d)
+def deleted(page: dict, near: list[dict]) -> set[int]:
+    """Which lines of a page are the host's furniture; near: its neighbours, the nearest first."""
+    if not near:
+        return set()
+    pairs = shared_lines(page["lines"], near[0]["lines"])
+    gone = {i for i, _ in pairs if page["chars"][i] >= 0}
+    shared = 2 * sum(page["chars"][i] for i in gone)
+    return set() if shared > COPY * sum(n for p in (page, near[0]) for n in p["chars"] if n > 0) else gone
 
 
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pages that lose text, with the places of the lost blocks among those that aren't furniture."""
     for batch in batches:
-        texts = []
+        keys, gone = [], []
         for r in batch.to_pylist():
-            near = [(common_segments(r["path"], p["path"]), p["lines"]) for p in (r["before"], r["after"]) if p is not None and p["host"] == r["host"]]
-            texts.append(own_text(r["blocks"], r["lines"], max(near, key=lambda x: x[0])[1] if near else None))
+            near = [p for p in (r["before"], r["after"]) if p is not None and p["host"] == r["host"]]
+            near.sort(key=lambda p: -common_segments(r["path"], p["path"]))
+            if lost := deleted(r, near):
+                own = [i for i, n in enumerate(r["chars"]) if n >= 0]
+                keys.append((r["k1"], r["k2"]))
+                gone.append([at for at, i in enumerate(own) if i in lost])
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(gone, pa.list_(pa.int32()))], ["k1", "k2", "gone"])
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        own = [[{"text": t, "inside": i} for t, s, i in blocks(h or "") if not s] for h in batch.column(4).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(own, pa.list_(pa.struct([("text", pa.string()), ("inside", pa.bool_())])))], ["page_id", "url", "k1", "k2", "blocks"])
+
+
+def own_text(page: list[dict], gone: list[int] | None) -> str:
+    """Text of a page without the blocks that differencing deletes."""
+    lost = set(gone or ())
+    kept = [b for i, b in enumerate(page) if i not in lost]
+    inside = sum(len(b["text"]) for b in kept if b["inside"])
+    if inside and sum(len(b["text"]) for b in kept if not b["inside"]) <= inside:
+        kept = [b for b in kept if b["inside"]]
+    return " ".join(b["text"] for b in kept)
+
+
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [own_text(page, gone) for page, gone in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
@@ -239,16 +303,18 @@ def with_running_index(df: DataFrame, *order: str, name: str = "at") -> DataFram
 def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every page.
 
-    What is put in order and met with neighbours is the hashes of lines; texts move only of pages with deletable blocks.
+    What is put in order and met with neighbours is the hashes of lines; texts move once, to the lists of what they lose.
     """
     ship(df.sparkSession)
     pages = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    parsed = pages.mapInArrow(_parse, "page_id long, url string, host string, path string, blocks array<struct<text: string, soft: boolean>>, lines array<long>")
-    parsed = materialize(parsed.withColumn("soft", F.exists("blocks", lambda b: b["soft"])).withColumn("row", F.monotonically_increasing_id()), "pages")
-    laid = with_running_index(parsed.select("host", "path", "url", "row", "lines", "soft"), "host", "path", "url", "row")
-    side = lambda step, name: laid.select((F.col("at") + step).alias("at"), F.struct("host", "path", "lines").alias(name))
-    met = laid.filter("soft").select("row", "at").join(side(1, "before"), "at", "left").join(side(-1, "after"), "at", "left").drop("at")
-    soft = parsed.filter("soft").join(met, "row")
-    alone = parsed.filter("not soft").withColumns({name: F.lit(None).cast("struct<host: string, path: string, lines: array<long>>") for name in ("before", "after")})
-    columns = ("page_id", "url", "host", "path", "blocks", "lines", "before", "after")
-    return soft.select(*columns).unionByName(alone.select(*columns)).mapInArrow(_finish, "page_id long, url string, text string, n_chars long")
+    none = F.isnull("url"), F.isnull("html")
+    pages = pages.select("page_id", "url", F.xxhash64(*none, "url", "html").alias("k1"), F.xxhash64(F.lit(2), *none, "html", "url").alias("k2"), "html")
+    lines = pages.select("k1", "k2", "url", "html").mapInArrow(_lines, "k1 long, k2 long, host string, path string, lines array<long>, chars array<int>")
+    lines = materialize(lines.dropDuplicates(["k1", "k2"]), "lines")
+    laid = with_running_index(lines, "host", "path", "k1", "k2")
+    drop_table(lines)
+    side = lambda step, name: laid.select((F.col("at") + step).alias("at"), F.struct("host", "path", "lines", "chars").alias(name))
+    met = laid.join(side(1, "before"), "at", "left").join(side(-1, "after"), "at", "left").drop("at")
+    gone = met.mapInArrow(_decide, "k1 long, k2 long, gone array<int>")
+    texts = pages.mapInArrow(_texts, "page_id long, url string, k1 long, k2 long, blocks array<struct<text: string, inside: boolean>>")
+    return texts.join(gone, ["k1", "k2"], "left").select("page_id", "url", "blocks", "gone").mapInArrow(_finish, "page_id long, url string, text string, n_chars long")

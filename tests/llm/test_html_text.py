@@ -52,3 +52,26 @@ def test_differencing_and_edges(spark):
     assert by[104] == by[105] == "copy text same"
     assert all(n == len(t) for _, t, n in got)
     assert extract_pages(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_lines_are_shared_over_halves_too():
+    rng = random.Random(7)
+    for _ in range(200):
+        a, b = ([rng.randint(0, 4) for _ in range(rng.randint(0, 14))] for _ in range(2))
+        found = shared_lines(a, b, most=4)
+        assert len(found) == lcs_length(a, b) and all(a[i] == b[j] for i, j in found)
+
+
+def test_differencing_inside_article_and_teasers(spark):
+    page = "<body><article><h1>Title {0}</h1><div class='x1'>Read all our offers of the week here.</div><p>Own text {0} first part.</p></article></body>"
+    teaser = "<body><article><p>Short teaser.</p></article><div><p>Long own main text of page {0}.</p></div><div>All rights with us</div></body>"
+    rows = [(i, f"http://a.example/x/{i}", page.format(f"n{i}x" * 20), "x") for i in range(4)]
+    rows += [(10 + i, f"http://t.example/x/{i}", teaser.format(f"n{i}x" * 20), "x") for i in range(4)]
+    copy = "<article><p>A copied article of one host.</p><p>With its second line.</p></article>"
+    rows += [(30 + i, f"http://c.example/{i}", copy + f"<footer>{i}</footer>", "x") for i in range(2)]
+    by = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i in range(4):
+        own = f"n{i}x" * 20
+        assert by[i] == f"Title {own} Own text {own} first part."
+        assert by[10 + i] == f"Long own main text of page {own}."
+    assert by[30] == by[31] == "A copied article of one host. With its second line."
