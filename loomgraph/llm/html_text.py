@@ -7,7 +7,8 @@ its path, their block sequences are aligned by longest common subsequence, and w
 host's furniture. Of what is left, text outside the page's article or main elements stays only where there is no such
 element or more text outside than inside, so that the element is a teaser.
 
-Two pages that share most of their text are copies, not one template twice; nothing is deleted for such a pair.
+Two pages of which next to nothing is left are copies, not one template twice: the other neighbour is taken. Where the
+shared lines make up most of both pages, only those that the other neighbour has too are deleted, if there is one.
 
 Order over all pages is by range partitioning and a running index, and neighbours are met by an equi-join on that index,
 so a host with a third of all pages is as evenly spread as any other. Pages with equal url and html are one page there.
@@ -237,18 +238,28 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-#: A pair that shares more than this part of the text of both is a pair of copies.
-COPY = 0.8
+#: Of a pair of copies each page has at most so many characters, or this part of the shared ones, for itself.
+LEFT_CHARS, LEFT = 20, 0.02
+#: Where both pages share more than this part, the other neighbour is asked too.
+MOST = 0.8
 
 
 def deleted(page: dict, near: list[dict]) -> set[int]:
     """Which lines of a page are the host's furniture; near: its neighbours, the nearest first."""
-    if not near:
+    found: list[tuple[set[int], bool]] = []
+    for other in near:
+        pairs = shared_lines(page["lines"], other["lines"])
+        gone = {i for i, _ in pairs if page["chars"][i] >= 0}
+        shared = sum(page["chars"][i] for i in gone)
+        theirs = {j for _, j in pairs}
+        left = [sum(n for i, n in enumerate(page["chars"]) if n > 0 and i not in gone), sum(n for j, n in enumerate(other["chars"]) if n > 0 and j not in theirs)]
+        if max(left) <= max(LEFT_CHARS, LEFT * shared):
+            continue  # a copy
+        found.append((gone, max(left) < (1 - MOST) * (shared + max(left))))
+    if not found:
         return set()
-    pairs = shared_lines(page["lines"], near[0]["lines"])
-    gone = {i for i, _ in pairs if page["chars"][i] >= 0}
-    shared = 2 * sum(page["chars"][i] for i in gone)
-    return set() if shared > COPY * sum(n for p in (page, near[0]) for n in p["chars"] if n > 0) else gone
+    gone, alike = found[0]
+    return gone & found[1][0] if alike and len(found) > 1 else gone
 
 
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

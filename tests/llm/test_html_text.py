@@ -65,8 +65,10 @@ def test_lines_are_shared_over_halves_too():
 def test_differencing_inside_article_and_teasers(spark):
     page = "<body><article><h1>Title {0}</h1><div class='x1'>Read all our offers of the week here.</div><p>Own text {0} first part.</p></article></body>"
     teaser = "<body><article><p>Short teaser.</p></article><div><p>Long own main text of page {0}.</p></div><div>All rights with us</div></body>"
+    menu = "<body>" + "".join(f"<div>Menu entry number {i} of the shop</div>" for i in range(20)) + "<p>{0}</p></body>"
     rows = [(i, f"http://a.example/x/{i}", page.format(f"n{i}x" * 20), "x") for i in range(4)]
     rows += [(10 + i, f"http://t.example/x/{i}", teaser.format(f"n{i}x" * 20), "x") for i in range(4)]
+    rows += [(20 + i, f"http://m.example/x/{i}", menu.format(f"n{i}x" * 33), "x") for i in range(2)]
     copy = "<article><p>A copied article of one host.</p><p>With its second line.</p></article>"
     rows += [(30 + i, f"http://c.example/{i}", copy + f"<footer>{i}</footer>", "x") for i in range(2)]
     by = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(rows, SCHEMA)).collect()}
@@ -74,4 +76,5 @@ def test_differencing_inside_article_and_teasers(spark):
         own = f"n{i}x" * 20
         assert by[i] == f"Title {own} Own text {own} first part."
         assert by[10 + i] == f"Long own main text of page {own}."
+    assert [by[20 + i] for i in range(2)] == [f"n{i}x" * 33 for i in range(2)]
     assert by[30] == by[31] == "A copied article of one host. With its second line."
