@@ -192,3 +192,13 @@ def test_secrets(spark):
     assert got[0][0].is_secret and got[0][0].start_byte == 11 and got[2][0].kind == "aws_access_key" and got[2][0].is_secret
     assert not got[1][0].is_secret and not got[3][0].is_secret and set(got) == {0, 1, 2, 3}
     assert scan_secrets(frame(spark, [])).count() == 0
+
+
+def test_long_tokens_cost_all_their_bytes(spark):
+    rng = random.Random(12)
+    blob = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(n))
+    one = blob(3000)
+    texts = ["a few plain words"] * 20 + [blob(400), one, one + blob(3000), f"{one} {one} {one}"]
+    by = {r.doc_id: r.score for r in score_documents(frame(spark, texts), F.col("doc_id") >= 20).collect()}
+    assert by[21] < 4 * by[20] and by[22] < 1.6 * by[21]
+    assert by[21] - 10 < by[23] < 0  # only the first of three equal blobs has to be spelled
