@@ -6,10 +6,15 @@ are replayed in order (ts, id) by one Python function. The result is the same ho
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.operators.graph import components_of_cycles, descendants
+from loomgraph.sources.tables import written
+
 COLUMNS = "id long, outcome string, lease string, holder string"
 
 
@@ -54,15 +59,52 @@ def lease_fold(commands: DataFrame) -> DataFrame:
     return commands.groupBy("root").applyInPandas(replay, COLUMNS)
 
 
-def infer_dependencies(task_symbols: DataFrame, edges: DataFrame, tasks: DataFrame, deps: DataFrame) -> DataFrame:
-    """(task_id, depends_on, via, edge) candidates: a scope symbol's out-edge lands in another open task's scope; existing ones are left out."""
-    open_ = tasks.filter("state <> 'done'").select(F.col("id").alias("task_id"))
-    scope = task_symbols.join(open_, "task_id", "left_semi")
+def without_cycles(rows: pd.DataFrame) -> pd.DataFrame:
+    """Candidates of one component that close no cycle, taken one after the other by (task_id, depends_on).
+
+    Columns: task_id, depends_on, via, edge, known (a dependency that is there already).
+    """
+    after: dict[str, set[str]] = defaultdict(set)
+    for x in rows[rows["known"]].itertuples(index=False):
+        after[x.task_id].add(x.depends_on)
+    out = []
+    for x in rows[~rows["known"]].sort_values(["task_id", "depends_on"]).itertuples(index=False):
+        seen, stack = {x.depends_on}, [x.depends_on]
+        while stack and x.task_id not in seen:
+            more = after[stack.pop()] - seen
+            seen |= more
+            stack += more
+        if x.task_id not in seen:
+            after[x.task_id].add(x.depends_on)
+            out.append((x.task_id, x.depends_on, x.via, x.edge))
+    return pd.DataFrame(out, columns=["task_id", "depends_on", "via", "edge"])
+
+
+def infer_dependencies(task_symbols: DataFrame, edges: DataFrame, tasks: DataFrame, deps: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(task_id, depends_on, via, edge): a scope symbol's out-edge lands in another open task's scope or in what is nested in it.
+
+    Dependencies that are there already are left out, and so are those that would close a cycle with them and with the ones
+    accepted before, in (task_id, depends_on) order. A cycle lies in one component of all links, so components are gone
+    through apart and what is in none is accepted. A symbol in the scopes of several tasks counts for each.
+    """
+    open_ = tasks.filter("state not in ('done', 'failed')").select(F.col("id").alias("task_id"))
+    scope = task_symbols.join(open_, "task_id", "left_semi").select("task_id", "symbol_id")
     out = edges.filter(F.col("kind").isin("calls", "uses", "imports", "queries"))
     met = scope.join(out, scope["symbol_id"] == out["src"]).select("task_id", F.col("src").alias("via"), "dst", F.col("kind").alias("edge"))
-    owner = scope.select(F.col("task_id").alias("depends_on"), F.col("symbol_id").alias("dst"))
+    nested = descendants(symbols, scope.select(F.col("symbol_id").alias("root")).distinct()).select(F.col("root").alias("symbol_id"), F.col("id").alias("dst"))
+    owner = scope.withColumn("dst", F.col("symbol_id")).unionByName(scope.join(nested, "symbol_id")).select(F.col("task_id").alias("depends_on"), "dst").distinct()
     found = met.join(owner, "dst").filter("task_id <> depends_on").groupBy("task_id", "depends_on").agg(F.min(F.struct("via", "edge")).alias("by"))
-    return found.join(deps.select("task_id", "depends_on"), ["task_id", "depends_on"], "left_anti").select("task_id", "depends_on", "by.via", "by.edge")
+    known = deps.select("task_id", "depends_on").distinct()
+    new = written(found.join(known, ["task_id", "depends_on"], "left_anti").select("task_id", "depends_on", "by.via", "by.edge"), "candidates")
+    if new.isEmpty():
+        return new
+    none = F.lit(None).cast("string")
+    links = written(new.withColumn("known", F.lit(False)).unionByName(known.select("task_id", "depends_on", none.alias("via"), none.alias("edge"), F.lit(True).alias("known"))), "links")
+    parts = components_of_cycles(links.select(F.col("task_id").alias("a"), F.col("depends_on").alias("b")))
+    a, b = (parts.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}")) for end in ("task_id", "depends_on"))
+    placed = links.join(a, "task_id", "left").join(b, "depends_on", "left").withColumn("together", F.coalesce(F.col("c_task_id") == F.col("c_depends_on"), F.lit(False)))
+    checked = placed.filter("together").groupBy("c_task_id").applyInPandas(without_cycles, "task_id string, depends_on string, via string, edge string")
+    return placed.filter("not together and not known").select("task_id", "depends_on", "via", "edge").unionByName(checked)
 
 
 def startable(ready: DataFrame, capability: str | None, paused: bool) -> DataFrame:

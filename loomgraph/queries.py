@@ -715,7 +715,7 @@ def _(m):
 
 @query("deps_infer", "SELECT a.task_id, b.task_id AS depends_on, min(e.src) AS via FROM task_symbols a JOIN edges e ON e.src = a.symbol_id AND e.kind IN ('calls', 'uses', 'imports', 'queries') JOIN task_symbols b ON b.symbol_id = e.dst JOIN tasks ta ON ta.id = a.task_id AND ta.state <> 'done' JOIN tasks tb ON tb.id = b.task_id AND tb.state <> 'done' WHERE a.task_id <> b.task_id GROUP BY a.task_id, b.task_id")
 def _(m):
-    return st.infer_dependencies(m.task_symbols, m.edges, m.tasks, m.task_deps.limit(0)).select("task_id", "depends_on", "via")
+    return st.infer_dependencies(m.task_symbols, m.edges, m.tasks, m.task_deps, m.symbols).select("task_id", "depends_on", "via")
 
 
 @query("task_claim", "SELECT t.id FROM tasks t LEFT JOIN d ON d.task_id = t.id WHERE t.state = 'pending' AND len(coalesce(d.blocked_by, [])) = 0 AND (required_capability IS NULL OR required_capability = 'testing') ORDER BY priority DESC, created_at, t.id LIMIT 1", VIEW)

@@ -109,3 +109,44 @@ def test_resolve_and_owner(spark):
     assert ids("run") == ["m1", "m2"] and ids("RUN") == ["m1", "m2"] and ids("none") == []
     paths = spark.createDataFrame([("api/a.py",), ("db/x.sql",), ("README",)], "path string")
     assert rows(relational.owner_rule(paths, [("*", "core"), ("*.sql", "data"), ("/api/", "api")]).select("path", "owner")) == [("README", "core"), ("api/a.py", "api"), ("db/x.sql", "data")]
+
+
+def inferred(scope, edges, tasks, deps, parent):
+    """The rules of dependency inference in plain Python."""
+    open_ = {t for t, state in tasks if state not in ("done", "failed")}
+    above = lambda x: {x} | (above(parent[x]) if parent.get(x) else set())
+    by = {}
+    for t, x in scope:
+        for src, dst, kind in edges:
+            for u, y in scope:
+                if t in open_ and u in open_ and t != u and src == x and y in above(dst) and kind in ("calls", "uses", "imports", "queries") and (t, u) not in deps:
+                    by[t, u] = min(by.get((t, u), (src, kind)), (src, kind))
+    known, out = set(deps), []
+    for t, u in sorted(by):
+        reach = {u}
+        for _ in tasks:
+            reach |= {b for a, b in known if a in reach}
+        if t not in reach:
+            known.add((t, u))
+            out.append((t, u, *by[t, u]))
+    return out
+
+
+def test_dependencies_are_inferred_by_all_rules(spark):
+    rng = random.Random(11)
+    parent = {"f": None, "K": "f", "L": "f", "K.a": "K", "K.b": "K", "L.a": "L", "L.b": "L"}
+    symbols = spark.createDataFrame(list(parent.items()), "id string, parent_id string")
+    states = ["pending", "running", "failed", "done", "review", "pending", "blocked"]
+    tasks = [(f"T{i}", s) for i, s in enumerate(states)]
+    seen = 0
+    for deps in (set(), {("T0", "T1"), ("T4", "T5"), ("T5", "T2")}):
+        scope = sorted({(t, rng.choice(sorted(parent))) for t, _ in tasks for _ in range(2)})
+        edges = sorted({(rng.choice(sorted(parent)), rng.choice(sorted(parent)), rng.choice(["calls", "uses", "tests"])) for _ in range(16)})
+        want = inferred(scope, edges, tasks, deps, parent)
+        got = state.infer_dependencies(
+            spark.createDataFrame(scope, "task_id string, symbol_id string"), spark.createDataFrame(edges, "src string, dst string, kind string"),
+            spark.createDataFrame(tasks, "id string, state string"), spark.createDataFrame(sorted(deps), "task_id string, depends_on string"), symbols,
+        )
+        assert rows(got) == want
+        seen += len(want)
+    assert seen
