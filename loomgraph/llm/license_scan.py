@@ -24,8 +24,8 @@ BASE = [("under the mit license", "mit"), ("apache license version 2", "apache-2
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Every match of a rule or base phrase holds one of these strings, or `cc` before one of CC_FORMS.
-KEYWORDS = "licens licenc spdx domain reserved permission commons unauthorized redistribution cc0 bsd unencumbered waived advertising perl holder attribution agreement remote gpl warranty".split()
-CC_FORMS = rf"(?i)cc{GAP}+(?:by|zero|0|attribution){GAP}"
+KEYWORDS = "licens licenc spdx domain reserved permission commons unauthorized redistribution cc0 bsd unencumbered waived advertising perl holder attribution agreement remote gpl warranty proprietary".split()
+CC_FORMS = rf"(?i)cc{GAP}+(?:by|zero|0|attribution)(?:{GAP}|\Z)"
 
 
 def may_match(text: Column) -> Column:

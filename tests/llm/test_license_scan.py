@@ -1,8 +1,10 @@
 import random
 import re
 
-from loomgraph.llm.license_rules import rules
-from loomgraph.llm.license_scan import BASE, CC_FORMS, KEYWORDS, scan_licenses
+from pyspark.sql import functions as F
+
+from loomgraph.llm.license_rules import LICENSES, rules
+from loomgraph.llm.license_scan import BASE, CC_FORMS, KEYWORDS, may_match, scan_licenses
 
 SCHEMA = "doc_id long, text string, labels string"
 
@@ -55,3 +57,39 @@ def test_prefilter_lets_every_rule_pass(spark):
 def test_empty_table(spark):
     assert scan_licenses(spark.createDataFrame([], SCHEMA)).count() == 0
     assert re.search(CC_FORMS, "CC  BY-NC")
+
+
+def forms(parsed):
+    """The texts of a parsed pattern: each alternative, each optional part with and without, each letter of a class."""
+    out = [""]
+    for op, arg in parsed:
+        kind = str(op)
+        if kind == "LITERAL":
+            more = [chr(arg)]
+        elif kind == "IN":
+            more = [chr(a) if str(k) == "LITERAL" else "s" if str(k) == "CATEGORY" else chr(a[0]) for k, a in arg]
+        elif kind == "BRANCH":
+            more = [x for branch in arg[1] for x in forms(branch)]
+        elif kind == "SUBPATTERN":
+            more = forms(arg[3])
+        elif kind == "MAX_REPEAT":
+            more = ([""] if arg[0] == 0 else []) + forms(arg[2])
+        else:
+            raise ValueError(kind)
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_prefilter_lets_each_alternative_pass_alone(spark):
+    parts = [x for _, _, name, _, sentence in LICENSES for x in (name, sentence) if x] + [p for p, _ in BASE]
+    texts = sorted({t for p in parts for t in forms(re._parser.parse(p))})
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert [r.text for r in df.filter(~may_match(F.col("text"))).collect()] == []
+
+
+def test_notices_that_stand_alone(spark):
+    texts = ["This file is proprietary and confidential.", "cc zero", "CC-0", "see CC 0.", "cc by"]
+    got = run(spark, texts)
+    for i, t in enumerate(texts):
+        assert got[i] == brute(t), t
+    assert got[0][5] == "proprietary" and got[1][5] == got[2][5] == "cc0"
