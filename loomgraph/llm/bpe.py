@@ -3,7 +3,8 @@
 A text is cut at the strings of the added tokens, the rest into pieces by the vocabulary's pattern. A piece is a linked
 list of symbols; leaf i of the segment tree holds the rank of the pair that starts at symbol i (and i itself, so the
 smallest value is the leftmost pair of lowest rank). The root names the next merge; a merge changes three leaves, each
-in logarithmic time. Pieces already seen are remembered up to a bound, so the tree runs once for most of them.
+in logarithmic time. A single space between two characters that aren't white space always starts a piece, so a text falls into chunks
+there. Chunks and pieces already seen are remembered up to a bound, so pattern and tree run for few of them.
 
 Defined cases: null text counts as empty and has no tokens; an empty table gives an empty result; very long pieces take
 n log n steps; repeated rows are encoded each; other columns are not looked at.
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +28,10 @@ from loomgraph.llm.common import id_text, ship
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Above every key rank << 32 | position.
 NONE = 1 << 62
-PIECES_KEPT = 250_000
+#: Each cache has two generations of so many entries.
+CHUNKS_KEPT, PIECES_KEPT = 600_000, 500_000
+#: A space at which any text can be cut without changing its pieces.
+SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
 def byte_letters() -> dict[str, int]:
@@ -37,27 +42,51 @@ def byte_letters() -> dict[str, int]:
 
 
 class SegmentTree:
-    """Minimum of a list of ints under point updates."""
+    """Minimum of a list of ints under point updates; t[1] is the least of all (t[0] of none)."""
 
     def __init__(self, values: list[int]):
         self.n = n = len(values)
         self.t = t = [NONE] * n + values
         for i in range(n - 1, 0, -1):
-            t[i] = min(t[2 * i], t[2 * i + 1])
-
-    def least(self) -> int:
-        return self.t[1] if self.n > 1 else self.t[-1]
+            x, y = t[2 * i], t[2 * i + 1]
+            t[i] = x if x < y else y
 
     def put(self, i: int, value: int) -> None:
         t = self.t
         i += self.n
         t[i] = value
         while i > 1:
-            low = min(value, t[i ^ 1])
+            other = t[i ^ 1]
+            if other < value:
+                value = other
             i >>= 1
-            if t[i] == low:
+            if t[i] == value:
                 return
-            t[i] = value = low
+            t[i] = value
+
+
+class UnsafeCut(Exception):
+    """A chunk that has white space at an end, or nothing at all."""
+
+
+class Remembered(dict):
+    """Results of a function of strings. When `most` are held they become the elder generation, and the former one goes."""
+
+    def __init__(self, fn, most: int):
+        super().__init__()
+        self.fn, self.most, self.elder = fn, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        made = self.elder.get(key)
+        if made is None:
+            made = self.fn(key)
+            if len(key) > 64:
+                return made
+        if len(self) >= self.most:
+            self.elder = dict(self)
+            self.clear()
+        self[key] = made
+        return made
 
 
 class ByteBPE:
@@ -80,65 +109,73 @@ class ByteBPE:
         longest_first = sorted(self.added, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if longest_first else None
         self.pieces = regex.compile(PATTERN)
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.piece_ids = Remembered(lambda p: np.array(self.merge(p.encode("utf-8", "surrogatepass")), "<u4").tobytes(), PIECES_KEPT)
+        self.chunk_ids = Remembered(self.after_space, CHUNKS_KEPT)
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of one piece."""
-        sym = [self.byte_id[b] for b in data]
+        sym = [*map(self.byte_id.__getitem__, data)]
         n = len(sym)
         if n < 2:
             return sym
-        merges, after, before = self.merges, list(range(1, n + 1)), list(range(-1, n - 1))
-        found = map(merges.get, zip(sym, sym[1:], strict=False))
+        merges = self.merges
+        found = [*map(merges.get, zip(sym, sym[1:], strict=False))]
         tree = SegmentTree([NONE if m is None else m[0] << 32 | i for i, m in enumerate(found)])
-        put = tree.put
-        while (low := tree.least()) != NONE:
+        t, put = tree.t, tree.put
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
+        while (low := t[1]) != NONE:
             i = low & 0xFFFFFFFF
             j = after[i]
-            sym[i] = merges[sym[i], sym[j]][1]
+            sym[i] = new = found[i][1]
             sym[j] = -1
             k = after[i] = after[j]
-            if j < n - 1:
-                put(j, NONE)
             if k < n:
+                put(j, NONE)
                 before[k] = i
-                m = merges.get((sym[i], sym[k]))
+                m = found[i] = merges.get((new, sym[k]))
                 put(i, NONE if m is None else m[0] << 32 | i)
             else:
                 put(i, NONE)
+                if j < n - 1:
+                    put(j, NONE)
             if (p := before[i]) >= 0:
-                m = merges.get((sym[p], sym[i]))
+                m = found[p] = merges.get((sym[p], new))
                 put(p, NONE if m is None else m[0] << 32 | p)
         return [s for s in sym if s >= 0]
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
-
-    def piece(self, text: str) -> tuple[bytes, bytes]:
-        """Of one piece: its ids as little-endian unsigned 32-bit integers, and the bytes that these ids decode to."""
-        ids = self.merge(text.encode("utf-8", "surrogatepass"))
-        made = (np.array(ids, "<u4").tobytes(), self.decode(ids))
-        if len(text) <= 64:
-            if len(self.known) >= PIECES_KEPT:
-                self.known.clear()
-            self.known[text] = made
-        return made
+    def by_pieces(self, text: str) -> bytes:
+        """Ids of a text without added tokens, as little-endian unsigned 32-bit integers."""
+        return b"".join(map(self.piece_ids.__getitem__, self.pieces.findall(text)))
+
+    def after_space(self, chunk: str) -> bytes:
+        """Ids of a space followed by a chunk."""
+        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+            raise UnsafeCut
+        return self.by_pieces(" " + chunk)
+
+    def by_chunks(self, text: str) -> bytes:
+        """The same as by_pieces, chunk by chunk."""
+        for chunks in (text.split(" "), SAFE_SPACE.split(text)):
+            if len(chunks) > 1 and chunks[0] and not chunks[0][-1].isspace():
+                try:
+                    return self.by_pieces(chunks[0]) + b"".join(map(self.chunk_ids.__getitem__, chunks[1:]))
+                except UnsafeCut:
+                    continue
+        return self.by_pieces(text)
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a text."""
+        if not self.cut or not any(word in text for word in self.added):
+            return self.by_chunks(text)
+        return b"".join(np.array([self.added[part]], "<u4").tobytes() if part in self.added else self.by_chunks(part) for part in self.cut.split(text) if part)
+
+    def decode(self, ids: bytes) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
     def run(self, text: str) -> tuple[bytes, bytes]:
-        """Of a text: its ids as bytes, and the decoded bytes."""
-        ids: list[bytes] = []
-        back: list[bytes] = []
-        known, piece = self.known.get, self.piece
-        for part in self.cut.split(text) if self.cut else [text]:
-            if part in self.added:
-                ids.append(np.array([self.added[part]], "<u4").tobytes())
-                back.append(self.bytes_of[self.added[part]])
-            elif part:
-                for p in self.pieces.findall(part):
-                    a, b = known(p) or piece(p)
-                    ids.append(a)
-                    back.append(b)
-        return b"".join(ids), b"".join(back)
+        """Of a text: its ids as bytes, and the bytes that these ids decode to."""
+        ids = self.encode(text)
+        return ids, self.decode(ids)
 
 
 _loaded: dict[str, ByteBPE] = {}
