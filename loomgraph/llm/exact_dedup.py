@@ -3,7 +3,7 @@
 A Misra-Gries summary of each partition's digests is merged into at most `counters` candidates. Their exact sizes and
 winners are counted (partial aggregation, so a digest that holds a third of all rows costs one row per task), and these
 at most `counters` verified rows are broadcast: rows of heavy digests are decided on the map side and never shuffled.
-The other digests, of which none can be frequent, take an ordinary shuffle.
+The other digests, none of which has more than 1/(counters+1) of all rows, take an ordinary shuffle.
 
 Defined cases: null text counts as empty; an empty table gives an empty result; of equal texts the smallest doc_id
 stays; a null doc_id sorts after all others, and rows that repeat a doc_id share its decision; very long texts are
@@ -56,17 +56,18 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def heavy_digests(prints: DataFrame, counters: int) -> DataFrame:
-    """digest, keep_id, group_size of at most `counters` digests, exact, among them every digest that is frequent."""
+    """digest, keep_id, group_size of at most `counters` digests, exact, among them each that more than 1/(counters+1) of all rows have.
+
+    Summaries merge by adding up their counts: the largest `counters` sums have what the merged summary would keep.
+    """
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = misra_gries((d for b in batches for d in b.column(0).to_pylist()), counters)
-        # An item seen once in a partition is no sign of a heavy one.
-        kept = {k: n for k, n in kept.items() if n > 1}
         yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.binary()), pa.array(list(kept.values()), pa.int64())], ["digest", "n"])
 
     merged = prints.select("digest").mapInArrow(summarise, "digest binary, n long").groupBy("digest").agg(F.sum("n").alias("n"))
     chosen = merged.orderBy(F.desc("n"), "digest").limit(counters).select("digest")
-    return prints.join(F.broadcast(chosen), "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    return prints.join(F.broadcast(chosen), "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = 1024) -> DataFrame:
