@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TOOLS_AI = "copilot|agent|assistant|llm|gpt|bot"
-TOOLS_SERVICE = "ci|jenkins|actions|runner|service|daemon|cron"
-STOPWORDS = ["the", "and", "for", "with", "from", "into", "that", "this", "add", "update", "make", "use", "new", "all", "our", "any", "how", "its"]
+#: Parts of tool names that tell an assistant or a service from a person, and the words a goal's title is not searched for.
+AI_TOOLS = ["claude", "cursor", "copilot", "gemini", "opencode", "codex", "windsurf", "aider", "cody", "continue", "zed"]
+SERVICE_TOOLS = ["ci", "bot", "agent", "runner", "worker", "pipeline"]
+STOPWORDS = ["the", "a", "an", "implement", "add", "support", "for", "and", "to", "of", "in", "on", "with", "build", "create", "make", "new"]
 
 
 def handle(path: Column, kind: Column, name: Column, fqn: Column) -> Column:
@@ -74,21 +75,33 @@ def content_hash(text: Column) -> Column:
     return F.substring(F.sha2(text, 256), 1, 16)
 
 
+def route(role: Column, meta: Column) -> Column:
+    """METHOD path of an endpoint."""
+    return F.when(role == "api", F.concat_ws(" ", F.get_json_object(meta, "$.method"), F.get_json_object(meta, "$.path")))
+
+
 def worker_type(tool: Column, kind: Column, transport: Column) -> Column:
-    needle = F.lower(F.coalesce(tool, kind))
-    return F.when(transport == "ide", "human").when(kind.isin("human", "person", "dev"), "human").when(needle.rlike(TOOLS_AI), "ai").when(needle.rlike(TOOLS_SERVICE), "service").otherwise("human")
+    """An editor belongs to a person; else the tool's name decides, without one the kind; nobody known is a person."""
+    k = F.lower(kind)
+    seen = F.concat_ws(" ", F.lower(F.coalesce(tool, kind)), k)
+    return F.when(transport == "ide", "human").when(k.isin("human", "person", "dev"), "human").when(seen.rlike("|".join(AI_TOOLS)), "ai").when(seen.rlike("|".join(SERVICE_TOOLS)), "service").otherwise("human")
 
 
 def keywords(text: Column) -> Column:
-    """Lower-cased words of three letters or more without stopwords; each also without a final es or else s."""
+    """Lower-cased words of three bytes or more without stopwords; behind each, the same without a final es or else s."""
     words = F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda w: (F.octet_length(w) >= 3) & ~w.isin(STOPWORDS))
-    stem = lambda w: F.regexp_replace(w, "(?:es|s)$", "")
-    return F.array_distinct(F.concat(words, F.transform(words, stem)))
+    forms = F.transform(words, lambda w: F.when(w.endswith("s"), F.array(w, F.regexp_replace(w, "(?:es|s)$", ""))).otherwise(F.array(w)))
+    return F.array_distinct(F.flatten(forms))
 
 
 def is_test_path(path: Column) -> Column:
-    return F.lower(path).rlike(r"(^|/)(tests?|__tests__|spec|specs)/|(^|/)test_[^/]*$|_test\.[^/]*$|\.(test|spec)\.[^/]*$|_spec\.[^/]*$|tests?\.[^/.]*$|(^|/)conftest\.py$")
+    """By the folder (tests, test, __tests__) or the name of the file."""
+    p = F.lower(path)
+    folder = p.rlike("(^|/)tests?/") | p.contains("/__tests__/")
+    name = F.regexp_extract(p, "([^/]*)$", 1)
+    return folder | name.startswith("test_") | name.rlike(r"(_test\.(py|go|rs)|test\.java|tests\.cs)$") | name.contains(".test.") | name.contains(".spec.")
 
 
 def normalize_ident(name: Column) -> Column:
-    return F.lower(F.regexp_replace(F.regexp_extract(name, r"([^.]*)$", 1), "[\"'`\\[\\]]", ""))
+    """The last part of a qualified name without quotes, in lower case."""
+    return F.lower(F.regexp_replace(F.regexp_extract(name, r"([^.]*)$", 1), r"^[\s\"`\[\]]+|[\s\"`\[\]]+$", ""))

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.sources.tables import written
+from loomgraph.sources.tables import dropped, written
+
+#: Graphs of up to this many links are searched on the driver: two strings a link, some 30 MB. Larger ones go by joins; the results are the same.
+SMALL = 200_000
 
 
 def descendants(symbols: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame:
@@ -49,30 +52,97 @@ def impact(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return reached.filter("distance > 0")
 
 
-def trim_to_cycles(links: DataFrame) -> DataFrame:
-    """Links (a, b) without those whose ends lie on no cycle: nodes without an incoming or an outgoing link go, round after round."""
+def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """(id, distance) of what reaches any of `seeds` (id), without the seeds: one search from all of them, so a symbol is a row whatever the number of seeds."""
+    into = edges.filter("kind <> 'contains'").select("src", "dst").distinct()
+    reached = seeds.select("id").distinct().withColumn("distance", F.lit(0).cast("long"))
+    frontier = reached
+    for d in range(1, depth + 1):
+        step = frontier.join(into, frontier["id"] == into["dst"]).select(F.col("src").alias("id")).distinct()
+        frontier = written(step.join(reached, "id", "left_anti").withColumn("distance", F.lit(d).cast("long")), "reach")
+        reached = reached.unionAll(frontier)
+    return reached.filter("distance > 0")
+
+
+def trim_to_cycles(links: DataFrame, hops: int = 4) -> DataFrame:
+    """Links (a, b) without many of those whose ends lie on no cycle.
+
+    A round takes nodes without an incoming or an outgoing link away, `hops` times before it is written. It ends when a round
+    takes away less than a fiftieth: the search that follows doesn't need the rest to be gone.
+    """
     n = links.count()
     while True:
-        kept = written(links.join(links.select(F.col("a").alias("b")).distinct(), "b", "left_semi").join(links.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select("a", "b"), "trim")
+        kept = links
+        for _ in range(hops):
+            kept = kept.join(kept.select(F.col("a").alias("b")).distinct(), "b", "left_semi").join(kept.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select("a", "b")
+        kept = written(kept, "trim")
         left = kept.count()
-        if left == n:
+        if n - left < max(1, n // 50):
             return kept
         links, n = kept, left
 
 
-def components_of_cycles(links: DataFrame) -> DataFrame:
+def _strong_components(links: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """(node, smallest node of its component) on the driver: one depth-first search with low links, without recursion."""
+    after: dict[str, list[str]] = {}
+    for a, b in links:
+        after.setdefault(a, []).append(b)
+    selves = {a for a, b in links if a == b}
+    order: dict[str, int] = {}
+    low: dict[str, int] = {}
+    open_: list[str] = []
+    is_open: set[str] = set()
+    out = []
+    for root in after:
+        if root in order:
+            continue
+        trail = [(root, iter(after[root]))]
+        order[root] = low[root] = len(order)
+        open_.append(root)
+        is_open.add(root)
+        while trail:
+            node, rest = trail[-1]
+            for nxt in rest:
+                if nxt not in order:
+                    order[nxt] = low[nxt] = len(order)
+                    open_.append(nxt)
+                    is_open.add(nxt)
+                    trail.append((nxt, iter(after.get(nxt, ()))))
+                    break
+                if nxt in is_open:
+                    low[node] = min(low[node], order[nxt])
+            else:
+                trail.pop()
+                if trail:
+                    low[trail[-1][0]] = min(low[trail[-1][0]], low[node])
+                if low[node] == order[node]:
+                    part = []
+                    while not part or part[-1] != node:
+                        part.append(open_.pop())
+                        is_open.discard(part[-1])
+                    if len(part) > 1 or node in selves:
+                        least = min(part)
+                        out += [(x, least) for x in part]
+    return out
+
+
+def components_of_cycles(links: DataFrame, small: int = SMALL) -> DataFrame:
     """(node, component) of strongly connected components with more than one node or a self link; component: smallest node.
 
     Colouring: each node takes the smallest node that reaches it; those that reach that node back within its colour are its component.
     """
+    links = written(links.select(F.col("a").cast("string"), F.col("b").cast("string")).distinct(), "links")
+    if links.limit(small + 1).count() <= small:
+        return links.sparkSession.createDataFrame(_strong_components([(r.a, r.b) for r in links.collect()]), "node string, component string")
     found = None
-    links = trim_to_cycles(links.select("a", "b").distinct())
+    links = trim_to_cycles(links)
     while not links.isEmpty():
         colour = written(links.select(F.col("a").alias("node")).union(links.select("b")).distinct().withColumn("colour", F.col("node")), "colour")
         while True:
             seen = links.join(colour, links["a"] == colour["node"]).groupBy("b").agg(F.min("colour").alias("seen"))
             step = written(colour.join(seen, colour["node"] == seen["b"], "left").select("node", F.least("colour", F.coalesce("seen", "colour")).alias("colour"), (F.col("seen") < F.col("colour")).alias("changed")), "colour")
             changed = not step.filter("changed").isEmpty()
+            dropped(colour)
             colour = step.select("node", "colour")
             if not changed:
                 break
@@ -94,31 +164,81 @@ def components_of_cycles(links: DataFrame) -> DataFrame:
     return found
 
 
-def waves(tasks: DataFrame, deps: DataFrame, cyclic: DataFrame, most: int = 64) -> DataFrame:
+def would_cycle(asked: DataFrame, deps: DataFrame) -> DataFrame:
+    """(task_id, depends_on, closes) for each pair of `asked`: whether the new dependency would close a cycle with those of `deps`, that is, whether depends_on reaches task_id.
+
+    All pairs are searched at once, over frontiers of distinct (start, node); each round follows the links of the last one.
+    """
+    links = deps.select(F.col("task_id").alias("node"), F.col("depends_on").alias("next")).distinct()
+    pairs = asked.select("task_id", "depends_on").distinct()
+    starts = pairs.select(F.col("depends_on").alias("start")).distinct()
+    seen = frontier = written(starts.withColumn("node", F.col("start")), "reach")
+    while True:
+        step = frontier.join(links, "node").select("start", F.col("next").alias("node")).distinct()
+        frontier = written(step.join(seen, ["start", "node"], "left_anti"), "reach")
+        if frontier.isEmpty():
+            break
+        seen = seen.unionAll(frontier)
+    hit = seen.select(F.col("start").alias("depends_on"), F.col("node").alias("task_id")).distinct().withColumn("hit", F.lit(True))
+    return pairs.join(hit, ["task_id", "depends_on"], "left").select("task_id", "depends_on", F.coalesce("hit", F.lit(False)).alias("closes"))
+
+
+def _levels(open_: set[str], unmet: list[tuple[str, str]], most: int) -> list[tuple[str, int]]:
+    """(id, level) on the driver: how often a task waits is counted down as its dependencies get their levels."""
+    waits = dict.fromkeys(open_, 0)
+    after: dict[str, list[str]] = {}
+    for task, dep in unmet:
+        waits[task] += 1
+        after.setdefault(dep, []).append(task)
+    now, out, level = [t for t, n in waits.items() if not n], [], 0
+    while now and level < most:
+        out += [(t, level) for t in now]
+        nxt = []
+        for t in now:
+            for u in after.get(t, ()):
+                waits[u] -= 1
+                if not waits[u]:
+                    nxt.append(u)
+        now, level = nxt, level + 1
+    return out
+
+
+def waves(tasks: DataFrame, deps: DataFrame, cyclic: DataFrame, most: int = 64, small: int = SMALL) -> DataFrame:
     """(id, level) of pending and blocked tasks off cycles: level by level, a task whose dependencies are done, unknown or in an earlier level."""
     open_ = tasks.filter("state in ('pending', 'blocked')").select("id").join(cyclic.select(F.col("node").alias("id")), "id", "left_anti")
     known = tasks.filter("state <> 'done'").select(F.col("id").alias("depends_on"))
-    unmet = written(deps.select("task_id", "depends_on").distinct().join(known, "depends_on", "left_semi").join(open_.select(F.col("id").alias("task_id")), "task_id", "left_semi"), "unmet")
-    left, out = written(open_, "open"), None
+    left = written(open_, "open")
+    unmet = written(deps.select("task_id", "depends_on").distinct().join(known, "depends_on", "left_semi").join(left.select(F.col("id").alias("task_id")), "task_id", "left_semi"), "unmet")
+    if left.limit(small + 1).count() <= small and unmet.limit(small + 1).count() <= small:
+        found = _levels({r.id for r in left.collect()}, [(r.task_id, r.depends_on) for r in unmet.collect()], most)
+        return tasks.sparkSession.createDataFrame(found, "id string, level long")
+    out = None
     for level in range(most):
         now = written(left.join(unmet.select(F.col("task_id").alias("id")).distinct(), "id", "left_anti").withColumn("level", F.lit(level).cast("long")), "wave")
         if now.isEmpty():
             break
         out = now if out is None else out.unionAll(now)
-        left = written(left.join(now, "id", "left_anti"), "open")
-        unmet = written(unmet.join(now.select(F.col("id").alias("depends_on")), "depends_on", "left_anti"), "unmet")
+        left, before = written(left.join(now, "id", "left_anti"), "open"), left
+        unmet, met = written(unmet.join(now.select(F.col("id").alias("depends_on")), "depends_on", "left_anti"), "unmet"), unmet
+        dropped(before)
+        dropped(met)
     return out if out is not None else left.withColumn("level", F.lit(0).cast("long")).limit(0)
 
 
 def critical_path(levels: DataFrame, deps: DataFrame) -> DataFrame:
-    """(step, id) of a longest chain: from the deepest task (smallest id) back, each time to the smallest dependency one level below."""
+    """(step, id) of a longest chain: from the deepest task (smallest id) back, each time to the smallest dependency one level below.
+
+    Each task's next one below is found for all levels at once; the walk then looks up one row a level of a table that holds
+    at most one row a task.
+    """
     deepest = levels.agg(F.max("level")).first()[0]
     if deepest is None:
         return levels.select(F.lit(0).cast("long").alias("step"), "id").limit(0)
+    below = levels.select(F.col("id").alias("depends_on"), (F.col("level") + 1).alias("level"))
+    after = written(deps.join(levels.select(F.col("id").alias("task_id"), "level"), "task_id").join(below, ["depends_on", "level"]).groupBy("task_id", "level").agg(F.min("depends_on").alias("depends_on")), "chain")
     at = levels.filter(F.col("level") == deepest).agg(F.min("id").alias("id")).first()[0]
     path = [(deepest, at)]
-    for level in range(deepest - 1, -1, -1):
-        below = levels.filter(F.col("level") == level).select(F.col("id").alias("depends_on"))
-        at = deps.filter(F.col("task_id") == at).join(below, "depends_on", "left_semi").agg(F.min("depends_on")).first()[0]
-        path.append((level, at))
+    for level in range(deepest, 0, -1):
+        at = after.filter((F.col("level") == level) & (F.col("task_id") == at)).first().depends_on
+        path.append((level - 1, at))
     return levels.sparkSession.createDataFrame(path, "step long, id string")

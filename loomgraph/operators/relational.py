@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgraph.functions.scalars import handle, stored_handle
+from loomgraph.functions.scalars import handle, keywords, stored_handle
+from loomgraph.operators.graph import ancestors
 
 SYMBOL_ORDER = ("path", "start_byte", "id")
 
@@ -25,20 +26,77 @@ def list_symbols(symbols: DataFrame, *, path: str | None = None, kind: str | Non
     return df if role is None else df.filter(F.col("role") == role)
 
 
-def resolve(symbols: DataFrame, text: str, limit: int = 25) -> DataFrame:
-    """Symbols of the first tier that has any: id, service:NAME, path:fqn, file path, fqn, name, part of fqn or path."""
-    head, _, tail = text.rpartition(":")
-    c, like = F.col, f"%{text}%"
+def resolve(symbols: DataFrame, text: str, repos: DataFrame | None = None, limit: int = 25) -> DataFrame:
+    """Symbols of the first tier that has any: id, service:NAME, repository:path:fqn, path:fqn, file path, fqn, name, part of fqn or path.
+
+    Only the last tier has a limit, for which its matches are taken in the usual order of symbols.
+    """
+    c, text = F.col, text.strip()
+    if not text:
+        return symbols.limit(0)
+    norm = text.replace("\\", "/")
+    like = f"%{norm}%"
     tiers = [c("id") == text]
-    if text.startswith("service:"):
-        tiers.append((c("kind") == "service") & (c("name") == text.removeprefix("service:")))
+    if norm.startswith("service:"):
+        tiers.append((c("kind") == "service") & (c("name") == norm.removeprefix("service:")))
+    first, _, rest = norm.partition(":")
+    path, _, fqn = rest.rpartition(":")
+    if path and repos is not None:
+        named = [r.id for r in repos.filter((c("id") == first) | (c("name") == first)).select("id").orderBy("id").limit(1).collect()]
+        if named:
+            tiers.append((c("repo_id") == named[0]) & (c("path") == path) & (c("fqn") == fqn))
+    head, _, tail = norm.rpartition(":")
     if head:
         tiers.append((c("path") == head) & (c("fqn") == tail))
-    tiers += [(c("kind") == "file") & (c("path") == text), c("fqn") == text, c("name") == text, c("fqn").ilike(like) | c("path").ilike(like)]
-    tier = F.coalesce(*[F.when(t, i) for i, t in enumerate(tiers)])
-    hits = symbols.withColumn("tier", tier).filter("tier is not null")
-    best = hits.agg(F.min("tier").alias("best"))
-    return hits.join(F.broadcast(best), F.col("tier") == F.col("best")).orderBy(*SYMBOL_ORDER).limit(limit).drop("best")
+    tiers += [(c("kind") == "file") & (c("path") == norm), c("fqn") == norm, c("name") == norm, c("fqn").ilike(like) | c("path").ilike(like)]
+    hits = symbols.withColumn("tier", F.coalesce(*[F.when(t, i) for i, t in enumerate(tiers)])).filter("tier is not null")
+    best = hits.agg(F.min("tier")).first()[0]
+    found = hits.filter(c("tier") == best) if best is not None else hits.limit(0)
+    found = found.orderBy(*SYMBOL_ORDER).drop("tier")
+    return found.limit(limit) if best == len(tiers) - 1 else found
+
+
+class NotFound(LookupError):
+    """Nothing answers to a text."""
+
+
+class Ambiguous(LookupError):
+    """Several symbols answer to a text; the message lists ten of them."""
+
+
+def resolve_one(symbols: DataFrame, text: str, repos: DataFrame | None = None) -> DataFrame:
+    """The one symbol a text means. NotFound where none does, Ambiguous where several do."""
+    found = resolve(symbols, text, repos)
+    n = found.count()
+    if n == 1:
+        return found
+    if not n:
+        raise NotFound(f"no symbol matches '{text}'")
+    shown = found.limit(10).select(handle(F.col("path"), F.col("kind"), F.col("name"), F.col("fqn")).alias("handle"), "kind").collect()
+    raise Ambiguous(f"'{text}' is ambiguous, {n} matches: " + ", ".join(f"{r.handle} [{r.kind}]" for r in shown))
+
+
+def qualified_handle(symbols: DataFrame, repos: DataFrame) -> DataFrame:
+    """(id, handle): with its repository's name in front where there are several repositories. repos: one row a repository."""
+    many = repos.agg((F.count(F.lit(1)) > 1).alias("many"))
+    named = symbols.join(F.broadcast(repos.select(F.col("id").alias("repo_id"), F.col("name").alias("repo"))), "repo_id", "left").crossJoin(F.broadcast(many))  # one row
+    plain = handle(F.col("path"), F.col("kind"), F.col("name"), F.col("fqn"))
+    return named.select("id", F.when(F.col("many"), F.concat_ws("/", F.coalesce("repo", "repo_id"), plain)).otherwise(plain).alias("handle"))
+
+
+def repo_of_path(paths: DataFrame, repos: DataFrame) -> DataFrame:
+    """(path, repo_id, rel): the repository with the longest root above a path, and the path below that root.
+
+    A path looks up its own parent folders, so the join is by equality; `.` holds all. A path of no repository goes to the first one.
+    """
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    up = paths.select("path").distinct().withColumn("root_path", F.explode(F.concat(F.array(F.lit(".")), above)))
+    roots = repos.select("root_path", F.col("id").alias("repo_id"))
+    found = up.join(roots, "root_path").groupBy("path").agg(F.max_by(F.struct("repo_id", "root_path"), F.when(F.col("root_path") == ".", -1).otherwise(F.length("root_path"))).alias("r"))
+    rel = F.when((F.col("r.root_path") == ".") | F.col("r").isNull(), F.col("path")).when(F.col("path") == F.col("r.root_path"), "").otherwise(F.expr("substring(path, length(r.root_path) + 2)"))
+    fallback = repos.agg(F.min("id").alias("fallback"))
+    return paths.select("path").distinct().join(found, "path", "left").crossJoin(F.broadcast(fallback)).select("path", F.coalesce("r.repo_id", "fallback").alias("repo_id"), rel.alias("rel"))  # one row
 
 
 def with_handle(df: DataFrame, symbols: DataFrame, key: str, name: str = "symbol_handle", fallback: bool = True) -> DataFrame:
@@ -83,9 +141,12 @@ def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 
 
 def throughput(events: DataFrame, now: int, window_ms: int) -> DataFrame:
-    kinds = {"completed": "task.completed", "started": "task.started", "denied": "lease.denied", "acquired": "lease.acquired", "released": "lease.released"}
+    kinds = {
+        "tasks_completed": "task.completed", "tasks_started": "task.started", "tasks_reassigned": "task.reassigned", "leases_acquired": "lease.acquired",
+        "leases_denied": "lease.denied", "leases_expired": "lease.expired", "handovers": "lease.transferred",
+    }
     inside = events.filter(F.col("ts") >= now - window_ms)
-    return inside.agg(*[F.count_if(F.col("kind") == k).alias(n) for n, k in kinds.items()], F.count_distinct("agent").alias("agents"))
+    return inside.agg(*[F.count_if(F.col("kind") == k).alias(n) for n, k in kinds.items()], F.count_distinct("agent").alias("agents_active"))
 
 
 def throughput_series(events: DataFrame, now: int, window_ms: int, buckets: int, kind: str) -> DataFrame:
@@ -102,13 +163,107 @@ def recent(events: DataFrame, n: int) -> DataFrame:
     return events.orderBy(F.desc("id")).limit(n)
 
 
-def conflicts(leases: DataFrame, closure: DataFrame, agents_of: DataFrame, now: int) -> DataFrame:
-    """(symbol, agent, lease, holder, relation): unexpired active leases of others on a symbol, its ancestors and its descendants.
+def related(symbols: DataFrame, asked: DataFrame, others: DataFrame) -> DataFrame:
+    """(symbol, other, relation) for each of `asked` (symbol) and each of `others` (other) that is the same, above or below it.
+
+    Only the symbols asked for and the others walk up the containment tree; the rest of the table isn't closed over.
+    """
+    up = ancestors(symbols, asked.select(F.col("symbol").alias("start")).distinct()).select(F.col("start").alias("symbol"), F.col("id").alias("other"), F.when(F.col("depth") == 0, "same").otherwise("ancestor").alias("relation"))
+    above = up.join(others.select("other").distinct(), "other", "left_semi")
+    down = ancestors(symbols, others.select(F.col("other").alias("start")).distinct()).filter("depth > 0").select(F.col("id").alias("symbol"), F.col("start").alias("other"), F.lit("descendant").alias("relation"))
+    return above.select("symbol", "other", "relation").unionByName(down.join(asked.select("symbol").distinct(), "symbol", "left_semi"))
+
+
+def conflicts(leases: DataFrame, symbols: DataFrame, asking: DataFrame, now: int) -> DataFrame:
+    """(symbol, agent, lease, holder, relation): unexpired active leases of others on a symbol, what holds it and what it holds.
+
+    asking: (symbol, agent).
+    """
+    live = leases.filter((F.col("state") == "active") & (F.col("expires_at") > now)).select(F.col("id").alias("lease"), F.col("symbol_id").alias("other"), F.col("agent").alias("holder"), F.col("expires_at"), F.col("priority"))
+    met = related(symbols, asking, live)
+    return asking.join(met, "symbol").join(live, "other").filter("holder <> agent").select("symbol", "agent", "lease", "holder", "relation", "other", "expires_at", "priority")
+
+
+def waiter_ahead(queue: DataFrame, agent: str, priority: int, now: int, alive_ms: int = 15_000) -> DataFrame:
+    """(symbol_id, id, agent) of the head of each line, where the head is someone else, still polls and beats the agent's place.
+
+    Without a place in line the agent asks with `priority`, behind all of that priority.
+    """
+    waiting = queue.filter("state = 'waiting'")
+    head = latest(waiting.filter(F.col("agent") != agent), ["symbol_id"], F.desc("priority"), F.col("seq"))
+    mine = latest(waiting.filter(F.col("agent") == agent), ["symbol_id"], F.col("seq")).select("symbol_id", F.col("priority").alias("own"), F.col("seq").alias("place"))
+    both = head.filter(F.col("polled_at") >= now - alive_ms).join(mine, "symbol_id", "left")
+    own = F.coalesce("own", F.lit(priority))
+    return both.filter((F.col("priority") > own) | ((F.col("priority") == own) & (F.col("seq") < F.coalesce("place", F.lit((1 << 63) - 1))))).select("symbol_id", "id", "agent")
+
+
+def service_links(edges: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(src, dst): the services of two files one of which imports the other; repeated where several files do."""
+    files = symbols.filter("kind = 'file' and parent_id is not null").select("id", "parent_id")
+    e = edges.filter("kind = 'imports'").join(files.select(F.col("id").alias("src"), F.col("parent_id").alias("a")), "src")
+    return e.join(files.select(F.col("id").alias("dst"), F.col("parent_id").alias("b")), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
+def edge_set(edges: DataFrame) -> DataFrame:
+    """Each (src, dst, kind) once."""
+    return edges.select("src", "dst", "kind").distinct()
+
+
+def neighbor_lists(edges: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(id, callers, callees, children): sorted arrays of (kind, other) for each symbol that has any. A list is as long as a symbol has neighbours."""
+    side = lambda df, name: df.select("id", F.lit(name).alias("side"), F.struct("kind", "other").alias("n"))
+    nested = symbols.filter("parent_id is not null").select(F.col("parent_id").alias("id"), F.lit("contains").alias("kind"), F.col("id").alias("other"))
+    rows = side(neighbours(edges, symbols, incoming=True), "callers").unionAll(side(neighbours(edges, symbols, incoming=False), "callees")).unionAll(side(nested, "children"))
+    return rows.groupBy("id").agg(*[F.sort_array(F.collect_list(F.when(F.col("side") == x, F.col("n")))).alias(x) for x in ("callers", "callees", "children")])
+
+
+def tests_reaching(edges: DataFrame, symbols: DataFrame, most: int = 15) -> DataFrame:
+    """(id, test): the first tests in order of id that reach a symbol, over an edge of kind tests or from a symbol with that role."""
+    e = edges.filter("kind <> 'contains'").join(symbols.select(F.col("id").alias("src"), "role"), "src")
+    hit = e.filter((F.col("kind") == "tests") | (F.col("role") == "test")).select(F.col("dst").alias("id"), F.col("src").alias("test")).distinct()
+    return hit.withColumn("__rn", F.row_number().over(W.partitionBy("id").orderBy("test"))).filter(F.col("__rn") <= most).drop("__rn")
 
-    closure: (symbol, other, relation). agents_of: (symbol, agent) asking.
+
+def agent_view(agents: DataFrame, leases: DataFrame, task_goals: DataFrame, now: int, alive_ms: int = 60_000) -> DataFrame:
+    """Agents with online, the number of active leases (unswept ones too), and the task of the first of them that names one, with its goal."""
+    held = leases.filter("state = 'active'").groupBy(F.col("agent").alias("name")).agg(F.count(F.lit(1)).alias("leases"), F.min_by(F.when(F.col("task").isNotNull(), F.col("task")), F.when(F.col("task").isNotNull(), F.struct("acquired_at", "id"))).alias("current_task"))
+    goal = task_goals.select(F.col("task_id").alias("current_task"), F.col("goal_id").alias("current_goal"))
+    df = agents.join(held, "name", "left").withColumn("leases", F.coalesce("leases", F.lit(0))).withColumn("online", F.lit(now) - F.col("heartbeat_at") <= alive_ms)
+    return df.join(goal, "current_task", "left")
+
+
+def keyword_matches(symbols: DataFrame, text: str, most: int = 50) -> DataFrame:
+    """Symbols that match a keyword of a goal's text, in the order of the first keyword that finds them; `place` counts from 1.
+
+    Each keyword finds at most `most`; a text has few keywords, each of which is one top-k over the symbols.
     """
-    live = leases.filter((F.col("state") == "active") & (F.col("expires_at") > now)).select(F.col("id").alias("lease"), F.col("symbol_id").alias("other"), F.col("agent").alias("holder"))
-    return agents_of.join(closure, "symbol").join(live, "other").filter("holder <> agent").select("symbol", "agent", "lease", "holder", "relation")
+    one_row = symbols.sparkSession.range(1)
+    forms = one_row.select(keywords(F.lit(text)).alias("k")).first().k
+    found = None
+    for i, form in enumerate(forms):
+        hit = list_symbols(symbols, pattern=form, limit=most).withColumn("form", F.lit(i))
+        found = hit if found is None else found.unionAll(hit)
+    if found is None:
+        return symbols.limit(0).withColumn("place", F.lit(0).cast("long"))
+    first = found.withColumn("__rn", F.row_number().over(W.partitionBy("id").orderBy("form"))).filter("__rn = 1")
+    return first.withColumn("place", F.row_number().over(W.orderBy("form", *SYMBOL_ORDER)).cast("long")).drop("__rn", "form")  # at most `most` rows a keyword
+
+
+#: Tags of memory that is read before any work.
+STANDING_TAGS = ["architecture", "convention", "decision", "interface", "standard"]
+
+
+def is_standing(tags: Column) -> Column:
+    return F.arrays_overlap(F.transform(F.split(tags, ","), lambda t: F.lower(t)), F.array(*map(F.lit, STANDING_TAGS)))
+
+
+def memory_near(memory: DataFrame, names: list[str], most: int = 20) -> DataFrame:
+    """The newest entries that are standing or name one of the given names or paths (of three bytes or more) in key or value, in any case."""
+    hay = F.lower(F.concat_ws(" ", "key", "value"))
+    near = is_standing(F.col("tags"))
+    for n in sorted({n.lower() for n in names if len(n.encode()) >= 3}):
+        near = near | hay.contains(n)
+    return memory.filter(F.coalesce(near, F.lit(False))).orderBy(F.desc("updated_at"), "key").limit(most)
 
 
 def owner_rule(paths: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
@@ -118,8 +273,59 @@ def owner_rule(paths: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     return paths.select("path", found.cast("long").alias("rule_no")).withColumn("owner", F.when(F.col("rule_no") >= 0, F.element_at(owners, (F.col("rule_no") + 1).cast("int"))))
 
 
+def owners_by_owner(spark, rules: list[tuple[str, str]]) -> DataFrame:
+    """(owner, patterns) in file order."""
+    rows = spark.createDataFrame([(i, p, o) for i, (p, owners) in enumerate(rules) for o in owners.split()], "rule_no long, pattern string, owner string")
+    return rows.groupBy("owner").agg(F.transform(F.sort_array(F.collect_list(F.struct("rule_no", "pattern"))), lambda x: x["pattern"]).alias("patterns"))
+
+
+def owner_rules(text: str) -> list[tuple[str, str]]:
+    """(glob, owners) of an ownership file: comments and lines without an owner don't count."""
+    lines = (line.partition("#")[0].split() for line in text.splitlines())
+    return [(words[0], " ".join(words[1:])) for words in lines if len(words) > 1]
+
+
+def _glob(text: str) -> str:
+    """A glob as a regular expression; * and ? go over slashes too, [..] is a class, {a,b} a choice."""
+    out, i, depth = "", 0, 0
+    while i < len(text):
+        x = text[i]
+        if text.startswith("**/", i) and (i == 0 or text[i - 1] == "/"):
+            out, i = out + "(?:.*/)?", i + 3
+            continue
+        close = text.find("]", i + 2) if x == "[" else -1
+        if x == "*":
+            while text[i + 1 : i + 2] == "*":
+                i += 1
+            out += ".*"
+        elif x == "?":
+            out += "."
+        elif close > 0:
+            inner = text[i + 1 : close].replace("\\", "\\\\")
+            out, i = out + "[" + ("^" + inner[1:] if inner[0] in "!^" else inner) + "]", close
+        elif x == "{":
+            out, depth = out + "(?:", depth + 1
+        elif x == "}" and depth:
+            out, depth = out + ")", depth - 1
+        elif x == "," and depth:
+            out += "|"
+        else:
+            out += "\\" + x if x in ".+()[]{}^$|\\" else x
+        i += 1
+    return out
+
+
 def glob_pattern(glob: str) -> str:
-    """Regular expression of an ownership glob: a trailing or bare name also matches what is below it."""
-    anchored = glob.startswith("/") or "/" in glob.rstrip("/")
-    body = "".join(".*" if c == "*" else "[^/]" if c == "?" else "\\" + c if c in ".+()[]{}^$|\\" else c for c in glob.strip("/").replace("**", "*"))
-    return ("^" if anchored else "(?:^|.*/)") + body + "(?:/.*)?$"
+    """Regular expression of an ownership glob over paths from the root.
+
+    `*` owns all; a folder (`a/`) what is in it; a glob with a slash is matched from the root, one without at any depth; a
+    plain path owns itself and what is below it.
+    """
+    g = glob.lstrip("/")
+    if g == "*":
+        return "^.*$"
+    if g.endswith("/"):
+        return f"^{_glob(g)}.+$"
+    if "*" in g or "?" in g:
+        return f"^{_glob(g)}$" if "/" in g else f"^(?:.*/)?{_glob(g)}$"
+    return f"^{_glob(g)}(?:/.+)?$"

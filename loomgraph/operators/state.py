@@ -1,7 +1,8 @@
-"""Leases as a fold over an ordered command log, and other rules of state.
+"""State as folds over ordered command logs, and other rules of state.
 
-Commands on symbols of one containment root can conflict, others can't: the root is the key, and each key's commands
-are replayed in order (ts, id) by one Python function. The result is the same however keys are spread.
+Commands on symbols of one containment root can conflict, others can't: the root is the key of leases, and each key's commands
+are replayed in order (ts, id) by one Python function. Tasks, requests and sessions are keyed by themselves (sessions by agent).
+The result is the same however keys are spread.
 """
 
 from __future__ import annotations
@@ -9,56 +10,333 @@ from __future__ import annotations
 from collections import defaultdict
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.operators.graph import components_of_cycles, descendants
 from loomgraph.sources.tables import written
 
+#: How long a waiter, a session and an agent count as there without a sign of life.
+WAITER_MS, SESSION_MS, AGENT_MS = 15_000, 60_000, 60_000
+LIVE_REQUEST = ("open", "accepted")
 COLUMNS = "id long, outcome string, lease string, holder string"
 
 
-def replay(commands: pd.DataFrame) -> pd.DataFrame:
-    """Outcome of each command of a key: acquired, extended, preempted, denied, released, refreshed or ignored.
+class Leases:
+    """Active leases and waiting lines of one containment root."""
 
-    Columns: id, ts, op (acquire, release, heartbeat), symbol, ancestors (list), agent, priority, ttl_secs.
-    """
-    live: dict[str, dict] = {}
-    out = []
-    for x in commands.sort_values(["ts", "id"]).itertuples(index=False):
-        for key in [k for k, v in live.items() if v["until"] <= x.ts]:
-            del live[key]
-        mine = next((k for k, v in live.items() if v["agent"] == x.agent and v["symbol"] == x.symbol), None)
+    def __init__(self):
+        self.live: dict[str, dict] = {}
+        self.line: list[dict] = []
+        self.by_symbol: dict[str, set[str]] = defaultdict(set)
+        self.inside: dict[str, set[str]] = defaultdict(set)
+
+    def put(self, lease: str, v: dict) -> None:
+        self.live[lease] = v
+        self.by_symbol[v["symbol"]].add(lease)
+        for a in v["ancestors"]:
+            self.inside[a].add(lease)
+
+    def drop(self, lease: str) -> dict:
+        v = self.live.pop(lease)
+        self.by_symbol[v["symbol"]].discard(lease)
+        for a in v["ancestors"]:
+            self.inside[a].discard(lease)
+        return v
+
+    def sweep(self, ts: int) -> None:
+        for key in [k for k, v in self.live.items() if v["until"] <= ts]:
+            self.drop(key)
+
+    def on(self, symbol: str, agent: str) -> str | None:
+        return next((k for k in sorted(self.by_symbol[symbol]) if self.live[k]["agent"] == agent), None)
+
+    def against(self, symbol: str, ancestors, agent: str) -> list[str]:
+        """Others' leases on a symbol, what holds it and what it holds; looked up by symbol, not over all leases."""
+        near = set(self.by_symbol[symbol]) | self.inside[symbol]
+        for a in ancestors:
+            near |= self.by_symbol[a]
+        return sorted(k for k in near if self.live[k]["agent"] != agent)
+
+    def wait(self, symbol: str, agent: str, priority: int, ts: int) -> None:
+        """A new place in line, or a sign of life for the one there is."""
+        for w in self.line:
+            if w["symbol"] == symbol and w["agent"] == agent:
+                w.update(polled=ts, priority=priority)
+                return
+        self.line.append({"symbol": symbol, "agent": agent, "priority": priority, "polled": ts, "seq": (self.line[-1]["seq"] + 1) if self.line else 1})
+
+    def ahead(self, symbol: str, agent: str, priority: int, ts: int) -> dict | None:
+        here = [w for w in self.line if w["symbol"] == symbol]
+        head = min((w for w in here if w["agent"] != agent), key=lambda w: (-w["priority"], w["seq"]), default=None)
+        if head is None or head["polled"] < ts - WAITER_MS:
+            return None
+        mine = next(((w["priority"], w["seq"]) for w in here if w["agent"] == agent), (priority, 1 << 62))
+        return head if head["priority"] > mine[0] or (head["priority"] == mine[0] and head["seq"] < mine[1]) else None
+
+    def leave(self, symbol: str, agent: str) -> bool:
+        n = len(self.line)
+        self.line = [w for w in self.line if not (w["symbol"] == symbol and w["agent"] == agent)]
+        return len(self.line) < n
+
+    def acquire(self, x, symbol: str, ancestors) -> tuple[str, str | None, str | None]:
+        """Sweep, extend an own lease, then conflicts, then the line."""
+        self.sweep(x.ts)
+        self.line = [w for w in self.line if w["polled"] >= x.ts - WAITER_MS]
         until = x.ts + x.ttl_secs * 1000
+        mine = self.on(symbol, x.agent)
+        if mine:
+            self.live[mine].update(until=until, ttl=x.ttl_secs, priority=x.priority)
+            return "extended", mine, None
+        against = self.against(symbol, ancestors, x.agent)
+        if against and not (getattr(x, "preempt", True) and all(self.live[k]["priority"] < x.priority for k in against)):
+            if getattr(x, "queue", False):
+                self.wait(symbol, x.agent, x.priority, x.ts)
+            return "denied", None, min(self.live[k]["agent"] for k in against)
+        for k in against:
+            self.drop(k)
+        first = self.ahead(symbol, x.agent, x.priority, x.ts)
+        if first:
+            if getattr(x, "queue", False):
+                self.wait(symbol, x.agent, x.priority, x.ts)
+            return "denied", None, first["agent"]
+        lease = f"L{x.id}" if symbol == x.symbol else f"L{x.id}:{symbol}"
+        self.put(lease, {"agent": x.agent, "symbol": symbol, "ancestors": set(ancestors), "priority": x.priority, "until": until, "ttl": x.ttl_secs})
+        self.leave(symbol, x.agent)
+        return ("preempted" if against else "acquired"), lease, None
+
+    def run(self, x) -> tuple[str, str | None, str | None]:
+        """Outcome, lease and holder of one command."""
+        if x.op == "acquire":
+            return self.acquire(x, x.symbol, x.ancestors)
+        if x.op == "settle":
+            # All or nothing, but checked before anything is swept; whether someone waits ahead isn't asked.
+            for symbol, ancestors in x.scope:
+                against = self.against(symbol, ancestors, x.agent)
+                if against and not (getattr(x, "preempt", True) and all(self.live[k]["priority"] < x.priority for k in against)):
+                    return "denied", None, min(self.live[k]["agent"] for k in against)
+            for symbol, ancestors in x.scope:
+                self.acquire(x, symbol, ancestors)
+            return "settled", None, None
+        if x.op == "heartbeat":
+            self.sweep(x.ts)
+            held = [k for k, v in self.live.items() if v["agent"] == x.agent and x.symbol in (None, v["symbol"])]
+            for k in held:
+                self.live[k]["until"] = x.ts + self.live[k]["ttl"] * 1000
+            return ("refreshed" if held else "ignored"), (held[0] if held else None), None
+        if x.op == "release_all":
+            held = [k for k, v in self.live.items() if v["agent"] == x.agent]
+            for k in held:
+                self.drop(k)
+            return ("released" if held else "ignored"), None, None
+        if x.op == "sweep":
+            self.sweep(x.ts)
+            return "swept", None, None
+        if x.op == "dequeue":
+            return ("cancelled" if self.leave(x.symbol, x.agent) else "ignored"), None, None
+        mine = self.on(x.symbol, x.agent)
+        if not mine or (x.op == "transfer" and x.to == x.agent):
+            return "ignored", mine, None
         if x.op == "release":
-            out.append((x.id, "released" if mine else "ignored", mine, None))
-            live.pop(mine, None)
-        elif x.op == "heartbeat":
-            if mine:
-                live[mine]["until"] = until
-            out.append((x.id, "refreshed" if mine else "ignored", mine, None))
-        elif mine:
-            live[mine]["until"] = until
-            out.append((x.id, "extended", mine, None))
-        else:
-            own = set(x.ancestors)
-            against = [k for k, v in live.items() if v["agent"] != x.agent and (v["symbol"] == x.symbol or v["symbol"] in own or x.symbol in v["ancestors"])]
-            if against and not all(live[k]["priority"] < x.priority for k in against):
-                out.append((x.id, "denied", None, min(live[k]["agent"] for k in against)))
-                continue
-            for k in against:
-                del live[k]
-            lease = f"L{x.id}"
-            live[lease] = {"agent": x.agent, "symbol": x.symbol, "ancestors": own, "priority": x.priority, "until": until}
-            out.append((x.id, "preempted" if against else "acquired", lease, None))
+            self.drop(mine)
+            return "released", mine, None
+        if x.op == "transfer":
+            v = self.live[mine]
+            v.update(agent=x.to, until=x.ts + v["ttl"] * 1000)
+            self.leave(x.symbol, x.to)
+            return "transferred", mine, x.to
+        raise ValueError(f"unknown command {x.op}")
+
+
+def replay(commands: pd.DataFrame) -> pd.DataFrame:
+    """Outcome of each command of a key: acquired, extended, preempted, denied, released, refreshed, transferred, settled, swept, cancelled or ignored.
+
+    Columns: id, ts, op, symbol (null in heartbeats of all of an agent's leases), ancestors (list), agent, priority, ttl_secs; where
+    commands use them also preempt (else allowed), queue (else not), to, scope (list of symbol and ancestors). An expired lease
+    stands until something sweeps: acquire, heartbeat and sweep do.
+    """
+    state = Leases()
+    out = [(x.id, *state.run(x)) for x in commands.sort_values(["ts", "id"]).itertuples(index=False)]
     return pd.DataFrame(out, columns=["id", "outcome", "lease", "holder"])
 
 
 def lease_fold(commands: DataFrame) -> DataFrame:
-    """Outcomes of all commands; `root` is the containment root of a command's symbol."""
+    """Outcomes of all commands; `root` is the containment root of a command's symbol. A key's commands are replayed in one task."""
     return commands.groupBy("root").applyInPandas(replay, COLUMNS)
 
 
+#: What the log calls a task's new state.
+TASK_EVENTS = {"done": "task.completed", "blocked": "task.blocked", "failed": "task.failed", "running": "task.started", "review": "task.submitted_for_review", "pending": "task.reset"}
+
+
+def replay_task(commands: pd.DataFrame) -> pd.DataFrame:
+    """Outcome, state, assignee and event of each command on one task, in order (ts, id).
+
+    op: add, claim, state (value), submit, approve, reject, assign (value), reclaim, priority, capability (value). Only the
+    assignee ends a task, unless forced; only the assignee submits, anyone else approves.
+    """
+    state, assignee, out = None, None, []
+    for x in commands.sort_values(["ts", "id"]).itertuples(index=False):
+        outcome, event = "refused", None
+        if x.op == "add":
+            if state is None:
+                state, outcome, event = "pending", "done", "task.created"
+        elif state is None:
+            pass
+        elif x.op == "claim":
+            if state == "pending":
+                state, assignee, outcome, event = "running", x.agent, "done", "task.started"
+        elif x.op == "state":
+            ends = x.value in ("done", "failed")
+            if not (ends and not x.force and assignee and x.agent and assignee != x.agent):
+                state, outcome, event = x.value, "done", TASK_EVENTS[x.value]
+        elif x.op == "submit":
+            if assignee == x.agent:
+                state, outcome, event = "review", "done", TASK_EVENTS["review"]
+        elif x.op == "approve":
+            if x.force or assignee != x.agent:
+                state, outcome, event = "done", "done", TASK_EVENTS["done"]
+        elif x.op == "reject":
+            state, outcome, event = "running", "done", TASK_EVENTS["running"]
+        elif x.op == "assign":
+            outcome = "unchanged" if assignee == x.value else "done"
+            if outcome == "done":
+                state, assignee, event = "running", x.value, "task.reassigned"
+        elif x.op == "reclaim":
+            if state == "running":
+                state, assignee, outcome, event = "pending", None, "done", "task.reassigned"
+        elif x.op == "priority":
+            outcome, event = "done", "task.reprioritised"
+        elif x.op == "capability":
+            outcome = "done"
+        out.append((x.id, x.task, outcome, state, assignee, event))
+    return pd.DataFrame(out, columns=["id", "task", "outcome", "state", "assignee", "event"])
+
+
+def task_fold(commands: DataFrame) -> DataFrame:
+    """(id, task, outcome, state, assignee, event). commands: id, ts, task, op, agent, value, force."""
+    return commands.groupBy("task").applyInPandas(replay_task, "id long, task string, outcome string, state string, assignee string, event string")
+
+
+def replay_request(commands: pd.DataFrame) -> pd.DataFrame:
+    """Outcome and state of each command on one request, in order (ts, id).
+
+    op: open, accept, decline, fulfill, cancel, sweep (deadlines), symbol_free, task_done. The addressee answers, or anyone but the
+    sender where there is none; accepting a lease transfer is the transfer; the sender cancels.
+    """
+    r, state, out = None, None, []
+    for x in commands.sort_values(["ts", "id"]).itertuples(index=False):
+        outcome = "refused"
+        due = state in LIVE_REQUEST and r.deadline_at is not None and not pd.isna(r.deadline_at) and r.deadline_at <= x.ts
+        if x.op == "open":
+            if state is None and x.from_agent != x.to_agent:
+                r, state, outcome = x, "open", "done"
+        elif state is None:
+            pass
+        elif x.op == "sweep" or (x.op == "accept" and due):
+            state, outcome = ("expired", "done" if x.op == "sweep" else "refused") if due else (state, "ignored")
+        elif x.op in ("symbol_free", "task_done"):
+            hit = state in LIVE_REQUEST and (x.op == "task_done" or r.kind == "lease-transfer")
+            state, outcome = ("fulfilled", "done") if hit else (state, "ignored")
+        elif x.op == "cancel":
+            if state in LIVE_REQUEST and x.agent == r.from_agent:
+                state, outcome = "cancelled", "done"
+        elif state in LIVE_REQUEST and (r.to_agent is None or r.to_agent == x.agent) and x.agent != r.from_agent and not (x.op == "accept" and state != "open"):
+            if x.op == "accept":
+                state, outcome = ("fulfilled", "transferred") if r.kind == "lease-transfer" else ("accepted", "done")
+            else:
+                state, outcome = {"decline": "declined", "fulfill": "fulfilled"}[x.op], "done"
+        out.append((x.id, x.request, outcome, state))
+    return pd.DataFrame(out, columns=["id", "request", "outcome", "state"])
+
+
+def request_fold(commands: DataFrame) -> DataFrame:
+    """(id, request, outcome, state). commands: id, ts, request, op, agent, from_agent, to_agent, kind, deadline_at (of the open command)."""
+    return commands.groupBy("request").applyInPandas(replay_request, "id long, request string, outcome string, state string")
+
+
+def replay_sessions(commands: pd.DataFrame) -> pd.DataFrame:
+    """Outcome of each command on an agent's sessions, and whether the agent's leases are released.
+
+    op: open, heartbeat, end, sweep. The last session that ends releases (unless `keep`); of those that go stale only `mcp`
+    ones do, when nothing else of the agent's is attached.
+    """
+    live: dict[str, list] = {}
+    out = []
+    for x in commands.sort_values(["ts", "id"]).itertuples(index=False):
+        outcome, released = "ignored", False
+        if x.op == "open":
+            live[x.session], outcome = [x.ts, x.transport], "opened"
+        elif x.op == "heartbeat" and x.session in live:
+            live[x.session][0], outcome = x.ts, "alive"
+        elif x.op == "end" and x.session in live:
+            del live[x.session]
+            released = not x.keep and not any(beat >= x.ts - SESSION_MS for beat, _ in live.values())
+            outcome = "ended"
+        elif x.op == "sweep":
+            stale = {k for k, (beat, _) in live.items() if beat < x.ts - SESSION_MS}
+            released = any(live[k][1] == "mcp" for k in stale) and len(stale) == len(live)
+            for k in stale:
+                del live[k]
+            outcome = f"expired {len(stale)}"
+        out.append((x.id, x.agent, outcome, released))
+    return pd.DataFrame(out, columns=["id", "agent", "outcome", "released"])
+
+
+def session_fold(commands: DataFrame) -> DataFrame:
+    """(id, agent, outcome, released). commands: id, ts, agent, session, op, transport, keep."""
+    return commands.groupBy("agent").applyInPandas(replay_sessions, "id long, agent string, outcome string, released boolean")
+
+
+def last_values(log: DataFrame, key: str, order: Column, values: list[str], gone: Column | None = None) -> DataFrame:
+    """One row a key with the last value that isn't null of each column, of what came after the key's last deletion; a key that was deleted last has no row.
+
+    The fold of all logs in which a write stands by itself: agents, goals, memory, messages, edit windows. One aggregate with
+    partial sums, so a key with many writes costs no more than one row a task.
+    """
+    rows = log.withColumn("__at", order).withColumn("__gone", F.coalesce(gone, F.lit(False)) if gone is not None else F.lit(False))
+    dead = rows.groupBy(key).agg(F.max(F.when(F.col("__gone"), F.col("__at"))).alias("__dead"))
+    alive = rows.join(dead, key).filter("not __gone and (__dead is null or __at > __dead)")
+    return alive.groupBy(key).agg(*[F.max_by(v, F.when(F.col(v).isNotNull(), F.col("__at"))).alias(v) for v in values])
+
+
+def autoresolved(requests: DataFrame, freed: DataFrame, done: DataFrame) -> DataFrame:
+    """(id, reason) of live requests that are answered by themselves: lease transfers on a symbol that is freed (symbol_id), and all that wait for a task that is done (task)."""
+    live = requests.filter(F.col("state").isin(*LIVE_REQUEST))
+    by_symbol = live.filter("kind = 'lease-transfer'").join(freed.select(F.col("symbol_id").alias("resource_symbol")).distinct(), "resource_symbol", "left_semi")
+    by_task = live.join(done.select(F.col("task").alias("resource_task")).distinct(), "resource_task", "left_semi")
+    return by_symbol.select("id", F.lit("symbol").alias("reason")).unionByName(by_task.select("id", F.lit("task").alias("reason"))).groupBy("id").agg(F.min("reason").alias("reason"))
+
+
+def unblocked(view: DataFrame, deps: DataFrame, done: DataFrame) -> DataFrame:
+    """(id, by): ready tasks that depend on one that was just done (task). view: from task_view, after the change."""
+    hit = deps.join(done.select(F.col("task").alias("depends_on")).distinct(), "depends_on", "left_semi")
+    return view.filter("ready").select("id").join(hit.select(F.col("task_id").alias("id"), F.col("depends_on").alias("by")), "id")
+
+
+def orphans(tasks: DataFrame, agents: DataFrame, now: int) -> DataFrame:
+    """(id, assignee) of running tasks whose agent is gone or silent for more than AGENT_MS; they go back to pending."""
+    t = tasks.filter("state = 'running' and assignee is not null").join(agents.select(F.col("name").alias("assignee"), "heartbeat_at"), "assignee", "left")
+    return t.filter(F.col("heartbeat_at").isNull() | (F.col("heartbeat_at") < now - AGENT_MS)).select("id", "assignee")
+
+
+def sweep(leases: DataFrame, requests: DataFrame, sessions: DataFrame, activity: DataFrame, tasks: DataFrame, agents: DataFrame, now: int) -> DataFrame:
+    """(step, what, id) of all that lapses by now: leases, requests, sessions, edit windows, orphaned tasks, in that order."""
+    row = lambda df, step, what, key: df.select(F.lit(step).cast("long").alias("step"), F.lit(what).alias("what"), key.alias("id"))
+    c = F.col
+    out = row(leases.filter((c("state") == "active") & (c("expires_at") <= now)), 1, "lease", c("id"))
+    out = out.unionAll(row(requests.filter(c("state").isin(*LIVE_REQUEST) & (c("deadline_at") <= now)), 2, "request", c("id")))
+    out = out.unionAll(row(sessions.filter(c("ended_at").isNull() & (c("heartbeat_at") < now - SESSION_MS)), 3, "session", c("id")))
+    out = out.unionAll(row(activity.filter(c("updated_at") < now - SESSION_MS), 4, "activity", F.concat_ws(" ", "agent", "path")))
+    return out.unionAll(row(orphans(tasks, agents, now), 5, "task", c("id")))
+
+
+def next_ids(count: int, rows: DataFrame, prefix: str, *order: Column) -> DataFrame:
+    """rows with an id of the prefix and the next numbers, as new tasks, goals and repositories get them. rows: what one command adds, so one window holds them."""
+    return rows.withColumn("id", F.concat(F.lit(prefix), (F.row_number().over(W.orderBy(*order)) + count).cast("string")))
+
+
 def without_cycles(rows: pd.DataFrame) -> pd.DataFrame:
     """Candidates of one component that close no cycle, taken one after the other by (task_id, depends_on).
 
@@ -105,10 +383,3 @@ def infer_dependencies(task_symbols: DataFrame, edges: DataFrame, tasks: DataFra
     placed = links.join(a, "task_id", "left").join(b, "depends_on", "left").withColumn("together", F.coalesce(F.col("c_task_id") == F.col("c_depends_on"), F.lit(False)))
     checked = placed.filter("together").groupBy("c_task_id").applyInPandas(without_cycles, "task_id string, depends_on string, via string, edge string")
     return placed.filter("not together and not known").select("task_id", "depends_on", "via", "edge").unionByName(checked)
-
-
-def startable(ready: DataFrame, capability: str | None, paused: bool) -> DataFrame:
-    """Ready tasks an agent may claim, best first: a paused agent none; a task that asks for a capability only with it."""
-    df = ready.filter(F.lit(not paused))
-    fits = F.col("required_capability").isNull() | F.coalesce(F.col("required_capability") == F.lit(capability), F.lit(False))
-    return df.filter(fits).orderBy(F.desc("priority"), "created_at", "id")

@@ -2,42 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars as fn
-from loomgraph.model_sql import oracle
 from loomgraph.operators import diff as df_
-from loomgraph.operators import extract as ex
 from loomgraph.operators import graph as g
 from loomgraph.operators import relational as r
+from loomgraph.operators import source_text as tx
 from loomgraph.operators import state as st
-from loomgraph.sources.adapter import DAY, HOUR, Model, millis
+from loomgraph.registry import HANDLE, ORACLE, QUERIES, STORED, SYM, SYMS, query
+from loomgraph.sources.adapter import DAY, HOUR, millis
 from loomgraph.streaming import jobs as sj
 
 c = F.col
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None, *more: str):
-    """Register a function of the model as a query, and its statement."""
-
-    def add(f: Callable[[Model], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: f(Model(spark, sf_dir))
-        if sql:
-            ORACLE[name] = oracle(sql, *more)
-        return f
-
-    return add
-
-
-HANDLE = "CASE WHEN kind = 'file' THEN path WHEN kind = 'service' THEN 'service:' || name ELSE path || ':' || fqn END"
-STORED = "CASE WHEN s.kind = 'file' THEN s.path ELSE s.path || ':' || s.fqn END"
-SYM = ("id", "path", "kind", "name", "fqn", "start_byte", "role")
-SYMS = ", ".join(SYM)
 
 # Lookups
 
@@ -75,7 +52,7 @@ def _(m):
 
 @query("sym_resolve", f"SELECT {SYMS} FROM symbols WHERE name = 'O12'")
 def _(m):
-    return r.resolve(m.symbols, "O12").filter("kind = 'method'").select(*SYM)
+    return r.resolve(m.symbols, "O12").select(*SYM)
 
 
 @query("sym_resolve_fuzzy", f"SELECT {SYMS} FROM symbols WHERE fqn ILIKE '%00003.o%' OR path ILIKE '%00003.o%' ORDER BY path, start_byte, id LIMIT 25")
@@ -88,9 +65,15 @@ def _(m):
     return m.symbols.select("id", fn.handle(c("path"), c("kind"), c("name"), c("fqn")).alias("handle"))
 
 
-@query("ep_list", f"SELECT id, {HANDLE} AS handle FROM symbols WHERE role = 'api' AND contains(fqn, '.O1')")
+@query("ep_list", f"SELECT id, {HANDLE} AS handle, json_extract_string(meta, '$.method') || ' ' || json_extract_string(meta, '$.path') AS route FROM symbols WHERE role = 'api' AND contains(json_extract_string(meta, '$.method') || ' ' || json_extract_string(meta, '$.path'), 'GET /orders/1')")
 def _(m):
-    return m.symbols.filter((c("role") == "api") & c("fqn").contains(".O1")).select("id", fn.handle(c("path"), c("kind"), c("name"), c("fqn")).alias("handle"))
+    route = fn.route(c("role"), c("meta"))
+    return m.symbols.filter((c("role") == "api") & route.contains("GET /orders/1")).select("id", fn.handle(c("path"), c("kind"), c("name"), c("fqn")).alias("handle"), route.alias("route"))
+
+
+@query("f_route", "SELECT id, CASE WHEN role = 'api' THEN json_extract_string(meta, '$.method') || ' ' || json_extract_string(meta, '$.path') END AS route FROM symbols")
+def _(m):
+    return m.symbols.select("id", fn.route(c("role"), c("meta")).alias("route"))
 
 
 @query("lease_active", f"SELECT l.id, l.agent, l.symbol_id, coalesce({STORED}, l.symbol_id) AS symbol_handle, l.acquired_at FROM leases l LEFT JOIN symbols s ON l.symbol_id = s.id WHERE l.state = 'active'")
@@ -249,13 +232,14 @@ def _(m):
     return m.symbols.filter("parent_id = 'N3'").select(*SYM)
 
 
-@query("neighbors", "SELECT s.id, coalesce(i.n, 0) AS callers, coalesce(o.n, 0) AS callees, coalesce(h.n, 0) AS children FROM symbols s LEFT JOIN (SELECT dst, count(*) AS n FROM edges JOIN symbols x ON src = x.id WHERE edges.kind <> 'contains' GROUP BY dst) i ON i.dst = s.id LEFT JOIN (SELECT src, count(*) AS n FROM edges JOIN symbols x ON dst = x.id WHERE edges.kind <> 'contains' GROUP BY src) o ON o.src = s.id LEFT JOIN (SELECT parent_id, count(*) AS n FROM symbols GROUP BY parent_id) h ON h.parent_id = s.id")
+NEIGHBORS = "SELECT e.dst AS id, 'caller' AS side, e.kind, e.src AS other FROM edges e JOIN symbols x ON e.src = x.id WHERE e.kind <> 'contains' UNION ALL SELECT e.src, 'callee', e.kind, e.dst FROM edges e JOIN symbols x ON e.dst = x.id WHERE e.kind <> 'contains' UNION ALL SELECT parent_id, 'child', 'contains', id FROM symbols WHERE parent_id IS NOT NULL"
+
+
+@query("neighbors", f"SELECT id, string_agg(CASE side WHEN 'caller' THEN kind || ' ' || other END, ',' ORDER BY kind || ' ' || other) AS callers, string_agg(CASE side WHEN 'callee' THEN kind || ' ' || other END, ',' ORDER BY kind || ' ' || other) AS callees, string_agg(CASE side WHEN 'child' THEN kind || ' ' || other END, ',' ORDER BY kind || ' ' || other) AS children FROM ({NEIGHBORS}) GROUP BY id")
 def _(m):
-    n = lambda df, name: df.groupBy("id").agg(F.count(F.lit(1)).alias(name))
-    callers, callees = n(r.neighbours(m.edges, m.symbols, incoming=True), "callers"), n(r.neighbours(m.edges, m.symbols, incoming=False), "callees")
-    children = n(m.symbols.filter("parent_id is not null").select(c("parent_id").alias("id")), "children")
-    df = m.symbols.select("id").join(callers, "id", "left").join(callees, "id", "left").join(children, "id", "left")
-    return df.select("id", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("callers", "callees", "children")])
+    lists = r.neighbor_lists(m.edges, m.symbols)
+    joined = lambda x: F.when(F.size(x) > 0, F.array_join(F.transform(x, lambda n: F.concat_ws(" ", n["kind"], n["other"])), ",")).alias(x)
+    return lists.select("id", joined("callers"), joined("callees"), joined("children"))
 
 
 @query("svc_edge_rollup", "SELECT DISTINCT a.parent_id AS src, b.parent_id AS dst FROM edges e JOIN symbols a ON e.src = a.id JOIN symbols b ON e.dst = b.id WHERE e.kind = 'imports' AND a.parent_id <> b.parent_id")
@@ -315,10 +299,10 @@ def _(m):
     return d.filter("task_id = 'T7'").select(c("task_id").alias("id"), c("depends_on").alias("other"), F.lit("blocked_by").alias("relation")).unionAll(d.filter("depends_on = 'T7'").select("depends_on", "task_id", F.lit("blocks")))
 
 
-@query("table_accessors", "SELECT t.id, count(*) AS accessors, count(*) FILTER (WHERE e.kind = 'queries') AS querying FROM symbols t JOIN edges e ON e.dst = t.id JOIN symbols s ON e.src = s.id WHERE t.kind = 'table' AND e.kind <> 'contains' GROUP BY t.id")
+@query("table_accessors", "SELECT t.id, string_agg(e.kind || ' ' || e.src, ',' ORDER BY e.kind || ' ' || e.src) AS accessors, string_agg(CASE WHEN e.kind = 'queries' THEN e.src END, ',' ORDER BY e.src) AS querying FROM symbols t JOIN edges e ON e.dst = t.id JOIN symbols s ON e.src = s.id WHERE t.kind = 'table' AND e.kind <> 'contains' GROUP BY t.id")
 def _(m):
     tables = m.symbols.filter("kind = 'table'").select("id")
-    return r.neighbours(m.edges, m.symbols, incoming=True).join(tables, "id", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("accessors"), F.count_if(c("kind") == "queries").alias("querying"))
+    return r.neighbours(m.edges, m.symbols, incoming=True).join(tables, "id", "left_semi").groupBy("id").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(" ", "kind", "other"))), ",").alias("accessors"), F.array_join(F.sort_array(F.collect_list(F.when(c("kind") == "queries", c("other")))), ",").alias("querying"))
 
 
 @query("tests_of", "SELECT e.dst AS id, e.src AS test FROM edges e JOIN symbols s ON e.src = s.id WHERE e.kind = 'tests'")
@@ -326,16 +310,15 @@ def _(m):
     return r.neighbours(m.edges, m.symbols, incoming=True).filter("kind = 'tests'").select("id", c("other").alias("test"))
 
 
-@query("tests_reaching", "SELECT e.dst AS id, count(*) AS n FROM edges e JOIN symbols s ON e.src = s.id WHERE e.kind <> 'contains' AND (e.kind = 'tests' OR s.role = 'test') GROUP BY e.dst")
+@query("tests_reaching", "SELECT id, string_agg(src, ',' ORDER BY src) AS tests FROM (SELECT e.dst AS id, e.src FROM edges e JOIN symbols s ON e.src = s.id WHERE e.kind <> 'contains' AND (e.kind = 'tests' OR s.role = 'test') GROUP BY e.dst, e.src QUALIFY row_number() OVER (PARTITION BY e.dst ORDER BY e.src) <= 15) GROUP BY id")
 def _(m):
-    e = m.edges.filter("kind <> 'contains'").join(m.symbols.select(c("id").alias("src"), "role"), "src")
-    return e.filter((c("kind") == "tests") | (c("role") == "test")).groupBy(c("dst").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    first = r.tests_reaching(m.edges, m.symbols)
+    return first.groupBy("id").agg(F.array_join(F.sort_array(F.collect_list("test")), ",").alias("tests"))
 
 
-@query("agent_view", "SELECT a.name, a.kind, a.paused, now - a.heartbeat_at <= 60000 AS online, coalesce(n, 0) AS leases FROM agents a LEFT JOIN (SELECT agent, count(*) AS n FROM leases WHERE state = 'active' GROUP BY agent) ON agent = name, k")
+@query("agent_view", "SELECT a.name, a.kind, a.paused, now - a.heartbeat_at <= 60000 AS online, coalesce(n, 0) AS leases, t.task AS current_task, tg.goal_id AS current_goal FROM agents a LEFT JOIN (SELECT agent, count(*) AS n FROM leases WHERE state = 'active' GROUP BY agent) l ON l.agent = a.name LEFT JOIN (SELECT agent, task FROM leases WHERE state = 'active' AND task IS NOT NULL QUALIFY row_number() OVER (PARTITION BY agent ORDER BY acquired_at, id) = 1) t ON t.agent = a.name LEFT JOIN task_goals tg ON tg.task_id = t.task, k")
 def _(m):
-    held = m.leases.filter("state = 'active'").groupBy("agent").agg(F.count(F.lit(1)).alias("n"))
-    return m.agents.join(held, c("name") == c("agent"), "left").select("name", "kind", "paused", (F.lit(m.now) - c("heartbeat_at") <= 60_000).alias("online"), F.coalesce("n", F.lit(0)).alias("leases"))
+    return r.agent_view(m.agents, m.leases, m.task_goals, m.now).select("name", "kind", "paused", "online", "leases", "current_task", "current_goal")
 
 
 RANK = "CASE state WHEN 'running' THEN 0 WHEN 'review' THEN 1 WHEN 'blocked' THEN 2 WHEN 'pending' THEN 3 END"
@@ -353,9 +336,13 @@ def _(m):
     return r.latest(m.sessions.filter("ended_at is null"), ["agent"], F.desc("started_at"), c("id")).select("agent", "id")
 
 
-@query("f_worker_type", "SELECT id, CASE WHEN transport = 'ide' THEN 'human' WHEN tool = 'copilot' THEN 'ai' WHEN tool = 'jenkins' THEN 'service' ELSE 'human' END AS type FROM sessions")
+WORKER = "CASE WHEN transport = 'ide' THEN 'human' WHEN lower(kind) IN ('human', 'person', 'dev') THEN 'human' WHEN regexp_matches(lower(coalesce(tool, kind)) || ' ' || lower(kind), 'claude|cursor|copilot|gemini|opencode|codex|windsurf|aider|cody|continue|zed') THEN 'ai' WHEN regexp_matches(lower(coalesce(tool, kind)) || ' ' || lower(kind), 'ci|bot|agent|runner|worker|pipeline') THEN 'service' ELSE 'human' END"
+
+
+@query("f_worker_type", f"SELECT sessions.id, {WORKER} AS type FROM sessions JOIN agents ON agent = name")
 def _(m):
-    return m.sessions.select("id", fn.worker_type(c("tool"), F.lit("unknown"), c("transport")).alias("type"))
+    kinds = m.agents.select(c("name").alias("agent"), "kind")
+    return m.sessions.join(kinds, "agent").select("id", fn.worker_type(c("tool"), c("kind"), c("transport")).alias("type"))
 
 
 @query("repo_for_path", "SELECT n.path, max_by(r.r_name, length(r.r_name)) AS repo FROM nations n JOIN region r ON n.path = r.r_name OR starts_with(n.path, r.r_name || '/') GROUP BY n.path")
@@ -365,10 +352,10 @@ def _(m):
     return n.join(F.broadcast(roots), fn.is_under(c("path"), c("root"))).groupBy("path").agg(F.max_by("root", F.length("root")).alias("repo"))
 
 
-RULES = [("*", "core"), ("ASIA/", "east"), ("EUROPE/*", "west"), ("db/", "data"), ("*/NATION_1*", "ones")]
+RULES = [("*", "core"), ("ASIA/", "east pm"), ("/EUROPE/NATION_*", "west"), ("db", "data"), ("NATION_1*", "ones pm"), ("*/NATION_2?", "twos")]
 
 
-@query("owner_rule", "SELECT path, CASE WHEN path LIKE '%/NATION_1%' THEN 4 WHEN path = 'db' OR path LIKE 'db/%' THEN 3 WHEN path LIKE 'EUROPE/%' THEN 2 WHEN path = 'ASIA' OR path LIKE 'ASIA/%' THEN 1 ELSE 0 END AS rule_no FROM (SELECT DISTINCT path FROM symbols)")
+@query("owner_rule", "SELECT path, CASE WHEN regexp_full_match(path, '.*/NATION_2.') THEN 5 WHEN regexp_full_match(path, 'NATION_1.*') OR regexp_full_match(path, '(.*/)?NATION_1.*') THEN 4 WHEN path = 'db' OR starts_with(path, 'db/') THEN 3 WHEN starts_with(path, 'EUROPE/NATION_') THEN 2 WHEN starts_with(path, 'ASIA/') THEN 1 ELSE 0 END AS rule_no FROM (SELECT DISTINCT path FROM symbols)")
 def _(m):
     return r.owner_rule(m.symbols.select("path").distinct(), RULES).select("path", "rule_no")
 
@@ -391,12 +378,13 @@ def _(m):
     return m.lease_queue.filter("state = 'waiting'").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("knowledge", "SELECT count(*) FILTER (WHERE kind = 'service') AS services, count(*) FILTER (WHERE role = 'api') AS endpoints, count(*) FILTER (WHERE kind = 'table') AS tables, count(*) FILTER (WHERE role = 'test') AS tests FROM symbols")
+@query("knowledge", "SELECT count(*) FILTER (WHERE kind = 'service') AS services, count(*) FILTER (WHERE role = 'api') AS endpoints, count(*) FILTER (WHERE kind = 'table') AS tables, count(*) FILTER (WHERE role = 'test') AS tests, md5(string_agg(CASE WHEN role = 'api' THEN json_extract_string(meta, '$.method') || ' ' || json_extract_string(meta, '$.path') END, ',' ORDER BY path, start_byte, id)) AS routes FROM symbols")
 def _(m):
-    return m.symbols.agg(F.count_if(c("kind") == "service").alias("services"), F.count_if(c("role") == "api").alias("endpoints"), F.count_if(c("kind") == "table").alias("tables"), F.count_if(c("role") == "test").alias("tests"))
+    routes = F.transform(F.array_sort(F.collect_list(F.when(c("role") == "api", F.struct("path", "start_byte", "id", fn.route(c("role"), c("meta")).alias("route"))))), lambda x: x["route"])
+    return m.symbols.agg(F.count_if(c("kind") == "service").alias("services"), F.count_if(c("role") == "api").alias("endpoints"), F.count_if(c("kind") == "table").alias("tables"), F.count_if(c("role") == "test").alias("tests"), F.md5(F.array_join(routes, ",")).alias("routes"))
 
 
-@query("throughput_counts", "SELECT count(*) FILTER (WHERE kind = 'task.completed') AS completed, count(*) FILTER (WHERE kind = 'task.started') AS started, count(*) FILTER (WHERE kind = 'lease.denied') AS denied, count(*) FILTER (WHERE kind = 'lease.acquired') AS acquired, count(*) FILTER (WHERE kind = 'lease.released') AS released, count(DISTINCT agent) AS agents FROM log, k WHERE ts >= now - 604800000")
+@query("throughput_counts", "SELECT count(*) FILTER (WHERE kind = 'task.completed') AS tasks_completed, count(*) FILTER (WHERE kind = 'task.started') AS tasks_started, count(*) FILTER (WHERE kind = 'task.reassigned') AS tasks_reassigned, count(*) FILTER (WHERE kind = 'lease.acquired') AS leases_acquired, count(*) FILTER (WHERE kind = 'lease.denied') AS leases_denied, count(*) FILTER (WHERE kind = 'lease.expired') AS leases_expired, count(*) FILTER (WHERE kind = 'lease.transferred') AS handovers, count(DISTINCT agent) AS agents_active FROM log, k WHERE ts >= now - 604800000")
 def _(m):
     return r.throughput(m.events, m.now, 7 * DAY)
 
@@ -406,9 +394,11 @@ def _(m):
     return m.events.filter(c("ts") >= m.now - 2 * HOUR).agg(F.count_distinct("agent").alias("agents"))
 
 
-@query("throughput_mean", "SELECT round(avg(updated_at - claimed_at) / 1000.0, 6) AS mean_secs FROM tasks WHERE state = 'done' AND claimed_at IS NOT NULL")
+@query("throughput_mean", "SELECT round(avg(updated_at - claimed_at) / 1000.0, 6) AS mean_secs FROM tasks WHERE state = 'done' AND claimed_at IS NOT NULL AND updated_at >= (SELECT max(updated_at) - 7776000000 FROM tasks)")
 def _(m):
-    return m.tasks.filter("state = 'done' and claimed_at is not null").agg(F.round(F.avg(c("updated_at") - c("claimed_at")) / 1000.0, 6).alias("mean_secs"))
+    latest = m.tasks.agg(F.max("updated_at").alias("latest"))
+    recent = m.tasks.crossJoin(F.broadcast(latest)).filter(c("updated_at") >= c("latest") - 90 * DAY)  # one row
+    return recent.filter("state = 'done' and claimed_at is not null").agg(F.round(F.avg(c("updated_at") - c("claimed_at")) / 1000.0, 6).alias("mean_secs"))
 
 
 @query("throughput_series", "SELECT b.bucket, count(l.id) AS n FROM range(24) b(bucket) CROSS JOIN k LEFT JOIN log l ON l.kind = 'task.completed' AND l.ts >= now - 604800000 AND least((l.ts - (now - 604800000)) // 25200000, 23) = b.bucket GROUP BY b.bucket")
@@ -421,10 +411,9 @@ def _(m):
     return r.goal_progress(m.goals, m.tasks, m.task_goals).withColumn("agents", F.array_join("agents", ","))
 
 
-@query("owners_by_owner", None)
+@query("owners_by_owner", "SELECT * FROM (VALUES ('core', '*'), ('east', 'ASIA/'), ('pm', 'ASIA/ NATION_1*'), ('west', '/EUROPE/NATION_*'), ('data', 'db'), ('ones', 'NATION_1*'), ('twos', '*/NATION_2?')) t(owner, patterns)")
 def _(m):
-    rows = m.spark.createDataFrame([(i, p, o) for i, (p, owners) in enumerate(RULES) for o in owners.split()], "rule_no long, pattern string, owner string")
-    return rows.groupBy("owner").agg(F.transform(F.sort_array(F.collect_list(F.struct("rule_no", "pattern"))), lambda x: x["pattern"]).alias("patterns"))
+    return r.owners_by_owner(m.spark, RULES).withColumn("patterns", F.array_join("patterns", " "))
 
 
 @query("arch_counts", "SELECT s.path AS node, count(*) FILTER (WHERE x.kind = 'file') AS files, count(*) FILTER (WHERE x.kind NOT IN ('file', 'service')) AS symbols, count(*) FILTER (WHERE x.role = 'api') AS endpoints, count(*) FILTER (WHERE x.role = 'test') AS tests FROM symbols s JOIN symbols x ON x.path = s.path OR starts_with(x.path, s.path || '/') WHERE s.kind = 'service' GROUP BY s.path")
@@ -454,10 +443,13 @@ def _(m):
     return m.lease_queue.filter("state = 'waiting'").select("id", "symbol_id", F.row_number().over(w).cast("long").alias("place"))
 
 
-@query("waiter_ahead", "SELECT symbol_id, id, agent FROM (SELECT *, row_number() OVER (PARTITION BY symbol_id ORDER BY priority DESC, seq) AS rn FROM lease_queue WHERE state = 'waiting' AND agent <> 'A1' AND polled_at >= requested_at) WHERE rn = 1")
+HEAD = "SELECT q.symbol_id, q.id, q.agent, q.priority, q.seq FROM lease_queue q WHERE q.state = 'waiting' AND q.agent <> 'A1' QUALIFY row_number() OVER (PARTITION BY q.symbol_id ORDER BY q.priority DESC, q.seq) = 1"
+
+
+@query("waiter_ahead", f"SELECT h.symbol_id, h.id, h.agent FROM (SELECT x.*, y.polled_at FROM ({HEAD}) x JOIN lease_queue y ON y.id = x.id) h LEFT JOIN (SELECT symbol_id, max(priority) AS p, min(seq) AS s FROM (SELECT * FROM lease_queue WHERE state = 'waiting' AND agent = 'A1' QUALIFY row_number() OVER (PARTITION BY symbol_id ORDER BY seq) = 1) GROUP BY symbol_id) m ON m.symbol_id = h.symbol_id, (SELECT max(polled_at) - 2592000000 AS present FROM lease_queue) WHERE h.polled_at >= present - 15000 AND (h.priority > coalesce(m.p, 2) OR (h.priority = coalesce(m.p, 2) AND h.seq < coalesce(m.s, 9223372036854775807)))")
 def _(m):
-    waiting = m.lease_queue.filter("state = 'waiting' and agent <> 'A1' and polled_at >= requested_at")
-    return r.latest(waiting, ["symbol_id"], F.desc("priority"), c("seq")).select("symbol_id", "id", "agent")
+    latest = m.lease_queue.agg(F.max("polled_at")).first()[0]
+    return r.waiter_ahead(m.lease_queue, "A1", 2, latest - 30 * DAY)
 
 
 @query("queue_next_seq", "SELECT coalesce(max(seq), 0) + 1 AS next_seq FROM lease_queue")
@@ -468,26 +460,40 @@ def _(m):
 # Sets
 
 
-@query("svc_distinct", "SELECT DISTINCT kind, role FROM symbols")
+@query("svc_distinct", "SELECT DISTINCT a.parent_id AS src, b.parent_id AS dst FROM edges e JOIN symbols a ON e.src = a.id AND a.kind = 'file' JOIN symbols b ON e.dst = b.id AND b.kind = 'file' WHERE e.kind = 'imports'")
 def _(m):
-    return m.symbols.select("kind", "role").distinct()
+    return r.service_links(m.edges, m.symbols).distinct()
 
 
-@query("missing_symbols", "SELECT id FROM symbols WHERE kind = 'method' AND id NOT IN (SELECT 'O' || l_orderkey FROM lineitem WHERE l_quantity > 25)")
+@query("edge_set", "SELECT DISTINCT src, dst, kind FROM (SELECT 'O' || l_orderkey AS src, 'P' || l_partkey AS dst, 'queries' AS kind FROM lineitem UNION ALL SELECT 'O' || o_orderkey, 'O' || prev, 'calls' FROM chain WHERE prev IS NOT NULL)")
 def _(m):
-    seen = m.raw("lineitem").filter("l_quantity > 25").select(F.concat(F.lit("O"), c("l_orderkey").cast("string")).alias("id"))
-    return m.symbols.filter("kind = 'method'").join(seen, "id", "left_anti").select("id")
+    calls = m.order_chain.filter("prev is not null").select(F.concat(F.lit("O"), "o_orderkey").alias("src"), F.concat(F.lit("O"), "prev").alias("dst"), F.lit("calls").alias("kind"))
+    lines = m.raw("lineitem").select(F.concat(F.lit("O"), "l_orderkey").alias("src"), F.concat(F.lit("P"), "l_partkey").alias("dst"), F.lit("queries").alias("kind"))
+    return r.edge_set(lines.unionByName(calls))
 
 
-@query("diff_targets", "SELECT path FROM symbols WHERE kind = 'file' UNION SELECT 'db/' || p_brand FROM part")
+@query("missing_symbols", "SELECT s.id FROM symbols s WHERE s.kind <> 'service' AND s.path LIKE 'A%' AND NOT EXISTS (SELECT 1 FROM symbols p WHERE p.id = s.id AND p.kind IN ('file', 'class') OR p.id = s.id AND p.start_byte % 3 <> 0)")
 def _(m):
-    return m.symbols.filter("kind = 'file'").select("path").union(m.raw("part").select(F.concat(F.lit("db/"), c("p_brand")).alias("path"))).distinct()
+    stored = m.symbols.filter(c("path").startswith("A"))
+    parsed = m.symbols.filter("kind in ('file', 'class') or start_byte % 3 <> 0")
+    return df_.missing_symbols(stored, parsed).select("id")
 
 
-@query("notice_union", "SELECT id, 'request' AS source FROM requests WHERE state IN ('open', 'accepted') UNION ALL SELECT CAST(id AS VARCHAR), 'event' FROM (SELECT * FROM log ORDER BY id DESC LIMIT 400), k WHERE kind IN ('task.completed', 'lease.denied') AND ts >= now - 7200000")
+@query("missing_files", "SELECT path FROM nations WHERE path NOT IN (SELECT path FROM nations WHERE n_nationkey % 4 <> 1)")
 def _(m):
-    events = r.recent(m.events, 400).filter(c("kind").isin("task.completed", "lease.denied") & (c("ts") >= m.now - 2 * HOUR))
-    return m.requests.filter("state in ('open', 'accepted')").select("id", F.lit("request").alias("source")).unionByName(events.select(c("id").cast("string").alias("id"), F.lit("event").alias("source")))
+    present = m.nations.filter("n_nationkey % 4 <> 1").select(F.lit("R1").alias("repo_id"), "path")
+    return df_.missing_files(m.files, present).select("path")
+
+
+@query("missing_services", "SELECT id FROM symbols WHERE kind = 'service' AND path NOT IN (SELECT r_name FROM region WHERE r_regionkey < 3)")
+def _(m):
+    manifests = m.raw("region").filter("r_regionkey < 3").select(F.lit("R1").alias("repo_id"), c("r_name").alias("manifest"))
+    return df_.missing_services(m.symbols, manifests).select("id")
+
+
+@query("diff_targets", "SELECT path FROM symbols WHERE kind = 'file' UNION SELECT 'db/' || p_brand FROM part")
+def _(m):
+    return m.symbols.filter("kind = 'file'").select("path").union(m.raw("part").select(F.concat(F.lit("db/"), c("p_brand")).alias("path"))).distinct()
 
 
 # Graph
@@ -527,13 +533,12 @@ def impact(m):
 @query("impact_multi", "SELECT id, min(distance) AS distance FROM hit WHERE id NOT IN (SELECT id FROM symbols WHERE role = 'api') GROUP BY id", BFS.format(4))
 def _(m):
     seeds = m.symbols.filter("role = 'api'").select(c("id").alias("seed"))
-    hit = g.impact(m.edges, seeds, 4)
-    return hit.join(seeds.select(c("seed").alias("id")), "id", "left_anti").groupBy("id").agg(F.min("distance").alias("distance"))
+    return g.reach(m.edges, seeds.select(c("seed").alias("id")), 4)
 
 
-@query("impact_topk", "SELECT h.id, h.distance FROM (SELECT id, min(distance) AS distance FROM hit GROUP BY id) h JOIN symbols s ON s.id = h.id ORDER BY h.distance, s.path, h.id LIMIT 40", BFS.format(2))
+@query("impact_topk", "SELECT h.id, h.distance FROM (SELECT id, min(distance) AS distance FROM hit WHERE id NOT IN (SELECT id FROM symbols WHERE role = 'api') GROUP BY id) h JOIN symbols s ON s.id = h.id ORDER BY h.distance, s.path, h.id LIMIT 40", BFS.format(2))
 def _(m):
-    hit = g.impact(m.edges, m.symbols.filter("role = 'api'").select(c("id").alias("seed")), 2).groupBy("id").agg(F.min("distance").alias("distance"))
+    hit = g.reach(m.edges, m.symbols.filter("role = 'api'").select("id"), 2)
     return hit.join(m.symbols.select("id", "path"), "id").orderBy("distance", "path", "id").limit(40).select("id", "distance")
 
 
@@ -554,18 +559,10 @@ def _(m):
 @query("conflicts", "SELECT t.id AS task, x.symbol, x.agent, x.lease, x.holder, x.relation FROM (SELECT ts.task_id AS id, cl.symbol, t.assignee AS agent, l.id AS lease, l.agent AS holder, cl.relation FROM tasks t JOIN task_symbols ts ON ts.task_id = t.id JOIN closure cl ON cl.symbol = ts.symbol_id JOIN leases l ON l.symbol_id = cl.other, k WHERE t.assignee IS NOT NULL AND l.state = 'active' AND l.expires_at > now AND l.agent <> t.assignee) x JOIN tasks t ON t.id = x.id", CLOSURE)
 def _(m):
     asking = m.tasks.filter("assignee is not null").join(m.task_symbols, c("id") == c("task_id")).select(c("id").alias("task"), c("symbol_id").alias("symbol"), c("assignee").alias("agent"))
-    found = r.conflicts(m.leases, closure_of(m), asking.select("symbol", "agent").distinct(), m.now)
+    found = r.conflicts(m.leases, m.symbols, asking.select("symbol", "agent").distinct(), m.now)
     return asking.join(found, ["symbol", "agent"]).select("task", "symbol", "agent", "lease", "holder", "relation")
 
 
-@query("guard", "SELECT s.id AS symbol, CASE WHEN EXISTS (SELECT 1 FROM closure cl JOIN leases l ON l.symbol_id = cl.other, k WHERE cl.symbol = s.id AND l.state = 'active' AND l.expires_at > now AND l.agent <> 'A1') THEN 'denied' WHEN EXISTS (SELECT 1 FROM closure cl JOIN leases l ON l.symbol_id = cl.other, k WHERE cl.symbol = s.id AND cl.relation <> 'descendant' AND l.state = 'active' AND l.expires_at > now AND l.agent = 'A1') THEN 'allowed' ELSE 'warn' END AS verdict FROM symbols s WHERE s.kind = 'class'", CLOSURE)
-def _(m):
-    live = m.leases.filter((c("state") == "active") & (c("expires_at") > m.now)).select(c("symbol_id").alias("other"), c("agent").alias("holder"))
-    at = closure_of(m).join(live, "other").groupBy("symbol").agg(F.bool_or(c("holder") != "A1").alias("others"), F.bool_or((c("holder") == "A1") & (c("relation") != "descendant")).alias("own"))
-    s = m.symbols.filter("kind = 'class'").select(c("id").alias("symbol")).join(at, "symbol", "left")
-    return s.select("symbol", F.when(c("others"), "denied").when(c("own"), "allowed").otherwise("warn").alias("verdict"))
-
-
 REACH = "reach AS (SELECT task_id AS a, depends_on AS b FROM task_deps UNION SELECT reach.a, d.depends_on FROM reach JOIN task_deps d ON d.task_id = reach.b), cyc AS (SELECT x.a AS node, min(x.b) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a)"
 
 
@@ -574,9 +571,14 @@ def _(m):
     return g.components_of_cycles(m.task_deps.select(c("task_id").alias("a"), c("depends_on").alias("b")))
 
 
-@query("would_cycle", "SELECT a AS task_id FROM reach WHERE a = b", REACH)
+@query("would_cycle", "SELECT c.task_id, c.depends_on, c.task_id = c.depends_on OR EXISTS (SELECT 1 FROM reach WHERE reach.a = c.depends_on AND reach.b = c.task_id) AS closes FROM (SELECT 'T' || prev AS task_id, 'T' || o_orderkey AS depends_on FROM chain WHERE prev IS NOT NULL AND o_custkey % 3 = 0 UNION SELECT 'T' || first_order, 'T' || o_orderkey FROM chain WHERE o_custkey % 7 = 0 UNION SELECT 'T' || o_orderkey, 'T' || first_order FROM chain WHERE o_custkey % 7 = 1) c", REACH)
 def _(m):
-    return g.components_of_cycles(m.task_deps.select(c("task_id").alias("a"), c("depends_on").alias("b"))).select(c("node").alias("task_id"))
+    t = lambda x: F.concat(F.lit("T"), x)
+    chain = m.order_chain
+    asked = chain.filter("prev is not null and o_custkey % 3 = 0").select(t("prev").alias("task_id"), t("o_orderkey").alias("depends_on"))
+    asked = asked.unionByName(chain.filter("o_custkey % 7 = 0").select(t("first_order").alias("task_id"), t("o_orderkey").alias("depends_on")))
+    asked = asked.unionByName(chain.filter("o_custkey % 7 = 1").select(t("o_orderkey").alias("task_id"), t("first_order").alias("depends_on")))
+    return g.would_cycle(asked, m.task_deps)
 
 
 # A level per round: a task is at level n when its longest chain of unmet dependencies is n long and all of them are open and off cycles.
@@ -613,19 +615,6 @@ def _(m):
     return g.components_of_cycles(m.edges.filter("kind = 'imports'").select(c("src").alias("a"), c("dst").alias("b")))
 
 
-@query("svc_clusters", "SELECT split_part(s.path, '/', 1) AS service, count(DISTINCT h.id) AS n FROM hit h JOIN symbols s ON s.id = h.id GROUP BY ALL", BFS.format(2))
-def _(m):
-    hit = g.impact(m.edges, m.symbols.filter("role = 'api'").select(c("id").alias("seed")), 2)
-    return hit.join(m.symbols.select("id", "path"), "id").groupBy(F.substring_index("path", "/", 1).alias("service")).agg(F.count_distinct("id").alias("n"))
-
-
-@query("followup_tasks", "SELECT h.id, CASE s.role WHEN 'test' THEN 'testing' END AS capability FROM (SELECT DISTINCT id FROM hit) h JOIN symbols s ON s.id = h.id WHERE h.id NOT IN (SELECT ts.symbol_id FROM task_symbols ts JOIN task_goals tg ON tg.task_id = ts.task_id WHERE tg.goal_id LIKE 'G1%')", BFS.format(2))
-def _(m):
-    hit = g.impact(m.edges, m.symbols.filter("role = 'api'").select(c("id").alias("seed")), 2).select("id").distinct()
-    covered = m.task_symbols.join(m.task_goals.filter(c("goal_id").startswith("G1")), "task_id").select(c("symbol_id").alias("id"))
-    return hit.join(covered, "id", "left_anti").join(m.symbols.select("id", "role"), "id").select("id", F.when(c("role") == "test", "testing").alias("capability"))
-
-
 # Activity windows
 
 
@@ -651,20 +640,31 @@ def _(m):
 # Text
 
 
-@query("rx_table_refs", "SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\\b(?:from|join|into|update)\\s+([a-z_]+)', 1)) AS ref FROM documents) WHERE lower(ref) IN ('the', 'of', 'and', 'this', 'that') GROUP BY doc_id")
+REF = r"(?is)\b(?:from|join|into|update|delete\s+from|table)\s+((?:[\"`\[]?[A-Za-z_]\w*[\"`\]]?\s*\.\s*)*[\"`\[]?[A-Za-z_]\w*[\"`\]]?)"
+
+
+@query("rx_table_refs", f"SELECT DISTINCT path, tbl AS \"table\" FROM (SELECT CAST(doc_id AS VARCHAR) AS path, lower(trim(trim(list_last(string_split(unnest(regexp_extract_all(text, '{REF}', 1)), '.'))), '\"`[]')) AS tbl FROM (SELECT doc_id, text || chr(10) || 'UPDATE `Shop` . [brand' || (doc_id % 40) || '] SET a = 1; select x FROM' || chr(10) || 'nowhere' || doc_id AS text FROM documents)) WHERE tbl IN (SELECT lower(replace(p_brand, '#', '')) FROM part)")
 def _(m):
-    refs = m.raw("documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"(?i)\b(?:from|join|into|update)\s+([a-z_]+)"), 1)).alias("ref"))
-    return refs.filter(F.lower("ref").isin("the", "of", "and", "this", "that")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    more = F.concat(F.lit("\nUPDATE `Shop` . [brand"), (c("doc_id") % 40).cast("string"), F.lit("] SET a = 1; select x FROM\nnowhere"), c("doc_id").cast("string"))
+    files = m.raw("documents").select(c("doc_id").cast("string").alias("path"), F.concat("text", more).alias("text"))
+    known = m.raw("part").select(F.lower(F.regexp_replace("p_brand", "#", "")).alias("table"))
+    return tx.table_references(files, known)
 
 
-@query("kw_match", "SELECT key FROM memory WHERE value ILIKE '%license%' OR value ILIKE '%apache%'")
+@query("f_keywords", "SELECT id, CASE WHEN list_contains(['the', 'for', 'and', 'new'], w) THEN '' WHEN ends_with(w, 'es') THEN w || ',' || left(w, -2) WHEN ends_with(w, 's') THEN w || ',' || left(w, -1) ELSE w END AS words FROM (SELECT key AS id, lower(regexp_extract(value, '[A-Za-z]{3,}')) AS w FROM memory)")
 def _(m):
-    return m.memory.filter(c("value").ilike("%license%") | c("value").ilike("%apache%")).select("key")
+    first = F.regexp_extract("value", "[A-Za-z]{3,}", 0)
+    return m.memory.select(c("key").alias("id"), F.array_join(fn.keywords(first), ",").alias("words"))
 
 
-@query("mem_near", "SELECT key FROM memory WHERE contains(value, 'tion') AND updated_at > 100 ORDER BY updated_at DESC, key LIMIT 20")
+@query("kw_match", "SELECT * FROM (SELECT id, row_number() OVER (ORDER BY form, rn) AS place FROM (SELECT id, min(form) AS form, arg_min(rn, form) AS rn FROM (SELECT f.form, s.id, row_number() OVER (PARTITION BY f.form ORDER BY s.path, s.start_byte, s.id) AS rn FROM (VALUES (1, '%0000012%'), (2, '%nation%'), (3, '%boxes%'), (4, '%box%'), (5, '%brand%')) f(form, likely) JOIN symbols s ON s.name ILIKE f.likely OR s.fqn ILIKE f.likely OR s.path ILIKE f.likely) WHERE rn <= 50 GROUP BY id))")
 def _(m):
-    return m.memory.filter(c("value").contains("tion") & (c("updated_at") > 100)).orderBy(F.desc("updated_at"), "key").limit(20).select("key")
+    return r.keyword_matches(m.symbols, "Add the 0000012 NATION, boxes to: brand").select("id", "place")
+
+
+@query("mem_near", "SELECT key FROM memory WHERE (len(list_intersect(string_split(lower(tags), ','), ['architecture', 'convention', 'decision', 'interface', 'standard'])) > 0 OR contains(lower(key || ' ' || value), 'tion a') OR contains(lower(key || ' ' || value), 'asia/nation_12')) ORDER BY updated_at DESC, key LIMIT 20")
+def _(m):
+    return r.memory_near(m.memory, ["Tion A", "ASIA/NATION_12", "ab"]).select("key")
 
 
 @query("f_slug", "SELECT id, trim(substr(trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-'), 1, 32), '-') AS slug FROM goals")
@@ -672,9 +672,10 @@ def _(m):
     return m.goals.select("id", fn.slug(c("title")).alias("slug"))
 
 
-@query("json_get", "SELECT id, CAST(json_extract_string(detail, '$.k') AS BIGINT) AS k FROM log")
+@query("json_get", "SELECT id, CAST(json_extract_string(detail, '$.k') AS BIGINT) AS k, agent AS holder FROM log")
 def _(m):
-    return m.events.select("id", F.get_json_object("detail", "$.k").cast("long").alias("k"))
+    nested = F.concat(F.lit('{"conflicts": [{"holder": "'), "agent", F.lit('"}]}'))
+    return m.events.select("id", F.get_json_object("detail", "$.k").cast("long").alias("k"), F.get_json_object(nested, "$.conflicts[0].holder").alias("holder"))
 
 
 @query("f_hash", "SELECT item_id, substr(sha256(text), 1, 16) AS hash FROM benchmark")
@@ -690,19 +691,9 @@ def _(m):
 # Sources and extraction
 
 
-@query("rx_routes", None)
-def _(m):
-    return ex.routes(m.raw("documents").select(c("doc_id").cast("string").alias("path"), "text"))
-
-
-@query("rx_ddl", None)
-def _(m):
-    return ex.tables_defined(m.raw("documents").select(c("doc_id").cast("string").alias("path"), "text"))
-
-
 @query("svc_of_path", "SELECT path, r_name AS dir FROM symbols JOIN region ON starts_with(path, r_name || '/') WHERE kind = 'file'")
 def _(m):
-    return ex.owning_service(m.symbols.filter("kind = 'file'").select("path"), m.symbols.filter("kind = 'service'").select(c("path").alias("dir"))).select("path", "dir")
+    return tx.owning_service(m.symbols.filter("kind = 'file'").select("path"), m.symbols.filter("kind = 'service'").select(c("path").alias("dir"))).select("path", "dir")
 
 
 @query("changed_files", "SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' ELSE 'modified' END AS change FROM (SELECT CAST(doc_id AS VARCHAR) AS path, sha256(text) AS h FROM documents WHERE doc_id % 7 <> 0) a FULL JOIN (SELECT CAST(doc_id AS VARCHAR) AS path, sha256(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 11 <> 0) b ON a.path = b.path WHERE a.h IS DISTINCT FROM b.h")
@@ -713,14 +704,12 @@ def _(m):
     return df_.changed_files(old, new)
 
 
-@query("deps_infer", "SELECT a.task_id, b.task_id AS depends_on, min(e.src) AS via FROM task_symbols a JOIN edges e ON e.src = a.symbol_id AND e.kind IN ('calls', 'uses', 'imports', 'queries') JOIN task_symbols b ON b.symbol_id = e.dst JOIN tasks ta ON ta.id = a.task_id AND ta.state <> 'done' JOIN tasks tb ON tb.id = b.task_id AND tb.state <> 'done' WHERE a.task_id <> b.task_id GROUP BY a.task_id, b.task_id")
-def _(m):
-    return st.infer_dependencies(m.task_symbols, m.edges, m.tasks, m.task_deps, m.symbols).select("task_id", "depends_on", "via")
-
-
-@query("task_claim", "SELECT t.id FROM tasks t LEFT JOIN d ON d.task_id = t.id WHERE t.state = 'pending' AND len(coalesce(d.blocked_by, [])) = 0 AND (required_capability IS NULL OR required_capability = 'testing') ORDER BY priority DESC, created_at, t.id LIMIT 1", VIEW)
+@query("deps_infer", "SELECT a.task_id, b.task_id AS depends_on, min(e.src) AS via FROM task_symbols a JOIN edges e ON e.src = a.symbol_id AND e.kind IN ('calls', 'uses', 'imports', 'queries') JOIN task_symbols b ON b.symbol_id = e.dst JOIN tasks ta ON ta.id = a.task_id AND ta.state NOT IN ('done', 'failed') JOIN tasks tb ON tb.id = b.task_id AND tb.state NOT IN ('done', 'failed') WHERE a.task_id <> b.task_id AND (CAST(substr(a.task_id, 2) AS BIGINT) % 3 = 0) GROUP BY a.task_id, b.task_id")
 def _(m):
-    return st.startable(r.task_view(m.tasks, m.task_deps).filter("ready"), "testing", False).limit(1).select("id")
+    # Scopes here hold no containers and links run along each customer's chain, so what is left out of the known ones is found again, and no cycle is closed.
+    known = m.task_deps.filter("cast(substring(task_id, 2) as long) % 3 <> 0")
+    chain = m.order_chain.filter("prev is not null").select(F.concat(F.lit("T"), "o_orderkey").alias("task_id"), F.concat(F.lit("T"), "prev").alias("depends_on"))
+    return st.infer_dependencies(m.task_symbols, m.edges, m.tasks, known.join(chain, ["task_id", "depends_on"], "left_semi"), m.symbols).select("task_id", "depends_on", "via")
 
 
 @query("lease_fold", None)
@@ -749,11 +738,14 @@ def _(m):
     return sj.run_to_table(sj.activity_windows(touches, DAY), "complete", "windows")
 
 
-@query("st_presence", "SELECT agent, max(ms) AS heartbeat_at FROM ev GROUP BY agent")
+@query("st_presence", "SELECT agent, max(ms) AS heartbeat_at, max(ms) >= now - 60000 AS online FROM ev, k GROUP BY agent, now")
 def _(m):
     stream = sj.event_stream(m.spark, f"{m.dir}/events.parque[t]", m.raw("events").schema)
     beats = stream.select(F.concat(F.lit("A"), (c("user_id") % 10).cast("string")).alias("agent"), millis(stream, "ts").alias("ts"))
-    return sj.run_to_table(sj.presence(beats), "complete", "presence")
+    return sj.online(sj.run_to_table(sj.presence(beats), "complete", "presence"), m.now)
+
+
+from loomgraph import queries_more as _more  # noqa: E402, F401  registers its queries
 
 
 def queries():

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from loomgraph.sources.tables import read
 
 HOUR, DAY = 3_600_000, 86_400_000
+#: Kinds and states as the model's tables have them.
 REQUEST_KINDS = ["lease-transfer", "interface", "dependency", "review", "api-change", "question"]
 REQUEST_STATES = ["open", "accepted", "declined", "fulfilled", "cancelled", "expired"]
 EVENT_KINDS = {"purchase": "task.completed", "signup": "task.started", "error": "lease.denied", "click": "lease.acquired", "view": "lease.released"}
@@ -79,21 +80,48 @@ class Model:
 
     @cached_property
     def symbols(self) -> DataFrame:
-        def rows(df, id_, path, kind, name, fqn, parent, at, role=None):
-            return df.select(id_.alias("id"), path.alias("path"), F.lit(kind).alias("kind"), name.alias("name"), fqn.alias("fqn"), (parent if parent is not None else F.lit(None)).cast("string").alias("parent_id"), at.cast("long").alias("start_byte"), (role if role is not None else F.lit(None)).cast("string").alias("role"), F.lit("R1").alias("repo_id"))
+        def rows(df, id_, path, kind, name, fqn, parent, at, role=None, meta=None):
+            return df.select(id_.alias("id"), path.alias("path"), F.lit(kind).alias("kind"), name.alias("name"), fqn.alias("fqn"), (parent if parent is not None else F.lit(None)).cast("string").alias("parent_id"), at.cast("long").alias("start_byte"), (role if role is not None else F.lit(None)).cast("string").alias("role"), F.lit("R1").alias("repo_id"), (meta if meta is not None else F.lit(None)).cast("string").alias("meta"))
 
         c = F.col
         customers = self.raw("customer").join(F.broadcast(self.nations), c("c_nationkey") == c("n_nationkey"))
         methods = self.orders.join(customers, c("o_custkey") == c("c_custkey"))
         role = F.when(c("o_orderpriority") == "1-URGENT", "api").when(c("o_orderpriority") == "5-LOW", "test")
+        route = F.when(c("o_orderpriority") == "1-URGENT", F.concat(F.lit('{"method":"'), F.when(c("o_orderkey") % 2 == 0, "GET").otherwise("POST"), F.lit('","path":"/orders/'), c("o_orderkey").cast("string"), F.lit('"}')))
         return (
             rows(self.raw("region"), ident("R", "r_regionkey"), c("r_name"), "service", c("r_name"), c("r_name"), None, c("r_regionkey"))
             .unionAll(rows(self.nations, ident("N", "n_nationkey"), c("path"), "file", c("n_name"), c("path"), ident("R", "n_regionkey"), F.lit(0)))
             .unionAll(rows(customers, ident("C", "c_custkey"), c("path"), "class", c("c_name"), c("c_name"), ident("N", "c_nationkey"), c("c_custkey")))
-            .unionAll(rows(methods, ident("O", "o_orderkey"), c("path"), "method", ident("O", "o_orderkey"), F.concat_ws(".", "c_name", ident("O", "o_orderkey")), ident("C", "o_custkey"), c("o_orderkey"), role))
+            .unionAll(rows(methods, ident("O", "o_orderkey"), c("path"), "method", ident("O", "o_orderkey"), F.concat_ws(".", "c_name", ident("O", "o_orderkey")), ident("C", "o_custkey"), c("o_orderkey"), role, route))
             .unionAll(rows(self.raw("part"), ident("P", "p_partkey"), F.concat_ws("/", F.lit("db"), "p_brand"), "table", c("p_name"), c("p_name"), None, c("p_partkey")))
         )
 
+    @cached_property
+    def repos(self) -> DataFrame:
+        """The root and a repository for each region."""
+        root = self.spark.createDataFrame([("R1", "root", ".")], "id string, name string, root_path string")
+        return root.unionAll(self.raw("region").select(ident("R", F.col("r_regionkey") + 2), F.lower("r_name"), F.col("r_name")))
+
+    @cached_property
+    def files(self) -> DataFrame:
+        return self.nations.select(F.lit("R1").alias("repo_id"), "path", F.substring(F.sha2("n_name", 256), 1, 16).alias("content_hash"), F.length("n_name").cast("long").alias("size"))
+
+    @cached_property
+    def sources(self) -> DataFrame:
+        """(path, text): a Python module for each customer, which calls into the one of the customer before."""
+        k, n = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")
+        before = (F.col("c_custkey") - 1).cast("string")
+        first = F.col("c_custkey") == 0
+        call = F.when(first, F.lit("len(x)")).otherwise(F.concat(F.lit("run_"), before, F.lit("(x)")))
+        pieces = [
+            F.lit("import os\n"), F.when(first, F.lit("")).otherwise(F.concat(F.lit("from src.m"), before, F.lit(" import run_"), before, F.lit("\n"))),
+            F.lit("\n\nclass Holder_"), k, F.lit(":\n    def place(self, x):\n        return "), call,
+            F.lit("\n\n\ndef run_"), k, F.lit("(x):\n    q = 'SELECT * FROM \"shop\".brand"), n, F.lit(" JOIN nowhere'\n    return Holder_"), k, F.lit("().place(q)\n"),
+            F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit("\n\ndef test_run_"), k, F.lit("():\n    assert run_"), k, F.lit("(1)\n"))).otherwise(F.lit("")),
+            F.when(F.col("c_custkey") % 7 == 0, F.concat(F.lit("\n\n@app.post('/run/"), k, F.lit("')\ndef serve_"), k, F.lit("(x):\n    return run_"), k, F.lit("(x)\n"))).otherwise(F.lit("")),
+        ]
+        return self.raw("customer").select(F.concat(F.lit("src/m"), k, F.lit(".py")).alias("path"), F.concat(*pieces).alias("text"))
+
     @cached_property
     def edges(self) -> DataFrame:
         c = F.col
@@ -155,7 +183,7 @@ class Model:
         c, e = F.col, F.col("event_id")
         symbol = F.when(e % 101 == 0, ident("N", e % 25)).when(e % 7 == 0, ident("C", e % self.n_customers)).otherwise(ident("O", e % self.n_orders))
         ttl = (3600 * (1 + F.floor("value"))).cast("long")
-        df = self._of("click").select(ident("L", "event_id").alias("id"), symbol.alias("symbol_id"), "agent", (e % 5).alias("priority"), ttl.alias("ttl_secs"), c("ms").alias("acquired_at"), (c("ms") + ttl * 1000).alias("expires_at"))
+        df = self._of("click").select(ident("L", "event_id").alias("id"), symbol.alias("symbol_id"), "agent", (e % 5).alias("priority"), ttl.alias("ttl_secs"), c("ms").alias("acquired_at"), (c("ms") + ttl * 1000).alias("expires_at"), F.when(e % 3 == 0, ident("T", e % self.n_orders)).alias("task"))
         return df.withColumn("state", F.when(c("expires_at") > self.now - DAY, "active").otherwise("expired"))
 
     @cached_property
@@ -169,6 +197,7 @@ class Model:
         return self._of("error").select(
             ident("RQ", "event_id").alias("id"), e.alias("seq"), choice(REQUEST_KINDS, e % 6).alias("kind"), F.col("agent").alias("from_agent"), F.when(e % 4 != 0, ident("A", (F.col("user_id") + 3) % 10)).alias("to_agent"),
             (e % 5).alias("priority"), choice(REQUEST_STATES, e % 7 % 6).alias("state"), ms.alias("created_at"), F.when(e % 3 != 0, ms + DAY * (1 + e % 20)).alias("deadline_at"), ident("O", e % (self.n_orders + 50)).alias("resource_symbol"), F.col("props").alias("body"),
+            F.concat(F.lit("Request "), e.cast("string")).alias("subject"), F.when(e % 6 == 2, ident("T", e % self.n_orders)).alias("resource_task"),
         )
 
     @cached_property
@@ -187,6 +216,14 @@ class Model:
         paths = self.nations.select("n_nationkey", "path")
         return self._of("click").join(F.broadcast(paths), F.col("event_id") % 25 == F.col("n_nationkey")).select("event_id", "agent", F.lit("R1").alias("repo_id"), "path", F.col("ms").alias("ts"))
 
+    @cached_property
+    def activity(self) -> DataFrame:
+        """The last edit window of each (agent, repo_id, path): a gap of more than a day opens a new one."""
+        w = W.partitionBy("agent", "repo_id", "path").orderBy("ts", "event_id")
+        gaps = self.touches.withColumn("fresh", F.when(F.col("ts") - F.lag("ts").over(w) <= DAY, 0).otherwise(1))
+        windows = gaps.withColumn("at", F.sum("fresh").over(w)).groupBy("agent", "repo_id", "path", "at").agg(F.min("ts").alias("started_at"), F.max("ts").alias("updated_at"))
+        return windows.groupBy("agent", "repo_id", "path").agg(F.max_by(F.struct("started_at", "updated_at"), "at").alias("w")).select("agent", "repo_id", "path", "w.started_at", "w.updated_at")
+
     @cached_property
     def memory(self) -> DataFrame:
         return self.raw("documents").select(F.col("doc_id").cast("string").alias("key"), F.col("text").alias("value"), F.col("source").alias("author"), F.concat_ws(",", "lang", "source").alias("tags"), F.col("doc_id").alias("updated_at"))

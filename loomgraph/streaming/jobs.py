@@ -49,11 +49,81 @@ def lease_expiry(heartbeats: DataFrame, late: str = "10 minutes") -> DataFrame:
     return heartbeats.withWatermark("at", late).groupBy("lease").applyInPandasWithState(expire, "lease string, expired_at long", "until long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def timer_expiry(signs: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """(key, expired_at) from a stream of (key, at timestamp, until ms, ended): what lapses unless a later sign moves its time; a sign that it ended stops its clock.
+
+    Sessions, waiters and requests lapse like leases: until is the last sign plus 60 s, plus 15 s, or the deadline.
+    """
+    return signs.withWatermark("at", late).groupBy("key").applyInPandasWithState(lapse, "key string, expired_at long", "until long, ended boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def lapse(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """State of one key: its time, and whether it has ended."""
+    if state.hasTimedOut:
+        until, ended = state.get
+        state.remove()
+        return iter([pd.DataFrame({"key": [], "expired_at": []}, dtype=object) if ended else pd.DataFrame({"key": [keys[0]], "expired_at": [until]})])
+    until, ended = state.get if state.exists else (0, False)
+    for b in batches:
+        until, ended = max(until, int(b["until"].max())), ended or bool(b["ended"].any())
+    state.update((until, ended))
+    state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
+    return iter([])
+
+
 def presence(heartbeats: DataFrame) -> DataFrame:
-    """Last heartbeat of each agent; online is a comparison with the present when the table is read."""
+    """Last heartbeat of each agent."""
     return heartbeats.groupBy("agent").agg(F.max("ts").alias("heartbeat_at"))
 
 
+def online(seen: DataFrame, now: int, alive_ms: int = 60_000) -> DataFrame:
+    """presence() as of now: online up to alive_ms after the last heartbeat."""
+    return seen.withColumn("online", F.lit(now) - F.col("heartbeat_at") <= alive_ms)
+
+
+def debounced(changes: DataFrame, write, interval: str = "250 milliseconds", checkpoint: str | None = None):
+    """A query that hands each burst's distinct paths to `write(batch, number)`; a burst is what comes within an interval."""
+
+    def once(batch: DataFrame, number: int) -> None:
+        write(batch.groupBy("path").agg(F.max("modified").alias("modified")), number)
+
+    q = changes.writeStream.foreachBatch(once).trigger(processingTime=interval)
+    return (q.option("checkpointLocation", checkpoint) if checkpoint else q).start()
+
+
+def swept(stream: DataFrame, sweep, label: str) -> DataFrame:
+    """Run a stream over all there is now; behind each micro-batch `sweep(now)`, with now as the batch's last event time (ms, column ts), is written: what lapses, in its order."""
+    spark = stream.sparkSession
+    base = f"{shared_dir(spark)}/loomgraph/{label}-{uuid.uuid4().hex}"
+    schema: list = []
+    seen: list[int] = []
+
+    def once(batch: DataFrame, number: int) -> None:
+        now = batch.agg(F.max("ts")).first()[0]
+        if now is not None:
+            out = sweep(now)
+            schema[:] = [out.schema]
+            out.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+            seen.append(number)
+
+    stream.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(once).start().awaitTermination()
+    return spark.read.schema(schema[0]).parquet(f"{base}/out/batch={seen[-1]}")
+
+
+def snapshots(stream: DataFrame, status, label: str) -> DataFrame:
+    """(batch, last_id, events, json): a snapshot behind each micro-batch that moved the log. status(batch): one row a section; the batch's events are counted once however many there are."""
+    spark = stream.sparkSession
+    base = f"{shared_dir(spark)}/loomgraph/{label}-{uuid.uuid4().hex}"
+
+    def once(batch: DataFrame, number: int) -> None:
+        at = batch.agg(F.max("id").alias("last_id"), F.count(F.lit(1)).alias("events"))
+        rows = status().agg(F.to_json(F.array_sort(F.collect_list(F.struct("section", "key", "value")))).alias("json"))
+        at.filter("events > 0").crossJoin(rows).select(F.lit(number).cast("long").alias("batch"), "last_id", "events", "json").write.mode("append").parquet(f"{base}/out")  # one row each
+
+    stream.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(once).start().awaitTermination()
+    return spark.read.schema("batch long, last_id long, events long, json string").parquet(f"{base}/out")
+
+
 def run_to_table(df: DataFrame, mode: str, label: str) -> DataFrame:
     """Run a stream over all there is now and read its result from the shared folder."""
     spark = df.sparkSession

@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as entry
 
 DIR = "/root/testdata/sf0.001"
-SAMPLE = ["sym_list", "lease_handle", "throughput_counts", "goal_progress", "impact", "plan_waves", "dep_cycles", "activity_windows", "guard", "svc_edge_rollup"]
+SAMPLE = ["sym_list", "lease_handle", "throughput_counts", "goal_progress", "impact", "plan_waves", "dep_cycles", "activity_windows", "guard", "svc_edge_rollup", "edges_build", "arch_graph", "workers", "schedule_summary", "notice_union", "task_context", "kw_match", "st_session_expire"]
 
 
 def plain(v):
