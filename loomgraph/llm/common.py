@@ -23,6 +23,9 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="loomgraph-")
@@ -48,6 +51,8 @@ def ship(spark: SparkSession) -> None:
 
 #: Spark's setting that drops an execution's shuffle files at its end.
 CLEANUP = "spark.sql.shuffleDependency.fileCleanup.enabled", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a table is written: the above, and so many rows of text at once in a Python worker.
+WRITING = dict.fromkeys(CLEANUP, "true") | {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -57,10 +62,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomgraph/{label}-{uuid.uuid4().hex}"
-    before = {key: spark.conf.get(key, None) for key in CLEANUP}
+    before = {key: spark.conf.get(key, None) for key in WRITING}
     try:
-        for key in CLEANUP:
-            spark.conf.set(key, "true")
+        for key, value in WRITING.items():
+            spark.conf.set(key, value)
         df.write.parquet(path)
     finally:
         for key, value in before.items():
