@@ -47,26 +47,52 @@ def spaces(text: Column) -> Column:
     return (F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))).cast("long")
 
 
+#: A detection; in this order of fields, one that holds another comes before it, the stronger of equal ones first.
+DETECTION = "struct<start: int, back: int, priority: int, ordinal: int, end: int, label: string, confidence: double>"
+
+
 def intervals(text: Column, rule: Column) -> Column:
-    """(start, end, …) of each match of a rule, by the lengths of what is between the matches."""
+    """DETECTION of each match of a rule: one pass over the matches and what is between them."""
     found = F.regexp_extract_all(text, rule["pattern"], F.lit(0))
-    between = F.split(text, rule["pattern"], -1)
-    upto = lambda a, n: F.aggregate(F.slice(a, 1, n), F.lit(0), lambda s, x: s + F.length(x))
+    steps = F.filter(F.arrays_zip(F.split(text, rule["pattern"], -1).alias("gap"), found.alias("hit")), lambda x: x["hit"].isNotNull())
+
+    def one(acc: Column, x: Column) -> Column:
+        start = acc["upto"] + F.length(x["gap"])
+        end = start + F.length(x["hit"])
+        made = F.struct(start.alias("start"), (-end).alias("back"), rule["priority"].alias("priority"), rule["ordinal"].alias("ordinal"), end.alias("end"), rule["label"].alias("label"), rule["confidence"].alias("confidence"))
+        return F.struct(end.alias("upto"), F.array_append(acc["out"], made).alias("out"))
+
+    nothing = F.struct(F.lit(0).alias("upto"), F.array().cast(f"array<{DETECTION}>").alias("out"))
+    return F.aggregate(steps, nothing, one, lambda acc: acc["out"])
+
+
+def undefeated(found: Column, levels: list[int]) -> Column:
+    """Detections that no other takes the place of, in two passes over their order.
 
-    def one(m: Column, i: Column) -> Column:
-        start = upto(between, i + 1) + upto(found, i)
-        return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), rule["label"].alias("label"), rule["priority"].alias("priority"), rule["ordinal"].alias("ordinal"), rule["confidence"].alias("confidence"))
+    A detection goes if one of no weaker rule holds it, or if one of a stronger rule (of a lower priority number) overlaps it. Going
+    forward, it is enough to know how far the detections of each level of priority reach; going back, where the first starts.
+    """
 
-    return F.transform(found, one)
+    def forward(acc: Column, d: Column) -> Column:
+        far = acc["far"]
+        lost = F.lit(False)
+        for k, p in enumerate(levels):
+            lost = lost | ((F.lit(p) <= d["priority"]) & (far[k] >= d["end"])) | ((F.lit(p) < d["priority"]) & (far[k] > d["start"]))
+        moved = F.array(*[F.when(d["priority"] == p, F.greatest(far[k], d["end"])).otherwise(far[k]) for k, p in enumerate(levels)])
+        return F.struct(moved.alias("far"), F.array_append(acc["out"], F.struct(d.alias("d"), lost.alias("lost"))).alias("out"))
 
+    def back(acc: Column, x: Column) -> Column:
+        near, d = acc["near"], x["d"]
+        lost = x["lost"]
+        for k, p in enumerate(levels):
+            lost = lost | ((F.lit(p) < d["priority"]) & (near[k] < d["end"]))
+        moved = F.array(*[F.when(d["priority"] == p, F.least(near[k], d["start"])).otherwise(near[k]) for k, p in enumerate(levels)])
+        return F.struct(moved.alias("near"), F.when(lost, acc["out"]).otherwise(F.array_append(acc["out"], d)).alias("out"))
 
-def beats(e: Column, d: Column) -> Column:
-    """Whether detection e takes the place of detection d."""
-    inside = (e["start"] <= d["start"]) & (e["end"] >= d["end"])
-    same = (e["start"] == d["start"]) & (e["end"] == d["end"])
-    overlap = (e["start"] < d["end"]) & (d["start"] < e["end"])
-    stronger = (e["priority"] < d["priority"]) | ((e["priority"] == d["priority"]) & (e["ordinal"] < d["ordinal"]))
-    return (same & stronger) | (inside & ~same & (e["priority"] <= d["priority"])) | (overlap & ~inside & (e["priority"] < d["priority"]))
+    one = F.array_sort(found)
+    first = F.struct(F.array(*[F.lit(-1)] * len(levels)).alias("far"), F.array().cast(f"array<struct<d: {DETECTION}, lost: boolean>>").alias("out"))
+    last = F.struct(F.array(*[F.lit((1 << 31) - 1)] * len(levels)).alias("near"), F.array().cast(f"array<{DETECTION}>").alias("out"))
+    return F.aggregate(F.reverse(F.aggregate(one, first, forward, lambda acc: acc["out"])), last, back, lambda acc: acc["out"])
 
 
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -93,7 +119,7 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.least(*firsts).alias("first_word"),
         F.greatest(*lasts).alias("last_word"),
         base.alias("base"),
-        F.coalesce(F.filter(found, lambda d: ~F.exists(found, lambda e: beats(e, d))), F.array().cast("array<struct<start: int, end: int, label: string, priority: int, ordinal: int, confidence: double>>")).alias("kept"),
+        F.when(F.size(found) > 0, undefeated(found, sorted({r.priority for r in rules()}))).otherwise(F.array().cast(f"array<{DETECTION}>")).alias("kept"),
     )
     joined = lambda a: F.concat_ws(",", F.array_sort(F.array_distinct(a)))
     best = F.coalesce(F.array_max(F.transform("kept", lambda d: d["confidence"])), F.lit(0.0))

@@ -93,3 +93,11 @@ def test_notices_that_stand_alone(spark):
     for i, t in enumerate(texts):
         assert got[i] == brute(t), t
     assert got[0][5] == "proprietary" and got[1][5] == got[2][5] == "cc0"
+
+
+def test_thousands_of_notices_in_one_text(spark):
+    line = "Licensed under the MIT License. SPDX-License-Identifier: Apache-2.0; see CC BY-NC 4.0 and the GNU General Public License version 3. "
+    rows = [(1, line * 1000), (2, "released as cc zero"), (3, "dedicated by cc 0")]
+    got = {r.doc_id: r for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].n_detections >= 3000 and {"mit", "cc-by-nc"} <= set(got[1].labels.split(","))
+    assert got[2].labels == got[3].labels == "cc0"
