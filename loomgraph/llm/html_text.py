@@ -49,7 +49,8 @@ SKIP_CLASSES = set(
     "newsletter subscribe subscription signup paywall sidebar menu nav navbar navigation breadcrumb breadcrumbs crumbs footer header masthead topbar comment comments reply replies respond "
     "disqus discussion share sharing social related recommended recommendations widget toolbar pagination pager skip copyright login search".split()
 )
-NOT_OWN = {"has", "with", "no", "without"}
+#: Words that may stand beside one of the above in a class or id that still means the same thing.
+BESIDE = set("box wrapper wrap container holder list item items bar block area section zone panel row col inner outer main site page top bottom left right primary secondary fixed sticky links link icons icon buttons button posts post articles stories story content text message form module slot unit mobile desktop global js".split())
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -67,8 +68,9 @@ def is_furniture(tag: str, attrs: dict[str, str], inside: bool) -> bool:
     if tag in ("html", "body", "main"):
         return False
     for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split():
-        parts = re.split(r"[-_]+", name)
-        if not NOT_OWN & set(parts) and (parts[0] in SKIP_CLASSES or parts[-1] in SKIP_CLASSES):
+        # Every word of the name must speak for it: `share-price` or `notice-of-claim` is text.
+        parts = {x for x in re.split(r"[-_]+", name) if x and not x.isdigit()}
+        if parts & SKIP_CLASSES and parts <= SKIP_CLASSES | BESIDE:
             return True
     return False
 
