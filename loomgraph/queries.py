@@ -519,7 +519,7 @@ def _(m):
     return up.join(F.broadcast(services), "id").groupBy("start").agg(F.min_by("id", "depth").alias("service"))
 
 
-BFS = "bfs AS (SELECT id AS seed, id, 0 AS distance FROM symbols WHERE role = 'api' UNION SELECT seed, e.src, distance + 1 FROM bfs JOIN edges e ON e.dst = bfs.id WHERE e.kind <> 'contains' AND distance < {}), hit AS (SELECT seed, id, min(distance) AS distance FROM bfs WHERE id <> seed GROUP BY seed, id)"
+BFS = "bfs AS (SELECT id AS seed, id, 0 AS distance FROM symbols WHERE role = 'api' UNION SELECT seed, e.src, distance + 1 FROM bfs JOIN edges e ON e.dst = bfs.id WHERE e.kind <> 'contains' AND distance < {}), hit AS MATERIALIZED (SELECT seed, id, min(distance) AS distance FROM bfs WHERE id <> seed GROUP BY seed, id)"
 
 
 @query("impact", "SELECT h.seed, h.id AS symbol_id, h.distance, s.path, s.start_byte, l.agent AS lease_agent FROM hit h JOIN symbols s ON s.id = h.id LEFT JOIN (SELECT symbol_id, max_by(agent, acquired_at) AS agent FROM leases WHERE state = 'active' GROUP BY symbol_id) l ON l.symbol_id = h.id", BFS.format(3))
@@ -651,7 +651,7 @@ def _(m):
     return tx.table_references(files, known)
 
 
-@query("f_keywords", "SELECT id, CASE WHEN list_contains(['the', 'for', 'and', 'new'], w) THEN '' WHEN ends_with(w, 'es') THEN w || ',' || left(w, -2) WHEN ends_with(w, 's') THEN w || ',' || left(w, -1) ELSE w END AS words FROM (SELECT key AS id, lower(regexp_extract(value, '[A-Za-z]{3,}')) AS w FROM memory)")
+@query("f_keywords", "SELECT id, CASE WHEN list_contains(['the', 'implement', 'add', 'support', 'for', 'and', 'with', 'build', 'create', 'make', 'new'], w) THEN '' WHEN ends_with(w, 'es') THEN w || ',' || left(w, -2) WHEN ends_with(w, 's') THEN w || ',' || left(w, -1) ELSE w END AS words FROM (SELECT key AS id, lower(regexp_extract(value, '[A-Za-z]{3,}')) AS w FROM memory)")
 def _(m):
     first = F.regexp_extract("value", "[A-Za-z]{3,}", 0)
     return m.memory.select(c("key").alias("id"), F.array_join(fn.keywords(first), ",").alias("words"))

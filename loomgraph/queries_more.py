@@ -474,9 +474,9 @@ def _(m):
     return found.withColumn("symbols", F.md5(F.array_join("symbols", ",")))
 
 
-DEPENDANTS = """around AS (SELECT h.seed, h.id, (h.distance, s.path, s.start_byte, h.id) AS place, s.name, split_part(s.path, '/', 1) AS svc, split_part(o.path, '/', 1) AS own FROM hit h JOIN symbols s ON s.id = h.id JOIN symbols o ON o.id = h.seed),
-svcs AS (SELECT seed, svc AS who, row_number() OVER (PARTITION BY seed ORDER BY min(place)) AS rn, count(*) OVER (PARTITION BY seed) AS n FROM around WHERE svc <> own GROUP BY seed, svc),
-names AS (SELECT seed, name AS who, row_number() OVER (PARTITION BY seed ORDER BY min(place)) AS rn, count(*) OVER (PARTITION BY seed) AS n FROM around GROUP BY seed, name)"""
+DEPENDANTS = """around AS MATERIALIZED (SELECT h.seed, h.id, (h.distance, s.path, s.start_byte, h.id) AS place, s.name, split_part(s.path, '/', 1) AS svc, split_part(o.path, '/', 1) AS own FROM hit h JOIN symbols s ON s.id = h.id JOIN symbols o ON o.id = h.seed),
+svcs AS MATERIALIZED (SELECT seed, svc AS who, row_number() OVER (PARTITION BY seed ORDER BY min(place)) AS rn, count(*) OVER (PARTITION BY seed) AS n FROM around WHERE svc <> own GROUP BY seed, svc),
+names AS MATERIALIZED (SELECT seed, name AS who, row_number() OVER (PARTITION BY seed ORDER BY min(place)) AS rn, count(*) OVER (PARTITION BY seed) AS n FROM around GROUP BY seed, name)"""
 
 
 @query("dependants", "SELECT a.seed AS id, coalesce(s.phrase, a.phrase) AS phrase FROM (SELECT seed, CASE WHEN max(n) > 3 THEN string_agg(who, '(), ' ORDER BY rn) || ' and ' || (max(n) - 3) || ' more call this.' WHEN max(n) = 1 THEN max(who) || '() calls this.' ELSE string_agg(who, '(), ' ORDER BY rn) || '() call this.' END AS phrase FROM names WHERE rn <= 3 GROUP BY seed) a LEFT JOIN (SELECT seed, CASE WHEN max(n) > 3 THEN string_agg(who, ', ' ORDER BY rn) || ' and ' || (max(n) - 3) || ' more depend on this.' WHEN max(n) = 1 THEN max(who) || ' depends on this.' ELSE string_agg(who, ', ' ORDER BY rn) || ' depend on this.' END AS phrase FROM svcs WHERE rn <= 3 GROUP BY seed) s ON s.seed = a.seed", BFS.format(2).replace("role = 'api'", "kind = 'file' OR (kind = 'method' AND start_byte % 50 = 0)"), DEPENDANTS)
@@ -855,8 +855,8 @@ def _(m):
     return rp.workers(m, m.now, DAY).select("name", F.row_number().over(Window.orderBy(rank, "name")).cast("long").alias("place"))
 
 
-NOTICES = f"""said AS (SELECT a.seed AS id, coalesce(s.phrase, a.phrase) AS phrase FROM (SELECT seed, CASE WHEN max(n) > 3 THEN string_agg(who, '(), ' ORDER BY rn) || ' and ' || (max(n) - 3) || ' more call this.' WHEN max(n) = 1 THEN max(who) || '() calls this.' ELSE string_agg(who, '(), ' ORDER BY rn) || '() call this.' END AS phrase FROM names WHERE rn <= 3 GROUP BY seed) a LEFT JOIN (SELECT seed, string_agg(who, ', ' ORDER BY rn) || ' depends on this.' AS phrase FROM svcs WHERE rn <= 3 GROUP BY seed) s ON s.seed = a.seed),
-told AS (SELECT 'req:' || q.id AS id, q.kind, CASE WHEN q.kind IN ('review', 'lease-transfer') THEN 'blocking' WHEN q.kind IN ('api-change', 'dependency', 'interface') THEN 'warn' ELSE 'info' END AS severity,
+NOTICES = f"""said AS MATERIALIZED (SELECT a.seed AS id, coalesce(s.phrase, a.phrase) AS phrase FROM (SELECT seed, CASE WHEN max(n) > 3 THEN string_agg(who, '(), ' ORDER BY rn) || ' and ' || (max(n) - 3) || ' more call this.' WHEN max(n) = 1 THEN max(who) || '() calls this.' ELSE string_agg(who, '(), ' ORDER BY rn) || '() call this.' END AS phrase FROM names WHERE rn <= 3 GROUP BY seed) a LEFT JOIN (SELECT seed, string_agg(who, ', ' ORDER BY rn) || ' depends on this.' AS phrase FROM svcs WHERE rn <= 3 GROUP BY seed) s ON s.seed = a.seed),
+told AS MATERIALIZED (SELECT 'req:' || q.id AS id, q.kind, CASE WHEN q.kind IN ('review', 'lease-transfer') THEN 'blocking' WHEN q.kind IN ('api-change', 'dependency', 'interface') THEN 'warn' ELSE 'info' END AS severity,
  CASE q.kind WHEN 'api-change' THEN coalesce({STORED} || ' changed', q.subject) WHEN 'review' THEN 'Review sent back: ' || q.subject WHEN 'lease-transfer' THEN q.from_agent || ' wants ' || coalesce({STORED}, q.subject) WHEN 'dependency' THEN q.from_agent || ' is blocked on ' || coalesce(q.resource_task, 'a task') WHEN 'interface' THEN q.from_agent || ' needs an interface: ' || q.subject ELSE q.subject END AS title,
  CASE q.kind WHEN 'api-change' THEN said.phrase WHEN 'review' THEN json_extract_string(q.body, '$.reason') WHEN 'lease-transfer' THEN 'Held by ' || coalesce(q.to_agent, 'nobody') || '. Accepting hands it over atomically.' WHEN 'dependency' THEN q.subject END AS detail, q.from_agent AS actor, q.to_agent AS audience, q.created_at AS ts FROM requests q LEFT JOIN symbols s ON s.id = q.resource_symbol LEFT JOIN said ON said.id = q.resource_symbol WHERE q.state IN ('open', 'accepted')
  UNION ALL SELECT 'evt:' || id, 'contention', 'warn', coalesce(agent, 'someone') || ' was refused ' || coalesce(symbol_handle, 'a symbol'), NULL, agent, NULL, ts FROM (SELECT * FROM log ORDER BY id DESC LIMIT 400), k WHERE kind = 'lease.denied' AND ts >= now - 7200000)"""
