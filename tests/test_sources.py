@@ -144,3 +144,16 @@ def test_timers(spark, tmp_path):
             os.utime(f, (1_700_000_000 + i, 1_700_000_000 + i))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*")).select("key", F.timestamp_millis("ms").alias("at"), "until", "ended")
     assert dict(map(tuple, jobs.run_to_table(jobs.timer_expiry(stream), "append", "t").collect())) == {"x": 300_000, "w": 900}
+
+
+def test_commands_end_with_a_code(spark):
+    import os
+
+    from loomgraph.api import Workspace, answer
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        return
+    w = Workspace(spark, "/root/testdata/sf0.001")
+    assert answer(w, "show", "C7")[0] == 0 and answer(w, "symbols", "no such thing")[0] == 1
+    assert answer(w, "show", "nothing like it")[0] == 2 and answer(w, "no_command")[0] == 2
+    assert answer(w, "guard", "A1", "not/indexed.py") == (0, ['{"path":"not/indexed.py","symbol":null,"verdict":"allowed","unindexed":true,"lease":null,"via":null,"holder":null,"suggestions":null}'])
