@@ -244,9 +244,7 @@ def _(m):
 
 @query("svc_edge_rollup", "SELECT DISTINCT a.parent_id AS src, b.parent_id AS dst FROM edges e JOIN symbols a ON e.src = a.id JOIN symbols b ON e.dst = b.id WHERE e.kind = 'imports' AND a.parent_id <> b.parent_id")
 def _(m):
-    files = m.symbols.filter("kind = 'file'").select("id", "parent_id")
-    e = m.edges.filter("kind = 'imports'").join(F.broadcast(files.select(c("id").alias("src"), c("parent_id").alias("a"))), "src").join(F.broadcast(files.select(c("id").alias("dst"), c("parent_id").alias("b"))), "dst")
-    return e.filter("a <> b").select(c("a").alias("src"), c("b").alias("dst")).distinct()
+    return r.service_links(m.edges, m.symbols).filter("src <> dst").distinct()
 
 
 @query("svc_deps", "SELECT s.id, (SELECT count(*) FROM symbols f WHERE f.parent_id = s.id) AS files, count(DISTINCT x.dst) AS imports FROM symbols s LEFT JOIN (SELECT DISTINCT a.parent_id AS src, b.parent_id AS dst FROM edges e JOIN symbols a ON e.src = a.id JOIN symbols b ON e.dst = b.id WHERE e.kind = 'imports' AND a.parent_id <> b.parent_id) x ON x.src = s.id WHERE s.kind = 'service' GROUP BY s.id")
@@ -260,8 +258,7 @@ def _(m):
 
 @query("orphan_tasks", "SELECT t.id, t.assignee FROM tasks t LEFT JOIN agents a ON t.assignee = a.name, k WHERE t.state = 'running' AND (a.name IS NULL OR a.heartbeat_at < now - 60000)")
 def _(m):
-    t = m.tasks.filter("state = 'running'").join(F.broadcast(m.agents), c("assignee") == c("name"), "left")
-    return t.filter(c("name").isNull() | (c("heartbeat_at") < m.now - 60_000)).select("id", "assignee")
+    return st.orphans(m.tasks, m.agents, m.now)
 
 
 @query("goal_covers", "SELECT s.id FROM symbols s WHERE s.kind = 'method' AND EXISTS (SELECT 1 FROM task_symbols ts JOIN task_goals tg ON ts.task_id = tg.task_id WHERE ts.symbol_id = s.id AND tg.goal_id IN ('G1', 'G2', 'G4', 'G5'))")
@@ -347,9 +344,8 @@ def _(m):
 
 @query("repo_for_path", "SELECT n.path, max_by(r.r_name, length(r.r_name)) AS repo FROM nations n JOIN region r ON n.path = r.r_name OR starts_with(n.path, r.r_name || '/') GROUP BY n.path")
 def _(m):
-    roots = m.raw("region").select(c("r_name").alias("root"))
-    n = m.nations.select("path")
-    return n.join(F.broadcast(roots), fn.is_under(c("path"), c("root"))).groupBy("path").agg(F.max_by("root", F.length("root")).alias("repo"))
+    roots = m.raw("region").select(c("r_name").alias("id"), c("r_name").alias("root_path"))
+    return r.repo_of_path(m.nations.select("path"), roots).select("path", c("repo_id").alias("repo"))
 
 
 RULES = [("*", "core"), ("ASIA/", "east pm"), ("/EUROPE/NATION_*", "west"), ("db", "data"), ("NATION_1*", "ones pm"), ("*/NATION_2?", "twos")]
@@ -422,7 +418,7 @@ def _(m):
     x = m.symbols.withColumn("node", F.explode(F.filter(F.array(fn.top_dir(c("path")), c("path")), lambda p: p != ""))).filter((c("node") == c("path")) | c("path").contains("/"))
     services = m.symbols.filter("kind = 'service'").select(c("path").alias("node"))
     counts = [F.count_if(c("kind") == "file").alias("files"), F.count_if(~c("kind").isin("file", "service")).alias("symbols"), F.count_if(c("role") == "api").alias("endpoints"), F.count_if(c("role") == "test").alias("tests")]
-    return x.join(F.broadcast(services), "node", "left_semi").groupBy("node").agg(*counts)
+    return x.join(services, "node", "left_semi").groupBy("node").agg(*counts)
 
 
 @query("arch_edge_weight", "SELECT split_part(a.path, '/', 1) AS src, split_part(b.path, '/', 1) AS dst, e.kind, count(*) AS weight FROM edges e JOIN symbols a ON e.src = a.id JOIN symbols b ON e.dst = b.id WHERE e.kind <> 'contains' AND split_part(a.path, '/', 1) <> split_part(b.path, '/', 1) GROUP BY ALL")
@@ -516,7 +512,7 @@ def _(m):
 def _(m):
     up = g.ancestors(m.symbols, m.symbols.filter("kind in ('method', 'class')").select(c("id").alias("start")))
     services = m.symbols.filter("kind = 'service'").select("id")
-    return up.join(F.broadcast(services), "id").groupBy("start").agg(F.min_by("id", "depth").alias("service"))
+    return up.join(services, "id").groupBy("start").agg(F.min_by("id", "depth").alias("service"))
 
 
 BFS = "bfs AS (SELECT id AS seed, id, 0 AS distance FROM symbols WHERE role = 'api' UNION SELECT seed, e.src, distance + 1 FROM bfs JOIN edges e ON e.dst = bfs.id WHERE e.kind <> 'contains' AND distance < {}), hit AS MATERIALIZED (SELECT seed, id, min(distance) AS distance FROM bfs WHERE id <> seed GROUP BY seed, id)"
