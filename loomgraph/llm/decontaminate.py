@@ -7,7 +7,8 @@ short item doesn't shorten the jumps of the long ones.
 
 Defined cases: null text (of a document or an item) has no words; an item without words has no window; an empty
 benchmark or an empty table of documents gives zero hits or no rows; an item with fewer words than a window is one
-window; items with equal windows are all reported; repeated rows are each searched; whole texts are searched.
+window; items with equal windows are all reported; all items without an item_id count as one, which has no name in the
+list of items; repeated rows are each searched; whole texts are searched.
 The benchmark is taken in blocks of at most `block_words` words on average, one after another, so what is broadcast at
 a time is bounded; each document carries a bit per word from block to block.
 """
@@ -32,7 +33,7 @@ BLOCK = 2
 class WuManber:
     """Patterns of one length."""
 
-    def __init__(self, length: int, patterns: dict[tuple[bytes, ...], list[str]]):
+    def __init__(self, length: int, patterns: dict[tuple[bytes, ...], list[str | None]]):
         self.m, self.b = length, min(BLOCK, length)
         self.jump = self.m - self.b + 1
         self.shift: dict[tuple[bytes, ...], int] = {}
@@ -63,7 +64,7 @@ class WuManber:
 class Benchmark:
     """Search tables of a block of items."""
 
-    def __init__(self, items: list[tuple[str, bytes | None]], window: int):
+    def __init__(self, items: list[tuple[str | None, bytes | None]], window: int):
         by_length: dict[int, dict[tuple[bytes, ...], list[str]]] = {}
         for item, text in items:
             words = plain_words(text or b"")
@@ -97,7 +98,7 @@ def _benchmark(key: str, items, window: int) -> Benchmark:
 
 def _blocks(bench: DataFrame, item_col: str, text_col: str, block_words: int) -> list[DataFrame]:
     """The benchmark in parts of about block_words words; a hash of the item tells its part."""
-    items = bench.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).filter("item is not null")
+    items = bench.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n = max(1, -(-size // (6 * block_words)))
     return [items] if n == 1 else [items.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == i) for i in range(n)]
@@ -141,10 +142,10 @@ def _scan(rows, key: str, window: int, first: bool, last: bool, text_col: str, k
                 bits = np.zeros(len(words), np.uint8) if bits_before is None else np.unpackbits(np.frombuffer(bits_before, np.uint8), count=len(words))
                 found = bench.hits(words, bits) | set(found_before or ())
                 if last:
-                    out.append((len(words), int(bits.sum()), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()))
+                    out.append((len(words), int(bits.sum()), len(found), hashlib.sha256(",".join(sorted(x for x in found if x is not None)).encode()).hexdigest()))
                 else:
                     hit_bytes.append(np.packbits(bits).tobytes())
-                    hit_items.append(sorted(found))
+                    hit_items.append(list(found))
             if not last:
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], pa.array(hit_bytes, pa.binary()), pa.array(hit_items, pa.list_(pa.string()))], [*own, "__hit", "__items"])
             elif keep_all:
