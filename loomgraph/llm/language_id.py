@@ -4,8 +4,8 @@ Each language's dictionary is raw content: slices of training texts. A text is e
 every dictionary; the language whose dictionary gives the fewest bytes in total wins. A narrow margin over the second
 is a rejection, reported beside the best guess.
 
-The dictionaries are fitted on a bounded sample: about `sample_docs` documents a language, chosen by a hash of doc_id, a
-slice of at most SLICE characters of each, `dict_bytes` in all. Every text is predicted whole, however long.
+The dictionaries are fitted on a bounded sample: at most `sample_docs` documents a language, those with the smallest hash of
+id and text, a slice of at most SLICE characters of each, `dict_bytes` in all. Every text is predicted whole, however long.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; without any training row every text is
 `und`; of equal sizes the language first in order of name wins; repeated rows are each predicted; other columns,
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import byte_column, id_text, ship
@@ -65,12 +65,22 @@ def dictionaries(training: DataFrame, sample_docs: int, dict_bytes: int) -> dict
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return {}
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, sample_docs / n)))])
-    chance = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    start = 1 + F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.greatest(F.lit(1), F.length("text") - SLICE))
-    picked = rows.filter(chance < share[F.col("lang")]).select("lang", "doc_id", F.expr("xxhash64(doc_id, 11)").alias("k"), F.substring("text", start, F.lit(SLICE)).alias("piece"))
+    rank = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
+    start = 1 + F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.greatest(F.lit(1), F.length("text") - SLICE))
+    pieces = rows.select("lang", rank.alias("rank"), F.substring("text", start, F.lit(SLICE)).alias("piece"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("rank", "piece"))
+
+    def smallest(share: dict[str, float]) -> list:
+        """At most sample_docs rows of each language, of those whose rank is in the given share; ranks spread rows evenly."""
+        limit = F.create_map(*[x for lang, part in share.items() for x in (F.lit(lang), F.lit(int(part * (1 << 30))))])
+        return pieces.filter(F.col("rank") < limit[F.col("lang")]).withColumn("at", first).filter(F.col("at") <= sample_docs).collect()
+
+    picked = smallest({lang: min(1.0, 2 * sample_docs / n) for lang, n in counts.items()})
+    # Where many rows are equal, their one rank may lie outside the share.
+    without = counts.keys() - {r["lang"] for r in picked}
+    picked += smallest({lang: 1.0 for lang in without}) if without else []
     parts: dict[str, list[bytes]] = defaultdict(list)
-    for r in sorted(picked.collect(), key=lambda r: (r["k"], r["doc_id"] or 0, r["piece"])):
+    for r in sorted(picked, key=lambda r: (r["rank"], r["piece"])):
         parts[r["lang"]].append(plain(r["piece"]))
     return {lang: (b" ".join(p)[:dict_bytes] or b" " * 16).ljust(16) for lang, p in parts.items()}
 
