@@ -38,3 +38,30 @@ def test_stages(spark, tmp_path):
     assert not gone & set(got)
     assert len(clean - set(got)) <= 2  # the quality limit is a quantile
     assert all(got[i].n_tokens >= len(plain_words(docs[i].encode())) for i in got)
+
+
+def write(spark, folder, rows, schema, labels=(), bench=()):
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(str(folder / "documents.parquet"))
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+    spark.createDataFrame(list(bench), "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
+
+
+def test_ids_that_repeat_or_are_missing(spark, tmp_path):
+    rng = random.Random(2)
+    text = lambda: " ".join(f"word{rng.randrange(300)}" for _ in range(60))
+    a, b, c, d, e = (text() for _ in range(5))
+    near = a.split()
+    near[3] = "changed"
+    rows = [(1, a), (1, a), (2, b), (2, c), (None, d), (None, d), (None, a), (3, " ".join(near)), (None, e), (4, None), (None, "")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, key string"
+    write(spark, tmp_path, [(i, t, "en", "s", len(t or ""), "clash", "clash") for i, t in rows], schema)
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == [f.split()[0] for f in schema.split(", ")], name
+    assert sorted(((r.doc_id, r.text) for r in docs.collect()), key=str) == sorted([(1, a), (2, b), (2, c), (None, d), (None, e)], key=str)
+
+
+def test_empty_tables(spark, tmp_path):
+    write(spark, tmp_path, [], "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
