@@ -34,6 +34,8 @@ UPPER = bytes(range(65, 91))
 MARKS = re.compile(rb"[#$%&*|]")
 #: Bytes of text that a task holds before it hands on what it has.
 HELD = 32 << 20
+#: Bytes of text by which the partitions of the shuffle are numbered; a partition holds its different texts.
+ROUTED = 64 << 20
 #: Bytes that a held text takes beside its own, roughly.
 ENTRY = 500
 ORDERS = ["".join(p) for p in permutations(FILTERS)]
@@ -116,9 +118,9 @@ def routed(docs: DataFrame, held: int = HELD, hashed=fingerprint) -> RDD:
     """(id, part, mask, rows) of every document of docs (doc_id, text, part), once its text has met all equal ones."""
     ship(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), F.coalesce(F.col("part").cast("string"), F.lit("")))
-    rows = plain.rdd
-    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * rows.getNumPartitions())
-    return rows.mapPartitions(lambda part: ((x[0], x[1:]) for x in _read(part, held, hashed))).partitionBy(n, lambda key: key).mapPartitions(_settle)
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // ROUTED))
+    return plain.rdd.mapPartitions(lambda part: ((x[0], x[1:]) for x in _read(part, held, hashed))).partitionBy(n, lambda key: key).mapPartitions(_settle)
 
 
 def filter_masks(docs: DataFrame, held: int = HELD, hashed=fingerprint) -> DataFrame:
