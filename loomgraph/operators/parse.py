@@ -1,8 +1,7 @@
 """Symbols, references and imports of source files, and the graph that they make.
 
-Python is parsed by the standard library's `ast`. No grammars are at hand for the other languages: their declarations are found
-by patterns and closed by counting brackets, calls are names before a bracket. So nested anonymous functions, macros and
-declarations inside strings can come out differently there.
+Python is parsed by the standard library's `ast`. No grammars are at hand for the other languages: `lex` reads their tokens and goes
+over them once with a stack of open brackets. What a macro makes isn't seen, and types aren't resolved.
 """
 
 from __future__ import annotations
@@ -11,9 +10,9 @@ import ast
 import hashlib
 import json
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,6 +22,8 @@ from pyspark.sql.types import StructType
 
 from loomgraph.functions.scalars import is_test_path, parent_dir, symbol_id
 from loomgraph.operators import source_text as tx
+from loomgraph.operators.lex import Outline
+from loomgraph.sources.tables import ship, written
 
 #: Languages by file extension; files above this many bytes and these folders aren't read.
 LANGUAGES = {
@@ -86,57 +87,23 @@ def _python(data: bytes) -> tuple[list[tuple], list[tuple], list[tuple]]:
     return defs, refs, imports
 
 
-DEFINE = {
-    "rust": [("function", r"\bfn\s+(\w+)"), ("class", r"\b(?:struct|enum|union)\s+(\w+)"), ("class", r"\bimpl(?:<[^>]*>)?\s+(?:[\w:<>]+\s+for\s+)?(\w+)"), ("interface", r"\btrait\s+(\w+)"), ("module", r"\bmod\s+(\w+)\s*\{"), ("constant", r"\b(?:const|static)\s+(\w+)\s*:")],
-    "go": [("method", r"\bfunc\s+\([^)]*\)\s*(\w+)"), ("function", r"\bfunc\s+(\w+)"), ("type", r"\btype\s+(\w+)")],
-    "java": [("class", r"\b(?:class|record|enum)\s+(\w+)"), ("interface", r"\binterface\s+(\w+)"), ("method", r"(?:public|protected|private|static|final|\s)+[\w<>\[\], ]+\s+(\w+)\s*\([^;{)]*\)\s*(?:throws [\w, ]+)?\{")],
-    "csharp": [("class", r"\b(?:class|record|struct)\s+(\w+)"), ("interface", r"\binterface\s+(\w+)"), ("method", r"(?:public|protected|private|internal|static|async|\s)+[\w<>\[\], ]+\s+(\w+)\s*\([^;{)]*\)\s*\{")],
-    "cpp": [("class", r"\b(?:class|struct)\s+(\w+)\s*(?::[^;{]*)?\{"), ("function", r"(?m)^[\w:<>*&~ \t]+?\b(\w+)\s*\([^;{)]*\)\s*(?:const\s*)?\{")],
-}
-SCRIPT = [("class", r"\bclass\s+(\w+)"), ("interface", r"\binterface\s+(\w+)"), ("function", r"\bfunction\s*\*?\s*(\w+)"), ("function", r"\b(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?(?:function\b|\([^()]*\)\s*(?::[^=]+)?=>|\w+\s*=>)"), ("method", r"(?m)^[ \t]+(?:async\s+|static\s+|public\s+|private\s+)*(\w+)\s*\([^()]*\)\s*(?::[^{;]+)?\{")]
-IMPORT = {
-    "rust": [r"\buse\s+([\w:]+)", r"\bmod\s+(\w+)\s*;"],
-    "go": [r"(?m)^\s*import\s+(?:\w+\s+)?\"([^\"]+)\"", r"(?m)^\s+(?:\w+\s+)?\"([\w./-]+)\"\s*$"],
-    "java": [r"\bimport\s+(?:static\s+)?([\w.]+(?:\.\*)?)\s*;"],
-    "csharp": [r"\busing\s+(?:static\s+)?([\w.]+)\s*;"],
-    "cpp": [r"(?m)^\s*#\s*include\s*[<\"]([^>\"]+)[>\"]"],
-}
-SCRIPT_IMPORT = [r"\bimport\s+(?:[^'\";]*?\s+from\s+)?['\"]([^'\"]+)['\"]", r"\bexport\s+[^'\";]*?\s+from\s+['\"]([^'\"]+)['\"]", r"\b(?:require|import)\s*\(\s*['\"`]([^'\"`]+)['\"`]"]
-NOT_CALLS = {"if", "for", "while", "switch", "catch", "return", "function", "fn", "func", "sizeof", "match", "new", "await", "typeof", "super", "import", "require", "constructor"}
-BLANKED = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.S)
+def byte_positions(text: str, positions: Iterable[int]) -> dict[int, int]:
+    """Where positions of a text lie in its bytes; one pass over the text for all of them."""
+    if text.isascii():
+        return {x: x for x in positions}
+    out, before, size = {}, 0, 0
+    for x in sorted(set(positions)):
+        size += len(text[before:x].encode("utf-8", "surrogatepass"))
+        out[x], before = size, x
+    return out
 
 
 def _bracketed(text: str, lang: str) -> tuple[list[tuple], list[tuple], list[tuple]]:
-    """The same for languages with brackets, by patterns; positions are bytes."""
-    bare = BLANKED.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
-    at = (lambda i: i) if text.isascii() else (lambda i: tx.byte_at(text, i))
-
-    def close(i: int) -> int:
-        """End of the block or statement that starts at i."""
-        depth, opened = 0, False
-        for j in range(i, len(bare)):
-            x = bare[j]
-            if x == "{":
-                depth, opened = depth + 1, True
-            elif x == "}":
-                depth -= 1
-                if depth <= 0:
-                    return j + 1 if opened else j
-            elif x == ";" and not opened:
-                return j + 1
-        return len(bare)
-
-    defs, heads = [], set()
-    for kind, pattern in DEFINE.get(lang, SCRIPT):
-        for m in re.finditer(pattern, bare):
-            if m[1] in NOT_CALLS or m.start(1) in heads:
-                continue
-            heads.add(m.start(1))
-            start = m.start() + len(m[0]) - len(m[0].lstrip())
-            defs.append((kind, m[1], at(start), at(close(m.start(1)))))
-    refs = [(m[1], "calls", at(m.start()), at(m.end())) for m in re.finditer(r"\b([A-Za-z_$][\w$]*)\s*\(", bare) if m[1] not in NOT_CALLS and m.start(1) not in heads]
-    imports = [(m[1].strip(), at(m.start(1))) for p in IMPORT.get(lang, SCRIPT_IMPORT) for m in re.finditer(p, text) if not tx.in_comment(text, m.start(1))]
-    return defs, refs, imports
+    """The same for languages with brackets; positions are bytes."""
+    found = Outline(text, "typescript" if lang == "tsx" else lang)
+    at = byte_positions(text, [x for d in (*found.defs, *found.refs) for x in d[2:]] + [x for _, x in found.imports])
+    spans = lambda rows: [(a, b, at[x], at[y]) for a, b, x, y in rows]
+    return spans(found.defs), spans(found.refs), [(s.strip(), at[x]) for s, x in found.imports]
 
 
 def nest(defs: list[tuple], data: bytes) -> list[dict]:
@@ -166,42 +133,53 @@ def nest(defs: list[tuple], data: bytes) -> list[dict]:
     return out
 
 
-def innermost(symbols: list[dict], start: int, end: int) -> int:
-    """Index of the innermost symbol that holds a span; -1: the file."""
-    best = -1
-    for i, s in enumerate(symbols):
-        if s["start"] <= start and end <= s["end"] and (best < 0 or s["start"] > symbols[best]["start"]):
-            best = i
-    return best
+def owners(symbols: list[dict], spans: list[tuple[int, int]]) -> list[int]:
+    """Index of the innermost symbol that holds each span; -1: the file. Symbols and spans are swept together by their starts, with a stack of the symbols that are open."""
+    out, open_, n = [-1] * len(spans), [], 0
+    for k in sorted(range(len(spans)), key=lambda k: spans[k]):
+        start, end = spans[k]
+        while n < len(symbols) and symbols[n]["start"] <= start:
+            while open_ and symbols[open_[-1]]["end"] <= symbols[n]["start"]:
+                open_.pop()
+            open_.append(n)
+            n += 1
+        while open_ and symbols[open_[-1]]["end"] <= start:
+            open_.pop()
+        out[k] = next((i for i in reversed(open_) if end <= symbols[i]["end"]), -1)
+    return out
+
+
+#: Marks above a test and the frameworks they tell of, the first that is there counting; beginnings of a test's name;
+#: how many bytes above a symbol are looked at, and how far behind a route the symbol it annotates begins at most.
+TEST_MARKS = (("#[test]", "rust"), ("#[tokio::test]", "rust"), ("@Test", "junit"), ("[Fact]", "xunit"), ("[Test]", "xunit"))
+TEST_NAMES = ("test_", "Test")
+ABOVE, ANNOTATES = 200, 400
 
 
 def roles(path: str, text: str, symbols: list[dict]) -> None:
-    """Sets role and meta of a file's symbols: tests by annotation, name or path; endpoints, which win, by their routes."""
-    by_path = _test_path(path)
-    data = text.encode("utf-8", "surrogatepass")
-    ends = sorted(s["end"] for s in symbols)
+    """Sets role and meta of a file's symbols: tests by a mark above them, their name or their path; endpoints, which win, by their routes."""
+    data, in_tests = text.encode("utf-8", "surrogatepass"), _test_path(path)
+    ends, starts = sorted(s["end"] for s in symbols), [s["start"] for s in symbols]
     for s in symbols:
-        s["role"], s["meta"] = None, None
+        s["role"], s["meta"], framework = None, None, None
         if s["kind"] in CALLABLE:
-            floor = max((e for e in ends if e <= s["start"]), default=0)
-            above = data[max(s["start"] - 200, floor) : s["start"]].decode("utf-8", "ignore")
-            framework = (
-                "rust" if "#[test]" in above or "#[tokio::test]" in above
-                else "junit" if "@Test" in above
-                else "xunit" if "[Fact]" in above or "[Test]" in above
-                else "naming" if s["name"].startswith(("test_", "Test"))
-                else "path" if by_path else None
-            )
-            if framework:
-                s["role"], s["meta"] = "test", json.dumps({"framework": framework})
+            # What stands above belongs to the symbol before if that ends there.
+            before = bisect_right(ends, s["start"])
+            above = data[max(s["start"] - ABOVE, ends[before - 1] if before else 0) : s["start"]]
+            named = "naming" if s["name"].startswith(TEST_NAMES) else "path" if in_tests else None
+            framework = next((f for mark, f in TEST_MARKS if mark.encode() in above), named)
+        if framework:
+            s["role"], s["meta"] = "test", json.dumps({"framework": framework})
+    declared = tx.route_hits(text)
+    at = byte_positions(text, [h[0] for h in declared])
+    by_name: dict[str, int] = {}
+    for i, s in enumerate(symbols):
+        by_name.setdefault(s["name"], i)
     found: dict[int, list[dict]] = {}
-    for at, method, route, handler in tx.route_hits(text):
-        at = tx.byte_at(text, at)
-        i = next((i for i, s in enumerate(symbols) if handler and s["name"] == handler), -1)
-        i = innermost(symbols, at, at + 1) if i < 0 else i
-        if i < 0:
-            near = [(s["start"], i) for i, s in enumerate(symbols) if 0 <= s["start"] - at < 400]
-            i = min(near)[1] if near else -1
+    for (place, method, route, handler), around in zip(declared, owners(symbols, [(at[h[0]], at[h[0]] + 1) for h in declared]), strict=True):
+        nxt = bisect_left(starts, at[place])
+        follows = nxt if nxt < len(symbols) and starts[nxt] - at[place] < ANNOTATES else -1
+        i = by_name.get(handler, around if around >= 0 else follows) if handler else around if around >= 0 else follows
         one = {"method": method, "path": route}
         if i >= 0 and one not in found.setdefault(i, []):
             found[i].append(one)
@@ -230,18 +208,11 @@ def parse_text(path: str, text: str) -> dict | None:
     specifiers = [s for s, _ in sorted(set(imports), key=lambda x: x[1])]
     return {
         "lang": lang, "content_hash": short_hash(data), "own_hash": elided_hash(data, 0, len(data), [(s["start"], s["end"]) for s in symbols if s["parent"] < 0]),
-        "symbols": symbols, "refs": [{"name": n, "kind": k, "owner": innermost(symbols, a, b)} for n, k, a, b in refs], "imports": [s for i, s in enumerate(specifiers) if s and s not in specifiers[:i]],
-        "tables": [{"owner": i, "name": t} for i, s in enumerate(symbols) for t in _tables_in(data[s["start"] : s["end"]].decode("utf-8", "ignore"))],
+        "symbols": symbols, "refs": [{"name": n, "kind": k, "owner": i} for (n, k, _, _), i in zip(refs, owners(symbols, [r[2:] for r in refs]), strict=True)], "imports": [s for i, s in enumerate(specifiers) if s and s not in specifiers[:i]],
+        "tables": [{"owner": i, "name": t} for i, s in enumerate(symbols) for t in sorted(set(tx.tables_named(data[s["start"] : s["end"]].decode("utf-8", "ignore"))))],
     }
 
 
-REFERENCE = re.compile(tx.REFS)
-
-
-def _tables_in(text: str) -> list[str]:
-    return sorted({re.sub(r"^[\s\"`\[\]]+|[\s\"`\[\]]+$", "", m[1].rpartition(".")[2]).lower() for m in REFERENCE.finditer(text)})
-
-
 SYMBOL = "struct<kind: string, name: string, fqn: string, parent: int, start: long, end: long, start_line: long, end_line: long, body_hash: string, own_hash: string, disambiguator: long, role: string, meta: string>"
 PARSED = f"path string, lang string, content_hash string, own_hash string, parsed boolean, symbols array<{SYMBOL}>, refs array<struct<name: string, kind: string, owner: int>>, imports array<string>, tables array<struct<owner: int, name: string>>"
 
@@ -251,6 +222,8 @@ def parse_files(files: DataFrame) -> DataFrame:
 
     Files of other kinds give no row. A file is parsed by itself, so the work is spread by file.
     """
+    ship(files.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -330,8 +303,10 @@ def import_candidates(lang: str, path: str, spec: str) -> list[str]:
                 folders.append(folder)
         return [at(f, x) for f in folders for x in (f"{rest}.py", f"{rest}/__init__.py")]
     if lang == "rust":
-        parts = spec.split("::")
-        if len(parts) == 1:
+        parts = [p for p in spec.partition("{")[0].partition(" as ")[0].strip().split("::") if p and p != "*"]
+        if not parts:
+            return []
+        if len(parts) == 1 and "::" not in spec:
             stem = path.removesuffix(".rs")
             return [at(d, x) for d in (folder, stem) for x in (f"{spec}.rs", f"{spec}/mod.rs")]
         top = path.split("/")
@@ -350,6 +325,7 @@ def resolve_imports(parsed: DataFrame, files: DataFrame) -> DataFrame:
     and an include that no path leads to, mean the one file of that name; a Go import the files of the folder that ends with
     most of it. Others are of third parties.
     """
+    ship(parsed.sparkSession)
     schema = "path string, lang string, specifier string, rank int, candidate string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -428,7 +404,7 @@ def scan(present: DataFrame, stored_files: DataFrame | None = None, stored_symbo
     fresh = sources
     if stored_files is not None and not force:
         fresh = sources.join(stored_files.select("path", "content_hash"), ["path", "content_hash"], "left_anti")
-    parsed = parse_files(fresh)
+    parsed = written(parse_files(fresh), "parsed")  # it is read for symbols, references, imports and counts
     made = symbols_of(parsed, repo)
     tables = table_symbols(fresh, repo)
     null = F.lit(None).cast("string")

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.operators.graph import components_of_cycles, descendants
-from loomgraph.sources.tables import written
+from loomgraph.sources.tables import ship, written
 
 #: How long a waiter, a session and an agent count as there without a sign of life.
 WAITER_MS, SESSION_MS, AGENT_MS = 15_000, 60_000, 60_000
@@ -163,6 +163,7 @@ def replay(commands: pd.DataFrame) -> pd.DataFrame:
 
 def lease_fold(commands: DataFrame) -> DataFrame:
     """Outcomes of all commands; `root` is the containment root of a command's symbol. A key's commands are replayed in one task."""
+    ship(commands.sparkSession)
     return commands.groupBy("root").applyInPandas(replay, COLUMNS)
 
 
@@ -216,6 +217,7 @@ def replay_task(commands: pd.DataFrame) -> pd.DataFrame:
 
 def task_fold(commands: DataFrame) -> DataFrame:
     """(id, task, outcome, state, assignee, event). commands: id, ts, task, op, agent, value, force."""
+    ship(commands.sparkSession)
     return commands.groupBy("task").applyInPandas(replay_task, "id long, task string, outcome string, state string, assignee string, event string")
 
 
@@ -253,6 +255,7 @@ def replay_request(commands: pd.DataFrame) -> pd.DataFrame:
 
 def request_fold(commands: DataFrame) -> DataFrame:
     """(id, request, outcome, state). commands: id, ts, request, op, agent, from_agent, to_agent, kind, deadline_at (of the open command)."""
+    ship(commands.sparkSession)
     return commands.groupBy("request").applyInPandas(replay_request, "id long, request string, outcome string, state string")
 
 
@@ -286,6 +289,7 @@ def replay_sessions(commands: pd.DataFrame) -> pd.DataFrame:
 
 def session_fold(commands: DataFrame) -> DataFrame:
     """(id, agent, outcome, released). commands: id, ts, agent, session, op, transport, keep."""
+    ship(commands.sparkSession)
     return commands.groupBy("agent").applyInPandas(replay_sessions, "id long, agent string, outcome string, released boolean")
 
 
@@ -381,5 +385,6 @@ def infer_dependencies(task_symbols: DataFrame, edges: DataFrame, tasks: DataFra
     parts = components_of_cycles(links.select(F.col("task_id").alias("a"), F.col("depends_on").alias("b")))
     a, b = (parts.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}")) for end in ("task_id", "depends_on"))
     placed = links.join(a, "task_id", "left").join(b, "depends_on", "left").withColumn("together", F.coalesce(F.col("c_task_id") == F.col("c_depends_on"), F.lit(False)))
+    ship(deps.sparkSession)
     checked = placed.filter("together").groupBy("c_task_id").applyInPandas(without_cycles, "task_id string, depends_on string, via string, edge string")
     return placed.filter("not together and not known").select("task_id", "depends_on", "via", "edge").unionByName(checked)

@@ -636,10 +636,11 @@ def _(m):
 # Text
 
 
-REF = r"(?is)\b(?:from|join|into|update|delete\s+from|table)\s+((?:[\"`\[]?[A-Za-z_]\w*[\"`\]]?\s*\.\s*)*[\"`\[]?[A-Za-z_]\w*[\"`\]]?)"
+#: Words of a text without blanks around dots; a name is what is left of the part behind the last dot without quotes.
+REFERRED = "words AS (SELECT doc_id, list_filter(string_split_regex(regexp_replace(text || chr(10) || 'UPDATE `Shop` . [brand' || (doc_id % 40) || '] SET a = 1; select x FROM' || chr(10) || 'nowhere' || doc_id, '\\s*\\.\\s*', '.', 'g'), '\\s+'), x -> x <> '') AS w FROM documents), named AS (SELECT doc_id, regexp_extract(lower(w[i]), '[a-z0-9_]*$') AS word, lower(regexp_extract(list_last(string_split(regexp_extract(w[i + 1], '^[A-Za-z0-9_.\"`\\[\\]]*'), '.')), '[A-Za-z0-9_]+')) AS tbl FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM words))"
 
 
-@query("rx_table_refs", f"SELECT DISTINCT path, tbl AS \"table\" FROM (SELECT CAST(doc_id AS VARCHAR) AS path, lower(trim(trim(list_last(string_split(unnest(regexp_extract_all(text, '{REF}', 1)), '.'))), '\"`[]')) AS tbl FROM (SELECT doc_id, text || chr(10) || 'UPDATE `Shop` . [brand' || (doc_id % 40) || '] SET a = 1; select x FROM' || chr(10) || 'nowhere' || doc_id AS text FROM documents)) WHERE tbl IN (SELECT lower(replace(p_brand, '#', '')) FROM part)")
+@query("rx_table_refs", "SELECT DISTINCT CAST(doc_id AS VARCHAR) AS path, tbl AS \"table\" FROM named WHERE word IN ('from', 'join', 'into', 'update', 'table') AND tbl IN (SELECT lower(replace(p_brand, '#', '')) FROM part)", REFERRED)
 def _(m):
     more = F.concat(F.lit("\nUPDATE `Shop` . [brand"), (c("doc_id") % 40).cast("string"), F.lit("] SET a = 1; select x FROM\nnowhere"), c("doc_id").cast("string"))
     files = m.raw("documents").select(c("doc_id").cast("string").alias("path"), F.concat("text", more).alias("text"))

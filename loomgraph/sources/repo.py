@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators.parse import MOST_BYTES, is_indexable
 from loomgraph.operators.relational import _glob
+from loomgraph.sources.tables import ship
 
 #: Folders that are never walked.
 SKIPPED = (".git", "node_modules", "target", "dist", "build", "__pycache__", ".venv")
@@ -78,6 +79,7 @@ def walk(spark: SparkSession, root: str) -> DataFrame:
                     texts.append(f.read().decode("utf-8", "replace"))
             yield part.assign(text=texts)
 
+    ship(spark)
     names = spark.createDataFrame(kept, "path string, size long").filter(is_indexable(F.col("path")))
     return names.repartition(max(1, min(1000, len(kept) // 50))).mapInPandas(read, "path string, size long, text string")
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,3 +42,20 @@ def dropped(df: DataFrame) -> None:
         if "/loomgraph/" in folder:
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package's source to the executors once per application, so that Python workers import it wherever they run. Whatever hands a function to them calls this first."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    to = os.path.join(tempfile.mkdtemp(prefix="loomgraph-src-"), "loomgraph_model.zip")
+    with zipfile.ZipFile(to, "w") as z:
+        for at, _, names in os.walk(package):
+            for name in names:
+                full = os.path.join(at, name)
+                if name.endswith(".py"):
+                    z.write(full, os.path.relpath(full, os.path.dirname(package)))
+    spark.sparkContext.addPyFile(to)
+    _shipped.add(app)

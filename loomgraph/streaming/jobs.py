@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from loomgraph.sources.tables import shared_dir
+from loomgraph.sources.tables import shared_dir, ship
 
 
 def event_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1000) -> DataFrame:
@@ -46,6 +46,7 @@ def expire(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
 
 def lease_expiry(heartbeats: DataFrame, late: str = "10 minutes") -> DataFrame:
     """(lease, expired_at) from a stream of (lease, at timestamp, expires_at ms)."""
+    ship(heartbeats.sparkSession)
     return heartbeats.withWatermark("at", late).groupBy("lease").applyInPandasWithState(expire, "lease string, expired_at long", "until long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
@@ -54,6 +55,7 @@ def timer_expiry(signs: DataFrame, late: str = "10 minutes") -> DataFrame:
 
     Sessions, waiters and requests lapse like leases: until is the last sign plus 60 s, plus 15 s, or the deadline.
     """
+    ship(signs.sparkSession)
     return signs.withWatermark("at", late).groupBy("key").applyInPandasWithState(lapse, "key string, expired_at long", "until long, ended boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
