@@ -1,16 +1,17 @@
 """Media columns: content-addressed payloads in tar shards, with metadata read off their headers.
 
 A payload is stored as a lossless greyscale PNG of 64 samples a row, named by the SHA-256 of the payload, in a tar file in the
-shared folder; a row carries the digest, the shard, the offset and the length. Each payload is stored once: a task encodes a digest
-once however often it reads it, the encoded payloads are shuffled by digest, and the task that a digest comes to writes it once. Rows
-themselves don't move with their payloads.
+shared folder; a row carries the digest, the shard, the offset and the length. Payloads aren't shuffled: a task writes what it reads,
+a digest once however often it meets it, so a payload that a third of all rows have is written once by each task. Of the places that
+several tasks wrote a digest to, the index names the first; the other copies stay in their shards, where nothing leads to them. Only
+digests and places are aggregated and joined.
 
 Metadata columns come from range reads of a member's first bytes (PNG signature and header chunk), so a table of terabytes is
 described by reading a few bytes a member. Only what asks for samples reads whole members, in the order they lie in, many ranges of a
 shard by one task and one shard by many tasks.
 
 A shard's rows are handed on once its file is closed, and the index is written as a table: a task that is run again writes another
-file, and files that the index doesn't name are removed at the end.
+file, and files of which the index names nothing are removed at the end.
 
 Defined cases: a null text is empty; an empty payload is 64 zero bytes, as a payload has a positive multiple of 64; texts that differ
 only in zero bytes at their end can share a payload. Rows that repeat a doc_id, or have none, each have a row in the result. Very long
@@ -39,7 +40,7 @@ from loomgraph.llm.common import drop_table, materialize, shared_dir, ship
 WIDTH = 64
 #: PNG's signature and the bytes up to the end of its header chunk; tar's block.
 SIGNATURE, HEADER_BYTES, TAR_BLOCK = b"\x89PNG\r\n\x1a\n", 33, 512
-#: Digests that a task remembers to have encoded; forgetting one costs a second encoding, which the writer passes over.
+#: Digests that a task remembers to have written; forgetting one costs a second copy, which the index doesn't name.
 REMEMBERED = 200_000
 INDEX = "digest binary, shard string, at long, length long"
 METADATA = INDEX + ", format string, width long, height long, bit_depth int, channels int"
@@ -148,31 +149,19 @@ def payload_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.select("doc_id", n.cast("long").alias("n_bytes"), F.unhex(F.sha2(payload, 256)).alias("digest"), payload.alias("payload"))
 
 
-def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(digest, media) of the payloads that the task hasn't met."""
-    seen: set[bytes] = set()
-    for batch in batches:
-        rows = []
-        for digest, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            if digest not in seen:
-                if len(seen) >= REMEMBERED:
-                    seen.clear()
-                seen.add(digest)
-                rows.append((digest, encode(payload.as_py())))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1)], ["digest", "media"])
-
-
 def _writer(store: str, shard_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         shard = None
         for batch in batches:
-            for digest, media in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for digest, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if digest in seen:
                     continue
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
                 seen.add(digest)
                 shard = shard or Shard(store)
-                shard.add(digest, media.as_py())
+                shard.add(digest, encode(payload.as_py()))
                 if shard.tar.offset >= shard_bytes:
                     yield shard.close()
                     shard = None
@@ -182,18 +171,11 @@ def _writer(store: str, shard_bytes: int) -> Callable[[Iterator[pa.RecordBatch]]
     return run
 
 
-def write_store(payloads: DataFrame, store: str, shard_bytes: int = 256 << 20, task_bytes: int = 128 << 20, total: int | None = None) -> DataFrame:
-    """Index (digest, shard, at, length) of the payloads (digest, payload), each stored once in tar files of about shard_bytes below `store`.
-
-    total: bytes of all payloads, by which the writing tasks are numbered: a task holds 32 bytes of memory for each digest it writes.
-    """
+def write_store(payloads: DataFrame, store: str, shard_bytes: int = 256 << 20) -> DataFrame:
+    """Index (digest, shard, at, length) of the payloads (digest, payload), stored in tar files of up to about shard_bytes below `store`; a digest has one place in it."""
     ship(payloads.sparkSession)
-    spark = payloads.sparkSession
-    if total is None:
-        total = payloads.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // task_bytes))
-    coded = payloads.select("digest", "payload").mapInArrow(_encoded, "digest binary, media binary")
-    index = materialize(coded.repartition(n, "digest").mapInArrow(_writer(store, shard_bytes), INDEX), "media-index")
+    stored = payloads.select("digest", "payload").mapInArrow(_writer(store, shard_bytes), INDEX)
+    index = materialize(stored.groupBy("digest").agg(F.min(F.struct("shard", "at", "length")).alias("place")).select("digest", "place.*"), "media-index")
     _remove_unnamed(index, store)
     return index
 
@@ -210,9 +192,10 @@ def _remove_unnamed(index: DataFrame, store: str) -> None:
 
 
 def _ranges(index: DataFrame, span: int = 32 << 20) -> DataFrame:
-    """The index dealt out by stretches of shards, in the order in which they lie there."""
-    keys = ["shard", F.expr(f"at div {span}")]
-    return index.repartition(*keys).sortWithinPartitions("shard", "at")
+    """The index dealt out by stretches of shards, in the order in which they lie there; the index is small, so the tasks are numbered by the bytes it points to."""
+    total = index.agg(F.sum("length")).first()[0] or 0
+    n = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // span)
+    return index.repartition(n, "shard", F.expr(f"at div {span}")).sortWithinPartitions("shard", "at")
 
 
 def _reading(fn: Callable, ddl: str, names: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -263,8 +246,7 @@ def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     store = store or f"{shared_dir(df.sparkSession)}/loomgraph/media-{uuid.uuid4().hex}"
     rows = payload_rows(df, id_col, text_col)
     narrow = materialize(rows.select("doc_id", "n_bytes", "digest"), "media-rows")
-    total = narrow.agg(F.sum(F.col("n_bytes") + WIDTH)).first()[0] or 0
-    index = write_store(rows, store, shard_bytes, total=total)
+    index = write_store(rows, store, shard_bytes)
     described = materialize(read_metadata(index), "media-metadata")
     drop_table(index)
     return narrow.join(described, "digest"), described
