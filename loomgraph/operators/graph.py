@@ -3,13 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgraph.sources.tables import dropped, written
-
-#: Graphs of up to this many links are searched on the driver: two strings a link, some 30 MB. Larger ones go by joins; the results are the same.
-SMALL = 200_000
-
+from loomgraph.sources.tables import counted, dropped, tidy, written
 
 def descendants(symbols: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame:
     """(root, id, depth) of all nested symbols of `roots` (root); a step for each level of the containment tree."""
@@ -64,101 +61,124 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return reached.filter("distance > 0")
 
 
-def trim_to_cycles(links: DataFrame, hops: int = 4) -> DataFrame:
-    """Links (a, b) without many of those whose ends lie on no cycle.
+def along(links: DataFrame) -> tuple[list[DataFrame], DataFrame, DataFrame]:
+    """Follow links (id, to), one for each id, to their ends, by steps that double.
+
+    Returns jumps, where jumps[k] has (id, to, least) of what lies 2^k links on among the ids and the smallest node on the way;
+    ends (id, end, dist), the first node that is no id and its distance; and the last jump of those that never end, as their way
+    leads into a cycle. A round is one join of a row an id at most, and rounds grow with the logarithm of the longest way.
+    """
+    ids = links.select(F.col("id").alias("to"))
+    none, left = F.lit(None), {"left": F.count_if(F.col("end").isNull()), "met": F.count_if(F.col("end").isNull() & (F.col("least") == F.col("id")))}
+    first = links.join(ids.withColumn("inside", F.lit(True)), "to", "left")
+    made, n = counted(first.select("id", "to", F.col("to").alias("least"), F.when(F.col("inside").isNull(), F.col("to")).alias("end"), F.lit(1).cast("long").alias("dist")), "along", **left)
+    jumps, ends, steps, before, image = [], made.filter("end is not null").select("id", "end", "dist"), 1, -1, -1
+    while True:
+        jump = made.filter("end is null").select("id", "to", "least")
+        if not n["left"]:
+            return jumps, ends, jump
+        jumps.append(jump)
+        # Nothing ran off in this round, what is reached grows no smaller, so it is all on cycles, and each cycle has met its smallest node.
+        if n["left"] == before and n["met"]:
+            reached, image = image, jump.agg(F.count_distinct("to")).first()[0]
+            if reached == image and _all_closed(jump):
+                return jumps, ends, jump
+        before = n["left"]
+        on = ends.select(F.col("id").alias("to"), "end", F.col("dist").alias("more"), none.cast("string").alias("next"), none.cast("string").alias("low"))
+        on = on.unionByName(jump.select(F.col("id").alias("to"), none.cast("string").alias("end"), none.cast("long").alias("more"), F.col("to").alias("next"), F.col("least").alias("low")))
+        made, n = counted(jump.join(on, "to").select("id", F.col("next").alias("to"), F.least("least", "low").alias("least"), "end", (F.col("more") + steps).alias("dist")), "along", **left)
+        ends = ends.unionAll(made.filter("end is not null").select("id", "end", "dist"))
+        steps *= 2
+
+
+def _all_closed(jump: DataFrame) -> bool:
+    """Whether the smallest nodes that lie ahead of what is reached have met themselves."""
+    leaders = jump.filter("least = id").select(F.col("id").alias("least"))
+    reached = jump.join(jump.select(F.col("to").alias("id")).distinct(), "id", "left_semi")
+    return reached.join(leaders, "least", "left_anti").isEmpty()
+
+
+def passed(starts: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+    """(id, label) of all that lies on the way from starts (id, label) along the jumps, the starts too: each jump, the longest first, doubles what is known."""
+    for jump in reversed(jumps):
+        more = starts.join(jump.select("id", F.col("to").alias("next")), "id").select(F.col("next").alias("id"), "label")
+        starts = written(starts.unionByName(more).distinct(), "passed")
+    return starts
+
+
+def trim_to_cycles(links: DataFrame, n: int, hops: int = 3) -> tuple[DataFrame, int]:
+    """Links (a, b) without many of those whose ends lie on no cycle, and their number; n: about how many there are.
 
     A round takes nodes without an incoming or an outgoing link away, `hops` times before it is written. It ends when a round
     takes away less than a fiftieth: the search that follows doesn't need the rest to be gone.
     """
-    n = links.count()
     while True:
         kept = links
         for _ in range(hops):
             kept = kept.join(kept.select(F.col("a").alias("b")).distinct(), "b", "left_semi").join(kept.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select("a", "b")
-        kept = written(kept, "trim")
-        left = kept.count()
-        if n - left < max(1, n // 50):
-            return kept
-        links, n = kept, left
-
-
-def _strong_components(links: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    """(node, smallest node of its component) on the driver: one depth-first search with low links, without recursion."""
-    after: dict[str, list[str]] = {}
-    for a, b in links:
-        after.setdefault(a, []).append(b)
-    selves = {a for a, b in links if a == b}
-    order: dict[str, int] = {}
-    low: dict[str, int] = {}
-    open_: list[str] = []
-    is_open: set[str] = set()
-    out = []
-    for root in after:
-        if root in order:
-            continue
-        trail = [(root, iter(after[root]))]
-        order[root] = low[root] = len(order)
-        open_.append(root)
-        is_open.add(root)
-        while trail:
-            node, rest = trail[-1]
-            for nxt in rest:
-                if nxt not in order:
-                    order[nxt] = low[nxt] = len(order)
-                    open_.append(nxt)
-                    is_open.add(nxt)
-                    trail.append((nxt, iter(after.get(nxt, ()))))
-                    break
-                if nxt in is_open:
-                    low[node] = min(low[node], order[nxt])
-            else:
-                trail.pop()
-                if trail:
-                    low[trail[-1][0]] = min(low[trail[-1][0]], low[node])
-                if low[node] == order[node]:
-                    part = []
-                    while not part or part[-1] != node:
-                        part.append(open_.pop())
-                        is_open.discard(part[-1])
-                    if len(part) > 1 or node in selves:
-                        least = min(part)
-                        out += [(x, least) for x in part]
-    return out
-
-
-def components_of_cycles(links: DataFrame, small: int = SMALL) -> DataFrame:
+        links, left = counted(kept, "trim")
+        if not left["n"] or n - left["n"] < max(1, n // 50):
+            return links, left["n"]
+        n = left["n"]
+
+
+@tidy
+def components_of_cycles(links: DataFrame) -> DataFrame:
     """(node, component) of strongly connected components with more than one node or a self link; component: smallest node.
 
-    Colouring: each node takes the smallest node that reaches it; those that reach that node back within its colour are its component.
+    Nodes with one outgoing link are chains: they are followed by doubling, which finds the cycles that are made of them alone. What
+    is left is a graph of the nodes with several outgoing links, each led along a chain to the next of its kind; its components
+    are found by labels, and the chains between two nodes of one component belong to it.
+    """
+    per = F.count(F.lit(1)).over(W.partitionBy("a"))
+    links, n = counted(links.select(F.col("a").cast("string"), F.col("b").cast("string")).distinct().withColumn("n", per), "links", forks=F.count_if(F.col("n") > 1))
+    jumps, ends, basin = along(links.filter("n = 1").select(F.col("a").alias("id"), F.col("b").alias("to")))
+    found = basin.join(basin.select(F.col("to").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("node"), F.col("least").alias("component"))
+    if n["forks"]:
+        forks = links.filter("n > 1").select("a", "b")
+        ways = ends.join(forks.select(F.col("a").alias("end")).distinct(), "end", "left_semi").select(F.col("id").alias("b"), "end")
+        led = forks.join(ways, "b", "left").join(forks.select(F.col("a").alias("b")).distinct().withColumn("fork", F.lit(True)), "b", "left")
+        led, n = counted(led.select("a", F.col("b").alias("first"), F.coalesce("end", F.when(F.col("fork"), F.col("b"))).alias("b")).filter("b is not null"), "led")
+        parts = _components_by_labels(led.select("a", "b").distinct(), n["n"])
+        if jumps or not ends.isEmpty():
+            a, b = (parts.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+            inner = led.join(a, "a").join(b, "b").filter("ca = cb and first <> b").select(F.col("first").alias("id"), F.col("ca").alias("label"))
+            between = passed(inner.distinct(), jumps).select(F.col("id").alias("node"), F.col("label").alias("component"))
+            # A component's smallest node can be one of a chain.
+            whole = parts.unionByName(between).distinct()
+            least = whole.groupBy("component").agg(F.min("node").alias("least"))
+            parts = whole.join(least, "component").select("node", F.col("least").alias("component"))
+        found = found.unionByName(parts)
+    return found
+
+
+def _components_by_labels(links: DataFrame, n: int) -> DataFrame:
+    """The same by two labels a node: the smallest node that reaches it and the smallest one that it reaches. Where they are equal, that node is its component's.
+
+    A round passes labels on along all links, both ways, and by way of the nodes they name, which halves what is left. Then links
+    between nodes with other labels can't lie on a cycle; what is left without the components that are found is searched again.
     """
-    links = written(links.select(F.col("a").cast("string"), F.col("b").cast("string")).distinct(), "links")
-    if links.limit(small + 1).count() <= small:
-        return links.sparkSession.createDataFrame(_strong_components([(r.a, r.b) for r in links.collect()]), "node string, component string")
     found = None
-    links = trim_to_cycles(links)
-    while not links.isEmpty():
-        colour = written(links.select(F.col("a").alias("node")).union(links.select("b")).distinct().withColumn("colour", F.col("node")), "colour")
-        while True:
-            seen = links.join(colour, links["a"] == colour["node"]).groupBy("b").agg(F.min("colour").alias("seen"))
-            step = written(colour.join(seen, colour["node"] == seen["b"], "left").select("node", F.least("colour", F.coalesce("seen", "colour")).alias("colour"), (F.col("seen") < F.col("colour")).alias("changed")), "colour")
-            changed = not step.filter("changed").isEmpty()
-            dropped(colour)
-            colour = step.select("node", "colour")
-            if not changed:
-                break
-        a, b = (colour.withColumnsRenamed({"node": x, "colour": f"c{x}"}) for x in "ab")
-        same = written(links.join(a, "a").join(b, "b").filter("ca = cb").select("a", "b", F.col("ca").alias("colour")), "same")
-        back = written(colour.filter("node = colour").select("node", "colour"), "back")
-        frontier = back
-        while not frontier.isEmpty():
-            more = same.join(frontier.select(F.col("node").alias("b"), "colour"), ["b", "colour"]).select(F.col("a").alias("node"), "colour").distinct()
-            frontier = written(more.join(back, ["node", "colour"], "left_anti"), "back")
-            back = written(back.unionAll(frontier), "back")
-        ends = same.join(back.select(F.col("node").alias("a"), "colour"), ["a", "colour"], "left_semi").join(back.select(F.col("node").alias("b"), "colour"), ["b", "colour"], "left_semi")
-        part = written(ends.select(F.col("a").alias("node"), F.col("colour").alias("component")).distinct(), "cycles")
+    links, n = trim_to_cycles(links, n)
+    while n:
+        nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+        label, changed = nodes.select("node", F.col("node").alias("behind"), F.col("node").alias("ahead")), 1
+        while changed:
+            told = links.join(label, links["a"] == label["node"]).select(F.col("b").alias("node"), "behind", F.lit(None).cast("string").alias("ahead"))
+            told = told.unionByName(links.join(label, links["b"] == label["node"]).select(F.col("a").alias("node"), F.lit(None).cast("string").alias("behind"), "ahead"))
+            own = label.select("node", "behind", "ahead", F.col("behind").alias("b0"), F.col("ahead").alias("a0")).unionByName(told, allowMissingColumns=True)
+            step = own.groupBy("node").agg(*[F.min(x).alias(x) for x in ("behind", "ahead", "b0", "a0")])
+            by = lambda x, name: step.select(F.col("node").alias(x), F.col(x).alias(name))  # noqa: B023, E731
+            step = step.join(by("behind", "b2"), "behind").join(by("ahead", "a2"), "ahead")
+            step = step.select("node", F.least("behind", "b2").alias("behind"), F.least("ahead", "a2").alias("ahead"), "b0", "a0")
+            label, seen = counted(step, "labels", changed=F.count_if((F.col("behind") < F.col("b0")) | (F.col("ahead") < F.col("a0"))))
+            label, changed = label.select("node", "behind", "ahead"), seen["changed"]
+        a, b = (label.withColumnsRenamed({"node": x, "behind": f"{x}_behind", "ahead": f"{x}_ahead"}) for x in "ab")
+        same = links.join(a, "a").join(b, "b").filter("a_behind = b_behind and a_ahead = b_ahead")
+        # A node alone is a component only with a link to itself.
+        part = same.filter("a_behind = a_ahead").select(F.col("a").alias("node"), F.col("a_behind").alias("component")).distinct()
         found = part if found is None else found.unionAll(part)
-        rest = links.join(back.select(F.col("node").alias("a")), "a", "left_anti").join(back.select(F.col("node").alias("b")), "b", "left_anti")
-        links = trim_to_cycles(written(rest.select("a", "b"), "rest"))
+        links, n = trim_to_cycles(same.filter("a_behind <> a_ahead").select("a", "b"), n)
     if found is None:
         return links.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
     return found
@@ -183,62 +203,53 @@ def would_cycle(asked: DataFrame, deps: DataFrame) -> DataFrame:
     return pairs.join(hit, ["task_id", "depends_on"], "left").select("task_id", "depends_on", F.coalesce("hit", F.lit(False)).alias("closes"))
 
 
-def _levels(open_: set[str], unmet: list[tuple[str, str]], most: int) -> list[tuple[str, int]]:
-    """(id, level) on the driver: how often a task waits is counted down as its dependencies get their levels."""
-    waits = dict.fromkeys(open_, 0)
-    after: dict[str, list[str]] = {}
-    for task, dep in unmet:
-        waits[task] += 1
-        after.setdefault(dep, []).append(task)
-    now, out, level = [t for t, n in waits.items() if not n], [], 0
-    while now and level < most:
-        out += [(t, level) for t in now]
-        nxt = []
-        for t in now:
-            for u in after.get(t, ()):
-                waits[u] -= 1
-                if not waits[u]:
-                    nxt.append(u)
-        now, level = nxt, level + 1
-    return out
-
-
-def waves(tasks: DataFrame, deps: DataFrame, cyclic: DataFrame, most: int = 64, small: int = SMALL) -> DataFrame:
-    """(id, level) of pending and blocked tasks off cycles: level by level, a task whose dependencies are done, unknown or in an earlier level."""
-    open_ = tasks.filter("state in ('pending', 'blocked')").select("id").join(cyclic.select(F.col("node").alias("id")), "id", "left_anti")
-    known = tasks.filter("state <> 'done'").select(F.col("id").alias("depends_on"))
-    left = written(open_, "open")
-    unmet = written(deps.select("task_id", "depends_on").distinct().join(known, "depends_on", "left_semi").join(left.select(F.col("id").alias("task_id")), "task_id", "left_semi"), "unmet")
-    if left.limit(small + 1).count() <= small and unmet.limit(small + 1).count() <= small:
-        found = _levels({r.id for r in left.collect()}, [(r.task_id, r.depends_on) for r in unmet.collect()], most)
-        return tasks.sparkSession.createDataFrame(found, "id string, level long")
-    out = None
-    for level in range(most):
-        now = written(left.join(unmet.select(F.col("task_id").alias("id")).distinct(), "id", "left_anti").withColumn("level", F.lit(level).cast("long")), "wave")
-        if now.isEmpty():
-            break
-        out = now if out is None else out.unionAll(now)
-        left, before = written(left.join(now, "id", "left_anti"), "open"), left
-        unmet, met = written(unmet.join(now.select(F.col("id").alias("depends_on")), "depends_on", "left_anti"), "unmet"), unmet
-        dropped(before)
-        dropped(met)
-    return out if out is not None else left.withColumn("level", F.lit(0).cast("long")).limit(0)
+@tidy
+def waves(tasks: DataFrame, deps: DataFrame, cyclic: DataFrame, most: int = 64) -> DataFrame:
+    """(id, level) of pending and blocked tasks off cycles: a task's level is the longest chain of unmet dependencies below it; tasks behind open work that is in no wave have none, nor those at `most` or above.
+
+    Tasks with one unmet dependency are chains, which are followed by doubling. Those with several take the largest level of theirs
+    plus its distance once all are known, a round for each that lies behind another.
+    """
+    open_ = written(tasks.filter("state in ('pending', 'blocked')").select("id").join(cyclic.select(F.col("node").alias("id")), "id", "left_anti"), "open")
+    known = tasks.filter("state <> 'done'").select(F.col("id").alias("to"))
+    unmet = deps.select(F.col("task_id").alias("id"), F.col("depends_on").alias("to")).distinct().join(open_, "id", "left_semi").join(known, "to", "left_semi")
+    per = F.count(F.lit(1)).over(W.partitionBy("id"))
+    unmet, n = counted(unmet.select("id", "to", per.alias("n")), "unmet", several=F.count_if(F.col("n") > 1))
+    roots = open_.join(unmet.select("id").distinct(), "id", "left_anti").withColumn("level", F.lit(0).cast("long"))
+    _, ends, _ = along(unmet.filter("n = 1").select("id", "to"))
+    several = unmet.filter("n > 1").select("id", "to")
+    fixed = roots
+    if n["several"]:
+        led = several.join(ends.withColumnsRenamed({"id": "to"}), "to", "left").select("id", F.coalesce("end", "to").alias("on"), (F.coalesce("dist", F.lit(0)) + 1).alias("more"))
+        waiting = written(led.groupBy("id", "on").agg(F.max("more").alias("more")).withColumn("level", F.lit(None).cast("long")), "waiting")
+        new, fixed = roots, written(roots, "levels")
+        for _ in range(most):
+            told = waiting.join(new.select(F.col("id").alias("on"), F.col("level").alias("now")), "on", "left")
+            waiting, before = written(told.select("id", "on", "more", F.coalesce("level", F.col("now") + F.col("more")).alias("level")), "waiting"), waiting
+            dropped(before)
+            ready = waiting.groupBy("id").agg(F.max("level").alias("level"), F.count_if(F.col("level").isNull()).alias("left")).filter("left = 0").select("id", "level")
+            new, more = counted(ready, "levels")
+            if not more["n"]:
+                break
+            fixed = fixed.unionByName(new)
+            waiting, before = written(waiting.join(new, "id", "left_anti"), "waiting"), waiting
+            dropped(before)
+    chained = ends.join(fixed.withColumnsRenamed({"id": "end"}), "end").select("id", (F.col("level") + F.col("dist")).alias("level"))
+    return fixed.unionByName(chained).filter(F.col("level") < most)
 
 
+@tidy
 def critical_path(levels: DataFrame, deps: DataFrame) -> DataFrame:
     """(step, id) of a longest chain: from the deepest task (smallest id) back, each time to the smallest dependency one level below.
 
-    Each task's next one below is found for all levels at once; the walk then looks up one row a level of a table that holds
-    at most one row a task.
+    Each task's next one below is found for all levels at once; what lies on the deepest one's way is marked by doubling.
     """
-    deepest = levels.agg(F.max("level")).first()[0]
-    if deepest is None:
-        return levels.select(F.lit(0).cast("long").alias("step"), "id").limit(0)
+    levels = written(levels, "levels")
     below = levels.select(F.col("id").alias("depends_on"), (F.col("level") + 1).alias("level"))
-    after = written(deps.join(levels.select(F.col("id").alias("task_id"), "level"), "task_id").join(below, ["depends_on", "level"]).groupBy("task_id", "level").agg(F.min("depends_on").alias("depends_on")), "chain")
-    at = levels.filter(F.col("level") == deepest).agg(F.min("id").alias("id")).first()[0]
-    path = [(deepest, at)]
-    for level in range(deepest, 0, -1):
-        at = after.filter((F.col("level") == level) & (F.col("task_id") == at)).first().depends_on
-        path.append((level - 1, at))
-    return levels.sparkSession.createDataFrame(path, "step long, id string")
+    after = deps.join(levels.select(F.col("id").alias("task_id"), "level"), "task_id").join(below, ["depends_on", "level"]).groupBy("task_id").agg(F.min("depends_on").alias("to"))
+    top = levels.agg(F.max(F.struct("level")).alias("x")).select("x.level").join(levels, "level").agg(F.min("id").alias("id")).filter("id is not null")
+    next_ = written(after.select(F.col("task_id").alias("id"), "to"), "chain")
+    jumps, ends, _ = along(next_)
+    way = written(passed(top.withColumn("label", F.lit(0)), jumps), "way")
+    last = ends.join(way.select("id"), "id", "left_semi").filter("dist = 1").select(F.col("end").alias("id"))
+    return way.select("id").union(last).distinct().join(levels, "id").select(F.col("level").alias("step"), "id")

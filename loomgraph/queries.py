@@ -601,7 +601,10 @@ def _(m):
     return per.agg(F.sum(F.when(c("level") == 0, c("n")).otherwise(0)).alias("startable"), F.max("n").alias("max_parallel"), (F.max("level") + 1).alias("n_waves"))
 
 
-@query("critical_path", None)
+DEEPEST = "placed AS (SELECT id, level FROM lev WHERE id NOT IN (SELECT id FROM stall)), below AS (SELECT t.id, min(x.id) AS nxt FROM placed t JOIN task_deps d ON d.task_id = t.id JOIN placed x ON x.id = d.depends_on AND x.level = t.level - 1 GROUP BY t.id), path AS (SELECT (SELECT max(level) FROM placed) AS step, (SELECT min(id) FROM placed WHERE level = (SELECT max(level) FROM placed)) AS id UNION ALL SELECT path.step - 1, below.nxt FROM path JOIN below ON below.id = path.id)"
+
+
+@query("critical_path", "SELECT step, id FROM path WHERE id IS NOT NULL", WAVES, DEEPEST)
 def _(m):
     return g.critical_path(waves_of(m), m.task_deps)
 
@@ -637,7 +640,7 @@ def _(m):
 
 
 #: Words of a text without blanks around dots; a name is what is left of the part behind the last dot without quotes.
-REFERRED = "words AS (SELECT doc_id, list_filter(string_split_regex(regexp_replace(text || chr(10) || 'UPDATE `Shop` . [brand' || (doc_id % 40) || '] SET a = 1; select x FROM' || chr(10) || 'nowhere' || doc_id, '\\s*\\.\\s*', '.', 'g'), '\\s+'), x -> x <> '') AS w FROM documents), named AS (SELECT doc_id, regexp_extract(lower(w[i]), '[a-z0-9_]*$') AS word, lower(regexp_extract(list_last(string_split(regexp_extract(w[i + 1], '^[A-Za-z0-9_.\"`\\[\\]]*'), '.')), '[A-Za-z0-9_]+')) AS tbl FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM words))"
+REFERRED = "words AS (SELECT doc_id, list_filter(string_split_regex(regexp_replace(text || chr(10) || 'UPDATE `Shop` . [brand' || (doc_id % 40) || '] SET a = 1; select x FROM' || chr(10) || 'nowhere' || doc_id, '\\s*\\.\\s*', '.', 'g'), '\\s+'), lambda x: x <> '') AS w FROM documents), named AS (SELECT doc_id, regexp_extract(lower(w[i]), '[a-z0-9_]*$') AS word, lower(regexp_extract(list_last(string_split(regexp_extract(w[i + 1], '^[A-Za-z0-9_.\"`\\[\\]]*'), '.')), '[A-Za-z0-9_]+')) AS tbl FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM words))"
 
 
 @query("rx_table_refs", "SELECT DISTINCT CAST(doc_id AS VARCHAR) AS path, tbl AS \"table\" FROM named WHERE word IN ('from', 'join', 'into', 'update', 'table') AND tbl IN (SELECT lower(replace(p_brand, '#', '')) FROM part)", REFERRED)

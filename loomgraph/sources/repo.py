@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,81 +12,98 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.operators.parse import MOST_BYTES, is_indexable
-from loomgraph.operators.relational import _glob
-from loomgraph.sources.tables import ship
+from loomgraph.sources.listing import SKIPPED, ignore_rules, is_ignored, listed, walk_names
+from loomgraph.sources.tables import ship, written
 
-#: Folders that are never walked.
-SKIPPED = (".git", "node_modules", "target", "dist", "build", "__pycache__", ".venv")
+#: Folders that the driver looks for before it hands the trees below them to tasks.
+FAN = 64
 
 
-def ignore_rules(files: list[tuple[str, str]]) -> list[tuple[str, bool]]:
-    """(pattern over paths, whether it brings a path back) of ignore files (folder, text), outer ones first, in the order of their lines.
+def _open(root: str) -> tuple[fs.FileSystem, str]:
+    files, base = fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else os.path.abspath(root))
+    return files, base.rstrip("/")
 
-    A pattern with a slash before its end counts from its own folder, others at any depth; one that ends with a slash means a folder.
+
+def names(spark: SparkSession, root: str) -> DataFrame:
+    """(path, size, modified_ms, ignores) of all files below a folder without skipped folders; ignores: the text of an ignore file.
+
+    The driver lists from the top until it has enough folders, whose trees tasks then walk. Spark's own file source isn't used: it
+    passes over names that start with an underscore or a dot.
     """
-    out = []
-    for folder, text in sorted(files):
-        base = re.escape(folder + "/") if folder else ""
-        for line in text.splitlines():
-            line = line.rstrip()
-            if not line or line.startswith("#"):
-                continue
-            back, glob = line.startswith("!"), line.lstrip("!")
-            only_folder, glob = glob.endswith("/"), glob.rstrip("/")
-            anchored, glob = "/" in glob, glob.lstrip("/")
-            # * stops at a slash here; ** doesn't.
-            body = _glob(glob).replace("(?:.*/)?", "\0").replace(".*", "[^/]*" if "**" not in glob else ".*").replace("\0", "(?:.*/)?")
-            out.append((f"^{base}{'' if anchored else '(?:.*/)?'}{body}(?:{'/.*' if only_folder else '/.*|'})$", back))
-    return out
-
-
-def is_ignored(path: str, rules: list[tuple[str, bool]]) -> bool:
-    """The last rule that matches decides."""
-    return next((not back for p, back in reversed(rules) if re.match(p, path)), False)
+    ship(spark)
+    files, top = _open(root)
+    found, folders = [], [top]
+    while folders and len(folders) < FAN:
+        more, here = listed(files, folders.pop(0), top, SKIPPED)
+        folders += more
+        found += here
+    schema = "path string, size long, modified_ms long, ignores string"
+
+    def walk_trees(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for folder in part["folder"]:
+                yield pd.DataFrame(walk_names(files, folder, top), columns=["path", "size", "modified_ms", "ignores"])
+
+    near = spark.createDataFrame(found, schema)
+    if not folders:
+        return near
+    return near.unionByName(spark.createDataFrame([(f,) for f in folders], "folder string").repartition(len(folders)).mapInPandas(walk_trees, schema))
 
 
 def walk(spark: SparkSession, root: str) -> DataFrame:
     """(path, size, text) of the indexable files below a folder, without skipped folders, ignored files and files above 2 MiB.
 
-    The driver lists names and reads the ignore files; the executors read the files, so the folder must be one they see.
-    Spark's own file source isn't used: it passes over names that start with an underscore or a dot.
+    Tasks list and read, so the folder must be one that they see; what comes to the driver is the ignore files.
     """
-    files, base = fs.FileSystem.from_uri(root if "://" in root else os.path.abspath(root))
-    found: list[tuple[str, int]] = []
-    ignores: list[tuple[str, str]] = []
-    folders = [base.rstrip("/")]
-    while folders:
-        for info in files.get_file_info(fs.FileSelector(folders.pop())):
-            rel = info.path[len(base.rstrip("/")) + 1 :]
-            if info.type == fs.FileType.Directory:
-                if info.base_name not in SKIPPED:
-                    folders.append(info.path)
-            elif info.base_name == ".gitignore":
-                with files.open_input_stream(info.path) as f:
-                    ignores.append((rel.rpartition("/")[0], f.read().decode("utf-8", "replace")))
-            elif info.size <= MOST_BYTES:
-                found.append((rel, info.size))
-    rules = ignore_rules(ignores)
-    kept = [x for x in sorted(found) if not is_ignored(x[0], rules)]
-    top = base.rstrip("/")
+    files, top = _open(root)
+    found = written(names(spark, root), "names")
+    rules = ignore_rules([(r.path.rpartition("/")[0], r.ignores) for r in found.filter("ignores is not null").toLocalIterator()])
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            texts = []
-            for path in part["path"]:
-                with files.open_input_stream(f"{top}/{path}") as f:
-                    texts.append(f.read().decode("utf-8", "replace"))
-            yield part.assign(text=texts)
+            rows = []
+            for path, size in zip(part["path"], part["size"], strict=True):
+                if not is_ignored(path, rules):
+                    with files.open_input_stream(f"{top}/{path}") as f:
+                        rows.append((path, size, f.read().decode("utf-8", "replace")))
+            yield pd.DataFrame(rows, columns=["path", "size", "text"])
+
+    wanted = found.filter((F.col("size") <= MOST_BYTES) & F.col("ignores").isNull()).filter(is_indexable(F.col("path"))).select("path", "size")
+    n = max(1, min(1000, wanted.count() // 50))
+    return wanted.repartition(n).mapInPandas(read, "path string, size long, text string")
 
-    ship(spark)
-    names = spark.createDataFrame(kept, "path string, size long").filter(is_indexable(F.col("path")))
-    return names.repartition(max(1, min(1000, len(kept) // 50))).mapInPandas(read, "path string, size long, text string")
 
+def export(files: DataFrame, root: str) -> int:
+    """Write the texts of files (path, text) below a folder that all executors see; their number. A task that runs again writes the same."""
+    ship(files.sparkSession)
+    store, top = _open(root)
+
+    def put(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for path, text in zip(part["path"], part["text"], strict=True):
+                store.create_dir(f"{top}/{path}".rpartition("/")[0], recursive=True)
+                with store.open_output_stream(f"{top}/{path}") as f:
+                    f.write(text.encode())
+            yield pd.DataFrame({"n": [len(part)]})
+
+    return files.select("path", "text").mapInPandas(put, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def remove(paths: DataFrame, root: str) -> int:
+    """Delete files (path) below a folder; their number."""
+    ship(paths.sparkSession)
+    store, top = _open(root)
+
+    def drop(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            gone = 0
+            for path in part["path"]:
+                if store.get_file_info(f"{top}/{path}").type != fs.FileType.NotFound:
+                    store.delete_file(f"{top}/{path}")
+                    gone += 1
+            yield pd.DataFrame({"n": [gone]})
 
-def watch(spark: SparkSession, root: str, files_per_batch: int = 1000) -> DataFrame:
-    """A stream of (path, modified, content) of new and changed files below a folder. It tells of no deletion and passes over names that start with an underscore or a dot: a full scan finds both."""
-    stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch)
-    return stream.load(root).select("path", F.col("modificationTime").alias("modified"), "content")
+    return paths.select("path").mapInPandas(drop, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def upsert(stored: DataFrame, changes: DataFrame, keys: list[str], path: str) -> DataFrame:

@@ -6,11 +6,16 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
+from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 _shipped: set[str] = set()
+#: Tables that are written in the functions under way that clear up behind themselves, the innermost last.
+_scratch: list[list[str]] = []
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,10 +36,43 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage of iterations and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/loomgraph/{label}-{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, label: str, **more: Column) -> tuple[DataFrame, dict[str, int]]:
+    """written() with its number of rows (n) and other aggregates, which the writing job itself observes."""
+    seen = Observation()
+    out = written(df.observe(seen, F.count(F.lit(1)).alias("n"), *[x.alias(name) for name, x in more.items()]), label)
+    return out, {x: 0 for x in ("n", *more)} | {k: v or 0 for k, v in seen.get.items()}
+
+
+def tidy(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """fn with its result as a table, and without the tables that were written on the way."""
+
+    @wraps(fn)
+    def run(*args, **kwargs) -> DataFrame:
+        mine: list[str] = []
+        _scratch.append(mine)
+        spark = None
+        try:
+            out = fn(*args, **kwargs)
+            spark = out.sparkSession
+            _scratch.pop()
+            kept = written(out, fn.__name__.strip("_"))
+            _scratch.append(mine)
+            return kept
+        finally:
+            _scratch.pop()
+            for name in mine if spark else ():
+                path = spark._jvm.org.apache.hadoop.fs.Path(name)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    return run
+
+
 def dropped(df: DataFrame) -> None:
     """Remove the files of a table made by written() that nothing will read again."""
     spark = df.sparkSession

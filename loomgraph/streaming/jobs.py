@@ -126,8 +126,8 @@ def snapshots(stream: DataFrame, status, label: str) -> DataFrame:
     return spark.read.schema("batch long, last_id long, events long, json string").parquet(f"{base}/out")
 
 
-def run_to_table(df: DataFrame, mode: str, label: str) -> DataFrame:
-    """Run a stream over all there is now and read its result from the shared folder."""
+def run_to_table(df: DataFrame, mode: str, label: str, checkpoint: str | None = None) -> DataFrame:
+    """Run a stream over all there is now and read its result from the shared folder. With a checkpoint of its own it goes on where the last run with it ended."""
     spark = df.sparkSession
     base = f"{shared_dir(spark)}/loomgraph/{label}-{uuid.uuid4().hex}"
     seen: list[int] = []
@@ -136,7 +136,7 @@ def run_to_table(df: DataFrame, mode: str, label: str) -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
         seen.append(number)
 
-    df.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint or f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
     if not seen:
         return spark.createDataFrame([], df.schema)
     wanted = seen[-1:] if mode == "complete" else seen

@@ -30,8 +30,7 @@ def test_components_of_cycles_on_random_graphs(spark):
             reach = {n: r | {y for x in r for y in reach[x]} for n, r in reach.items()}
         want = sorted((a, min(b for b in nodes if b in reach[a] and a in reach[b])) for a in nodes if a in reach[a])
         df = spark.createDataFrame(sorted(links), "a string, b string")
-        for small in (10_000, 0):  # on the driver, and by joins
-            assert rows(graph.components_of_cycles(df, small)) == want
+        assert rows(graph.components_of_cycles(df)) == want
         asked = [(a, b) for a in nodes[:5] for b in nodes[5:9]] + [(nodes[0], nodes[0])]
         deps = df.withColumnsRenamed({"a": "task_id", "b": "depends_on"})
         closes = graph.would_cycle(spark.createDataFrame(asked, "task_id string, depends_on string"), deps)
@@ -43,7 +42,6 @@ def test_waves_and_critical_path(spark):
     deps = spark.createDataFrame([("T2", "T1"), ("T3", "T2"), ("T4", "T3"), ("T6", "T5"), ("T7", "T99"), ("T8", "T8")], "task_id string, depends_on string")
     cyclic = graph.components_of_cycles(deps.select(F.col("task_id").alias("a"), F.col("depends_on").alias("b")))
     levels = graph.waves(tasks, deps, cyclic)
-    assert rows(graph.waves(tasks, deps, cyclic, small=0)) == rows(levels)
     assert rows(levels) == [("T2", 0), ("T3", 1), ("T4", 2), ("T7", 0)]
     assert rows(graph.critical_path(levels, deps)) == [(0, "T2"), (1, "T3"), (2, "T4")]
 

@@ -1,7 +1,7 @@
 import json
 
 from loomgraph.operators import arch, parse, reports
-from loomgraph.sources import repo
+from loomgraph.sources import repo, watch
 from loomgraph.streaming import jobs
 from pyspark.sql import functions as F
 
@@ -95,8 +95,6 @@ def test_walk_skips_what_is_ignored(spark, tmp_path):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text(text)
     assert sorted(r.path for r in repo.walk(spark, str(tmp_path)).select("path").collect()) == ["a.py", "even.py", "q.sql", "sub/_x/__init__.ts", "sub/b.ts", "sub/keep.py"]
-    stream = repo.watch(spark, str(tmp_path / "sub")).select("path")
-    assert jobs.run_to_table(stream, "append", "watch").filter("path like '%b.ts'").count() == 1
 
 
 def test_upsert_and_emit(spark, tmp_path):
@@ -157,3 +155,38 @@ def test_commands_end_with_a_code(spark):
     assert answer(w, "show", "C7")[0] == 0 and answer(w, "symbols", "no such thing")[0] == 1
     assert answer(w, "show", "nothing like it")[0] == 2 and answer(w, "no_command")[0] == 2
     assert answer(w, "guard", "A1", "not/indexed.py") == (0, ['{"path":"not/indexed.py","symbol":null,"verdict":"allowed","unindexed":true,"lease":null,"via":null,"holder":null,"suggestions":null}'])
+
+
+def test_a_watched_folder_tells_of_what_appeared_changed_and_went(spark, tmp_path):
+    root, state = tmp_path / "code", tmp_path / "state"
+    (root / "sub" / "_x").mkdir(parents=True)
+    (root / ".git").mkdir()
+
+    def put(**texts):
+        for name, text in texts.items():
+            (root / name.replace("__", "/")).write_text(text)
+
+    def step():
+        """One run of the stream from its checkpoint, as after a restart."""
+        stream = watch.watch(spark, str(root), str(state / "listings"), files_per_task=2)
+        return jobs.run_to_table(stream, "append", "watched", str(state / "checkpoint"))
+
+    def seen(out):
+        return rows(out.select("path", "change", F.coalesce("text", F.lit("-"))))
+
+    (root / "sub" / "_x" / "__init__.py").write_text("u")
+    (root / ".git" / "no.py").write_text("n")
+    (root / ".gitignore").write_text("*.log\n")
+    put(a="1", b="2", **{"c.log": "x", "sub__d": "3"})
+    assert seen(step()) == [("a", "added", "1"), ("b", "added", "2"), ("sub/_x/__init__.py", "added", "u"), ("sub/d", "added", "3")]
+    put(a="changed", e="5")
+    (root / "b").unlink()
+    out = step()
+    files, full = watch.to_look_at(out)
+    assert full and rows(files) == [("a", "changed"), ("e", "5")]
+    assert seen(out) == [("a", "modified", "changed"), ("b", "deleted", "-"), ("e", "added", "5")]
+    put(b="again")
+    out = step()
+    assert not watch.to_look_at(out)[1]
+    assert seen(out) == [("b", "added", "again")]
+    assert len(list((state / "listings").iterdir())) <= 2
