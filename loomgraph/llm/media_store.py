@@ -191,7 +191,7 @@ def _remove_unnamed(index: DataFrame, store: str) -> None:
             files.delete(x.getPath(), False)
 
 
-def _ranges(index: DataFrame, span: int = 32 << 20) -> DataFrame:
+def _ranges(index: DataFrame, span: int = 8 << 20) -> DataFrame:
     """The index dealt out by stretches of shards, in the order in which they lie there; the index is small, so the tasks are numbered by the bytes it points to."""
     total = index.agg(F.sum("length")).first()[0] or 0
     n = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // span)
@@ -255,6 +255,6 @@ def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def media_features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", store: str | None = None) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature and where the payload lies, for every row."""
     rows, index = media_columns(df, id_col, text_col, store)
-    found = materialize(read_features(index), "media-features")
+    found = read_features(index)
     named = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     return rows.join(found, "digest").select("doc_id", "n_bytes", *named, "shard", F.col("at").alias("offset"), "length", "format", "width", "height", "bit_depth", "channels")
