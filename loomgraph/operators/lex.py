@@ -36,6 +36,8 @@ STRINGS = {
 #: Quote that opens a string with holes, what goes on inside it, what opens a hole.
 HOLES = {**dict.fromkeys(SCRIPTS, ("`", re.compile(r"(?:\\.|\$(?!\{)|[^`\\$])*", re.S), "${")), "csharp": ('$"', re.compile(r"(?:\\.|\{\{|\}\}|[^\"\\{\n])*"), "{")}
 PATTERN = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/\w*")
+DIRECTIVE = re.compile(r"#(?:\\\r?\n|[^\n])*")
+INCLUDED = re.compile(r"#\s*include\s*[<\"]([^>\"\n]*)[>\"]")
 BEFORE_PATTERN = {"return", "typeof", "case", "in", "of", "do", "else", "void", "delete", "throw", "new", "await", "yield"}
 
 
@@ -44,8 +46,6 @@ def _reader(lang: str) -> re.Pattern:
     parts = [r"(?P<skip>\s+|//[^\n]*|/\*.*?(?:\*/|\Z))"]
     if lang == "rust":
         parts[0] = r"(?P<skip>\s+|//[^\n]*|'[A-Za-z_]\w*(?!\w*'))"
-    if lang == "cpp":
-        parts.append(r"(?P<include>(?<![^\n])[ \t]*\#[ \t]*include[ \t]*(?:<[^>\n]*>|\"[^\"\n]*\"))|(?P<directive>(?<![^\n])[ \t]*\#(?:\\\r?\n|[^\n])*)")
     parts += [rf"(?P<string>{STRINGS.get(lang, PLAIN)})", r"(?P<name>(?:r\#)?[^\W\d][\w$]*|\$[\w$]*)" if lang == "rust" else r"(?P<name>[^\W\d][\w$]*|[$@][\w$]+)", r"(?P<number>\d(?:[\w.]|'(?=\w))*)", r"(?P<other>=>|->|::|==|!=|<=|>=|&&|\|\||\?\.|.)"]
     return re.compile("|".join(parts), re.S)
 
@@ -94,15 +94,21 @@ def tokens(text: str, lang: str) -> list[Token]:
                 out.append(Token(STRING, "", at, m.end(), line))
                 at, line = m.end(), False
                 continue
+        if lang == "cpp" and text[at] == "#" and line:
+            m = DIRECTIVE.match(text, at)
+            if INCLUDED.match(m[0]):
+                out.append(Token(INCLUDE, m[0], at, m.end(), line))
+            at = m.end()
+            continue
         m = reader.match(text, at)
         kind, value = m.lastgroup, m[0]
         if kind == "mark":
             kind = "string"
-        if kind in ("skip", "directive"):
+        if kind == "skip":
             line = line or "\n" in value
         else:
             value = value.removeprefix("r#") if lang == "rust" and kind == "name" else value
-            out.append(Token({"name": NAME, "string": STRING, "include": INCLUDE}.get(kind, OTHER if kind == "other" else "number"), value, at, m.end(), line))
+            out.append(Token({"name": NAME, "string": STRING}.get(kind, OTHER if kind == "other" else "number"), value, at, m.end(), line))
             depth += (value in ("(", "[", "{")) - (value in (")", "]", "}")) if kind == "other" else 0
             line = False
         at = m.end()
@@ -170,14 +176,15 @@ class Outline:
         """Behind a list in angle brackets that starts at i; i itself where none does."""
         if self.at(i) != "<":
             return i
-        depth = 0
-        for j in range(i, min(len(self.t), i + 400)):
+        depth, j = 0, i
+        while j < min(len(self.t), i + 400):
             x = self.at(j)
             depth += (x == "<") - (x == ">")
-            if x in (";", "{") and depth:
+            if x == ";" or x in CLOSES:
                 break
             if not depth:
                 return j + 1
+            j = self.pair[j] + 1 if x in ("(", "[", "{") else j + 1
         return i
 
     def statement_end(self, i: int, block: bool, lines: bool = False) -> tuple[int, int]:
@@ -359,7 +366,7 @@ class Outline:
         j = self.past_angles(i + 1)
         if where != "type" or assigned or self.at(j) != "(" or x in self.words:
             return False
-        if self.at(self.pair[j] + 1) in ("{", "throws", ":") and (i == first or not self.named(i - 1) or self.at(i - 1) in ("public", "private", "protected", "internal", "static")):
+        if self.at(self.pair[j] + 1) in ("{", "throws", ":") and (i == first or self.at(i - 1) == ")" or self.at(i - 1) in ("public", "private", "protected", "internal", "static")):
             self.heads.add(i)  # a constructor
             return False
         if i == first or not (self.named(i - 1) or before in (">", "]", "?", "*", "&")) or before in ("new", "return", "throw", "else"):
@@ -415,8 +422,7 @@ class Outline:
 
     def _cpp(self, i: int, x: str, first: int, where: str, assigned: bool) -> None:
         if self.t[i].kind == INCLUDE:
-            m = re.search(r"[<\"](.*)[>\"]", x)
-            self.imports.append((m[1].strip(), self.t[i].start))
+            self.imports.append((INCLUDED.match(x)[1].strip(), self.t[i].start))
             return
         if x == "namespace" or (x == "extern" and i + 1 < len(self.t) and self.t[i + 1].kind == STRING):
             j = i + 1

@@ -324,6 +324,92 @@ def _(m):
 EDGES = "SELECT src, dst, kind FROM calls UNION ALL SELECT a.path, b.fqn, 'contains' FROM expected a JOIN expected b ON b.path = a.path WHERE a.kind = 'file' AND b.kind <> 'file' AND b.fqn NOT LIKE '%.place' UNION ALL SELECT a.fqn, b.fqn, 'contains' FROM expected a JOIN expected b ON b.path = a.path AND a.kind = 'class' AND b.fqn LIKE '%.place' UNION ALL SELECT 'src/m' || c_custkey || '.py', 'src/m' || (c_custkey - 1) || '.py', 'imports' FROM customer WHERE c_custkey > 0 UNION ALL SELECT 'run_' || c_custkey, 'brand' || c_nationkey, 'queries' FROM customer"
 
 
+#: What the files in six languages hold, by customer % 6: (kind, fqn, role), specifiers, (owner, name, kind) of references, routes.
+POLY = "poly AS (SELECT c_custkey AS k, c_custkey % 6 AS n, 'poly/f' || c_custkey || '.' || ['rs', 'ts', 'java', 'go', 'cs', 'cpp'][c_custkey % 6 + 1] AS path FROM customer)"
+HELD = """held(n, kind, fqn, role) AS (VALUES (0, 'module', 'nested_KK', NULL), (0, 'class', 'Acct_KK', NULL), (0, 'class', 'Acct_KK', NULL), (0, 'function', 'Acct_KK.pay_KK', NULL), (0, 'function', 'help_KK', NULL), (0, 'function', 'checks_KK', 'test'),
+  (1, 'class', 'Acct_KK', NULL), (1, 'method', 'Acct_KK.pay_KK', NULL), (1, 'function', 'help_KK', 'api'), (2, 'class', 'Acct_KK', NULL), (2, 'method', 'Acct_KK.pay_KK', 'api'), (2, 'method', 'Acct_KK.help_KK', NULL),
+  (3, 'type', 'Acct_KK', NULL), (3, 'method', 'pay_KK', NULL), (3, 'function', 'help_KK', NULL), (4, 'class', 'Acct_KK', NULL), (4, 'method', 'Acct_KK.pay_KK', 'api'), (4, 'method', 'Acct_KK.help_KK', NULL),
+  (5, 'class', 'Acct_KK', NULL), (5, 'function', 'Acct_KK.pay_KK', NULL), (5, 'function', 'help_KK', NULL))"""
+SPECIFIED = "specified(n, specifier) AS (VALUES (0, 'crate::base::{One, Two}'), (0, 'nested_KK'), (1, './fKK'), (1, 'react'), (1, './tool'), (2, 'com.acme.Base'), (2, 'java.util'), (3, 'fmt'), (3, 'acme/pay'), (4, 'Acme.Base'), (4, 'System.Math'), (5, 'base.h'), (5, 'vector'))"
+REFERS = """refers(n, owner, name, kind) AS (VALUES (0, 'Acct_KK.pay_KK', 'help_KK', 'calls'), (0, 'checks_KK', 'help_KK', 'calls'), (0, 'checks_KK', 'assert', 'calls'), (1, 'Acct_KK', 'Base', 'uses'), (1, 'Acct_KK.pay_KK', 'help_KK', 'calls'), (1, 'help_KK', 'test', 'calls'), (1, '', 'post', 'calls'),
+  (2, 'Acct_KK', 'Base', 'uses'), (2, 'Acct_KK.pay_KK', 'help_KK', 'calls'), (3, 'pay_KK', 'Println', 'calls'), (3, 'pay_KK', 'help_KK', 'calls'), (4, 'Acct_KK', 'Base', 'uses'), (4, 'Acct_KK', 'IPay', 'uses'), (4, 'Acct_KK.pay_KK', 'help_KK', 'calls'), (5, 'Acct_KK.pay_KK', 'help_KK', 'calls'))"""
+
+
+@query("parse_symbols_languages", "SELECT path, kind, replace(fqn, 'KK', k::VARCHAR) AS fqn, role FROM poly JOIN held USING (n) UNION ALL SELECT path, 'file', path, NULL FROM poly", POLY, HELD)
+def _(m):
+    return ps.symbols_of(ps.parse_files(m.polyglot)).select("path", "kind", "fqn", "role")
+
+
+@query("imports_extract_languages", "SELECT path, replace(specifier, 'KK', k::VARCHAR) AS specifier FROM poly JOIN specified USING (n)", POLY, SPECIFIED)
+def _(m):
+    return ps.parse_files(m.polyglot).select("path", F.explode("imports").alias("specifier"))
+
+
+@query("refs_languages", "SELECT path, replace(owner, 'KK', k::VARCHAR) AS owner, replace(name, 'KK', k::VARCHAR) AS name, kind FROM poly JOIN refers USING (n)", POLY, REFERS)
+def _(m):
+    ref = F.explode("refs").alias("x")
+    rows = ps.parse_files(m.polyglot).select("path", "symbols", ref)
+    owner = F.when(c("x.owner") < 0, "").otherwise(c("symbols")[F.greatest(c("x.owner"), F.lit(0))]["fqn"])
+    return rows.select("path", owner.alias("owner"), "x.name", "x.kind")
+
+
+@query("routes_languages", "SELECT path, ['POST', 'GET', '', 'POST'][n] AS method, '/poly/' || k AS route, CASE n WHEN 1 THEN 'help_' || k ELSE 'Acct_' || k || '.pay_' || k END AS fqn FROM poly WHERE n IN (1, 2, 4)", POLY)
+def _(m):
+    s = ps.symbols_of(ps.parse_files(m.polyglot)).filter("role = 'api'")
+    return s.select("path", F.get_json_object("meta", "$.method").alias("method"), F.get_json_object("meta", "$.path").alias("route"), "fqn")
+
+
+#: Routes that stand in the text of documents and pages, as in a corpus with source code; the statement reads the same texts.
+@query("routes_in_texts", "SELECT 'd' || doc_id AS path, 'GET' AS method, '/doc/' || doc_id AS route FROM documents UNION ALL SELECT 'd' || doc_id, 'ANY', '/all' FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT 'p' || page_id, 'DELETE', '/page/' || page_id FROM pages")
+def _(m):
+    i = S(c("doc_id"))
+    docs = m.raw("documents").select(F.concat(F.lit("d"), i).alias("path"), F.concat(F.coalesce("text", F.lit("")), F.lit("\napp.get('/doc/"), i, F.lit("', (a, b) => [a, ')'])\n"), F.when(c("doc_id") % 3 == 0, "# app.post('/no')\nmux.Handle(\"/all\", http.FileServer(x))\n").otherwise("// router.put('/no', x)\n")).alias("text"))
+    p = S(c("page_id"))
+    pages = m.raw("pages").select(F.concat(F.lit("p"), p).alias("path"), F.concat(F.coalesce("html", F.lit("")), F.lit("\n@RequestMapping(value = \"/page/"), p, F.lit("\", produces = \"a,b\", method = RequestMethod.DELETE)\n")).alias("text"))
+    return tx.routes(docs.unionByName(pages)).select("path", "method", "route")
+
+
+def code_folder(m, label: str) -> str:
+    """The modules as files in the shared folder, with some that no scan reads."""
+    at, k = folder(m, label), F.regexp_extract("path", "([0-9]+)", 1)
+    n = k.cast("long")
+    path = F.when(n % 5 == 0, F.concat(F.lit("src/_gen/.m"), k, F.lit(".py"))).when(n % 5 == 1, F.concat(F.lit("src/node_modules/m"), k, F.lit(".py"))).when(n % 5 == 2, F.concat(F.lit("src/old/m"), k, F.lit(".py"))).otherwise(c("path"))
+    more = m.spark.createDataFrame([(".gitignore", "*.log\n/src/old/*\n!src/old/m7.py\n"), ("notes.txt", "x"), ("src/a.log", "x")], "path string, text string")
+    repo.export(m.sources.withColumn("path", path).unionByName(more), at)
+    return at
+
+
+WALKED = "code AS (SELECT k, CASE k % 5 WHEN 0 THEN 'src/_gen/.m' || k || '.py' WHEN 2 THEN 'src/old/m' || k || '.py' ELSE 'src/m' || k || '.py' END AS path FROM (SELECT c_custkey AS k FROM customer) WHERE k % 5 <> 1 AND (k % 5 <> 2 OR k = 7))"
+
+
+@query("src_repo_walk", "SELECT path, k AS at FROM code", WALKED)
+def _(m):
+    return repo.walk(m.spark, code_folder(m, "code")).select("path", F.regexp_extract("text", "class Holder_([0-9]+)", 1).cast("long").alias("at"))
+
+
+@query("src_watch_fs", "SELECT 1 AS step, 'added' AS change, path, false AS full FROM code UNION ALL SELECT 1, 'added', 'notes.txt', false UNION ALL SELECT 2, CASE k % 3 WHEN 0 THEN 'deleted' ELSE 'modified' END, path, true FROM code WHERE k % 3 <> 2 UNION ALL SELECT 2, 'added', 'src/new' || k || '.py', true FROM code WHERE k % 7 = 0 UNION ALL SELECT 3, 'added', path, false FROM code WHERE k % 3 = 0", WALKED)
+def _(m):
+    from loomgraph.sources import watch
+
+    at, state = code_folder(m, "watched"), folder(m, "watch-state")
+    k = F.regexp_extract("path", "([0-9]+)", 1).cast("long")
+
+    def step(n: int) -> DataFrame:
+        """What the stream tells since its last run; each run is a new one from the checkpoint."""
+        seen = sj.run_to_table(watch.watch(m.spark, at, f"{state}/listings"), "append", f"watch-{n}", f"{state}/checkpoint")
+        return seen.select(F.lit(n).alias("step"), "change", "path", F.lit(watch.to_look_at(seen)[1]).alias("full"))
+
+    one = step(1)
+    files = repo.walk(m.spark, at).select("path", "text").filter("path like 'src/%'").withColumn("k", k)
+    files.write.parquet(f"{state}/files")
+    files = m.spark.read.parquet(f"{state}/files")
+    repo.remove(files.filter("k % 3 = 0"), at)
+    repo.export(files.filter("k % 3 = 1").withColumn("text", F.concat("text", F.lit("# more\n"))).unionByName(files.filter("k % 7 = 0").withColumn("path", F.concat(F.lit("src/new"), S(c("k")), F.lit(".py")))), at)
+    two = step(2)
+    repo.export(files.filter("k % 3 = 0"), at)
+    return one.unionByName(two).unionByName(step(3))
+
+
 def whole(m) -> DataFrame:
     return m.sources.unionByName(ddl_files(m))
 

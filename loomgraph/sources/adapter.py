@@ -20,6 +20,69 @@ REQUEST_STATES = ["open", "accepted", "declined", "fulfilled", "cancelled", "exp
 EVENT_KINDS = {"purchase": "task.completed", "signup": "task.started", "error": "lease.denied", "click": "lease.acquired", "view": "lease.released"}
 
 
+#: Source files by language; KK is the customer's key.
+POLYGLOT = [
+    ("rs", """use crate::base::{One, Two};
+mod nested_KK;
+pub struct Acct_KK<'a> { name: &'a str }
+impl<'a> Acct_KK<'a> {
+    pub fn pay_KK(&'a self, c: char) -> u64 {
+        let open = '{';
+        let text = r#"fn no() { " }"#; /* fn neither() { /* nor */ */
+        help_KK(c == open)
+    }
+}
+fn help_KK(x: bool) -> u64 { 1 }
+#[test]
+fn checks_KK() { assert!(help_KK(true) == 1); }
+"""),
+    ("ts", """import { base } from './fKK';
+import React from "react";
+const tool = require('./tool');
+export class Acct_KK extends Base { pay_KK(x: number) { return help_KK(`a ${x ? `} class No { ${x}` : "}"} b`); } }
+const help_KK = async (x: string): Promise<string> => {
+  const at = /[{(]/.test(x) // function never() {
+  return x
+}
+app.post('/poly/KK', help_KK)
+"""),
+    ("java", '''import com.acme.Base;
+import java.util.*;
+public class Acct_KK extends Base {
+  String text = """
+    } class No { void never() { "
+    """;
+  @GetMapping("/poly/KK")
+  public List<Map<String, Integer>> pay_KK(int x) throws Exception { char c = '}'; return help_KK(x); }
+  int help_KK(int x) { return x; }
+}
+'''),
+    ("go", """package main
+import (
+  "fmt"
+  p "acme/pay"
+)
+type Acct_KK struct{ a int }
+func (s *Acct_KK) pay_KK(a int) (int, error) { fmt.Println(`func no() { "`); return help_KK(a), nil }
+func help_KK(a int) int { return a }
+"""),
+    ("cs", """using Acme.Base;
+using static System.Math;
+class Acct_KK : Base, IPay {
+  [HttpPost("/poly/KK")]
+  public int pay_KK(int x) { var s = $"a {x + "}".Length} b"; var v = @"c:\\\\"; return this.help_KK(x); }
+  int help_KK(int x) => x;
+}
+"""),
+    ("cpp", """#include "base.h"
+#include <vector>
+#define OPEN {
+class Acct_KK : public Base { public: int pay_KK(int x) { const char* s = R"x( } " )x"; return help_KK(x + 1'000); } };
+int help_KK(int x) { return x; }
+"""),
+]
+
+
 def millis(df: DataFrame, name: str) -> Column:
     """Epoch milliseconds of a timestamp with or without a zone."""
     if dict(df.dtypes)[name] == "timestamp_ntz":
@@ -122,6 +185,15 @@ class Model:
         ]
         return self.raw("customer").select(F.concat(F.lit("src/m"), k, F.lit(".py")).alias("path"), F.concat(*pieces).alias("text"))
 
+    @cached_property
+    def polyglot(self) -> DataFrame:
+        """(path, text): a source file for each customer in one of six languages, with the constructs that are hard to tell apart: lifetimes, raw strings, nested templates, text blocks, interpolated strings, macros' lines. Each holds Acct_k with a method pay_k that calls help_k, which is a function of its own or of a type."""
+        k = F.col("c_custkey").cast("string")
+        made = F.element_at(F.array(*[F.lit(text) for _, text in POLYGLOT]), (F.col("c_custkey") % len(POLYGLOT) + 1).cast("int"))
+        ext = choice([ext for ext, _ in POLYGLOT], F.col("c_custkey") % len(POLYGLOT))
+        path = F.concat(F.lit("poly/f"), k, F.lit("."), ext)
+        return self.raw("customer").select(path.alias("path"), F.replace(made, F.lit("KK"), k).alias("text"))
+
     @cached_property
     def edges(self) -> DataFrame:
         c = F.col
