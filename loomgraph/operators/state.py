@@ -172,12 +172,12 @@ TASK_EVENTS = {"done": "task.completed", "blocked": "task.blocked", "failed": "t
 
 
 def replay_task(commands: pd.DataFrame) -> pd.DataFrame:
-    """Outcome, state, assignee and event of each command on one task, in order (ts, id).
+    """Outcome, state, assignee, event, priority and capability of each command on one task, in order (ts, id).
 
     op: add, claim, state (value), submit, approve, reject, assign (value), reclaim, priority, capability (value). Only the
     assignee ends a task, unless forced; only the assignee submits, anyone else approves.
     """
-    state, assignee, out = None, None, []
+    state, assignee, priority, capability, out = None, None, None, None, []
     for x in commands.sort_values(["ts", "id"]).itertuples(index=False):
         outcome, event = "refused", None
         if x.op == "add":
@@ -208,17 +208,17 @@ def replay_task(commands: pd.DataFrame) -> pd.DataFrame:
             if state == "running":
                 state, assignee, outcome, event = "pending", None, "done", "task.reassigned"
         elif x.op == "priority":
-            outcome, event = "done", "task.reprioritised"
+            priority, outcome, event = x.value, "done", "task.reprioritised"
         elif x.op == "capability":
-            outcome = "done"
-        out.append((x.id, x.task, outcome, state, assignee, event))
-    return pd.DataFrame(out, columns=["id", "task", "outcome", "state", "assignee", "event"])
+            capability, outcome = x.value, "done"
+        out.append((x.id, x.task, outcome, state, assignee, event, priority, capability))
+    return pd.DataFrame(out, columns=["id", "task", "outcome", "state", "assignee", "event", "priority", "capability"])
 
 
 def task_fold(commands: DataFrame) -> DataFrame:
-    """(id, task, outcome, state, assignee, event). commands: id, ts, task, op, agent, value, force."""
+    """(id, task, outcome, state, assignee, event, priority, capability). commands: id, ts, task, op, agent, value, force."""
     ship(commands.sparkSession)
-    return commands.groupBy("task").applyInPandas(replay_task, "id long, task string, outcome string, state string, assignee string, event string")
+    return commands.groupBy("task").applyInPandas(replay_task, "id long, task string, outcome string, state string, assignee string, event string, priority string, capability string")
 
 
 def replay_request(commands: pd.DataFrame) -> pd.DataFrame:

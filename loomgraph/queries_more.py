@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import scalars as fn
 from loomgraph.operators import arch as ar
 from loomgraph.operators import diff as d
+from loomgraph.operators import effects as ef
 from loomgraph.operators import graph as g
 from loomgraph.operators import parse as ps
 from loomgraph.operators import relational as r
@@ -752,15 +753,22 @@ def _(m):
     return st.last_values(log, "id", c("at"), ["sent_at", "read_at"])
 
 
-@query("progress_record", "SELECT id, least(greatest(percent, 0), 100) AS percent FROM (SELECT event_id AS id, event_id % 140 - 20 AS percent FROM ev WHERE event_type = 'view')")
+REPORTS = "reports AS (SELECT event_id AS id, agent, event_id % 140 - 20 AS percent, ms AS ts FROM ev WHERE event_type = 'view'), latest AS (SELECT agent, max(ts) AS ts FROM reports GROUP BY agent)"
+
+
+@query("progress_record", "SELECT 'progress' AS effect, id::VARCHAR AS id, agent, least(greatest(percent, 0), 100) AS value FROM reports UNION ALL SELECT 'heartbeat', agent, agent, ts FROM latest UNION ALL SELECT 'renewed', l.id, l.agent, r.ts + l.ttl_secs * 1000 FROM leases l JOIN latest r ON r.agent = l.agent WHERE l.state = 'active' AND l.acquired_at <= r.ts AND l.expires_at > r.ts", REPORTS)
 def _(m):
-    rows = m.raw_events.filter("event_type = 'view'").select(c("event_id").alias("id"), (c("event_id") % 140 - 20).alias("percent"))
-    return rows.select("id", F.greatest(F.least("percent", F.lit(100)), F.lit(0)).alias("percent"))
+    reports = m.raw_events.filter("event_type = 'view'").select(c("event_id").alias("id"), "agent", (c("event_id") % 140 - 20).alias("percent"), c("ms").alias("ts"))
+    return ef.progress_reported(reports, m.leases)
 
 
-@query("activity_record", "SELECT agent, path, started_at, updated_at FROM activity")
+@query("activity_record", "SELECT a.agent, a.path, a.started_at, a.updated_at, (SELECT count(*) FROM opened w WHERE w.agent = a.agent AND w.path = a.path) AS opened FROM activity a", "half AS (SELECT (min(ms) + max(ms)) // 2 AS at FROM ev), opened AS (SELECT agent, path FROM (SELECT agent, path, ts, ts - lag(ts) OVER (PARTITION BY agent, path ORDER BY ts, event_id) AS gap FROM touches), half WHERE ts > half.at AND (gap IS NULL OR gap > 86400000))")
 def _(m):
-    return m.activity.select("agent", "path", "started_at", "updated_at")
+    # The first half of the touches makes the records that the second half goes on with.
+    cut = m.raw_events.agg(F.expr("(min(ms) + max(ms)) div 2")).first()[0]
+    none = m.activity.limit(0)
+    stored = ef.activity_recorded(none, m.touches.filter(c("ts") <= cut), DAY)
+    return ef.activity_recorded(stored, m.touches.filter(c("ts") > cut), DAY).select("agent", "path", "started_at", "updated_at", "opened")
 
 
 @query("orphan_reclaim", "SELECT t.id, t.assignee, 'pending' AS state FROM tasks t LEFT JOIN agents a ON t.assignee = a.name, k WHERE t.state = 'running' AND (a.name IS NULL OR a.heartbeat_at < now - 60000)")
@@ -791,35 +799,84 @@ def _(m):
     return m.task_symbols.union(more).distinct()
 
 
+OPS = ("claim", "state", "submit", "approve", "reject", "assign", "reclaim", "priority", "capability")
+
+
 def task_log(m) -> DataFrame:
     """A command log over tasks, from the events: each is added first, then what its events say."""
     e = c("event_id")
-    op = F.element_at(F.array(*map(F.lit, ("claim", "state", "submit", "approve", "reject", "assign", "reclaim", "priority"))), (F.floor(e / 400) % 8 + 1).cast("int"))
-    value = F.when(op == "state", F.element_at(F.array(F.lit("done"), F.lit("blocked"), F.lit("failed")), (e % 3 + 1).cast("int"))).when(op == "assign", F.concat(F.lit("A"), S(e % 10)))
+    op = F.element_at(F.array(*map(F.lit, OPS)), (F.floor(e / 400) % 9 + 1).cast("int"))
+    value = F.when(op == "state", F.element_at(F.array(F.lit("done"), F.lit("blocked"), F.lit("failed")), (e % 3 + 1).cast("int"))).when(op == "assign", F.concat(F.lit("A"), S(e % 10))).when(op == "priority", S(e % 5)).when(op == "capability", F.concat(F.lit("skill"), S(e % 3)))
     rows = m.raw_events.select((e + 1_000_000_000).alias("id"), c("ms").alias("ts"), F.concat(F.lit("T"), S(e % 400)).alias("task"), op.alias("op"), F.concat(F.lit("A"), S(F.when(op == "approve", e % 7).otherwise(e % 400 % 10))).alias("agent"), value.alias("value"), (e % 13 == 0).alias("force"))
     null = F.lit(None).cast("string")
     first = m.spark.range(400).select("id", F.lit(0).cast("long").alias("ts"), F.concat(F.lit("T"), S(c("id"))).alias("task"), F.lit("add").alias("op"), null.alias("agent"), null.alias("value"), F.lit(False).alias("force"))
     return first.unionByName(rows)
 
 
-@query("task_state", None)
+#: The log, and each task's states one command after the other.
+COMMANDS = f"""commands AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY task ORDER BY ts, id) AS rn FROM (SELECT i AS id, 0::BIGINT AS ts, 'T' || i AS task, 'add' AS op, NULL AS agent, NULL AS value, false AS force FROM range(400) r(i)
+  UNION ALL SELECT event_id + 1000000000, ms, 'T' || (event_id % 400), op, 'A' || CASE op WHEN 'approve' THEN event_id % 7 ELSE event_id % 400 % 10 END, CASE op WHEN 'state' THEN ['done', 'blocked', 'failed'][event_id % 3 + 1] WHEN 'assign' THEN 'A' || (event_id % 10) WHEN 'priority' THEN (event_id % 5)::VARCHAR WHEN 'capability' THEN 'skill' || (event_id % 3) END, event_id % 13 = 0 FROM (SELECT *, {list(OPS)}[event_id // 400 % 9 + 1] AS op FROM ev))),
+run AS (SELECT DISTINCT task, 0::BIGINT AS rn, NULL::BIGINT AS id, NULL::VARCHAR AS outcome, NULL::VARCHAR AS state, NULL::VARCHAR AS assignee, NULL::VARCHAR AS event, NULL::VARCHAR AS priority, NULL::VARCHAR AS capability FROM commands
+  UNION ALL SELECT task, rn, id, CASE WHEN ok THEN 'done' WHEN op = 'assign' AND was IS NOT NULL THEN 'unchanged' ELSE 'refused' END, CASE WHEN NOT ok THEN was WHEN op IN ('add', 'reclaim') THEN 'pending' WHEN op IN ('claim', 'reject', 'assign') THEN 'running' WHEN op = 'state' THEN value WHEN op = 'submit' THEN 'review' WHEN op = 'approve' THEN 'done' ELSE was END,
+    CASE WHEN NOT ok THEN had WHEN op = 'claim' THEN agent WHEN op = 'assign' THEN value WHEN op = 'reclaim' THEN NULL ELSE had END,
+    CASE WHEN NOT ok THEN NULL WHEN op = 'add' THEN 'task.created' WHEN op IN ('claim', 'reject') THEN 'task.started' WHEN op = 'state' THEN CASE value WHEN 'done' THEN 'task.completed' ELSE 'task.' || value END WHEN op = 'submit' THEN 'task.submitted_for_review' WHEN op = 'approve' THEN 'task.completed' WHEN op IN ('assign', 'reclaim') THEN 'task.reassigned' WHEN op = 'priority' THEN 'task.reprioritised' END,
+    CASE WHEN ok AND op = 'priority' THEN value ELSE priority END, CASE WHEN ok AND op = 'capability' THEN value ELSE capability END
+  FROM (SELECT x.task, x.rn, x.id, x.op, x.agent, x.value, run.state AS was, run.assignee AS had, run.priority, run.capability, CASE WHEN x.op = 'add' THEN run.state IS NULL WHEN run.state IS NULL THEN false WHEN x.op = 'claim' THEN run.state = 'pending' WHEN x.op = 'state' THEN NOT (x.value IN ('done', 'failed') AND NOT x.force AND run.assignee IS NOT NULL AND run.assignee <> x.agent) WHEN x.op = 'submit' THEN coalesce(run.assignee = x.agent, false)
+    WHEN x.op = 'approve' THEN x.force OR run.assignee IS DISTINCT FROM x.agent WHEN x.op = 'assign' THEN run.assignee IS DISTINCT FROM x.value WHEN x.op = 'reclaim' THEN run.state = 'running' ELSE true END AS ok FROM run JOIN commands x ON x.task = run.task AND x.rn = run.rn + 1))"""
+
+
+@query("task_state", "SELECT id, task, outcome, state, assignee, event, priority, capability FROM run WHERE rn > 0", COMMANDS)
 def _(m):
     return st.task_fold(task_log(m))
 
 
-@query("review_submit", None)
+@query("review_submit", "SELECT id, task, assignee FROM run WHERE event = 'task.submitted_for_review'", COMMANDS)
 def _(m):
     return st.task_fold(task_log(m)).filter("event = 'task.submitted_for_review'").select("id", "task", "assignee")
 
 
-@query("task_assign", None)
+@query("task_assign", "SELECT id, task, assignee FROM run WHERE event = 'task.reassigned'", COMMANDS)
 def _(m):
     return st.task_fold(task_log(m)).filter("event = 'task.reassigned'").select("id", "task", "assignee")
 
 
-@query("req_open", None)
+#: Tasks that end now: a tenth of the running and the reviewed ones, every third of them as failed.
+ENDED = "ended AS (SELECT id AS task, CASE WHEN CAST(substr(id, 2) AS BIGINT) % 30 = 0 THEN 'failed' ELSE 'done' END AS state FROM tasks WHERE CAST(substr(id, 2) AS BIGINT) % 10 = 0 OR state IN ('running', 'review'))"
+AFTER = """after AS (SELECT t.id, coalesce(e.state, t.state) AS state FROM tasks t LEFT JOIN ended e ON e.task = t.id),
+free AS (SELECT l.id AS lease, l.agent, l.symbol_id, l.task FROM leases l JOIN ended e ON e.task = l.task WHERE l.state = 'active'),
+freed AS (SELECT q.id, coalesce(q.to_agent, q.from_agent) AS agent, min(f.lease) AS lease FROM requests q JOIN free f ON f.symbol_id = q.resource_symbol WHERE q.kind = 'lease-transfer' AND q.state IN ('open', 'accepted') GROUP BY ALL),
+open_deps AS (SELECT DISTINCT d.task_id FROM task_deps d LEFT JOIN after o ON o.id = d.depends_on WHERE o.state IS DISTINCT FROM 'done')"""
+
+
+@query("task_finish", "SELECT 'task.ended' AS effect, task AS id, NULL AS agent, state AS cause FROM ended UNION SELECT 'lease.released', lease, agent, task FROM free UNION SELECT 'request.fulfilled', id, agent, lease FROM freed UNION SELECT 'request.fulfilled', q.id, coalesce(q.to_agent, q.from_agent), q.resource_task FROM requests q JOIN ended e ON e.task = q.resource_task AND e.state = 'done' WHERE q.state IN ('open', 'accepted') AND q.id NOT IN (SELECT id FROM freed) UNION SELECT 'task.unblocked', d.task_id, NULL, d.depends_on FROM task_deps d JOIN ended e ON e.task = d.depends_on AND e.state = 'done' JOIN after a ON a.id = d.task_id AND a.state = 'pending' WHERE d.task_id NOT IN (SELECT task_id FROM open_deps)", ENDED, AFTER)
+def _(m):
+    n = F.substring("id", 2, 20).cast("long")
+    ended = m.tasks.filter((n % 10 == 0) | c("state").isin("running", "review")).select(c("id").alias("task"), F.when(n % 30 == 0, "failed").otherwise("done").alias("state"))
+    return ef.finished(ended, m.tasks, m.task_deps, m.leases, m.requests)
+
+
+@query("req_accept", """SELECT r.id AS request, CASE WHEN NOT r.may THEN CASE WHEN r.state = 'open' AND r.due THEN 'expired' ELSE 'refused' END WHEN r.kind <> 'lease-transfer' THEN 'accepted' WHEN v.lease IS NOT NULL THEN 'transferred' ELSE 'not held' END AS outcome, v.lease, v.from_agent AS agent, v.expires_at, (SELECT min(q.id) FROM lease_queue q WHERE q.state = 'waiting' AND q.agent = v.from_agent AND q.symbol_id = v.resource_symbol) AS waiter FROM answers r LEFT JOIN moved v ON v.id = r.id""",
+       """asked AS (SELECT * REPLACE (CASE WHEN seq % 3 = 0 THEN 'O' || (seq % 40) ELSE resource_symbol END AS resource_symbol, 'open' AS state, CASE WHEN seq % 3 = 0 THEN 'lease-transfer' ELSE kind END AS kind) FROM requests),
+answers AS (SELECT *, coalesce(state = 'open' AND NOT due AND coalesce(to_agent = who, true) AND who <> from_agent, false) AS may FROM (SELECT *, CASE WHEN seq % 5 = 0 THEN from_agent ELSE coalesce(to_agent, 'A' || (seq % 10)) END AS who, coalesce(deadline_at <= created_at + 3600000 * (seq % 100), false) AS due, created_at + 3600000 * (seq % 100) AS at FROM asked)),
+moved AS (SELECT * FROM (SELECT r.*, l.id AS lease, r.at + l.ttl_secs * 1000 AS expires_at, row_number() OVER (PARTITION BY l.id ORDER BY r.seq) AS rn FROM answers r JOIN (SELECT * FROM leases WHERE state = 'active' QUALIFY row_number() OVER (PARTITION BY agent, symbol_id ORDER BY acquired_at, id) = 1) l ON l.agent = r.who AND l.symbol_id = r.resource_symbol WHERE r.may AND r.kind = 'lease-transfer') WHERE rn = 1)""")
+def _(m):
+    # Every third request asks for one of forty symbols, so that there are leases to move and two requests for one.
+    third = c("seq") % 3 == 0
+    asked = m.requests.withColumn("resource_symbol", F.when(third, F.concat(F.lit("O"), S(c("seq") % 40))).otherwise(c("resource_symbol"))).withColumn("state", F.lit("open")).withColumn("kind", F.when(third, "lease-transfer").otherwise(c("kind")))
+    who = F.when(c("seq") % 5 == 0, c("from_agent")).otherwise(F.coalesce("to_agent", F.concat(F.lit("A"), S(c("seq") % 10))))
+    answers = asked.select(c("id").alias("request"), who.alias("agent"), (c("created_at") + 3_600_000 * (c("seq") % 100)).alias("ts"))
+    return ef.accepted(answers, asked, m.leases, m.lease_queue)
+
+
+@query("task_claim_scope", "SELECT p.id AS task, 'A1' AS agent, ts.symbol_id, 'L:' || p.id || ':' || ts.symbol_id AS lease, now + 300000 AS expires_at FROM (SELECT p.id FROM plan p JOIN tasks t ON t.id = p.id WHERE p.level = 0 AND p.startable AND (t.required_capability IS NULL OR t.required_capability = (SELECT capability FROM agents WHERE name = 'A1')) AND NOT (SELECT paused FROM agents WHERE name = 'A1') ORDER BY p.priority DESC, p.created_at, p.id LIMIT 1) p JOIN task_symbols ts ON ts.task_id = p.id, k", *PLAN)
+def _(m):
+    best = sc.claimable(planned(m), m.tasks, m.agents, "A1").limit(1).select("id")
+    return ef.claimed(best, m.task_symbols, "A1", m.now)
+
+
+@query("req_open", "SELECT seq AS id, id AS request, CASE WHEN from_agent IS DISTINCT FROM to_agent THEN 'done' ELSE 'refused' END AS outcome, CASE WHEN from_agent IS DISTINCT FROM to_agent THEN 'open' END AS state FROM requests UNION ALL SELECT seq + 1000000000, id, CASE WHEN NOT opened THEN 'refused' WHEN op = 'sweep' THEN CASE WHEN due THEN 'done' ELSE 'ignored' END WHEN op = 'accept' AND due THEN 'refused' WHEN op IN ('symbol_free', 'task_done') THEN CASE WHEN op = 'task_done' OR kind = 'lease-transfer' THEN 'done' ELSE 'ignored' END WHEN op = 'cancel' THEN CASE WHEN agent = from_agent THEN 'done' ELSE 'refused' END WHEN NOT answers THEN 'refused' WHEN op = 'accept' AND kind = 'lease-transfer' THEN 'transferred' ELSE 'done' END, CASE WHEN NOT opened THEN NULL WHEN op IN ('sweep', 'accept') AND due THEN 'expired' WHEN op = 'sweep' THEN 'open' WHEN op IN ('symbol_free', 'task_done') THEN CASE WHEN op = 'task_done' OR kind = 'lease-transfer' THEN 'fulfilled' ELSE 'open' END WHEN op = 'cancel' THEN CASE WHEN agent = from_agent THEN 'cancelled' ELSE 'open' END WHEN NOT answers THEN 'open' WHEN op = 'accept' THEN CASE kind WHEN 'lease-transfer' THEN 'fulfilled' ELSE 'accepted' END WHEN op = 'decline' THEN 'declined' ELSE 'fulfilled' END FROM told",
+       "told AS (SELECT *, (to_agent IS NULL OR to_agent = agent) AND agent IS DISTINCT FROM from_agent AS answers FROM (SELECT *, from_agent IS DISTINCT FROM to_agent AS opened, ['accept', 'decline', 'fulfill', 'cancel', 'sweep', 'symbol_free', 'task_done'][seq % 7 + 1] AS op, CASE WHEN seq % 2 = 0 THEN to_agent ELSE from_agent END AS agent, coalesce(deadline_at <= created_at + 1000 * (seq % 100000), false) AS due FROM requests))")
 def _(m):
-    e = c("event_id")
     null, none = F.lit(None).cast("string"), F.lit(None).cast("long")
     opened = m.requests.select(c("seq").alias("id"), c("created_at").alias("ts"), c("id").alias("request"), F.lit("open").alias("op"), c("from_agent").alias("agent"), "from_agent", "to_agent", "kind", "deadline_at")
     op = F.element_at(F.array(*map(F.lit, ("accept", "decline", "fulfill", "cancel", "sweep", "symbol_free", "task_done"))), (c("seq") % 7 + 1).cast("int"))
