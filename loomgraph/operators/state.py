@@ -24,51 +24,95 @@ COLUMNS = "id long, outcome string, lease string, holder string"
 
 
 class Leases:
-    """Active leases and waiting lines of one containment root."""
-
-    def __init__(self):
-        self.live: dict[str, dict] = {}
-        self.line: list[dict] = []
-        self.by_symbol: dict[str, set[str]] = defaultdict(set)
-        self.inside: dict[str, set[str]] = defaultdict(set)
-
-    def put(self, lease: str, v: dict) -> None:
-        self.live[lease] = v
-        self.by_symbol[v["symbol"]].add(lease)
-        for a in v["ancestors"]:
-            self.inside[a].add(lease)
-
-    def drop(self, lease: str) -> dict:
-        v = self.live.pop(lease)
-        self.by_symbol[v["symbol"]].discard(lease)
-        for a in v["ancestors"]:
-            self.inside[a].discard(lease)
-        return v
+    """Active leases and waiting lines of one containment root.
+
+    What is kept lies in maps by symbol, agent and holding symbol, so a command costs what is near its symbol. Nothing is walked to
+    expire: a lease is gone if a command that sweeps came after it at or past its end, a waiter if an acquire did 15 s after its
+    last sign; both are seen when they are looked at. maps: dicts, or what keeps a stream's state.
+    """
+
+    MAPS = ("at", "within", "held", "line")
+
+    def __init__(self, maps: dict | None = None, clock: dict | None = None):
+        maps = maps or {name: {} for name in self.MAPS}
+        #: Leases of a symbol; symbols with leases inside one; symbols an agent has leases on; waiters of a symbol.
+        self.at, self.within, self.held, self.line = (maps[name] for name in self.MAPS)
+        #: Number of commands, the last sweep and the last acquire (number, time), the last place in line.
+        self.clock = clock if clock is not None else {"n": 0, "sweep": [0, 0], "acquire": [0, 0], "seq": 0}
+
+    def _gone(self, since: int, until: int, last: list[int]) -> bool:
+        return last[0] > since and until <= last[1]
+
+    def on_symbol(self, symbol: str) -> list[dict]:
+        """Live leases of a symbol; expired ones are dropped here."""
+        found = self.at.get(symbol)
+        if not found:
+            return []
+        live = [v for v in found if not self._gone(v["since"], v["until"], self.clock["sweep"])]
+        if len(live) < len(found):
+            self._keep(symbol, found, live)
+        return live
+
+    def _keep(self, symbol: str, before: list[dict], now: list[dict]) -> None:
+        if now:
+            self.at[symbol] = now
+        else:
+            self.at.pop(symbol, None)
+        for a in {a for v in (*before, *now) for a in v["ancestors"]}:
+            self._member(self.within, a, symbol, any(a in v["ancestors"] for v in now))
+        for agent in {v["agent"] for v in before} | {v["agent"] for v in now}:
+            self._member(self.held, agent, symbol, any(v["agent"] == agent for v in now))
+
+    @staticmethod
+    def _member(of: dict, key: str, symbol: str, inside: bool) -> None:
+        there = of.get(key) or []
+        if inside != (symbol in there):
+            there = [*there, symbol] if inside else [x for x in there if x != symbol]
+            if there:
+                of[key] = there
+            else:
+                of.pop(key, None)
+
+    def change(self, symbol: str, now: list[dict]) -> None:
+        self._keep(symbol, self.on_symbol(symbol), now)
 
     def sweep(self, ts: int) -> None:
-        for key in [k for k, v in self.live.items() if v["until"] <= ts]:
-            self.drop(key)
+        self.clock["sweep"] = [self.clock["n"], ts]
+
+    def on(self, symbol: str, agent: str) -> dict | None:
+        return min((v for v in self.on_symbol(symbol) if v["agent"] == agent), key=lambda v: v["lease"], default=None)
 
-    def on(self, symbol: str, agent: str) -> str | None:
-        return next((k for k in sorted(self.by_symbol[symbol]) if self.live[k]["agent"] == agent), None)
+    def of_agent(self, agent: str) -> list[tuple[str, dict]]:
+        return [(symbol, v) for symbol in list(self.held.get(agent) or []) for v in self.on_symbol(symbol) if v["agent"] == agent]
 
-    def against(self, symbol: str, ancestors, agent: str) -> list[str]:
-        """Others' leases on a symbol, what holds it and what it holds; looked up by symbol, not over all leases."""
-        near = set(self.by_symbol[symbol]) | self.inside[symbol]
-        for a in ancestors:
-            near |= self.by_symbol[a]
-        return sorted(k for k in near if self.live[k]["agent"] != agent)
+    def against(self, symbol: str, ancestors, agent: str) -> list[tuple[str, dict]]:
+        """Others' leases on a symbol, what holds it and what it holds."""
+        near = {symbol, *ancestors, *(self.within.get(symbol) or [])}
+        return sorted(((x, v) for x in near for v in self.on_symbol(x) if v["agent"] != agent), key=lambda p: p[1]["lease"])
+
+    def waiting(self, symbol: str) -> list[dict]:
+        found = self.line.get(symbol) or []
+        return [w for w in found if not self._gone(w["since"], w["polled"] + WAITER_MS + 1, self.clock["acquire"])]
+
+    def _stand(self, symbol: str, waiters: list[dict]) -> None:
+        if waiters:
+            self.line[symbol] = waiters
+        else:
+            self.line.pop(symbol, None)
 
     def wait(self, symbol: str, agent: str, priority: int, ts: int) -> None:
         """A new place in line, or a sign of life for the one there is."""
-        for w in self.line:
-            if w["symbol"] == symbol and w["agent"] == agent:
-                w.update(polled=ts, priority=priority)
-                return
-        self.line.append({"symbol": symbol, "agent": agent, "priority": priority, "polled": ts, "seq": (self.line[-1]["seq"] + 1) if self.line else 1})
+        waiters = self.waiting(symbol)
+        mine = next((w for w in waiters if w["agent"] == agent), None)
+        if mine is None:
+            self.clock["seq"] += 1
+            mine = {"agent": agent, "seq": self.clock["seq"]}
+            waiters.append(mine)
+        mine.update(polled=ts, priority=priority, since=self.clock["n"])
+        self._stand(symbol, waiters)
 
     def ahead(self, symbol: str, agent: str, priority: int, ts: int) -> dict | None:
-        here = [w for w in self.line if w["symbol"] == symbol]
+        here = self.waiting(symbol)
         head = min((w for w in here if w["agent"] != agent), key=lambda w: (-w["priority"], w["seq"]), default=None)
         if head is None or head["polled"] < ts - WAITER_MS:
             return None
@@ -76,59 +120,69 @@ class Leases:
         return head if head["priority"] > mine[0] or (head["priority"] == mine[0] and head["seq"] < mine[1]) else None
 
     def leave(self, symbol: str, agent: str) -> bool:
-        n = len(self.line)
-        self.line = [w for w in self.line if not (w["symbol"] == symbol and w["agent"] == agent)]
-        return len(self.line) < n
+        waiters = self.waiting(symbol)
+        rest = [w for w in waiters if w["agent"] != agent]
+        self._stand(symbol, rest)
+        return len(rest) < len(waiters)
+
+    def _blocks(self, x, against: list) -> bool:
+        return bool(against) and not (getattr(x, "preempt", True) and all(v["priority"] < x.priority for _, v in against))
 
     def acquire(self, x, symbol: str, ancestors) -> tuple[str, str | None, str | None]:
         """Sweep, extend an own lease, then conflicts, then the line."""
+        self.clock["n"] += 1  # a settling takes several, each with a sweep of its own
         self.sweep(x.ts)
-        self.line = [w for w in self.line if w["polled"] >= x.ts - WAITER_MS]
+        self.clock["acquire"] = [self.clock["n"], x.ts]
         until = x.ts + x.ttl_secs * 1000
         mine = self.on(symbol, x.agent)
         if mine:
-            self.live[mine].update(until=until, ttl=x.ttl_secs, priority=x.priority)
-            return "extended", mine, None
+            mine.update(until=until, ttl=x.ttl_secs, priority=x.priority, since=self.clock["n"])
+            self.change(symbol, [mine if v["lease"] == mine["lease"] else v for v in self.on_symbol(symbol)])
+            return "extended", mine["lease"], None
         against = self.against(symbol, ancestors, x.agent)
-        if against and not (getattr(x, "preempt", True) and all(self.live[k]["priority"] < x.priority for k in against)):
+        if self._blocks(x, against):
             if getattr(x, "queue", False):
                 self.wait(symbol, x.agent, x.priority, x.ts)
-            return "denied", None, min(self.live[k]["agent"] for k in against)
-        for k in against:
-            self.drop(k)
+            return "denied", None, min(v["agent"] for _, v in against)
+        for at, v in against:
+            self.change(at, [o for o in self.on_symbol(at) if o["lease"] != v["lease"]])
         first = self.ahead(symbol, x.agent, x.priority, x.ts)
         if first:
             if getattr(x, "queue", False):
                 self.wait(symbol, x.agent, x.priority, x.ts)
             return "denied", None, first["agent"]
         lease = f"L{x.id}" if symbol == x.symbol else f"L{x.id}:{symbol}"
-        self.put(lease, {"agent": x.agent, "symbol": symbol, "ancestors": set(ancestors), "priority": x.priority, "until": until, "ttl": x.ttl_secs})
+        new = {"lease": lease, "agent": x.agent, "ancestors": sorted(set(ancestors)), "priority": x.priority, "until": until, "ttl": x.ttl_secs, "since": self.clock["n"]}
+        self.change(symbol, [*self.on_symbol(symbol), new])
         self.leave(symbol, x.agent)
         return ("preempted" if against else "acquired"), lease, None
 
     def run(self, x) -> tuple[str, str | None, str | None]:
         """Outcome, lease and holder of one command."""
+        self.clock["n"] += 1
         if x.op == "acquire":
             return self.acquire(x, x.symbol, x.ancestors)
         if x.op == "settle":
             # All or nothing, but checked before anything is swept; whether someone waits ahead isn't asked.
-            for symbol, ancestors in x.scope:
+            scope = [tuple(s.values()) if isinstance(s, dict) else tuple(s) for s in x.scope]
+            for symbol, ancestors in scope:
                 against = self.against(symbol, ancestors, x.agent)
-                if against and not (getattr(x, "preempt", True) and all(self.live[k]["priority"] < x.priority for k in against)):
-                    return "denied", None, min(self.live[k]["agent"] for k in against)
-            for symbol, ancestors in x.scope:
+                if self._blocks(x, against):
+                    return "denied", None, min(v["agent"] for _, v in against)
+            for symbol, ancestors in scope:
                 self.acquire(x, symbol, ancestors)
             return "settled", None, None
         if x.op == "heartbeat":
             self.sweep(x.ts)
-            held = [k for k, v in self.live.items() if v["agent"] == x.agent and x.symbol in (None, v["symbol"])]
-            for k in held:
-                self.live[k]["until"] = x.ts + self.live[k]["ttl"] * 1000
-            return ("refreshed" if held else "ignored"), (held[0] if held else None), None
+            held = [(symbol, v) for symbol, v in self.of_agent(x.agent) if x.symbol in (None, symbol)]
+            for symbol, v in held:
+                v.update(until=x.ts + v["ttl"] * 1000, since=self.clock["n"])
+                self.change(symbol, [v if o["lease"] == v["lease"] else o for o in self.on_symbol(symbol)])
+            return ("refreshed" if held else "ignored"), min((v["lease"] for _, v in held), default=None), None
         if x.op == "release_all":
-            held = [k for k, v in self.live.items() if v["agent"] == x.agent]
-            for k in held:
-                self.drop(k)
+            held = self.of_agent(x.agent)
+            for symbol, v in held:
+                self.change(symbol, [o for o in self.on_symbol(symbol) if o["lease"] != v["lease"]])
             return ("released" if held else "ignored"), None, None
         if x.op == "sweep":
             self.sweep(x.ts)
@@ -137,15 +191,15 @@ class Leases:
             return ("cancelled" if self.leave(x.symbol, x.agent) else "ignored"), None, None
         mine = self.on(x.symbol, x.agent)
         if not mine or (x.op == "transfer" and x.to == x.agent):
-            return "ignored", mine, None
+            return "ignored", mine and mine["lease"], None
+        rest = [o for o in self.on_symbol(x.symbol) if o["lease"] != mine["lease"]]
         if x.op == "release":
-            self.drop(mine)
-            return "released", mine, None
+            self.change(x.symbol, rest)
+            return "released", mine["lease"], None
         if x.op == "transfer":
-            v = self.live[mine]
-            v.update(agent=x.to, until=x.ts + v["ttl"] * 1000)
+            self.change(x.symbol, [*rest, mine | {"agent": x.to, "until": x.ts + mine["ttl"] * 1000, "since": self.clock["n"]}])
             self.leave(x.symbol, x.to)
-            return "transferred", mine, x.to
+            return "transferred", mine["lease"], x.to
         raise ValueError(f"unknown command {x.op}")
 
 
@@ -156,7 +210,11 @@ def replay(commands: pd.DataFrame) -> pd.DataFrame:
     commands use them also preempt (else allowed), queue (else not), to, scope (list of symbol and ancestors). An expired lease
     stands until something sweeps: acquire, heartbeat and sweep do.
     """
-    state = Leases()
+    return outcomes(Leases(), commands)
+
+
+def outcomes(state: Leases, commands: pd.DataFrame) -> pd.DataFrame:
+    """Run commands on a state, in order."""
     out = [(x.id, *state.run(x)) for x in commands.sort_values(["ts", "id"]).itertuples(index=False)]
     return pd.DataFrame(out, columns=["id", "outcome", "lease", "holder"])
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars as fn
@@ -12,7 +14,9 @@ from loomgraph.operators import source_text as tx
 from loomgraph.operators import state as st
 from loomgraph.registry import HANDLE, ORACLE, QUERIES, STORED, SYM, SYMS, query
 from loomgraph.sources.adapter import DAY, HOUR, millis
+from loomgraph.sources.tables import shared_dir
 from loomgraph.streaming import jobs as sj
+from loomgraph.streaming import leases as ls
 
 c = F.col
 
@@ -712,12 +716,37 @@ def _(m):
     return st.infer_dependencies(m.task_symbols, m.edges, m.tasks, known.join(chain, ["task_id", "depends_on"], "left_semi"), m.symbols).select("task_id", "depends_on", "via")
 
 
-@query("lease_fold", None)
-def _(m):
+def lease_log(m) -> DataFrame:
+    """Commands of all kinds on the leases, from the clicks: most take a lease, others give it back, hand it on, keep it or leave the line."""
     leases = m.leases.join(m.symbols.select(c("id").alias("symbol_id"), "parent_id", "path"), "symbol_id")
     files = m.nations.select("path", F.concat(F.lit("N"), c("n_nationkey").cast("string")).alias("root"))
     rows = leases.join(F.broadcast(files), "path").withColumn("ancestors", F.array_distinct(F.filter(F.array("parent_id", "root"), lambda x: x.isNotNull() & (x != c("symbol_id")))))
-    return st.lease_fold(rows.select(F.substring("id", 2, 20).cast("long").alias("id"), c("acquired_at").alias("ts"), F.lit("acquire").alias("op"), c("symbol_id").alias("symbol"), "ancestors", "agent", "priority", "ttl_secs", "root"))
+    e = F.substring("id", 2, 20).cast("long")
+    op = F.element_at(F.array(*map(F.lit, ("acquire", "acquire", "acquire", "acquire", "release", "transfer", "heartbeat", "settle", "dequeue", "release_all", "sweep", "acquire"))), (e % 12 + 1).cast("int"))
+    scope = F.array(F.struct(c("symbol_id").alias("symbol"), "ancestors"))
+    to = F.concat(F.lit("A"), (e % 10).cast("string"))
+    rows = rows.withColumns({"number": e, "op": op, "scope": scope, "to": to})
+    return rows.select(c("number").alias("id"), c("acquired_at").alias("ts"), "op", F.when(c("op") != "heartbeat", c("symbol_id")).alias("symbol"), "ancestors", "agent", "priority", "ttl_secs", (c("number") % 2 == 0).alias("preempt"), (c("number") % 3 > 0).alias("queue"), "to", "scope", "root")
+
+
+@query("lease_fold", None)
+def _(m):
+    return st.lease_fold(lease_log(m))
+
+
+@query("st_lease_commands", None)
+def _(m):
+    """The same log as a stream of files, in five micro-batches."""
+    at = f"{shared_dir(m.spark)}/loomgraph/commands-{uuid.uuid4().hex}"
+    rows = lease_log(m)
+    rows.repartitionByRange(5, "ts", "id").sortWithinPartitions("ts", "id").write.parquet(at)
+    # One file a batch, the oldest events first: a file source takes files by their time, so they are dated by their order.
+    parts = sorted({f for f in m.spark.read.parquet(at).inputFiles()})
+    hadoop = m.spark._jvm.org.apache.hadoop.fs
+    for i, f in enumerate(parts):
+        path = hadoop.Path(f)
+        path.getFileSystem(m.spark._jsc.hadoopConfiguration()).setTimes(path, 1_000_000_000_000 + 1000 * i, -1)
+    return sj.run_to_table(ls.lease_stream(sj.event_stream(m.spark, at, rows.schema, files_per_batch=1)), "append", "lease-commands")
 
 
 # Streams
