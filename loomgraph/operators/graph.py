@@ -8,30 +8,39 @@ from pyspark.sql import functions as F
 
 from loomgraph.sources.tables import counted, dropped, tidy, written
 
-def descendants(symbols: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame:
-    """(root, id, depth) of all nested symbols of `roots` (root); a step for each level of the containment tree."""
-    links = symbols.filter("parent_id is not null").select("parent_id", F.col("id").alias("child"))
-    level = roots.select("root", F.col("root").alias("id"), F.lit(0).cast("long").alias("depth"))
-    found = None
-    for _ in range(most):
-        level = written(level.join(links, level["id"] == links["parent_id"]).select("root", F.col("child").alias("id"), (F.col("depth") + 1).alias("depth")), "descendants")
-        if level.isEmpty():
-            break
-        found = level if found is None else found.unionAll(level)
-    return level if found is None else found
-
-
-def ancestors(symbols: DataFrame, starts: DataFrame, most: int = 64) -> DataFrame:
-    """(start, id, depth): each symbol itself at depth 0, then outward."""
-    up = symbols.select(F.col("id").alias("child"), "parent_id")
+def _nested(links: DataFrame, level: DataFrame, key: str, hops: int) -> DataFrame:
+    """(key, id, depth) of what lies below level (key, id, depth 0) along links (id, next), which are a forest; `hops` levels are written at a time."""
+    found, base, most = level.limit(0), 0, None
+    while True:
+        rows, steps = level, []
+        for _ in range(hops):
+            rows = rows.join(links, "id").select(key, F.col("next").alias("id"), (F.col("depth") + 1).alias("depth"))
+            steps.append(rows)
+        made = steps[0]
+        for more in steps[1:]:
+            made = made.unionAll(more)
+        made, n = counted(made, "nested")
+        if not n["n"]:
+            return found
+        found, base = found.unionAll(made), base + hops
+        level = made.filter(F.col("depth") == base)
+        if base % 64 == 0:  # a way longer than all links together is a circle
+            most = most or links.count()
+            if base > most:
+                raise ValueError("containment has a circle")
+
+
+def descendants(symbols: DataFrame, roots: DataFrame, hops: int = 2) -> DataFrame:
+    """(root, id, depth) of all nested symbols of `roots` (root), whatever their depth."""
+    links = symbols.filter("parent_id is not null").select(F.col("parent_id").alias("id"), F.col("id").alias("next"))
+    return _nested(links, roots.select("root", F.col("root").alias("id"), F.lit(0).cast("long").alias("depth")), "root", hops)
+
+
+def ancestors(symbols: DataFrame, starts: DataFrame, hops: int = 2) -> DataFrame:
+    """(start, id, depth): each symbol itself at depth 0, then outward, whatever the depth."""
+    links = symbols.filter("parent_id is not null").select("id", F.col("parent_id").alias("next"))
     level = starts.select("start", F.col("start").alias("id"), F.lit(0).cast("long").alias("depth"))
-    found = level
-    for _ in range(most):
-        level = written(level.join(up, level["id"] == up["child"]).filter("parent_id is not null").select("start", F.col("parent_id").alias("id"), (F.col("depth") + 1).alias("depth")), "ancestors")
-        if level.isEmpty():
-            break
-        found = found.unionAll(level)
-    return found
+    return level.unionAll(_nested(links, level, "start", hops))
 
 
 def impact(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:

@@ -102,3 +102,12 @@ def test_a_chain_of_a_hundred(spark):
     assert rows(graph.waves(tasks, deps, none)) == [(f"T{i:03d}", i) for i in range(64)]
     assert rows(graph.waves(tasks, deps, none, most=1000))[-1] == ("T099", 99)
     assert graph.waves(tasks.limit(0), deps, none).count() == 0 and graph.critical_path(graph.waves(tasks.limit(0), deps, none), deps).count() == 0
+
+
+def test_nesting_deeper_than_any_limit(spark):
+    n = 75
+    symbols = spark.createDataFrame([(f"s{i:03d}", f"s{i - 1:03d}" if i else None) for i in range(n)] + [("t1", "t0"), ("t0", None)], "id string, parent_id string")
+    below = graph.descendants(symbols, spark.createDataFrame([("s000",), ("s070",), ("t1",)], "root string"), hops=5)
+    assert rows(below) == sorted([("s000", f"s{i:03d}", i) for i in range(1, n)] + [("s070", f"s{i:03d}", i - 70) for i in range(71, n)])
+    above = graph.ancestors(symbols, spark.createDataFrame([("s074",), ("t0",)], "start string"), hops=5)
+    assert rows(above) == sorted([("s074", f"s{74 - d:03d}", d) for d in range(n)] + [("t0", "t0", 0)])
