@@ -4,7 +4,9 @@ A page is cut into blocks (runs of text between block-level tags). Blocks of men
 known by their elements, classes and roles. All others, inside an article or main element or not, are compared with the
 nearest page of the same host: pages are put in order of (host, path), each takes the neighbour that shares more of
 its path, their block sequences are aligned by longest common subsequence, and what they share is deleted as the
-host's furniture. Of what is left, text outside the page's article or main elements stays only where there is no such
+host's furniture. Inside an article or main element a line must be shared with both neighbours, as far from the element's
+start or end, be no heading, and be no part of a text of which the pages share more than half: a sentence that two articles
+have in common, a heading such as `Conclusion` and the paragraphs of two versions stay. Of what is left, text outside the page's article or main elements stays only where there is no such
 element or more text outside than inside, so that the element is a teaser.
 
 Two pages of which next to nothing is left are copies, not one template twice: the other neighbour is taken. Where the
@@ -47,10 +49,13 @@ SKIP_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search",
 SKIP_CLASSES = set(
     "ad ads adbox adslot adsense advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices alert popup modal overlay "
     "newsletter subscribe subscription signup paywall sidebar menu nav navbar navigation breadcrumb breadcrumbs crumbs footer header masthead topbar comment comments reply replies respond "
-    "disqus discussion share sharing social related recommended recommendations widget toolbar pagination pager skip copyright login search".split()
+    "response responses disqus discussion share sharing social related recommended recommendations widget toolbar pagination pager skip copyright login search".split()
 )
 #: Words that may stand beside one of the above in a class or id that still means the same thing.
-BESIDE = set("box wrapper wrap container holder list item items bar block area section zone panel row col inner outer main site page top bottom left right primary secondary fixed sticky links link icons icon buttons button posts post articles stories story content text message form module slot unit mobile desktop global js".split())
+BESIDE = set("box wrapper wrap container holder list item items bar block area section zone panel row col inner outer main site page top bottom left right primary secondary fixed sticky links link icons icon buttons button posts post articles stories story content text message form module slot unit mobile desktop global js user users reader readers visitor fb law info policy settings preferences".split())
+#: Of the first list those that name a thing by themselves, so that a compound that ends with one is such a thing: `fb-comments`, but not `notice-of-claim`.
+HEADS = set("advert adverts advertisement sidebar breadcrumb breadcrumbs comment comments reply replies response responses notice notices newsletter popup paywall pagination navbar disqus".split())
+HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -67,24 +72,27 @@ def is_furniture(tag: str, attrs: dict[str, str], inside: bool) -> bool:
         return True
     if tag in ("html", "body", "main"):
         return False
-    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split():
-        # Every word of the name must speak for it: `share-price` or `notice-of-claim` is text.
-        parts = {x for x in re.split(r"[-_]+", name) if x and not x.isdigit()}
-        if parts & SKIP_CLASSES and parts <= SKIP_CLASSES | BESIDE:
+    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
+        # Either every word of the name speaks for it, or what the name ends with: `share-price` or `notice-of-claim` is text.
+        words = [x.lower() for x in re.split(r"[-_]+|(?<=[a-z])(?=[A-Z])", name) if x and not x.isdigit()]
+        if set(words) & SKIP_CLASSES and set(words) <= SKIP_CLASSES | BESIDE:
+            return True
+        named = [x for x in words if x not in BESIDE]
+        if named and named[-1] in HEADS and words[0] not in ("no", "non", "without", "with", "has"):
             return True
     return False
 
 
-def blocks(page: str) -> list[tuple[str, bool, bool]]:
-    """(text, furniture, inside an article or main element) of each block, in page order."""
-    out: list[tuple[str, bool, bool]] = []
+def blocks(page: str) -> list[tuple[str, bool, bool, bool]]:
+    """(text, furniture, inside an article or main element, heading) of each block, in page order."""
+    out: list[tuple[str, bool, bool, bool]] = []
     open_: list[tuple[str, bool, bool]] = []
     skip = inside = False
     words: list[str] = []
 
     def flush() -> None:
         if words and (text := " ".join("".join(words).split())):
-            out.append((text, skip, inside))
+            out.append((text, skip, inside, any(x[0] in HEADING for x in open_[-3:])))
         words.clear()
 
     def state() -> tuple[bool, bool]:
@@ -228,12 +236,12 @@ def common_segments(a: str, b: str) -> int:
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each page the hashes of its lines and the characters of each; -1 for furniture, which only takes part in the alignment."""
+    """Of each page the hashes of its lines, and of each line 4 * characters + 2 if inside + 1 for a heading; -1 for furniture, which only takes part in the alignment."""
     for batch in batches:
         pages = [blocks(h or "") for h in batch.column(3).to_pylist()]
         at = [address(u) for u in batch.column(2).to_pylist()]
-        lines = [[xxhash.xxh64_intdigest(t.encode("utf-8", "replace")) - (1 << 63) for t, _, _ in page] for page in pages]
-        chars = [[-1 if s else len(t) for t, s, _ in page] for page in pages]
+        lines = [[xxhash.xxh64_intdigest(t.encode("utf-8", "replace")) - (1 << 63) for t, *_ in page] for page in pages]
+        chars = [[-1 if s else 4 * len(t) + 2 * inside + heading for t, s, inside, heading in page] for page in pages]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array([a[0] for a in at], pa.string()), pa.array([a[1] for a in at], pa.string()), pa.array(lines, pa.list_(pa.int64())), pa.array(chars, pa.list_(pa.int32()))],
             ["k1", "k2", "host", "path", "lines", "chars"],
@@ -247,21 +255,39 @@ MOST = 0.8
 
 
 def deleted(page: dict, near: list[dict]) -> set[int]:
-    """Which lines of a page are the host's furniture; near: its neighbours, the nearest first."""
+    """Which lines of a page are the host's furniture; near: its neighbours, the nearest first.
+
+    Outside of article and main elements what the nearest one shares goes. Inside, a line goes only if both neighbours have it as
+    far from their element's start or end (so the first and the last page of a host lose none there), it is no heading, and it is no part of a text that the pages share by and large.
+    """
     found: list[tuple[set[int], bool]] = []
+    inner: list[set[int]] = []
+    mine = _inside(page)
     for other in near:
         pairs = shared_lines(page["lines"], other["lines"])
-        gone = {i for i, _ in pairs if page["chars"][i] >= 0}
-        shared = sum(page["chars"][i] for i in gone)
-        theirs = {j for _, j in pairs}
-        left = [sum(n for i, n in enumerate(page["chars"]) if n > 0 and i not in gone), sum(n for j, n in enumerate(other["chars"]) if n > 0 and j not in theirs)]
+        theirs, own = {j for _, j in pairs}, {i for i, _ in pairs}
+        gone = {i for i in own if page["chars"][i] >= 0}
+        shared = sum(page["chars"][i] >> 2 for i in gone)
+        left = [sum(n >> 2 for i, n in enumerate(x["chars"]) if n > 0 and i not in met) for x, met in ((page, own), (other, theirs))]
         if max(left) <= max(LEFT_CHARS, LEFT * shared):
             continue  # a copy
-        found.append((gone, max(left) < (1 - MOST) * (shared + max(left))))
+        found.append(({i for i in gone if i not in mine}, max(left) < (1 - MOST) * (shared + max(left))))
+        place = _inside(other)
+        alike = {i for i, j in pairs if i in mine and j in place}
+        revised = 2 * sum(page["chars"][i] >> 2 for i in alike) > sum(n >> 2 for i, n in enumerate(page["chars"]) if n > 0 and (i in mine or i not in gone))
+        same = {i for i, j in pairs if i in mine and j in place and (mine[i][0] == place[j][0] or mine[i][1] == place[j][1])}
+        inner.append(set() if revised else {i for i in same if not page["chars"][i] & 1})
     if not found:
         return set()
     gone, alike = found[0]
-    return gone & found[1][0] if alike and len(found) > 1 else gone
+    outer = gone & found[1][0] if alike and len(found) > 1 else gone
+    return outer | (inner[0] & inner[1] if len(inner) > 1 else set())
+
+
+def _inside(page: dict) -> dict[int, tuple[int, int]]:
+    """Of the lines inside an article or main element, how many such lines stand before and behind each."""
+    at = [i for i, n in enumerate(page["chars"]) if n >= 0 and n & 2]
+    return {i: (k, len(at) - 1 - k) for k, i in enumerate(at)}
 
 
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +306,7 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        own = [[{"text": t, "inside": i} for t, s, i in blocks(h or "") if not s] for h in batch.column(4).to_pylist()]
+        own = [[{"text": t, "inside": i} for t, s, i, _ in blocks(h or "") if not s] for h in batch.column(4).to_pylist()]
         yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(own, pa.list_(pa.struct([("text", pa.string()), ("inside", pa.bool_())])))], ["page_id", "url", "k1", "k2", "blocks"])
 
 
