@@ -958,12 +958,12 @@ def _(m):
     return rows.select(F.explode(items).alias("x")).select("x.section", "x.key")
 
 
-@query("st_debounce", "SELECT DISTINCT path FROM touches")
+@query("st_debounce", "SELECT root, min(ts) AS started_at, max(ts) AS ended_at, string_agg(DISTINCT path, ',' ORDER BY path) AS paths, count(*) AS changes FROM (SELECT *, sum(fresh) OVER (PARTITION BY root ORDER BY ts, event_id) AS grp FROM (SELECT *, split_part(path, '/', 1) AS root, CASE WHEN ts - lag(ts) OVER (PARTITION BY split_part(path, '/', 1) ORDER BY ts, event_id) <= 3600000 THEN 0 ELSE 1 END AS fresh FROM touches)) GROUP BY root, grp")
 def _(m):
     stream = sj.event_stream(m.spark, f"{m.dir}/events.parque[t]", m.raw("events").schema).filter("event_type = 'click'")
-    touched = stream.select((c("event_id") % 25).alias("n_nationkey"), F.timestamp_millis(millis(stream, "ts")).alias("modified")).join(F.broadcast(m.nations.select("n_nationkey", "path")), "n_nationkey")
-    bursts = touched.groupBy("path").agg(F.max("modified").alias("modified"))
-    return sj.run_to_table(bursts, "complete", "bursts").select("path")
+    touched = stream.select((c("event_id") % 25).alias("n_nationkey"), F.timestamp_millis(millis(stream, "ts")).alias("at")).join(F.broadcast(m.nations.select("n_nationkey", "path")), "n_nationkey")
+    found = sj.bursts(touched.select(fn.top_dir(c("path")).alias("root"), "path", "at"), 3_600_000)
+    return sj.run_to_table(found.withColumn("paths", F.array_join("paths", ",")), "complete", "bursts")
 
 
 @query("st_notices", "SELECT * FROM (SELECT 'inbox' AS section, id AS key, kind AS value FROM requests WHERE (to_agent = 'A3' OR to_agent IS NULL) AND from_agent <> 'A3' AND state IN ('open', 'accepted') ORDER BY priority DESC, seq LIMIT 5) UNION ALL SELECT * FROM (SELECT 'events', id::VARCHAR, kind FROM (SELECT * FROM log WHERE id > 500 ORDER BY id LIMIT 200) WHERE agent <> 'A3' AND (kind IN ('lease.released', 'task.completed') OR task = (SELECT arg_min(task, (acquired_at, id)) FROM leases WHERE agent = 'A3' AND state = 'active' AND task IS NOT NULL)) ORDER BY id LIMIT 8) UNION ALL SELECT 'expiring', l.id, " + STORED + " FROM leases l JOIN symbols s ON s.id = l.symbol_id, k WHERE l.agent = 'A3' AND l.state = 'active' AND floor((l.expires_at - now) / 1000.0) <= 60")

@@ -6,6 +6,7 @@ in the checkpoint folder, so a job goes on after executors or the driver are los
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -93,6 +94,49 @@ def debounced(changes: DataFrame, write, interval: str = "250 milliseconds", che
     return (q.option("checkpointLocation", checkpoint) if checkpoint else q).start()
 
 
+def bursts(changes: DataFrame, quiet_ms: int = 250, late: str | None = "10 minutes") -> DataFrame:
+    """(root, started_at, ended_at, paths, changes): one row for each burst of changes (root, path, at timestamp) below a root, which ends when nothing changes for quiet_ms; its paths once each, in order."""
+    if late and changes.isStreaming:
+        changes = changes.withWatermark("at", late)
+    w = F.session_window("at", f"{quiet_ms} milliseconds")
+    rows = changes.groupBy("root", w.alias("w")).agg(F.min("at").alias("started"), F.max("at").alias("ended"), F.sort_array(F.collect_set("path")).alias("paths"), F.count(F.lit(1)).alias("changes"))
+    return rows.select("root", F.unix_millis("started").alias("started_at"), F.unix_millis("ended").alias("ended_at"), "paths", "changes")
+
+
+#: How often the log is looked at, and how long no frame is sent at most.
+TICK_MS, FLOOR_MS = 300, 3_000
+
+
+def frame_due(moved: bool, now: int, last: int, floor_ms: int = FLOOR_MS) -> bool:
+    """Whether a tick sends a snapshot: always when the log moved, however far, else when none was sent for the floor."""
+    return moved or now - last >= floor_ms
+
+
+def pump(events: DataFrame, status, label: str, for_ms: int, tick_ms: int = TICK_MS, floor_ms: int = FLOOR_MS) -> DataFrame:
+    """(at, last_id, events, json): frames of a stream of events (id) over some time: one a tick when events came, however many, and one each floor_ms when none did.
+
+    Ticks come from a stream of Spark's own beside the events, as a batch without rows isn't run.
+    """
+    spark = events.sparkSession
+    base = f"{shared_dir(spark)}/loomgraph/{label}-{uuid.uuid4().hex}"
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", max(1, 1000 // tick_ms)).load().select(F.lit(None).cast("long").alias("id"))
+    sent = {"at": 0, "last_id": None}
+
+    def once(batch: DataFrame, number: int) -> None:
+        seen = batch.agg(F.max("id").alias("last_id"), F.count("id").alias("n")).first()
+        now = int(time.time() * 1000)
+        sent["last_id"] = seen.last_id if seen.n else sent["last_id"]
+        if frame_due(seen.n > 0, now, sent["at"], floor_ms):
+            sent["at"] = now
+            rows = status().agg(F.to_json(F.array_sort(F.collect_list(F.struct("section", "key", "value")))).alias("json"))
+            rows.select(F.lit(now).alias("at"), F.lit(sent["last_id"]).cast("long").alias("last_id"), F.lit(seen.n).cast("long").alias("events"), "json").write.mode("append").parquet(f"{base}/out")
+
+    q = events.select("id").unionByName(ticks).writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(processingTime=f"{tick_ms} milliseconds").foreachBatch(once).start()
+    q.awaitTermination(for_ms / 1000)
+    q.stop()
+    return spark.read.schema("at long, last_id long, events long, json string").parquet(f"{base}/out")
+
+
 def swept(stream: DataFrame, sweep, label: str) -> DataFrame:
     """Run a stream over all there is now; behind each micro-batch `sweep(now)`, with now as the batch's last event time (ms, column ts), is written: what lapses, in its order."""
     spark = stream.sparkSession

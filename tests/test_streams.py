@@ -150,3 +150,22 @@ def test_leases_as_a_stream_and_as_a_batch(spark, tmp_path):
     stream = leases.lease_stream(jobs.event_stream(spark, str(tmp_path / "log"), df.schema, files_per_batch=1))
     rows = lambda out: sorted(map(tuple, out.select("id", "outcome", "lease", "holder").collect()))
     assert rows(jobs.run_to_table(stream, "append", "leases")) == rows(batch)
+
+
+def test_a_burst_ends_with_quiet(spark, tmp_path):
+    rows = [("r", "b", 0), ("r", "a", 200), ("r", "b", 450), ("r", "c", 701), ("s", "a", 300)]
+    spark.createDataFrame(rows, "root string, path string, ms long").write.parquet(str(tmp_path / "in"))
+    stream = jobs.event_stream(spark, str(tmp_path / "in"), "root string, path string, ms long").select("root", "path", F.timestamp_millis("ms").alias("at"))
+    got = sorted(tuple(r) for r in jobs.run_to_table(jobs.bursts(stream), "complete", "t").collect())
+    assert got == [("r", 0, 450, ["a", "b"], 3), ("r", 701, 701, ["c"], 1), ("s", 300, 300, ["a"], 1)]
+
+
+def test_frames_are_coalesced_and_have_a_floor(spark, tmp_path):
+    assert jobs.frame_due(True, 10, 9) and not jobs.frame_due(False, 3008, 9) and jobs.frame_due(False, 3009, 9)
+    spark.range(500).repartition(1).write.parquet(str(tmp_path / "in"))
+    status = lambda: spark.createDataFrame([("tasks", "count", "3")], "section string, key string, value string")
+    frames = jobs.pump(jobs.event_stream(spark, str(tmp_path / "in"), "id long"), status, "pump", for_ms=15_000, floor_ms=2_000).orderBy("at").collect()
+    # One frame for all 500 events, then one each two seconds at most though nothing comes any more.
+    assert sum(r.events for r in frames) == 500 and [r.events for r in frames if r.events] == [500]
+    assert len(frames) >= 2 and all(r.last_id == 499 for r in frames if r.at >= next(x.at for x in frames if x.events))
+    assert all(b.at - a.at >= 2_000 for a, b in zip(frames, frames[1:], strict=False) if not b.events)
