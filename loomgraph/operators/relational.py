@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -266,11 +268,40 @@ def memory_near(memory: DataFrame, names: list[str], most: int = 20) -> DataFram
     return memory.filter(F.coalesce(near, F.lit(False))).orderBy(F.desc("updated_at"), "key").limit(most)
 
 
+def _rule_key(glob: str) -> tuple[str, str | None] | None:
+    """What a path must have for a glob to match it: a folder at or above it, or an ending; and the pattern to test behind that, if any. None: nothing of the kind."""
+    g = glob.lstrip("/")
+    segments = g.rstrip("/").split("/")
+    plain = next((i for i, x in enumerate(segments) if re.search(r"[*?\[{]", x)), len(segments))
+    if plain == len(segments):
+        folder = "/".join(segments)
+        return f"dir:{folder}", (glob_pattern(glob) if g.endswith("/") else None)
+    if plain:
+        return f"dir:{'/'.join(segments[:plain])}", glob_pattern(glob)
+    ending = re.search(r"\.(\w+)$", g)
+    return (f"end:{ending[1]}", glob_pattern(glob)) if ending else None
+
+
 def owner_rule(paths: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
-    """(path, rule_no, owner) of the last glob that matches; rules: (glob, owners) in file order, of a file of bounded length."""
-    found = F.coalesce(*[F.when(F.col("path").rlike(glob_pattern(g)), F.lit(i)) for i, (g, _) in reversed(list(enumerate(rules)))], F.lit(-1))
-    owners = F.array(*[F.lit(o) for _, o in rules])
-    return paths.select("path", found.cast("long").alias("rule_no")).withColumn("owner", F.when(F.col("rule_no") >= 0, F.element_at(owners, (F.col("rule_no") + 1).cast("int"))))
+    """(path, rule_no, owner) of the last glob that matches; rules: (glob, owners) in file order.
+
+    A path looks up its own folders and its ending among the rules, an equi-join, and tests the patterns that it meets. Only globs
+    without a literal folder or ending, such as `*`, are tested on every path.
+    """
+    spark = paths.sparkSession
+    keys = [(i, _rule_key(g)) for i, (g, _) in enumerate(rules)]
+    loose = [(i, rules[i][0]) for i, k in keys if k is None]
+    own = paths.select("path").distinct()
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.concat(F.lit("dir:"), F.array_join(F.slice(parts, 1, n), "/")))
+    ending = F.concat(F.lit("end:"), F.regexp_extract("path", r"\.(\w+)$", 1))
+    table = spark.createDataFrame([(k[0], i, k[1]) for i, k in keys if k], "key string, rule_no long, pattern string")
+    met = own.select("path", F.explode(F.concat(above, F.array(ending))).alias("key")).join(table, "key")
+    met = met.filter(F.col("pattern").isNull() | F.expr("path rlike pattern")).groupBy("path").agg(F.max("rule_no").alias("indexed"))
+    last = F.coalesce(*[F.when(F.col("path").rlike(glob_pattern(g)), F.lit(i)) for i, g in reversed(loose)], F.lit(-1)).cast("long")
+    found = own.join(met, "path", "left").select("path", F.greatest(last, F.coalesce("indexed", F.lit(-1).cast("long"))).alias("rule_no"))
+    owners = spark.createDataFrame([(i, o) for i, (_, o) in enumerate(rules)], "rule_no long, owner string")
+    return paths.join(found.join(owners, "rule_no", "left"), "path").select("path", "rule_no", "owner")
 
 
 def owners_by_owner(spark, rules: list[tuple[str, str]]) -> DataFrame:

@@ -246,3 +246,18 @@ def test_dependencies_are_inferred_by_all_rules(spark):
         assert rows(got) == want
         seen += len(want)
     assert seen
+
+
+def test_ten_thousand_ownership_rules(spark):
+    import re
+
+    rng = random.Random(8)
+    seg = lambda: rng.choice("abcdefgh") + rng.choice("xyz")
+    makers = [lambda: "/".join(seg() for _ in range(rng.randint(1, 4))), lambda: "/".join(seg() for _ in range(rng.randint(1, 3))) + "/", lambda: f"/{seg()}/{seg()}*", lambda: f"{seg()}/**/*.{rng.choice(['py', 'ts', 'go'])}", lambda: f"*{rng.choice('abc')}.{rng.choice(['py', 'ts', 'go'])}", lambda: f"{seg()}/{{{seg()},{seg()}}}/?y"]
+    rules = [("*", "all"), ("*x", "loose"), *[(rng.choice(makers)(), f"o{i}") for i in range(10_000)]]
+    paths = sorted({"/".join([seg() for _ in range(rng.randint(1, 5))]) + rng.choice(["", ".py", ".ts", ".md"]) for _ in range(150)})
+    compiled = [re.compile(relational.glob_pattern(g)) for g, _ in rules]
+    want = [(p, max(i for i, x in enumerate(compiled) if x.search(p))) for p in paths]
+    got = relational.owner_rule(spark.createDataFrame([(p,) for p in paths], "path string"), rules)
+    assert rows(got) == [(p, i, rules[i][1]) for p, i in want]
+    assert rows(relational.owner_rule(spark.createDataFrame([("a",)], "path string"), [("b", "x")])) == [("a", -1, None)]
