@@ -191,13 +191,17 @@ def folder(m, label: str) -> str:
 def _(m):
     stored = m.symbols.filter("kind in ('class', 'file')").select("id", "kind", "role")
     fresh = m.spark.createDataFrame([("new", "class", "added")], "id string, kind string, role string")
-    return repo.upsert(stored, stored.filter("kind = 'class'").withColumn("role", F.lit("changed")).unionAll(fresh), ["id"], folder(m, "symbols"))
+    at = folder(m, "symbols")
+    repo.upsert(stored, ["id"], at)
+    return repo.upsert(stored.filter("kind = 'class'").withColumn("role", F.lit("changed")).unionAll(fresh), ["id"], at)
 
 
 @query("sink_upsert_file", "SELECT path, CASE WHEN n_nationkey % 2 = 0 THEN 'new' ELSE substr(sha256(n_name), 1, 16) END AS content_hash FROM nations")
 def _(m):
     even = m.nations.filter("n_nationkey % 2 = 0").select(F.lit("R1").alias("repo_id"), "path", F.lit("new").alias("content_hash"), F.lit(3).cast("long").alias("size"))
-    return repo.upsert(m.files, even, ["repo_id", "path"], folder(m, "files")).select("path", "content_hash")
+    at = folder(m, "files")
+    repo.upsert(m.files, ["repo_id", "path"], at)
+    return repo.upsert(even, ["repo_id", "path"], at).select("path", "content_hash")
 
 
 @query("src_sqlite", "SELECT kind, count(*) AS n FROM symbols GROUP BY kind")

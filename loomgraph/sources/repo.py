@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -106,11 +108,56 @@ def remove(paths: DataFrame, root: str) -> int:
     return paths.select("path").mapInPandas(drop, "n long").agg(F.sum("n")).first()[0] or 0
 
 
-def upsert(stored: DataFrame, changes: DataFrame, keys: list[str], path: str) -> DataFrame:
-    """stored with the rows of changes in place of those of the same key, written to a new folder and read back. Readers go on with the old one until they are given this."""
-    kept = stored.join(changes.select(*keys).distinct(), keys, "left_anti")
-    kept.unionByName(changes, allowMissingColumns=True).write.mode("errorifexists").parquet(path)
-    return stored.sparkSession.read.parquet(path)
+#: Buckets of a table by the hash of its key; one is rewritten if a change falls into it.
+BUCKETS = 64
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _manifest(spark: SparkSession, path: str) -> tuple[int, dict[str, str]]:
+    """Number and content (folder by bucket) of a table's newest manifest; 0 without one."""
+    store, at = _files(spark, f"{path}/manifests")
+    names = [x.getPath().getName() for x in store.listStatus(at)] if store.exists(at) else []
+    n = max((int(x.removesuffix(".json")) for x in names if x.endswith(".json")), default=0)
+    if not n:
+        return 0, {}
+    return n, json.loads("\n".join(r.value for r in spark.read.text(f"{path}/manifests/{n}.json").collect()))
+
+
+def read_table(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A table as its newest manifest has it; who reads an older one goes on with that one's files, which stay."""
+    _, folders = _manifest(spark, path)
+    found = [f"{path}/{x}" for x in folders.values()]
+    return spark.read.schema(schema).parquet(*found) if found else spark.createDataFrame([], schema)
+
+
+def upsert(changes: DataFrame, keys: list[str], path: str, buckets: int = BUCKETS) -> DataFrame:
+    """The table at a path with the rows of changes in place of those of the same key; one row a key in changes.
+
+    Only buckets into which changes fall are read and written, into a new folder; the manifest that names it is written last and in
+    one step, so readers see all of an upsert or nothing of it. One writer at a time.
+    """
+    spark, schema = changes.sparkSession, changes.schema
+    n, folders = _manifest(spark, path)
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("bucket")
+    new = changes.select("*", bucket)
+    touched = [str(r.bucket) for r in new.select("bucket").distinct().collect()]  # of a fixed number of buckets
+    old = [f"{path}/{folders[b]}" for b in touched if b in folders]
+    if old:
+        kept = spark.read.schema(schema).parquet(*old).join(changes.select(*keys), keys, "left_anti").select(*schema.names)
+        new = new.unionByName(kept.select("*", bucket))
+    folder = f"data-{uuid.uuid4().hex}"
+    new.repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/{folder}")
+    named = folders | {b: f"{folder}/bucket={b}" for b in touched}
+    store, at = _files(spark, f"{path}/manifests/{n + 1}.tmp")
+    out = store.create(at)
+    out.write(json.dumps(named, sort_keys=True).encode())
+    out.close()
+    store.rename(at, spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifests/{n + 1}.json"))
+    return read_table(spark, path, schema)
 
 
 def emit(events: DataFrame, path: str, last_id: int) -> None:

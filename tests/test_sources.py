@@ -98,9 +98,24 @@ def test_walk_skips_what_is_ignored(spark, tmp_path):
 
 
 def test_upsert_and_emit(spark, tmp_path):
-    stored = spark.createDataFrame([("a", 1), ("b", 2)], "id string, n long")
-    out = repo.upsert(stored, spark.createDataFrame([("b", 5), ("c", 6)], "id string, n long"), ["id"], str(tmp_path / "t"))
-    assert rows(out) == [("a", 1), ("b", 5), ("c", 6)]
+    import os
+
+    at = str(tmp_path / "t")
+    table = lambda *r: spark.createDataFrame(r, "id string, n long")
+    assert rows(repo.read_table(spark, at, "id string, n long")) == []
+    before = repo.upsert(table(*[(f"k{i:02d}", i) for i in range(40)], (None, 7)), ["id"], at, buckets=8)
+    held = {f: os.stat(f.removeprefix("file://").removeprefix("file:")).st_mtime_ns for f in before.inputFiles()}
+    after = repo.upsert(table(("k03", 300), ("new", 1)), ["id"], at, buckets=8)
+    want = sorted([(f"k{i:02d}", 300 if i == 3 else i) for i in range(40)] + [("new", 1)])
+    assert rows(after.filter("id is not null")) == want and after.filter("id is null").count() == 1
+    # Only the buckets of the two keys have new files; the others are the same files, untouched, and an older reader still has its own.
+    kept = set(after.inputFiles()) & set(held)
+    assert len(held) >= 6 and len(kept) >= len(held) - 2
+    assert all(os.stat(f.removeprefix("file://").removeprefix("file:")).st_mtime_ns == t for f, t in held.items())
+    assert rows(before.filter("id = 'k03'")) == [("k03", 3)] and rows(repo.read_table(spark, at, "id string, n long").filter("id = 'k03'")) == [("k03", 300)]
+    # A manifest that isn't finished isn't read.
+    (tmp_path / "t" / "manifests" / "9.tmp").write_text("{")
+    assert repo.read_table(spark, at, "id string, n long").count() == 42
     events = spark.createDataFrame([(9, "y", None, None, None, None), (7, "x", "a", None, None, None)], "ts long, kind string, agent string, symbol_handle string, task string, detail string")
     repo.emit(events, str(tmp_path / "log"), 40)
     assert rows(spark.read.parquet(str(tmp_path / "log")).select("id", "kind")) == [(41, "x"), (42, "y")]
