@@ -360,3 +360,35 @@ def glob_pattern(glob: str) -> str:
     if "*" in g or "?" in g:
         return f"^{_glob(g)}$" if "/" in g else f"^(?:.*/)?{_glob(g)}$"
     return f"^{_glob(g)}(?:/.+)?$"
+
+
+def pieces(text: Column) -> Column:
+    """The distinct pieces of three letters of a text in lower case."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.lower(text).substr(i, F.lit(3))))
+
+
+def posting_lists(symbols: DataFrame) -> DataFrame:
+    """(piece, id): which symbols have a piece of three letters in their name, qualified name or path."""
+    return symbols.select("id", F.explode(F.array_union(F.array_union(pieces(F.col("name")), pieces(F.col("fqn"))), pieces(F.col("path")))).alias("piece")).filter(F.length("piece") == 3).select("piece", "id")
+
+
+def goal_matches(goals: DataFrame, symbols: DataFrame, most: int = 50, postings: DataFrame | None = None) -> DataFrame:
+    """(goal, id, place): keyword_matches for the texts of many goals (goal, text) at once.
+
+    Each keyword is looked up by the rarest of its pieces in posting lists (of these symbols; made here unless given), so it meets
+    the symbols that have the piece and not all of them; what it meets is then tested. A keyword that many goals have is looked up once.
+    """
+    postings = posting_lists(symbols) if postings is None else postings
+    asked = goals.select("goal", F.posexplode(keywords(F.col("text"))).alias("i", "form"))
+    forms = asked.select("form").distinct()
+    sizes = postings.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    own = forms.select("form", F.explode(pieces(F.col("form"))).alias("piece")).join(sizes, "piece", "left")
+    # A piece that no symbol has comes first: the keyword finds nothing.
+    rarest = own.groupBy("form").agg(F.min_by("piece", F.struct(F.coalesce("n", F.lit(0)), F.col("piece"))).alias("piece"))
+    near = rarest.join(postings, "piece").join(symbols.select("id", "name", "fqn", *[c for c in ("path", "start_byte")]), "id")
+    hay = F.lower(F.concat_ws("\n", "name", "fqn", "path"))
+    found = near.filter(F.contains(hay, F.lower("form")))
+    top = W.partitionBy("form").orderBy("path", "start_byte", "id")
+    found = found.withColumn("rn", F.row_number().over(top)).filter(F.col("rn") <= most).select("form", "id", "rn")
+    first = asked.join(found, "form").groupBy("goal", "id").agg(F.min(F.struct("i", "rn")).alias("at"))
+    return first.select("goal", "id", F.row_number().over(W.partitionBy("goal").orderBy("at.i", "at.rn", "id")).cast("long").alias("place"))

@@ -576,6 +576,14 @@ def _(m):
     return d.dependants(of, m.symbols, m.edges)
 
 
+@query("kw_match_goals", "SELECT goal, id, row_number() OVER (PARTITION BY goal ORDER BY i, rn) AS place FROM (SELECT f.goal, h.id, min(f.i) AS i, arg_min(h.rn, f.i) AS rn FROM forms f JOIN hits h ON h.form = f.form GROUP BY f.goal, h.id)",
+       "forms AS (SELECT 'G' || c_custkey AS goal, 1 AS i, right(c_name, 5) AS form FROM customer UNION ALL SELECT 'G' || c_custkey, 2, 'brand' FROM customer WHERE c_custkey % 4 = 0 UNION ALL SELECT 'G' || c_custkey, 2, 'qqq' FROM customer WHERE c_custkey % 4 = 1), hay AS MATERIALIZED (SELECT id, path, start_byte, lower(name || chr(10) || fqn || chr(10) || path) || '' AS hay FROM symbols), hits AS (SELECT f.form, s.id, row_number() OVER (PARTITION BY f.form ORDER BY s.path, s.start_byte, s.id) AS rn FROM (SELECT DISTINCT form FROM forms) f JOIN hay s ON strpos(s.hay, f.form) > 0 QUALIFY rn <= 50)")
+def _(m):
+    more = F.when(c("c_custkey") % 4 == 0, " and the BRAND").when(c("c_custkey") % 4 == 1, " for qqq").otherwise("")
+    goals = m.raw("customer").select(F.concat(F.lit("G"), S(c("c_custkey"))).alias("goal"), F.concat(F.lit("Add "), F.expr("right(c_name, 5)"), more).alias("text"))
+    return r.goal_matches(goals, m.symbols)
+
+
 # Plans
 
 

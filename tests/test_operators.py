@@ -261,3 +261,16 @@ def test_ten_thousand_ownership_rules(spark):
     got = relational.owner_rule(spark.createDataFrame([(p,) for p in paths], "path string"), rules)
     assert rows(got) == [(p, i, rules[i][1]) for p, i in want]
     assert rows(relational.owner_rule(spark.createDataFrame([("a",)], "path string"), [("b", "x")])) == [("a", -1, None)]
+
+
+def test_keywords_of_many_goals_as_of_each(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abAB_") for _ in range(rng.randint(1, 7)))
+    made = [(f"s{i:03d}", f"p{i % 7}/{word()}", "class", word(), f"{word()}.{word()}", i, None) for i in range(150)]
+    symbols = spark.createDataFrame(made, "id string, path string, kind string, name string, fqn string, start_byte long, role string")
+    texts = [("g1", "Add abab and baba"), ("g2", "the BAB aaa's bbb, zzz"), ("g3", "for the new"), ("g4", "abab")]
+    got = relational.goal_matches(spark.createDataFrame(texts, "goal string, text string"), symbols, most=5)
+    want = []
+    for goal, text in texts:
+        want += [(goal, r.id, r.place) for r in relational.keyword_matches(symbols, text, 5).collect()]
+    assert rows(got) == sorted(want) and want
