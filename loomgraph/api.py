@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions.scalars import route
-from loomgraph.operators import arch, diff, graph, reports, schedule
+from loomgraph.operators import arch, diff, effects, graph, reports, schedule
 from loomgraph.operators import relational as r
 from loomgraph.operators import state as st
+from loomgraph.sources import repo
 from loomgraph.sources.adapter import Model
 from loomgraph.sources.repo import as_json
+from loomgraph.sources.tables import written
 
 #: What a command ends with: an answer, a negative answer, an error.
 ANSWER, NEGATIVE, ERROR = 0, 1, 2
@@ -115,6 +117,90 @@ class Workspace:
         return reports.agent_context(self.m, agent, self.now, depth)
 
 
+#: Tables that commands change, with their keys.
+KEYS = {"tasks": ["id"], "leases": ["id"], "requests": ["id"], "lease_queue": ["id"], "task_deps": ["task_id", "depends_on"], "task_symbols": ["task_id", "symbol_id"], "agents": ["name"], "progress": ["id"]}
+
+
+class Refused(ValueError):
+    """A command that its caller may not give."""
+
+
+class Store:
+    """Commands that write: bucketed tables below a folder, one writer at a time. Each command's effects on all tables are computed from one state, then written table by table, the log last."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    @classmethod
+    def create(cls, spark: SparkSession, folder: str, tables: dict[str, DataFrame]) -> Store:
+        """A store that starts with tables by name (KEYS)."""
+        made = cls(spark, folder)
+        for name, df in tables.items():
+            repo.upsert(df, KEYS[name], f"{folder}/{name}")
+        return made
+
+    def table(self, name: str) -> DataFrame:
+        return repo.read_table(self.spark, f"{self.folder}/{name}")
+
+    def log(self) -> DataFrame:
+        return self.spark.read.schema("id long, ts long, kind string, agent string, symbol_handle string, task string, detail string").parquet(f"{self.folder}/log")
+
+    def _put(self, name: str, changed: DataFrame) -> None:
+        repo.upsert(written(changed.select(*self.table(name).columns), "changed"), KEYS[name], f"{self.folder}/{name}")
+
+    def _tell(self, rows: DataFrame, now: int) -> None:
+        """Append (kind, agent, task, detail) to the log."""
+        files, at = repo._files(self.spark, f"{self.folder}/log")
+        last = self.log().agg(F.max("id")).first()[0] if files.exists(at) else None
+        null = F.lit(None).cast("string")
+        repo.emit(rows.select(F.lit(now).cast("long").alias("ts"), "kind", "agent", null.alias("symbol_handle"), "task", "detail"), f"{self.folder}/log", last or 0)
+
+    def finish(self, task: str, state: str, agent: str | None, now: int, force: bool = False) -> DataFrame:
+        """End a task as done or failed: (effect, id, agent, cause). Only its assignee does, unless forced."""
+        tasks = self.table("tasks")
+        row = tasks.filter(F.col("id") == task).select("assignee").first()
+        if row is None or state not in effects.TERMINAL:
+            raise r.NotFound(f"no such task or state: {task} {state}")
+        if not force and row.assignee and agent and row.assignee != agent:
+            raise Refused(f"{task} is assigned to {row.assignee}, not {agent}")
+        ended = self.spark.createDataFrame([(task, state)], "task string, state string")
+        out = written(effects.finished(ended, tasks, self.table("task_deps"), self.table("leases"), self.table("requests")), "effects")
+        of = lambda effect: out.filter(F.col("effect") == effect).select("id").distinct()
+        self._put("tasks", tasks.filter(F.col("id") == task).withColumns({"state": F.lit(state), "updated_at": F.lit(now).cast("long")}))
+        self._put("leases", self.table("leases").join(of("lease.released"), "id", "left_semi").withColumn("state", F.lit("released")))
+        self._put("requests", self.table("requests").join(of("request.fulfilled"), "id", "left_semi").withColumn("state", F.lit("fulfilled")))
+        kind = F.when(F.col("effect") == "task.ended", F.lit(st.TASK_EVENTS[state])).otherwise(F.col("effect"))
+        about = F.when(F.col("effect").startswith("task."), F.col("id")).otherwise(F.lit(task))
+        self._tell(out.select(kind.alias("kind"), F.when(F.col("effect") == "task.ended", F.lit(agent)).otherwise(F.col("agent")).alias("agent"), about.alias("task"), F.to_json(F.struct("id", "cause")).alias("detail")), now)
+        return out
+
+    def accept(self, request: str, agent: str, now: int) -> DataFrame:
+        """Accept a request: (request, outcome, lease, agent, expires_at, waiter); a transfer moves the lease."""
+        answers = self.spark.createDataFrame([(request, agent, now)], "request string, agent string, ts long")
+        out = written(effects.accepted(answers, self.table("requests"), self.table("leases"), self.table("lease_queue")), "accepted")
+        state = F.when(F.col("outcome") == "transferred", "fulfilled").when(F.col("outcome").isin("accepted", "expired"), F.col("outcome"))
+        asked = self.table("requests").drop("state").join(out.select(F.col("request").alias("id"), state.alias("state")).filter("state is not null"), "id")
+        moved = out.filter("lease is not null").select(F.col("lease").alias("id"), F.col("agent").alias("new"), F.col("expires_at").alias("until"))
+        leases = self.table("leases").join(moved, "id").withColumns({"agent": F.col("new"), "expires_at": F.col("until"), "acquired_at": F.lit(now).cast("long")})
+        granted = self.table("lease_queue").join(out.filter("waiter is not null").select(F.col("waiter").alias("id")), "id", "left_semi").withColumn("state", F.lit("granted"))
+        for name, rows in (("requests", asked), ("leases", leases), ("lease_queue", granted)):
+            self._put(name, rows)
+        kind = F.when(F.col("outcome") == "transferred", "lease.transferred").otherwise(F.concat(F.lit("request."), "outcome"))
+        self._tell(out.select(kind.alias("kind"), F.lit(agent).alias("agent"), F.lit(None).cast("string").alias("task"), F.to_json(F.struct("request", "lease")).alias("detail")), now)
+        return out
+
+    def report(self, agent: str, percent: int, now: int) -> DataFrame:
+        """Progress of an agent: its sign of life, and its leases renewed."""
+        last = self.table("progress").agg(F.max("id")).first()[0] or 0
+        reports = self.spark.createDataFrame([(last + 1, agent, percent, now)], "id long, agent string, percent long, ts long")
+        out = written(effects.progress_reported(reports, self.table("leases")), "progress")
+        value = lambda effect: out.filter(F.col("effect") == effect).select("id", "value")
+        self._put("progress", value("progress").select(F.col("id").cast("long").alias("id"), F.lit(agent).alias("agent"), F.col("value").alias("percent"), F.lit(now).cast("long").alias("ts")))
+        self._put("agents", self.table("agents").join(value("heartbeat").select(F.col("id").alias("name"), "value"), "name").withColumn("heartbeat_at", F.col("value")))
+        self._put("leases", self.table("leases").join(value("renewed"), "id").withColumn("expires_at", F.col("value")))
+        return out
+
+
 def answer(workspace: Workspace, command: str, *args, **named) -> tuple[int, list[str]]:
     """Run a command by name: its exit code and its rows as JSON texts, as a command line prints them.
 

@@ -127,10 +127,12 @@ def _manifest(spark: SparkSession, path: str) -> tuple[int, dict[str, str]]:
     return n, json.loads("\n".join(r.value for r in spark.read.text(f"{path}/manifests/{n}.json").collect()))
 
 
-def read_table(spark: SparkSession, path: str, schema) -> DataFrame:
-    """A table as its newest manifest has it; who reads an older one goes on with that one's files, which stay."""
+def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """A table as its newest manifest has it; who reads an older one goes on with that one's files, which stay. Without a schema its files tell it."""
     _, folders = _manifest(spark, path)
     found = [f"{path}/{x}" for x in folders.values()]
+    if schema is None:
+        return spark.read.parquet(*found)
     return spark.read.schema(schema).parquet(*found) if found else spark.createDataFrame([], schema)
 
 

@@ -1,5 +1,7 @@
 """What commands do to other entities."""
 
+import pytest
+from loomgraph import api
 from loomgraph.operators import effects
 
 
@@ -52,3 +54,26 @@ def test_activity_goes_on_or_opens_a_window(spark):
     stored = spark.createDataFrame([("a", "R", "p", 100, 200), ("a", "R", "q", 100, 200)], "agent string, repo_id string, path string, started_at long, updated_at long")
     touches = spark.createDataFrame([("a", "R", "p", 60_200, 1), ("a", "R", "p", 60_201, 2), ("b", "R", "p", 7, 3), ("a", "R", "q", 60_201, 4), ("a", "R", "q", 200_000, 5)], "agent string, repo_id string, path string, ts long, event_id long")
     assert rows(effects.activity_recorded(stored, touches)) == [("a", "R", "p", 100, 60_201, 0), ("a", "R", "q", 200_000, 200_000, 2), ("b", "R", "p", 7, 7, 1)]
+
+
+def test_commands_that_write(spark, tmp_path):
+    tasks = spark.createDataFrame([("T1", "running", "a", 0, 0, 0), ("T2", "pending", None, 0, 0, 0)], "id string, state string, assignee string, priority long, created_at long, updated_at long")
+    deps = spark.createDataFrame([("T2", "T1")], "task_id string, depends_on string")
+    leases = spark.createDataFrame([("L1", "s1", "a", "active", "T1", 10, 0, 9000), ("L2", "s2", "a", "active", None, 10, 0, 9000)], LEASE)
+    requests = spark.createDataFrame([("r1", 1, "dependency", "x", "a", "open", None, None, "T1"), ("r2", 2, "lease-transfer", "x", "a", "open", None, "s2", None)], REQUEST)
+    queue = spark.createDataFrame([("Q1", "s2", "x", "waiting")], "id string, symbol_id string, agent string, state string")
+    agents = spark.createDataFrame([("a", 0)], "name string, heartbeat_at long")
+    progress = spark.createDataFrame([(1, "a", 5, 0)], "id long, agent string, percent long, ts long")
+    store = api.Store.create(spark, str(tmp_path / "store"), {"tasks": tasks, "task_deps": deps, "leases": leases, "requests": requests, "lease_queue": queue, "agents": agents, "progress": progress})
+    with pytest.raises(api.Refused):
+        store.finish("T1", "done", "b", 1000)
+    store.report("a", 150, 2000)
+    assert rows(store.table("progress")) == [(1, "a", 5, 0), (2, "a", 100, 2000)] and rows(store.table("agents")) == [("a", 2000)]
+    assert rows(store.table("leases").select("id", "expires_at")) == [("L1", 12_000), ("L2", 12_000)]
+    assert [r.outcome for r in store.accept("r2", "a", 3000).collect()] == ["transferred"]
+    assert rows(store.table("leases").select("id", "agent", "expires_at")) == [("L1", "a", 12_000), ("L2", "x", 13_000)] and rows(store.table("lease_queue").select("state")) == [("granted",)]
+    assert ("task.unblocked", "T2", None, "T1") in rows(store.finish("T1", "done", "a", 4000))
+    assert rows(store.table("tasks").select("id", "state")) == [("T1", "done"), ("T2", "pending")] and rows(store.table("leases").select("id", "state")) == [("L1", "released"), ("L2", "active")]
+    assert rows(store.table("requests").select("id", "state")) == [("r1", "fulfilled"), ("r2", "fulfilled")]
+    log = rows(store.log().select("id", "ts", "kind"))
+    assert [x[0] for x in log] == [1, 2, 3, 4, 5] and sorted(k for _, _, k in log) == ["lease.released", "lease.transferred", "request.fulfilled", "task.completed", "task.unblocked"]
