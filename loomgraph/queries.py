@@ -729,12 +729,39 @@ def lease_log(m) -> DataFrame:
     return rows.select(c("number").alias("id"), c("acquired_at").alias("ts"), "op", F.when(c("op") != "heartbeat", c("symbol_id")).alias("symbol"), "ancestors", "agent", "priority", "ttl_secs", (c("number") % 2 == 0).alias("preempt"), (c("number") % 3 > 0).alias("queue"), "to", "scope", "root")
 
 
-@query("lease_fold", None)
+#: The same log, and each root's leases and line one command after the other, as lists that every command goes through.
+ORDERS = """orders_ AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY root ORDER BY ts, id) AS rn FROM (SELECT e AS id, acquired_at AS ts, ['acquire', 'acquire', 'acquire', 'acquire', 'release', 'transfer', 'heartbeat', 'settle', 'dequeue', 'release_all', 'sweep', 'acquire'][e % 12 + 1] AS op, symbol_id AS symbol,
+    list_distinct(list_filter([parent_id, root], lambda y: y IS NOT NULL AND y <> symbol_id)) AS above, agent, priority, ttl_secs * 1000 AS ttl, e % 2 = 0 AS preempt, e % 3 > 0 AS queue, 'A' || (e % 10) AS heir, root
+    FROM (SELECT l.*, s.parent_id, 'N' || n.n_nationkey AS root, CAST(substr(l.id, 2) AS BIGINT) AS e FROM leases l JOIN symbols s ON s.id = l.symbol_id JOIN nations n ON n.path = s.path))),
+told AS (SELECT DISTINCT root, 0::BIGINT AS rn, []::STRUCT(lease VARCHAR, symbol VARCHAR, above VARCHAR[], agent VARCHAR, priority BIGINT, until BIGINT, ttl BIGINT)[] AS live, []::STRUCT(symbol VARCHAR, agent VARCHAR, priority BIGINT, polled BIGINT, seq BIGINT)[] AS line, 0::BIGINT AS seq, NULL::BIGINT AS id, NULL::VARCHAR AS outcome, NULL::VARCHAR AS lease, NULL::VARCHAR AS holder FROM orders_
+  UNION ALL SELECT root, rn,
+    CASE way WHEN 'extended' THEN list_transform(live, lambda v: CASE WHEN v.lease = mine THEN {'lease': v.lease, 'symbol': v.symbol, 'above': v.above, 'agent': v.agent, 'priority': priority, 'until': ts + ttl, 'ttl': ttl} ELSE v END) WHEN 'behind' THEN spared WHEN 'taken' THEN list_append(spared, {'lease': 'L' || id, 'symbol': symbol, 'above': above, 'agent': agent, 'priority': priority, 'until': ts + ttl, 'ttl': ttl})
+      WHEN 'refreshed' THEN list_transform(live, lambda v: CASE WHEN v.agent = agent_ THEN {'lease': v.lease, 'symbol': v.symbol, 'above': v.above, 'agent': v.agent, 'priority': v.priority, 'until': ts + v.ttl, 'ttl': v.ttl} ELSE v END) WHEN 'all' THEN list_filter(live, lambda v: v.agent <> agent_) WHEN 'released' THEN list_filter(live, lambda v: v.lease <> mine)
+      WHEN 'transferred' THEN list_transform(live, lambda v: CASE WHEN v.lease = mine THEN {'lease': v.lease, 'symbol': v.symbol, 'above': v.above, 'agent': heir, 'priority': v.priority, 'until': ts + v.ttl, 'ttl': v.ttl} ELSE v END) ELSE live END,
+    CASE WHEN way IN ('blocked', 'behind') AND queue THEN CASE WHEN stands THEN list_transform(line, lambda w: CASE WHEN w.symbol = symbol_ AND w.agent = agent_ THEN {'symbol': w.symbol, 'agent': w.agent, 'priority': priority, 'polled': ts, 'seq': w.seq} ELSE w END) ELSE list_append(line, {'symbol': symbol, 'agent': agent, 'priority': priority, 'polled': ts, 'seq': seq + 1}) END
+      WHEN way IN ('taken', 'dequeued') THEN list_filter(line, lambda w: w.symbol <> symbol_ OR w.agent <> agent_) WHEN way = 'transferred' THEN list_filter(line, lambda w: w.symbol <> symbol_ OR w.agent <> heir) ELSE line END,
+    seq + CASE WHEN way IN ('blocked', 'behind') AND queue AND NOT stands THEN 1 ELSE 0 END, id,
+    CASE WHEN op = 'settle' THEN CASE WHEN acts THEN 'settled' ELSE 'denied' END WHEN way IN ('blocked', 'behind') THEN 'denied' WHEN way = 'taken' THEN CASE WHEN len(met) > 0 THEN 'preempted' ELSE 'acquired' END WHEN way = 'all' THEN 'released' WHEN way = 'dequeued' THEN 'cancelled' ELSE way END,
+    CASE WHEN op = 'settle' THEN NULL WHEN way = 'taken' THEN 'L' || id WHEN way = 'refreshed' THEN list_min(list_transform(list_filter(live, lambda v: v.agent = agent_), lambda v: v.lease)) WHEN way IN ('extended', 'released', 'transferred') OR op IN ('release', 'transfer') THEN mine END,
+    CASE WHEN op = 'settle' THEN CASE WHEN NOT acts THEN list_min(list_transform(near, lambda v: v.agent)) END WHEN way = 'blocked' THEN list_min(list_transform(met, lambda v: v.agent)) WHEN way = 'behind' THEN head.agent WHEN way = 'transferred' THEN heir END
+  FROM (SELECT *, CASE WHEN acts THEN CASE WHEN mine IS NOT NULL THEN 'extended' WHEN len(met) > 0 AND NOT (preempt AND len(list_filter(met, lambda v: v.priority >= priority_)) = 0) THEN 'blocked' WHEN head IS NOT NULL AND head.polled >= ts - 15000 AND (head.p < own.p OR (head.p = own.p AND head.q < own.q)) THEN 'behind' ELSE 'taken' END
+      WHEN op = 'settle' THEN 'ignored' WHEN op = 'sweep' THEN 'swept' WHEN op = 'heartbeat' THEN CASE WHEN len(list_filter(live, lambda v: v.agent = agent_)) > 0 THEN 'refreshed' ELSE 'ignored' END WHEN op = 'release_all' THEN CASE WHEN len(list_filter(live, lambda v: v.agent = agent_)) > 0 THEN 'all' ELSE 'ignored' END
+      WHEN op = 'dequeue' THEN CASE WHEN stands THEN 'dequeued' ELSE 'ignored' END WHEN mine IS NULL OR (op = 'transfer' AND heir = agent) THEN 'ignored' WHEN op = 'release' THEN 'released' ELSE 'transferred' END AS way, list_filter(live, lambda v: NOT list_contains(list_transform(met, lambda y: y.lease), v.lease)) AS spared
+    FROM (SELECT *, list_min(list_transform(list_filter(live, lambda v: v.symbol = symbol_ AND v.agent = agent_), lambda v: v.lease)) AS mine, list_filter(live, lambda v: v.agent <> agent_ AND (v.symbol = symbol_ OR list_contains(above_, v.symbol) OR list_contains(v.above, symbol_))) AS met,
+        list_min(list_transform(list_filter(line, lambda w: w.symbol = symbol_ AND w.agent <> agent_), lambda w: {'p': -w.priority, 'q': w.seq, 'polled': w.polled, 'agent': w.agent})) AS head, coalesce(list_min(list_transform(list_filter(line, lambda w: w.symbol = symbol_ AND w.agent = agent_), lambda w: {'p': -w.priority, 'q': w.seq})), {'p': -priority, 'q': 4611686018427387904}) AS own,
+        len(list_filter(line, lambda w: w.symbol = symbol_ AND w.agent = agent_)) > 0 AS stands
+      FROM (SELECT * EXCLUDE (live, line), CASE WHEN acts OR op IN ('heartbeat', 'sweep') THEN list_filter(live, lambda v: v.until > ts) ELSE live END AS live, CASE WHEN acts THEN list_filter(line, lambda w: w.polled >= ts - 15000) ELSE line END AS line
+        FROM (SELECT *, op = 'acquire' OR (op = 'settle' AND (len(near) = 0 OR (preempt AND len(list_filter(near, lambda v: v.priority >= priority_)) = 0))) AS acts
+          FROM (SELECT x.*, x.agent AS agent_, x.symbol AS symbol_, x.above AS above_, x.priority AS priority_, t.live, t.line, t.seq, list_filter(t.live, lambda v: v.agent <> x.agent AND (v.symbol = x.symbol OR list_contains(x.above, v.symbol) OR list_contains(v.above, x.symbol))) AS near FROM told t JOIN orders_ x ON x.root = t.root AND x.rn = t.rn + 1))))))"""
+OUTCOMES = "SELECT id, outcome, lease, holder FROM told WHERE rn > 0"
+
+
+@query("lease_fold", OUTCOMES, ORDERS)
 def _(m):
     return st.lease_fold(lease_log(m))
 
 
-@query("st_lease_commands", None)
+@query("st_lease_commands", OUTCOMES, ORDERS)
 def _(m):
     """The same log as a stream of files, in five micro-batches."""
     at = f"{shared_dir(m.spark)}/loomgraph/commands-{uuid.uuid4().hex}"

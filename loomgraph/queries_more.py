@@ -896,7 +896,17 @@ def _(m):
     return st.request_fold(opened.unionByName(later))
 
 
-@query("session_open", None)
+#: Commands on sessions, and each agent's live sessions one command after the other.
+ATTACHED = """calls AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY agent ORDER BY ts, id) AS rn FROM (SELECT CAST(substr(id, 2) AS BIGINT) AS id, started_at AS ts, agent, id AS session, 'open' AS op, transport FROM sessions
+  UNION ALL SELECT CAST(substr(id, 2) AS BIGINT) + 1000000000, heartbeat_at, agent, id, 'heartbeat', NULL FROM sessions UNION ALL SELECT CAST(substr(id, 2) AS BIGINT) + 2000000000, ended_at, agent, id, 'end', NULL FROM sessions WHERE ended_at IS NOT NULL UNION ALL SELECT CAST(substr(id, 2) AS BIGINT) + 3000000000, started_at + 200000, agent, NULL, 'sweep', NULL FROM sessions)),
+attached AS (SELECT DISTINCT agent, 0::BIGINT AS rn, []::STRUCT(s VARCHAR, b BIGINT, t VARCHAR)[] AS live, NULL::BIGINT AS id, NULL::VARCHAR AS outcome, false AS released FROM calls
+  UNION ALL SELECT x.agent, x.rn, CASE x.op WHEN 'open' THEN list_append(list_filter(a.live, lambda v: v.s <> x.session), {'s': x.session, 'b': x.ts, 't': x.transport}) WHEN 'heartbeat' THEN list_transform(a.live, lambda v: CASE WHEN v.s = x.session THEN {'s': v.s, 'b': x.ts, 't': v.t} ELSE v END) WHEN 'end' THEN list_filter(a.live, lambda v: v.s <> x.session) ELSE list_filter(a.live, lambda v: v.b >= x.ts - 60000) END, x.id,
+    CASE WHEN x.op = 'open' THEN 'opened' WHEN x.op = 'sweep' THEN 'expired ' || len(list_filter(a.live, lambda v: v.b < x.ts - 60000)) WHEN len(list_filter(a.live, lambda v: v.s = x.session)) = 0 THEN 'ignored' WHEN x.op = 'end' THEN 'ended' ELSE 'alive' END,
+    CASE x.op WHEN 'end' THEN len(list_filter(a.live, lambda v: v.s = x.session)) > 0 AND len(list_filter(a.live, lambda v: v.s <> x.session AND v.b >= x.ts - 60000)) = 0 WHEN 'sweep' THEN len(list_filter(a.live, lambda v: v.b < x.ts - 60000 AND v.t = 'mcp')) > 0 AND len(list_filter(a.live, lambda v: v.b >= x.ts - 60000)) = 0 ELSE false END
+  FROM attached a JOIN calls x ON x.agent = a.agent AND x.rn = a.rn + 1)"""
+
+
+@query("session_open", "SELECT id, agent, outcome, released FROM attached WHERE rn > 0", ATTACHED)
 def _(m):
     null = F.lit(None).cast("string")
     number = F.substring("id", 2, 20).cast("long")
