@@ -135,8 +135,8 @@ def news(m, agent: str, cursor: int, now: int) -> tuple[DataFrame, int]:
 def status(m, now: int, events: int = 20) -> DataFrame:
     """Twelve sections: counts of files, symbols, edges; knowledge; agents, leases, waiting, tasks, requests, progress, the schedule's headline, recent events."""
     n = lambda df, name: section(df.agg(F.count(F.lit(1)).alias("n")), name, F.lit("count"), c("n"))
-    planned = sc.plan(m.tasks, m.task_deps, sc.contention(m.tasks, m.task_symbols, m.symbols, m.leases, now))
     loops = g.components_of_cycles(m.task_deps.select(c("task_id").alias("a"), c("depends_on").alias("b")))
+    planned = sc.plan(m.tasks, m.task_deps, sc.contention(m.tasks, m.task_symbols, m.symbols, m.leases, now), loops)
     head = sc.summary(planned, loops)
     knowledge = m.symbols.agg(F.count_if(c("kind") == "service").alias("services"), F.count_if(c("role") == "api").alias("endpoints"), F.count_if(c("kind") == "table").alias("tables"), F.count_if(c("role") == "test").alias("tests"))
     wide = lambda df, name: section(df.select(F.explode(F.map_entries(F.create_map(*[y for x in df.columns for y in (F.lit(x), c(x).cast("string"))]))).alias("e")), name, c("e.key"), c("e.value"))

@@ -29,18 +29,28 @@ def contention(tasks: DataFrame, task_symbols: DataFrame, symbols: DataFrame, le
     return asked.join(found, ["symbol", "agent"]).groupBy("task_id").agg(first).select("task_id", "x.symbol", "x.lease", "x.holder", "x.relation")
 
 
-def plan(tasks: DataFrame, deps: DataFrame, contended: DataFrame) -> DataFrame:
+def _placed(view: DataFrame, contended: DataFrame) -> DataFrame:
+    rows = view.join(contended.select(F.col("task_id").alias("id"), "holder"), "id", "left")
+    return rows.select("id", "stage", "level", "priority", "created_at", "ready", "holder", (F.col("ready") & F.col("holder").isNull()).alias("startable"))
+
+
+def at_work(tasks: DataFrame, deps: DataFrame, contended: DataFrame) -> DataFrame:
+    """The plan's running and reviewed tasks, without a search for waves."""
+    view = r.task_view(tasks, deps).filter("state in ('running', 'review')")
+    return _placed(view.select("id", "priority", "created_at", "ready", F.lit(None).cast("long").alias("level"), F.col("state").alias("stage")), contended)
+
+
+def plan(tasks: DataFrame, deps: DataFrame, contended: DataFrame, cyclic: DataFrame | None = None) -> DataFrame:
     """(id, stage, level, priority, created_at, ready, holder, startable): pending and blocked tasks by wave, running and reviewed ones.
 
     stage: wave, running or review. Tasks on cycles and those behind failed or unfinished work that is no wave's are in none.
+    cyclic: the nodes of cycles, where they are at hand.
     """
-    view = r.task_view(tasks, deps).select("id", "state", "priority", "created_at", "ready")
-    cyclic = g.components_of_cycles(deps.select(F.col("task_id").alias("a"), F.col("depends_on").alias("b")))
-    levels = g.waves(tasks, deps, cyclic)
-    in_wave = view.join(levels, "id").withColumn("stage", F.lit("wave"))
-    at_work = view.filter("state in ('running', 'review')").withColumns({"level": F.lit(None).cast("long"), "stage": F.col("state")})
-    rows = in_wave.unionByName(at_work).join(contended.select(F.col("task_id").alias("id"), "holder"), "id", "left")
-    return rows.select("id", "stage", "level", "priority", "created_at", "ready", "holder", (F.col("ready") & F.col("holder").isNull()).alias("startable"))
+    if cyclic is None:
+        cyclic = g.components_of_cycles(deps.select(F.col("task_id").alias("a"), F.col("depends_on").alias("b")))
+    view = r.task_view(tasks, deps).select("id", "priority", "created_at", "ready")
+    in_wave = view.join(g.waves(tasks, deps, cyclic), "id").withColumn("stage", F.lit("wave"))
+    return _placed(in_wave, contended).unionByName(at_work(tasks, deps, contended))
 
 
 def wave_order(planned: DataFrame) -> DataFrame:

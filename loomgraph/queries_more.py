@@ -523,6 +523,7 @@ own AS (SELECT up.start AS symbol, arg_min(l.id, (up.depth, l.acquired_at, l.id)
 
 @query("guard", f"SELECT a.path, a.symbol, CASE WHEN a.symbol IS NULL THEN 'allowed' WHEN dn.symbol IS NOT NULL THEN 'denied' WHEN own.symbol IS NOT NULL THEN 'allowed' ELSE 'warn' END AS verdict, CASE WHEN dn.symbol IS NULL THEN own.lease END AS lease, CASE WHEN dn.symbol IS NULL THEN own.via END AS via, dn.holder, CASE WHEN dn.symbol IS NOT NULL THEN dn.asks || coalesce(';narrow ' || dn.narrow, '') WHEN own.symbol IS NULL AND a.symbol IS NOT NULL THEN 'acquire ' || {handle_of('s')} END AS actions FROM asked a LEFT JOIN denied dn ON dn.symbol = a.symbol LEFT JOIN own ON own.symbol = a.symbol LEFT JOIN symbols s ON s.id = a.symbol", CLOSURE, GUARD)
 def _(m):
+    m = m.settled("symbols")
     null = F.lit(None).cast("string")
     asked = m.symbols.filter("kind = 'class'").select("path", c("id").alias("symbol")).unionAll(m.symbols.filter("kind = 'file'").select("path", null)).unionAll(m.spark.createDataFrame([("nowhere", None)], "path string, symbol string"))
     found = d.guard(asked, m.symbols, m.leases, "A1", m.now)
@@ -612,12 +613,12 @@ def _(m):
 
 @query("plan_running", "SELECT t.id, x.holder FROM tasks t LEFT JOIN contended x ON x.task_id = t.id WHERE t.state = 'running'", CLOSURE, CONTENDED)
 def _(m):
-    return planned(m).filter("stage = 'running'").select("id", "holder")
+    return sc.at_work(m.tasks, m.task_deps, contended(m)).filter("stage = 'running'").select("id", "holder")
 
 
 @query("plan_review", "SELECT t.id, x.holder FROM tasks t LEFT JOIN contended x ON x.task_id = t.id WHERE t.state = 'review'", CLOSURE, CONTENDED)
 def _(m):
-    return planned(m).filter("stage = 'review'").select("id", "holder")
+    return sc.at_work(m.tasks, m.task_deps, contended(m)).filter("stage = 'review'").select("id", "holder")
 
 
 @query("wave_sort", "SELECT id, level, row_number() OVER (PARTITION BY level ORDER BY priority DESC, created_at, id) AS place FROM plan WHERE stage = 'wave'", *PLAN)
@@ -630,7 +631,8 @@ def _(m):
 
 @query("schedule_summary", "SELECT count(*) FILTER (WHERE level = 0 AND startable) AS startable_now, (SELECT max(n) FROM (SELECT count(*) AS n FROM plan WHERE stage = 'wave' GROUP BY level)) AS max_parallel, count(DISTINCT level) AS waves, (SELECT count(DISTINCT component) FROM cyc) AS cycles, count(*) FILTER (WHERE level = 0 AND holder IS NOT NULL) AS contended FROM plan WHERE stage = 'wave'", *PLAN)
 def _(m):
-    return sc.summary(planned(m), loops(m))
+    cyclic = loops(m)
+    return sc.summary(sc.plan(m.tasks, m.task_deps, contended(m), cyclic), cyclic)
 
 
 @query("task_claim", "SELECT p.id, 'running' AS state, 'A1' AS assignee FROM plan p JOIN tasks t ON t.id = p.id WHERE p.level = 0 AND p.startable AND (t.required_capability IS NULL OR t.required_capability = (SELECT capability FROM agents WHERE name = 'A1')) AND NOT (SELECT paused FROM agents WHERE name = 'A1') ORDER BY p.priority DESC, p.created_at, p.id LIMIT 1", *PLAN)
@@ -1004,7 +1006,7 @@ staff AS (SELECT *, CASE WHEN NOT online THEN 'offline' WHEN task IS NULL THEN C
 
 @query("workers", f"SELECT name, {WORKER} AS type, status, tool, task, goal, percent, current_file, n_leases AS leases, CASE WHEN status = 'blocked' THEN coalesce(holder, waits_for) END AS blocked_by, (now - heartbeat_at) // 1000 AS silent_for FROM staff, k", CLOSURE, CONTENDED, VIEW, AGENTS, WORKERS)
 def _(m):
-    return rp.worker_order(rp.workers(m, m.now, DAY)).select("name", "type", "status", "tool", "task", "goal", "percent", "current_file", "leases", "blocked_by", "silent_for")
+    return rp.worker_order(rp.workers(m.settled("symbols"), m.now, DAY)).select("name", "type", "status", "tool", "task", "goal", "percent", "current_file", "leases", "blocked_by", "silent_for")
 
 
 @query("worker_view", "SELECT name, status, task FROM staff", CLOSURE, CONTENDED, VIEW, AGENTS, WORKERS)
@@ -1040,7 +1042,7 @@ def _(m):
 
 @query("notifications", "SELECT id, kind, severity, title FROM told WHERE audience IS NULL OR audience = 'A3' OR (actor = 'A3' AND starts_with(id, 'req:')) ORDER BY ts DESC, id LIMIT 40", CHANGED_API, DEPENDANTS, NOTICES)
 def _(m):
-    return rp.notifications(m, m.now, "A3", 40).select("id", "kind", "severity", "title")
+    return rp.notifications(m.settled("symbols"), m.now, "A3", 40).select("id", "kind", "severity", "title")
 
 
 @query("status", "SELECT 'files' AS section, 'count' AS key, (SELECT count(*) FROM files)::VARCHAR AS value UNION ALL SELECT 'symbols', 'count', (SELECT count(*) FROM symbols)::VARCHAR UNION ALL SELECT 'edges', 'count', (SELECT count(*) FROM edges)::VARCHAR UNION ALL SELECT 'knowledge', unnest(['services', 'endpoints', 'tables', 'tests']), unnest([count(*) FILTER (WHERE kind = 'service'), count(*) FILTER (WHERE role = 'api'), count(*) FILTER (WHERE kind = 'table'), count(*) FILTER (WHERE role = 'test')])::VARCHAR FROM symbols UNION ALL SELECT 'agents', name, n_leases::VARCHAR FROM views UNION ALL SELECT 'leases', id, agent FROM leases WHERE state = 'active' UNION ALL SELECT 'waiting', 'count', count(*)::VARCHAR FROM lease_queue WHERE state = 'waiting' UNION ALL SELECT 'tasks', id, state FROM tasks UNION ALL SELECT 'requests', id, kind FROM requests WHERE state IN ('open', 'accepted') UNION ALL SELECT 'progress', agent, arg_max(percent, id)::VARCHAR FROM progress GROUP BY agent UNION ALL SELECT 'schedule', unnest(['startable_now', 'max_parallel', 'waves', 'cycles', 'contended']), unnest([count(*) FILTER (WHERE level = 0 AND startable), (SELECT max(n) FROM (SELECT count(*) AS n FROM plan WHERE stage = 'wave' GROUP BY level)), count(DISTINCT level), (SELECT count(DISTINCT component) FROM cyc), count(*) FILTER (WHERE level = 0 AND holder IS NOT NULL)])::VARCHAR FROM plan WHERE stage = 'wave' UNION ALL SELECT * FROM (SELECT 'events', id::VARCHAR, kind FROM log ORDER BY id DESC LIMIT 20)", *PLAN, AGENTS)
@@ -1076,7 +1078,7 @@ TOP = "top AS (SELECT h.id FROM hit h JOIN symbols s ON s.id = h.id ORDER BY h.d
 
 @query("task_context", context_sql("T7"), BFS.format(2).replace("role = 'api'", "id = 'O7'"), TOP)
 def _(m):
-    return rp.task_context(m, "T7", m.now)
+    return rp.task_context(m.settled("symbols"), "T7", m.now)
 
 
 @query("neighbors_at_work", "SELECT DISTINCT l.agent AS name FROM leases l WHERE l.state = 'active' AND l.agent <> 'A1' AND (l.symbol_id IN (SELECT id FROM hit) OR l.symbol_id IN (SELECT id FROM symbols WHERE role = 'api'))", BFS.format(2))
@@ -1089,7 +1091,7 @@ def _(m):
 
 @query("agent_context", None)
 def _(m):
-    return rp.agent_context(m, "A3", m.now)
+    return rp.agent_context(m.settled("symbols"), "A3", m.now)
 
 
 @query("show", f"SELECT 'symbol' AS section, id AS key, {HANDLE} AS value FROM symbols WHERE id = 'C7' UNION ALL SELECT CASE side WHEN 'caller' THEN 'callers' WHEN 'callee' THEN 'callees' ELSE 'children' END, other, kind FROM (SELECT e.dst AS id, 'caller' AS side, e.kind, e.src AS other FROM edges e JOIN symbols x ON e.src = x.id WHERE e.kind <> 'contains' UNION ALL SELECT e.src, 'callee', e.kind, e.dst FROM edges e JOIN symbols x ON e.dst = x.id WHERE e.kind <> 'contains' UNION ALL SELECT parent_id, 'child', 'contains', id FROM symbols) WHERE id = 'C7' UNION ALL SELECT 'leases', id, agent FROM leases WHERE state = 'active' AND symbol_id = 'C7'")

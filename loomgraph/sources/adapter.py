@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgraph.sources.tables import read
+from loomgraph.sources.tables import read, written
 
 HOUR, DAY = 3_600_000, 86_400_000
 #: Kinds and states as the model's tables have them.
@@ -107,6 +107,12 @@ class Model:
     def raw(self, name: str) -> DataFrame:
         return read(self.spark, self.dir, name)
 
+    def settled(self, *names: str) -> Model:
+        """This model with some of its tables written, for what reads them again and again."""
+        for name in names:
+            self.__dict__[name] = written(getattr(self, name), name)
+        return self
+
     @cached_property
     def raw_events(self) -> DataFrame:
         df = self.raw("events")
