@@ -1,5 +1,6 @@
 """Lexer and outline: constructs that are hard to tell apart, languages' canonical snippets, and references' owners."""
 
+import os
 import time
 
 import pytest
@@ -129,3 +130,40 @@ def test_tests_are_found_by_mark_name_and_path():
 def test_sql_names():
     assert list(tx.tables_named('SELECT * FROM "shop" . [Orders] o JOIN `b`.c, d INSERT INTO x(y) from(z) fromage q')) == ["orders", "c", "x"]
     assert list(tx.table_statements("ALTER TABLE pay ADD b int;\nCREATE  TABLE\n IF NOT EXISTS s.Pay (a int);\ndrop table if exists old")) == [("pay", "ALTER TABLE", 0), ("pay", "CREATE TABLE IF NOT EXISTS", 1), ("old", "DROP TABLE IF EXISTS", 3)]
+
+
+def test_files_of_one_partition_are_parsed_by_many_tasks(spark):
+    files = spark.createDataFrame([(f"a{i}.py", f"def f{i}(): pass\n") for i in range(40)], "path string, text string").coalesce(1)
+    parsed = parse.parse_files(files)
+    assert parsed.rdd.getNumPartitions() >= 4
+    assert parsed.count() == 40
+
+
+def plans_parse(df) -> int:
+    """How often a plan parses the sources anew."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+
+
+def test_symbols_and_their_files_come_of_one_parse(spark):
+    files = spark.createDataFrame([("a.py", "class A:\n    def f(self): pass\n"), ("bad.py", "def ("), ("empty.py", None)], "path string, text string")
+    found = parse.symbols_of(parse.parse_files(files))
+    assert plans_parse(found) == 1
+    rows = {(r.kind, r.fqn): r for r in found.collect()}
+    assert set(rows) == {("file", "a.py"), ("class", "A"), ("function", "A.f"), ("file", "empty.py")}
+    assert rows["file", "a.py"].parent_id is None and rows["class", "A"].parent_id == rows["file", "a.py"].id and rows["function", "A.f"].parent_id == rows["class", "A"].id
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no input tables here")
+@pytest.mark.parametrize("name", ["diff_file", "check", "diff_ws", "check_ws", "scan_full", "scan_partial", "retire_leases", "rx_attribute"])
+def test_queries_that_read_symbols_again_read_a_table(spark, name):
+    import __spark_entry__ as entry
+
+    assert plans_parse(entry.queries()[name](spark, "/root/testdata/sf0.001")) == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no input tables here")
+@pytest.mark.parametrize("name", ["imports_resolve", "ref_resolve"])
+def test_only_the_candidates_of_imports_are_made_in_the_plan(spark, name):
+    import __spark_entry__ as entry
+
+    assert plans_parse(entry.queries()[name](spark, "/root/testdata/sf0.001")) <= 2  # tried in direct, and in what direct leaves
