@@ -287,3 +287,13 @@ def test_who_owns_names_others_beside_an_own_lease(spark):
     assert [tuple(r) for r in reports.who_owns(m, "f", "me", 0).collect()] == [("yours", "you", 99)]
     assert [tuple(r) for r in reports.who_owns(m, "f", "you", 0).collect()] == [("held", "me", 99)]
     assert [tuple(r) for r in reports.who_owns(m, "c", "him", 200_000).collect()] == [("nobody", None, None)]
+
+
+def test_short_and_long_keywords_are_looked_up_in_blocks(spark, monkeypatch):
+    made = [("s1", "p/x", "class", "As", "As", 1, None), ("s2", "p/y", "class", "LongKeyword", "a.LongKeyword", 2, None), ("s3", "p/z", "class", "Keyword", "b.Keyword", 3, None)]
+    symbols = spark.createDataFrame(made, "id string, path string, kind string, name string, fqn string, start_byte long, role string")
+    texts = [("g1", "an ass"), ("g2", "the longkeyword"), ("g3", "keywords, nowhere")]
+    monkeypatch.setattr(relational, "KEYWORDS", 2)
+    got = relational.goal_matches(spark.createDataFrame(texts, "goal string, text string"), symbols, most=5)
+    want = [(goal, r.id, r.place) for goal, text in texts for r in relational.keyword_matches(symbols, text, 5).collect()]
+    assert rows(got) == sorted(want) and len(want) == 4
