@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.scalars import handle
 from loomgraph.operators import graph as g
 from loomgraph.operators import relational as r
+from loomgraph.sources.tables import written
 
 
 def task_scope(task_symbols: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -16,6 +17,17 @@ def task_scope(task_symbols: DataFrame, symbols: DataFrame) -> DataFrame:
     return task_symbols.join(s, "symbol_id").select("task_id", "symbol_id", "handle")
 
 
+def first_leases(leases: DataFrame, now: int) -> DataFrame:
+    """Of the live leases on a symbol the first, and the first of another holder: whoever asks, the first lease of others is one of them.
+
+    All leases on a file would meet all that the file holds, which grows with the square of both.
+    """
+    live = leases.filter((F.col("state") == "active") & (F.col("expires_at") > now))
+    per = live.groupBy("symbol_id", "agent").agg(F.min(F.struct("id", "expires_at", "priority")).alias("x"))
+    rows = per.select("symbol_id", "agent", F.lit("active").alias("state"), "x.*")
+    return written(r.latest(rows, ["symbol_id"], F.col("id"), most=2), "first-leases")  # walks from them read them again and again
+
+
 def contention(tasks: DataFrame, task_symbols: DataFrame, symbols: DataFrame, leases: DataFrame, now: int) -> DataFrame:
     """(task_id, symbol, lease, holder, relation): the first lease in the way of each task that has one.
 
@@ -24,7 +36,7 @@ def contention(tasks: DataFrame, task_symbols: DataFrame, symbols: DataFrame, le
     """
     scope = task_scope(task_symbols, symbols)
     asked = tasks.select(F.col("id").alias("task_id"), F.coalesce("assignee", F.lit("")).alias("agent")).join(scope, "task_id").withColumnRenamed("symbol_id", "symbol")
-    found = r.conflicts(leases, symbols, asked.select("symbol", "agent").distinct(), now)
+    found = r.conflicts(first_leases(leases, now), symbols, asked.select("symbol", "agent").distinct(), now)
     first = F.min(F.struct("handle", "other", "lease", "symbol", "holder", "relation")).alias("x")
     return asked.join(found, ["symbol", "agent"]).groupBy("task_id").agg(first).select("task_id", "x.symbol", "x.lease", "x.holder", "x.relation")
 

@@ -297,3 +297,22 @@ def test_short_and_long_keywords_are_looked_up_in_blocks(spark, monkeypatch):
     got = relational.goal_matches(spark.createDataFrame(texts, "goal string, text string"), symbols, most=5)
     want = [(goal, r.id, r.place) for goal, text in texts for r in relational.keyword_matches(symbols, text, 5).collect()]
     assert rows(got) == sorted(want) and len(want) == 4
+
+
+def test_contention_meets_two_leases_a_symbol(spark, monkeypatch):
+    rng = random.Random(6)
+    symbols = spark.createDataFrame([("f", "a.py", "file", "a.py", "a.py", None)] + [(f"m{i}", "a.py", "method", f"m{i}", f"m{i}", "f") for i in range(12)], "id string, path string, kind string, name string, fqn string, parent_id string")
+    made = [(f"L{i:03d}", rng.choice(["f", "f", "m1", "m2"]), f"A{rng.randint(0, 3)}", rng.choice([50, 150]), 1, rng.choice(["active", "expired"])) for i in range(120)]
+    leases = spark.createDataFrame(made, "id string, symbol_id string, agent string, expires_at long, priority long, state string")
+    tasks = [(f"T{i}", rng.choice([None, "A0", "A1", "A2", "A3"])) for i in range(12)]
+    met, plain = [], relational.conflicts
+    monkeypatch.setattr(relational, "conflicts", lambda held, *rest: (met.append(held), plain(held, *rest))[1])
+    got = schedule.contention(spark.createDataFrame(tasks, "id string, assignee string"), spark.createDataFrame([(f"T{i}", f"m{i}") for i in range(12)], "task_id string, symbol_id string"), symbols, leases, 100)
+    want = []
+    for i, (task, agent) in enumerate(tasks):
+        against = [(s, lease, f"m{i}", holder, "same" if s != "f" else "ancestor") for lease, s, holder, until, _, state in made if state == "active" and until > 100 and holder != (agent or "") and s in ("f", f"m{i}")]
+        if against:
+            s, lease, symbol, holder, relation = min(against)
+            want.append((task, symbol, lease, holder, relation))
+    assert rows(got) == sorted(want) and want
+    assert max(r["count"] for r in met[0].groupBy("symbol_id").count().collect()) == 2
