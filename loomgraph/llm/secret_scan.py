@@ -6,8 +6,8 @@ dictionary words cover, the path, and the words before and behind. It is trained
 (candidate, before, after, path, label); where none are given, `labelled_findings` makes a fixed set of them from
 formats of keys on the one side and of digests, identifiers, placeholders and plain words on the other.
 
-The dictionary and the letter pairs are fitted on a bounded sample of at most `sample_docs` documents; every text is
-scanned whole, per document and without a shuffle.
+The letter pairs and the dictionary, the DICTIONARY most frequent words, are counted over all whole texts (a shuffle of
+partial counts); every text is scanned whole, per document and without a shuffle.
 
 Defined cases: null text has no candidates; an empty table gives an empty result; overlapping candidates: the one of the
 earlier pattern stays; repeated rows give repeated findings; very long strings are candidates as a whole and described as a
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import byte_column, id_text, ship
+from loomgraph.llm.common import byte_column, drop_table, id_text, materialize, ship
 
 #: Kind and pattern of candidates; a group named `v` is the candidate, else the whole match.
 PATTERNS = [
@@ -48,8 +48,8 @@ COMPILED = [(kind, re.compile(p)) for kind, p in PATTERNS]
 #: Every candidate holds one of these, which is quick to look for.
 HINT = re.compile(rb"(?i)[A-Za-z0-9+/_=-]{16}|tok|sec|pas|pwd|key|cred|://|xox")
 NEAR = 48
-#: Characters of a sampled text that the dictionary is fitted on.
-SLICE = 20_000
+#: How many words the dictionary has at most, and how many bytes of a text are counted in one go.
+DICTIONARY, PIECE = 20_000, 1 << 20
 GOOD_WORDS = {"token", "secret", "password", "passwd", "pwd", "key", "apikey", "auth", "credential", "credentials", "bearer", "private", "access", "login", "aws", "api"}
 BAD_WORDS = {"example", "sample", "dummy", "test", "fake", "placeholder", "sha", "sha1", "sha256", "md5", "commit", "checksum", "digest", "hash", "uuid", "guid", "id", "integrity", "etag", "revision", "version", "http", "https", "www", "file", "path", "your", "xxxx", "changeme"}
 FEATURES = "length entropy digits upper lower symbols changes hex repeats pairs dictionary good_before bad_near path_test path_config assigned quoted kind uuid".split()
@@ -239,27 +239,60 @@ class Model:
         return self.forest.predict(np.array(rows)).tolist() if rows else []
 
 
-def fit_language(docs: DataFrame, sample_docs: int) -> Language:
-    """Letter pairs and words of the at most sample_docs texts with the smallest hash, of each a slice of at most SLICE characters."""
-    n = max(1, docs.count())
-    rank = F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(1 << 30))
-    start = 1 + F.pmod(F.xxhash64("doc_id", "text"), F.greatest(F.lit(1), F.length("text") - SLICE))
-    pieces = docs.filter("text is not null").select(rank.alias("rank"), F.substring("text", start, F.lit(SLICE)).alias("text"))
-    some = pieces.filter(F.col("rank") < int(min(1.0, 2 * sample_docs / n) * (1 << 30)))
-    rows = some.orderBy("rank", "text").limit(sample_docs).collect() or pieces.orderBy("rank", "text").limit(sample_docs).collect()
-    counts, words = np.zeros(27 * 27), Counter()
-    for r in rows:
-        data = r.text.encode()
-        if len(data) > 1:
-            counts += np.bincount(pair_index(data), minlength=27 * 27)
-        words.update(w for w in re.findall(rb"[a-z]+", data.lower()) if 4 <= len(w) <= 16)
-    return Language(counts, {w for w, c in sorted(words.items(), key=lambda x: (-x[1], x[0]))[:20_000] if c > 1})
-
-
-def scan_secrets(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: Column | None = None, findings: list[tuple[bytes, bytes, bytes, str, int]] | None = None, sample_docs: int = 1500, threshold: float = 0.5) -> DataFrame:
+def _counted(batches: Iterator[pa.RecordBatch], most: int = 300_000) -> Iterator[pa.RecordBatch]:
+    """Partial counts: of words (word, -1) and, at the end of a partition, of letter pairs (none, pair_index)."""
+    pairs, words = np.zeros(27 * 27, np.int64), Counter()
+
+    def out(names: list[str | None], numbers: list[int], counts: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(numbers, pa.int32()), pa.array(counts, pa.int64())], ["word", "pair", "c"])
+
+    def some() -> pa.RecordBatch:
+        batch = out([w.decode() for w in words], [-1] * len(words), list(words.values()))
+        words.clear()
+        return batch
+
+    for batch in batches:
+        for text in byte_column(batch, "text"):
+            for i in range(0, len(text) - 1, PIECE):
+                pairs += np.bincount(pair_index(text[i : i + PIECE + 1]), minlength=27 * 27)
+            words.update(w for w in re.findall(rb"[a-z]+", text.lower()) if 4 <= len(w) <= 16)
+            if len(words) > most:
+                yield some()
+    yield some()
+    seen = np.flatnonzero(pairs).tolist()
+    yield out([None] * len(seen), seen, pairs[seen].tolist())
+
+
+def least_count(words: DataFrame, most: int) -> int:
+    """A count that at least `most` words reach, if there are so many, and not many more: counts go by eighths of a doubling."""
+    step = F.floor(F.log2("c") * 8).cast("int")
+    total, least = 0, 2
+    for r in words.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("least")).orderBy(F.desc("step")).collect():
+        total, least = total + r.n, r.least
+        if total >= most:
+            break
+    return least
+
+
+def fit_language(docs: DataFrame) -> Language:
+    """Letter pairs and the DICTIONARY most frequent words of all whole texts, among those that occur twice."""
+    ship(docs.sparkSession)
+    parts = docs.filter("text is not null").select("text").mapInArrow(_counted, "word string, pair int, c long")
+    counted = materialize(parts.groupBy("word", "pair").agg(F.sum("c").alias("c")), "words")
+    pairs = np.zeros(27 * 27)
+    for r in counted.filter("pair >= 0").collect():  # at most 27 * 27 rows
+        pairs[r.pair] = r.c
+    words = counted.filter("pair < 0 and c > 1").select("word", "c")
+    frequent = words.filter(F.col("c") >= least_count(words, DICTIONARY)).orderBy(F.desc("c"), "word").limit(DICTIONARY)
+    found = {r.word.encode() for r in frequent.collect()}
+    drop_table(counted)
+    return Language(pairs, found)
+
+
+def scan_secrets(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: Column | None = None, findings: list[tuple[bytes, bytes, bytes, str, int]] | None = None, threshold: float = 0.5) -> DataFrame:
     """A row for each candidate: doc_id, start_byte, end_byte, kind, value_sha256, score, is_secret. Secrets themselves aren't returned."""
     rows = id_text(df, id_col, text_col, (F.lit("") if path is None else F.coalesce(path.cast("string"), F.lit(""))).alias("path"))
-    lang = fit_language(rows.select("doc_id", "text"), sample_docs)
+    lang = fit_language(rows)
     model = Model(lang, labelled_findings(sorted(lang.words)) if findings is None else findings)
     shared = df.sparkSession.sparkContext.broadcast(model)
     ship(df.sparkSession)

@@ -320,3 +320,17 @@ def test_bits_of_a_text(spark):
     got = {r.doc_id: r for r in score_documents(frame(spark, ["some words of text here"] * 30 + ["", None, "é é"]), F.col("doc_id") >= 30).collect()}
     assert math.isclose(got[32].total_bits, -got[32].score / math.log10(2)) and math.isclose(got[32].bits_per_byte, got[32].total_bits / 5)
     assert got[30].bits_per_byte is None and got[31].bits_per_byte is None and got[30].total_bits > 0
+
+
+def test_secret_language_counts_every_text(spark):
+    import numpy as np
+    from loomgraph.llm import secret_scan
+
+    texts = [f"plain words {i}" for i in range(40)] + ["Zq " * 30_000 + "lastword lastword", None, "", "x"]
+    lang = secret_scan.fit_language(frame(spark, texts))
+    assert lang.words == {b"plain", b"words", b"lastword"}
+    data = [t.encode() for t in texts if t and len(t) > 1]
+    whole = sum(np.bincount(secret_scan.pair_index(t), minlength=27 * 27) for t in data)
+    assert np.array_equal(lang.log, secret_scan.Language(whole, set()).log)
+    few = spark.createDataFrame([("a", 5), ("b", 3), ("c", 3), ("d", 2)], "word string, c long")
+    assert [secret_scan.least_count(few, n) for n in (1, 2, 4, 9)] == [5, 3, 2, 2]
