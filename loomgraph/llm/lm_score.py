@@ -11,7 +11,8 @@ to the document as Bayes' rule has it. So a score is the log10 probability of th
 The corpus gives exact counts of all tokens of the training documents (a shuffle of partial counts), and from these the context
 tables. The tables have a fixed size and so has the list of the most frequent tokens; both are broadcast. Tokens of a document
 that aren't in the list are met with their exact counts by a join, so nothing that grows with the corpus reaches one machine.
-The mixer is fitted on a sample of about `fit_tokens` distinct tokens, each left out of the tables.
+The mixer learns from all distinct tokens, each left out of the tables: every task makes one pass over its share, and the mean
+of the tasks' mixers, weighted by what each learned from, is the model's.
 
 Defined cases: null text counts as empty and is one end token; an empty training set gives every token count 0; an empty table
 gives an empty result; tokens of any length are spelled in whole; repeated rows are each scored; other columns are not read.
@@ -36,6 +37,9 @@ TOTAL = int(STARTS[-1])
 CHUNK = 1 << 16
 #: Tables are counted by at least so many tasks, each of about so many distinct tokens; each task sends at most one set of tables.
 TRAIN_TASKS, TASK_TOKENS = 12, 500_000
+#: Tokens that the mixer learns from in one go, and after how many its steps have become smaller by the root of two.
+STEP, RATE_TOKENS = 1024, 7_680
+MIXER = ["w", "map", "w_bits", "map_bits"]
 TOP = 1 << 17
 DISCOUNT = 0.75
 #: Shares of a document's own past in a prediction; each has the same weight at first.
@@ -153,6 +157,8 @@ class Mixer:
         self.w = np.full((GATES, len(SLOTS) + 1), 0.3)
         self.w[:, -1] = 0.0
         self.map = np.tile(squash(np.linspace(-self.SPAN, self.SPAN, self.BUCKETS)), (8, 1))
+        # How many bits each row of weights and each place of the map has learned from.
+        self.w_bits, self.map_bits = np.zeros((GATES, 1)), np.zeros((8, self.BUCKETS))
 
     @staticmethod
     def gate(k: int, pos: np.ndarray, seen: np.ndarray) -> np.ndarray:
@@ -176,15 +182,17 @@ class Mixer:
         w = self.w[gate]
         x = np.einsum("in,ni->n", s, w[:, :-1]) + w[:, -1]
         err = (bit - squash(x)) * weight
-        step, n = np.zeros_like(self.w), np.bincount(gate, weight, GATES)[:, None] + 8.0
+        step, bits = np.zeros_like(self.w), np.bincount(gate, weight, GATES)[:, None]
         for i in range(s.shape[0]):
             step[:, i] = np.bincount(gate, err * s[i], GATES)
         step[:, -1] = np.bincount(gate, err, GATES)
-        self.w += rate * step / n
+        self.w += rate * step / (bits + 8.0)
+        self.w_bits += bits
         low, part = self.place(x)
         for at, share in ((low, 1 - part), (low + 1, part)):
-            up = np.bincount(at, share * weight * (bit - self.map[k, at]), self.BUCKETS)
-            self.map[k] += 0.5 * rate * up / (np.bincount(at, share * weight, self.BUCKETS) + 8.0)
+            up, near = (np.bincount(at, x, self.BUCKETS) for x in (share * weight * (bit - self.map[k, at]), share * weight))
+            self.map[k] += 0.5 * rate * up / (near + 8.0)
+            self.map_bits[k] += near
         np.clip(self.map, 1e-6, 1 - 1e-6, out=self.map)
 
 
@@ -221,32 +229,67 @@ class Model:
         return np.logaddexp(log(np.maximum(counts - DISCOUNT, 0) / max(self.n, 1)), np.log(left) + self.log_spelling(tokens))
 
 
-def fit_mixer(zeros: np.ndarray, ones: np.ndarray, tokens: list[bytes]) -> Mixer:
-    """One online pass over a sample of tokens; each is taken out of the tables, as if it were new."""
-    mixer, step = Mixer(), 128
-    for i in range(0, len(tokens), step):
-        part = Spelling(tokens[i : i + step])
+def fit_mixer(zeros: np.ndarray, ones: np.ndarray, tokens: list[bytes], mixer: Mixer | None = None, done: int = 0) -> Mixer:
+    """One online pass over tokens; each is taken out of the tables, as if it were new. With a mixer it goes on from `done` tokens."""
+    mixer = mixer or Mixer()
+    for i in range(0, len(tokens), STEP):
+        part = Spelling(tokens[i : i + STEP])
         w = np.ones(len(part.bytes))
-        rate = 1.5 / (1 + i / (60 * step)) ** 0.5
+        rate = 1.5 / (1 + (done + i) / RATE_TOKENS) ** 0.5
         for k, bit, slots in part.bits():
             z = np.maximum(zeros[slots] - (bit == 0), 0)
             o = np.maximum(ones[slots] - (bit == 1), 0)
-            s = np.clip(stretch((o + 0.4) / (z + o + 0.8)), -15, 15)
+            s = np.clip(np.log((o + 0.4) / (z + 0.4)), -15, 15)  # stretch of (o + 0.4) / (z + o + 0.8)
             mixer.learn(k, s, Mixer.gate(k, part.pos, z[-1] + o[-1]), bit.astype(np.float64), w, rate)
     return mixer
 
 
-def train(counts: DataFrame, n: int, v: int, fit_tokens: int) -> Model:
-    """Model from the table of token counts."""
-    parts = counts.repartition(max(TRAIN_TASKS, -(-v // TASK_TOKENS))).mapInArrow(_tables, "chunk long, zeros binary, ones binary")
+def _mixers(tables):
+    """The mixer that a pass over all tokens of a partition gives."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zeros, ones = tables.value
+        mixer, done = Mixer(), 0
+        for batch in batches:
+            tokens = batch.column(0).to_pylist()
+            fit_mixer(zeros, ones, tokens, mixer, done)
+            done += len(tokens)
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (mixer.w, mixer.map, mixer.w_bits, mixer.map_bits)], MIXER)
+
+    return run
+
+
+def mean_mixer(parts: Iterator) -> Mixer:
+    """The mean of mixers as _mixers() gives them, each place weighted by the bits it learned from; where none did, it stays as at first."""
+    out = Mixer()
+    w, refined = np.zeros_like(out.w), np.zeros_like(out.map)
+    for r in parts:
+        bits, near = np.frombuffer(r.w_bits).reshape(out.w_bits.shape), np.frombuffer(r.map_bits).reshape(out.map_bits.shape)
+        w += bits * np.frombuffer(r.w).reshape(w.shape)
+        refined += near * np.frombuffer(r.map).reshape(refined.shape)
+        out.w_bits += bits
+        out.map_bits += near
+    out.w = np.where(out.w_bits > 0, w / np.maximum(out.w_bits, 1e-300), out.w)
+    out.map = np.where(out.map_bits > 0, refined / np.maximum(out.map_bits, 1e-300), out.map)
+    return out
+
+
+def train(counts: DataFrame, n: int, v: int) -> Model:
+    """Model from the table of token counts: tables and mixer learn from all of its tokens."""
+    spark = counts.sparkSession
+    tasks = max(TRAIN_TASKS, -(-v // TASK_TOKENS))
+    parts = counts.repartition(tasks).mapInArrow(_tables, "chunk long, zeros binary, ones binary")
     summed = parts.groupBy("chunk").applyInPandas(_sum_tables, "chunk long, zeros binary, ones binary")
     zeros, ones = np.zeros(TOTAL, np.float32), np.zeros(TOTAL, np.float32)
     for r in summed.toLocalIterator():  # at most TOTAL / CHUNK rows
         zeros[r.chunk : r.chunk + CHUNK] = np.frombuffer(r.zeros, np.float32)
         ones[r.chunk : r.chunk + CHUNK] = np.frombuffer(r.ones, np.float32)
-    chance = F.pmod(F.xxhash64("token", F.lit(9)), F.lit(1 << 30)) / float(1 << 30)
-    sample = counts.filter(chance < fit_tokens / max(v, 1)).select("token", F.xxhash64("token", F.lit(10)).alias("k")).toPandas().sort_values("k")
-    mixer = fit_mixer(zeros, ones, [bytes(t) for t in sample["token"]])
+    tables = spark.sparkContext.broadcast((zeros, ones))
+    # By a hash, so that the order in which tokens are met, and with it the result, doesn't depend on the run.
+    dealt = counts.select("token").repartition(tasks, "token").sortWithinPartitions(F.xxhash64("token", F.lit(10)), "token")
+    mixer = mean_mixer(dealt.mapInArrow(_mixers(tables), ", ".join(f"{name} binary" for name in MIXER)).toLocalIterator())  # one row a task, of some 15 kB
+    tables.destroy()
     return Model(zeros, ones, mixer, n, v)
 
 
@@ -313,7 +356,7 @@ def least_count(counts: DataFrame) -> int:
     return least
 
 
-def score_documents(df: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text", fit_tokens: int = 60_000) -> DataFrame:
+def score_documents(df: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, total_bits, bits_per_byte (null of an empty text) of every row of df.
 
     The model learns from the rows for which held_out is false.
@@ -323,7 +366,7 @@ def score_documents(df: DataFrame, held_out: Column, *, id_col: str = "doc_id",
     rows = id_text(df, id_col, text_col, F.coalesce(held_out, F.lit(False)).alias("held_out"))
     counts = materialize(rows.filter("not held_out").select("text").mapInArrow(counted, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c")), "token-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    model = train(counts, n, v, fit_tokens)
+    model = train(counts, n, v)
     shared_model = spark.sparkContext.broadcast(model)
 
     frequent = counts.filter(F.col("c") >= least_count(counts)).toPandas()

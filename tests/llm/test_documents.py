@@ -334,3 +334,18 @@ def test_secret_language_counts_every_text(spark):
     assert np.array_equal(lang.log, secret_scan.Language(whole, set()).log)
     few = spark.createDataFrame([("a", 5), ("b", 3), ("c", 3), ("d", 2)], "word string, c long")
     assert [secret_scan.least_count(few, n) for n in (1, 2, 4, 9)] == [5, 3, 2, 2]
+
+
+def test_mixer_learns_from_every_token(spark):
+    import numpy as np
+
+    from loomgraph.llm import lm_score
+
+    tokens = [f"{a}{b}{c}".encode() for a in "stkm" for b in "aeiou" for c in range(60)]
+    counts = spark.createDataFrame([(t, 2) for t in tokens], "token binary, c long")
+    model = lm_score.train(counts, 2 * len(tokens), len(tokens))
+    bits = 8 * sum(len(t) + 1 for t in tokens)
+    assert model.mixer.w_bits.sum() == bits and math.isclose(model.mixer.map_bits.sum(), bits)
+    other = lm_score.train(counts.orderBy(F.desc("token")), 2 * len(tokens), len(tokens))
+    assert np.array_equal(model.mixer.w, other.mixer.w) and np.array_equal(model.mixer.map, other.mixer.map)
+    assert np.array_equal(lm_score.mean_mixer([]).w, lm_score.Mixer().w)
