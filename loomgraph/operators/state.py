@@ -7,15 +7,20 @@ The result is the same however keys are spread.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import defaultdict, namedtuple
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby, islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from loomgraph.operators.graph import components_of_cycles, descendants
-from loomgraph.sources.tables import ship, written
+from loomgraph.sources.tables import ship, spread, written
 
 #: How long a waiter, a session and an agent count as there without a sign of life.
 WAITER_MS, SESSION_MS, AGENT_MS = 15_000, 60_000, 60_000
@@ -225,18 +230,37 @@ def lease_fold(commands: DataFrame) -> DataFrame:
     return commands.groupBy("root").applyInPandas(replay, COLUMNS)
 
 
+def replayed(commands: DataFrame, key: str, replay_key: Callable[[Iterable], Iterator[tuple]], schema: str) -> DataFrame:
+    """What replay_key makes of each key's commands, which it gets one after the other in order (ts, id).
+
+    For keys of few commands, of which there are many: a task goes over its sorted commands once, and nothing is set up for a key.
+    """
+    ship(commands.sparkSession)
+    names, arrow = commands.columns, to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        command = namedtuple("Command", names)
+        rows = (command(*x) for batch in batches for x in zip(*(column.to_pylist() for column in batch.columns), strict=True))
+        at = names.index(key)
+        out = (made for _, mine in groupby(rows, key=lambda x: x[at]) for made in replay_key(mine))
+        while some := list(islice(out, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*some, strict=True), arrow, strict=True)], schema=arrow)
+
+    return spread(commands, key).sortWithinPartitions(key, "ts", "id").mapInArrow(run, schema)
+
+
 #: What the log calls a task's new state.
 TASK_EVENTS = {"done": "task.completed", "blocked": "task.blocked", "failed": "task.failed", "running": "task.started", "review": "task.submitted_for_review", "pending": "task.reset"}
 
 
-def replay_task(commands: pd.DataFrame) -> pd.DataFrame:
+def replay_task(commands: Iterable) -> Iterator[tuple]:
     """Outcome, state, assignee, event, priority and capability of each command on one task, in order (ts, id).
 
     op: add, claim, state (value), submit, approve, reject, assign (value), reclaim, priority, capability (value). Only the
     assignee ends a task, unless forced; only the assignee submits, anyone else approves.
     """
-    state, assignee, priority, capability, out = None, None, None, None, []
-    for x in commands.sort_values(["ts", "id"]).itertuples(index=False):
+    state, assignee, priority, capability = None, None, None, None
+    for x in commands:
         outcome, event = "refused", None
         if x.op == "add":
             if state is None:
@@ -269,26 +293,24 @@ def replay_task(commands: pd.DataFrame) -> pd.DataFrame:
             priority, outcome, event = x.value, "done", "task.reprioritised"
         elif x.op == "capability":
             capability, outcome = x.value, "done"
-        out.append((x.id, x.task, outcome, state, assignee, event, priority, capability))
-    return pd.DataFrame(out, columns=["id", "task", "outcome", "state", "assignee", "event", "priority", "capability"])
+        yield x.id, x.task, outcome, state, assignee, event, priority, capability
 
 
 def task_fold(commands: DataFrame) -> DataFrame:
     """(id, task, outcome, state, assignee, event, priority, capability). commands: id, ts, task, op, agent, value, force."""
-    ship(commands.sparkSession)
-    return commands.groupBy("task").applyInPandas(replay_task, "id long, task string, outcome string, state string, assignee string, event string, priority string, capability string")
+    return replayed(commands, "task", replay_task, "id long, task string, outcome string, state string, assignee string, event string, priority string, capability string")
 
 
-def replay_request(commands: pd.DataFrame) -> pd.DataFrame:
+def replay_request(commands: Iterable) -> Iterator[tuple]:
     """Outcome and state of each command on one request, in order (ts, id).
 
     op: open, accept, decline, fulfill, cancel, sweep (deadlines), symbol_free, task_done. The addressee answers, or anyone but the
     sender where there is none; accepting a lease transfer is the transfer; the sender cancels.
     """
-    r, state, out = None, None, []
-    for x in commands.sort_values(["ts", "id"]).itertuples(index=False):
+    r, state = None, None
+    for x in commands:
         outcome = "refused"
-        due = state in LIVE_REQUEST and r.deadline_at is not None and not pd.isna(r.deadline_at) and r.deadline_at <= x.ts
+        due = state in LIVE_REQUEST and r.deadline_at is not None and r.deadline_at <= x.ts
         if x.op == "open":
             if state is None and x.from_agent != x.to_agent:
                 r, state, outcome = x, "open", "done"
@@ -307,14 +329,12 @@ def replay_request(commands: pd.DataFrame) -> pd.DataFrame:
                 state, outcome = ("fulfilled", "transferred") if r.kind == "lease-transfer" else ("accepted", "done")
             else:
                 state, outcome = {"decline": "declined", "fulfill": "fulfilled"}[x.op], "done"
-        out.append((x.id, x.request, outcome, state))
-    return pd.DataFrame(out, columns=["id", "request", "outcome", "state"])
+        yield x.id, x.request, outcome, state
 
 
 def request_fold(commands: DataFrame) -> DataFrame:
     """(id, request, outcome, state). commands: id, ts, request, op, agent, from_agent, to_agent, kind, deadline_at (of the open command)."""
-    ship(commands.sparkSession)
-    return commands.groupBy("request").applyInPandas(replay_request, "id long, request string, outcome string, state string")
+    return replayed(commands, "request", replay_request, "id long, request string, outcome string, state string")
 
 
 def replay_sessions(commands: pd.DataFrame) -> pd.DataFrame:

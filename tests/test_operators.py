@@ -316,3 +316,11 @@ def test_contention_meets_two_leases_a_symbol(spark, monkeypatch):
             want.append((task, symbol, lease, holder, relation))
     assert rows(got) == sorted(want) and want
     assert max(r["count"] for r in met[0].groupBy("symbol_id").count().collect()) == 2
+
+
+def test_requests_and_tasks_are_replayed_without_a_frame_a_key(spark):
+    schema = "id long, ts long, request string, op string, agent string, from_agent string, to_agent string, kind string, deadline_at long"
+    log = spark.createDataFrame([(3 * k + i, 10 - 5 * i, f"r{k}", op, "b", "a", "b", "review", None) for k in range(400) for i, op in enumerate(["fulfill", "accept", "open"])], schema)
+    got = state.request_fold(log)
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()
+    assert {r.id: (r.request, r.outcome, r.state) for r in got.collect()} == {3 * k + i: (f"r{k}", "done", x) for k in range(400) for i, x in enumerate(["fulfilled", "accepted", "open"])}
