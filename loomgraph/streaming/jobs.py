@@ -54,24 +54,15 @@ def lease_expiry(heartbeats: DataFrame, late: str = "10 minutes") -> DataFrame:
 def timer_expiry(signs: DataFrame, late: str = "10 minutes") -> DataFrame:
     """(key, expired_at) from a stream of (key, at timestamp, until ms, ended): what lapses unless a later sign moves its time; a sign that it ended stops its clock.
 
-    Sessions, waiters and requests lapse like leases: until is the last sign plus 60 s, plus 15 s, or the deadline.
+    Sessions, waiters and requests lapse like leases: until is the last sign plus 60 s, plus 15 s, or the deadline. The signs of a
+    key that come before its time is over are a session of Spark's own, which ends when the watermark has passed that time: no
+    Python runs for a key. A sign that comes when the time is over starts anew.
     """
-    ship(signs.sparkSession)
-    return signs.withWatermark("at", late).groupBy("key").applyInPandasWithState(lapse, "key string, expired_at long", "until long, ended boolean", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def lapse(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State of one key: its time, and whether it has ended."""
-    if state.hasTimedOut:
-        until, ended = state.get
-        state.remove()
-        return iter([pd.DataFrame({"key": [], "expired_at": []}, dtype=object) if ended else pd.DataFrame({"key": [keys[0]], "expired_at": [until]})])
-    until, ended = state.get if state.exists else (0, False)
-    for b in batches:
-        until, ended = max(until, int(b["until"].max())), ended or bool(b["ended"].any())
-    state.update((until, ended))
-    state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
-    return iter([])
+    # A millisecond more, as the watermark must have passed the time, not only reached it; a time that is over at once lasts that long.
+    left = F.greatest(F.col("until") - F.unix_millis("at"), F.lit(0)) + 1
+    w = F.session_window("at", F.concat(left.cast("string"), F.lit(" milliseconds")))
+    lapsed = signs.withWatermark("at", late).groupBy("key", w.alias("w")).agg(F.max("until").alias("expired_at"), F.max(F.coalesce("ended", F.lit(False))).alias("ended"))
+    return lapsed.filter("not ended").select("key", "expired_at")
 
 
 def presence(heartbeats: DataFrame) -> DataFrame:

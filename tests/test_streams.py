@@ -169,3 +169,10 @@ def test_frames_are_coalesced_and_have_a_floor(spark, tmp_path):
     assert sum(r.events for r in frames) == 500 and [r.events for r in frames if r.events] == [500]
     assert len(frames) >= 2 and all(r.last_id == 499 for r in frames if r.at >= next(x.at for x in frames if x.events))
     assert all(b.at - a.at >= 2_000 for a, b in zip(frames, frames[1:], strict=False) if not b.events)
+
+
+def test_a_sign_behind_its_time_starts_anew(spark, tmp_path):
+    rows = [("x", 500, 1_000, False), ("x", 5_000, 6_000, False), ("v", 500, 400, False), ("z", 5_000_000, 9_000_000, False)]
+    spark.createDataFrame(rows, "key string, ms long, until long, ended boolean").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("key string, ms long, until long, ended boolean").parquet(str(tmp_path / "in")).select("key", F.timestamp_millis("ms").alias("at"), "until", "ended")
+    assert sorted(map(tuple, jobs.run_to_table(jobs.timer_expiry(stream), "append", "t").collect())) == [("v", 400), ("x", 1_000), ("x", 6_000)]
