@@ -167,3 +167,16 @@ def test_only_the_candidates_of_imports_are_made_in_the_plan(spark, name):
     import __spark_entry__ as entry
 
     assert plans_parse(entry.queries()[name](spark, "/root/testdata/sf0.001")) <= 2  # tried in direct, and in what direct leaves
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no input tables here")
+def test_an_edit_parses_what_it_touches_only(spark, monkeypatch):
+    from loomgraph import queries_more as more
+    from loomgraph.sources.adapter import Model
+
+    seen, real = [], more.ps.parse_files
+    monkeypatch.setattr(more.ps, "parse_files", lambda files: seen.append(files.count()) or real(files))
+    model = Model(spark, "/root/testdata/sf0.001")
+    more.edited(model)
+    keys = [r[0] for r in model.raw("customer").select("c_custkey").collect()]
+    assert seen == [len(keys), sum(k % 3 == 0 or k % 4 == 0 for k in keys)]
