@@ -2,14 +2,20 @@
 
 import hashlib
 import math
+import os
 import random
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from loomgraph.llm import lm_score, quality
 from loomgraph.llm.bpe import bpe_encode
+from loomgraph.llm.common import materialize
 from loomgraph.llm.decontaminate import search_benchmark
 from loomgraph.llm.exact_dedup import exact_dedup, misra_gries
 from loomgraph.llm.language_id import identify_language
@@ -349,3 +355,16 @@ def test_mixer_learns_from_every_token(spark):
     other = lm_score.train(counts.orderBy(F.desc("token")), 2 * len(tokens), len(tokens))
     assert np.array_equal(model.mixer.w, other.mixer.w) and np.array_equal(model.mixer.map, other.mixer.map)
     assert np.array_equal(lm_score.mean_mixer([]).w, lm_score.Mixer().w)
+
+
+def test_training_joins_each_order_once_and_clears_up(spark, monkeypatch):
+    made = []
+
+    def noted(df, label):
+        made.append((label, materialize(df, label)))
+        return made[-1][1]
+
+    monkeypatch.setattr(quality, "materialize", noted)
+    quality.train(spark.createDataFrame([("a b c a b d",), ("b c a b",)], "text string"))
+    assert {"p1", "p2", "p3"} <= {label for label, _ in made}
+    assert not [f for _, df in made for f in df.inputFiles() if os.path.exists(f.removeprefix("file:"))]
