@@ -21,7 +21,8 @@ gives an empty result; tokens of any length are spelled in whole; repeated rows
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -116,11 +117,8 @@ def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             any_ = True
             s = Spelling(tokens[i : i + 8192])
             for _, bit, slots in s.bits():
-                for row in slots:
-                    on = bit == 1
-                    for table, which in ((ones, on), (zeros, ~on)):
-                        at, times = np.unique(row[which], return_counts=True)
-                        table[at] += times.astype(np.float32)
+                for table, which in ((ones, bit == 1), (zeros, bit == 0)):
+                    np.add.at(table, slots[:, which].ravel(), np.float32(1))
     if any_:
         for i in range(0, TOTAL, CHUNK):
             a, b = zeros[i : i + CHUNK], ones[i : i + CHUNK]
@@ -260,7 +258,7 @@ def _mixers(tables):
     return run
 
 
-def mean_mixer(parts: Iterator) -> Mixer:
+def mean_mixer(parts: Iterable) -> Mixer:
     """The mean of mixers as _mixers() gives them, each place weighted by the bits it learned from; where none did, it stays as at first."""
     out = Mixer()
     w, refined = np.zeros_like(out.w), np.zeros_like(out.map)
@@ -288,47 +286,52 @@ def train(counts: DataFrame, n: int, v: int) -> Model:
     tables = spark.sparkContext.broadcast((zeros, ones))
     # By a hash, so that the order in which tokens are met, and with it the result, doesn't depend on the run.
     dealt = counts.select("token").repartition(tasks, "token").sortWithinPartitions(F.xxhash64("token", F.lit(10)), "token")
-    mixer = mean_mixer(dealt.mapInArrow(_mixers(tables), ", ".join(f"{name} binary" for name in MIXER)).toLocalIterator())  # one row a task, of some 15 kB
+    mixer = mean_mixer(dealt.mapInArrow(_mixers(tables), ", ".join(f"{name} binary" for name in MIXER)).collect())  # one row a task, of some 15 kB
     tables.destroy()
     return Model(zeros, ones, mixer, n, v)
 
 
 def _scan(shared):
     """Per document: sums over its frequent tokens, and its other tokens for the join."""
-    known_type = pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int32()), ("past", pa.list_(pa.float32()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top, n, v = shared.value
-        none = (0, 0.0)
+        top, top_c, top_p, n, v = shared.value  # place 0: not a frequent token
         for batch in batches:
-            cols: list[list] = [[] for _ in range(6)]
+            cols: list[list] = [[] for _ in range(5)]
+            names, times, pasts, per_doc = [], [], [], []
             for text in byte_column(batch, "text"):
                 words = (text or b"").lower().split()
                 words.append(b"")
-                number: dict[bytes, int] = {}
-                ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
-                found = [top.get(w, none) for w in number]
-                c, p = np.array([f[0] for f in found], np.float64), np.array([f[1] for f in found])
+                number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+                ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+                at = np.fromiter(map(top.get, number, repeat(0)), np.int64, len(number))
                 order = np.argsort(ids, kind="stable")
                 sizes = np.bincount(ids, minlength=len(number))
+                ranks = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 rank = np.empty(len(ids), np.int64)
-                rank[order] = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                rank[order] = ranks
                 past = rank / np.maximum(np.arange(len(ids)), 1)
-                hit = c[ids] > 0
-                pt = p[ids[hit]]
+                where = at[ids]
+                hit = where > 0
+                pt, before = top_p[where[hit]], past[hit]
                 cols[0].append(len(words))
                 cols[1].append(int(hit.sum()))
-                cols[2].append(float(np.log10((c[ids[hit]] + 1) / (n + v + 1)).sum()))
-                cols[3].append([float(np.logaddexp(np.log1p(-x) + pt, log(x * past[hit])).sum() / LN10) for x in CACHE])
-                rest = []
-                if not hit.all():
-                    names = list(number)
-                    again = {i: past[(ids == i) & (rank > 0)].astype(np.float32) for i in np.flatnonzero((c == 0) & (sizes > 1))}
-                    rest = [{"token": names[i], "n": int(sizes[i]), "past": again.get(i, [])} for i in np.flatnonzero(c == 0)]
-                cols[4].append(rest)
-                cols[5].append(len(text or b""))
-            types = (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()), known_type, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(x, t) for x, t in zip(cols, types, strict=True))], ["doc_id", "held_out", "n_tokens", "top_known", "top_base", "top_sums", "rest", "n_bytes"])
+                cols[2].append(float(np.log10((top_c[where[hit]] + 1) / (n + v + 1)).sum()))
+                cols[3].append([float((np.logaddexp(np.log1p(-x) + pt, log(x * before)) if x else pt).sum() / LN10) for x in CACHE])
+                cols[4].append(len(text or b""))
+                rest = at == 0
+                names += compress(number, rest)
+                times.append(sizes[rest])
+                # The past of each later occurrence, token by token.
+                pasts.append(past[order][np.repeat(rest, sizes) & (ranks > 0)].astype(np.float32))
+                per_doc.append(int(rest.sum()))
+            whole = lambda parts, kind: np.concatenate([np.empty(0, kind), *parts]).astype(kind)
+            starts = lambda sizes: pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            n_of = whole(times, np.int32)
+            rest = pa.StructArray.from_arrays([pa.array(names, pa.binary()), pa.array(n_of), pa.ListArray.from_arrays(starts(n_of - 1), pa.array(whole(pasts, np.float32)))], ["token", "n", "past"])
+            types = (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.int64())
+            made = [pa.array(x, t) for x, t in zip(cols, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *made[:4], pa.ListArray.from_arrays(starts(per_doc), rest), made[4]], ["doc_id", "held_out", "n_tokens", "top_known", "top_base", "top_sums", "rest", "n_bytes"])
 
     return run
 
@@ -372,8 +375,8 @@ def score_documents(df: DataFrame, held_out: Column, *, id_col: str = "doc_id",
     frequent = counts.filter(F.col("c") >= least_count(counts)).toPandas()
     tokens = [bytes(t) for t in frequent["token"]]
     p = model.log_probability(tokens, frequent["c"].to_numpy(np.float64))
-    top = {t: (c, q) for t, c, q in zip(tokens, frequent["c"].tolist(), p.tolist(), strict=True)}
-    shared_top = spark.sparkContext.broadcast((top, n, v))
+    top = {t: i for i, t in enumerate(tokens, 1)}
+    shared_top = spark.sparkContext.broadcast((top, np.concatenate([[0.0], frequent["c"].to_numpy(np.float64)]), np.concatenate([[0.0], p]), n, v))
 
     schema = "doc_id long, held_out boolean, n_tokens long, top_known long, top_base double, top_sums array<double>, rest array<struct<token: binary, n: int, past: array<float>>>, n_bytes long"
     scanned = materialize(rows.mapInArrow(_scan(shared_top), schema).withColumn("row", F.monotonically_increasing_id()), "scanned")

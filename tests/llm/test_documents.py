@@ -368,3 +368,11 @@ def test_training_joins_each_order_once_and_clears_up(spark, monkeypatch):
     quality.train(spark.createDataFrame([("a b c a b d",), ("b c a b",)], "text string"))
     assert {"p1", "p2", "p3"} <= {label for label, _ in made}
     assert not [f for _, df in made for f in df.inputFiles() if os.path.exists(f.removeprefix("file:"))]
+
+
+def test_scan_tells_the_past_of_rare_tokens():
+    shared = SimpleNamespace(value=({b"a": 1, b"": 2}, np.array([0.0, 3.0, 2.0]), np.array([0.0, -1.0, -2.0]), 5, 2))
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8]), pa.array(["A x a x y x", None]), pa.array([False, True])], ["doc_id", "text", "held_out"])
+    one, two = next(lm_score._scan(shared)([batch])).to_pylist()
+    assert [(r["token"], r["n"], [round(p, 6) for p in r["past"]]) for r in one["rest"]] == [(b"x", 3, [round(1 / 3, 6), 0.4]), (b"y", 1, [])]
+    assert (one["n_tokens"], one["top_known"], one["n_bytes"], two["n_tokens"], two["rest"]) == (7, 3, 11, 1, [])
