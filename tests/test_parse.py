@@ -180,3 +180,10 @@ def test_an_edit_parses_what_it_touches_only(spark, monkeypatch):
     more.edited(model)
     keys = [r[0] for r in model.raw("customer").select("c_custkey").collect()]
     assert seen == [len(keys), sum(k % 3 == 0 or k % 4 == 0 for k in keys)]
+
+
+def test_ids_are_made_once_a_file(spark):
+    parsed = spark.createDataFrame([], parse.PARSED)
+    plan = parse.symbols_of(parsed)._jdf.queryExecution().optimizedPlan().toString()
+    above, found, below = plan.partition("Generate posexplode")
+    assert found and "transform(" not in above and "transform(" in below
