@@ -63,10 +63,12 @@ class Workspace:
         return schedule.contention(self.m.tasks, self.m.task_symbols, self.m.symbols, self.m.leases, self.now)
 
     def plan(self) -> DataFrame:
-        return schedule.plan(self.m.tasks, self.m.task_deps, self.contention())
+        held = schedule.contention(schedule.in_plan(self.m.tasks), self.m.task_symbols, self.m.symbols, self.m.leases, self.now)
+        return schedule.plan(self.m.tasks, self.m.task_deps, held)
 
     def claim(self, agent: str, goal: str | None = None) -> DataFrame:
-        return schedule.claimable(self.plan(), self.m.tasks, self.m.agents, agent, self.m.task_goals, goal).limit(1)
+        m = self.m
+        return schedule.claim(m.tasks, m.task_deps, m.task_symbols, m.symbols, m.leases, m.agents, agent, self.now, m.task_goals, goal)
 
     def infer(self) -> DataFrame:
         return st.infer_dependencies(self.m.task_symbols, self.m.edges, self.m.tasks, self.m.task_deps, self.m.symbols)

@@ -318,6 +318,41 @@ def test_contention_meets_two_leases_a_symbol(spark, monkeypatch):
     assert max(r["count"] for r in met[0].groupBy("symbol_id").count().collect()) == 2
 
 
+def test_claim_is_the_first_claimable_of_the_whole_plan(spark, monkeypatch):
+    """The best tasks lie on a cycle of done ones that is longer than HOPS, or only wait; some are held by what is above or below."""
+    monkeypatch.setattr(schedule, "HOPS", 2)
+    rng = random.Random(3)
+    symbols = spark.createDataFrame([("f", "a.py", "file", "a.py", "a.py", None), ("h", "b.py", "file", "b.py", "b.py", None)] + [(f"m{i}", "a.py", "method", f"m{i}", f"m{i}", "f" if i % 2 else "h") for i in range(12)], "id string, path string, kind string, name string, fqn string, parent_id string")
+    scope = spark.createDataFrame([(f"T{i:02d}", f"m{i}") for i in range(10)] + [("T10", "f"), ("T11", "gone")], "task_id string, symbol_id string")
+    agents = spark.createDataFrame([("t", False, "testing")], "name string, paused boolean, capability string")
+    for held, loop, want in ((["m6", "m11", "gone"], 5, 1), (["f", "m6", "h"], 0, 1), (["m0"], 5, 1), (["f", "h"], 5, 0)):
+        made = [(f"T{i:02d}", "pending" if i == 0 or i >= loop and (want and i < 11) else "done", None, 9 if i < loop else rng.randint(0, 3), rng.randint(0, 3), rng.choice([None, "testing", "other"]) if i >= loop else None) for i in range(12)]
+        made[9] = ("T09", "pending", None, 0, 0, None)
+        if held == ["f", "m6", "h"]:
+            made[11] = ("T11", "pending", None, 0, 1, None)
+        tasks = spark.createDataFrame(made, "id string, state string, assignee string, priority long, created_at long, required_capability string")
+        links = [(f"T{a:02d}", f"T{(a + 1) % loop:02d}") for a in range(loop)] + [("T08", "T06"), ("T05", "T99")]
+        deps = spark.createDataFrame(links, "task_id string, depends_on string")
+        leases = spark.createDataFrame([(f"L{s}", s, "other", "active", 150, 0) for s in held], "id string, symbol_id string, agent string, state string, expires_at long, priority long")
+        planned = schedule.plan(tasks, deps, schedule.contention(tasks, scope, symbols, leases, 100))
+        first = rows(schedule.claimable(planned, tasks, agents, "t").limit(1))
+        assert len(first) == want
+        assert rows(schedule.claim(tasks, deps, scope, symbols, leases, agents, "t", 100)) == first
+
+
+def test_claim_makes_no_plan(spark, monkeypatch):
+    for name in ("plan", "contention"):
+        monkeypatch.delattr(schedule, name)
+    monkeypatch.setattr(schedule.g, "components_of_cycles", None)
+    symbols = spark.createDataFrame([("f", "a.py", "file", "a.py", "a.py", None)], "id string, path string, kind string, name string, fqn string, parent_id string")
+    tasks = spark.createDataFrame([("T1", "pending", None, 5, 1, None), ("T2", "pending", None, 3, 2, None), ("T3", "pending", None, 4, 2, None)], "id string, state string, assignee string, priority long, created_at long, required_capability string")
+    leases = spark.createDataFrame([("L", "f", "x", "active", 150, 0)], "id string, symbol_id string, agent string, state string, expires_at long, priority long")
+    none = spark.createDataFrame([], "name string, paused boolean, capability string")
+    deps = spark.createDataFrame([("T2", "T3")], "task_id string, depends_on string")
+    scope = spark.createDataFrame([("T1", "f")], "task_id string, symbol_id string")
+    assert rows(schedule.claim(tasks, deps, scope, symbols, leases, none, "a", 100)) == [("T3", 4, 2)]
+
+
 def test_requests_and_tasks_are_replayed_without_a_frame_a_key(spark):
     schema = "id long, ts long, request string, op string, agent string, from_agent string, to_agent string, kind string, deadline_at long"
     log = spark.createDataFrame([(3 * k + i, 10 - 5 * i, f"r{k}", op, "b", "a", "b", "review", None) for k in range(400) for i, op in enumerate(["fulfill", "accept", "open"])], schema)
