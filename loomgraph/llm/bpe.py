@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from loomgraph.llm.common import id_text, ship
+from loomgraph.llm.common import id_text, kept, ship
 
 #: Fixed value: how the byte-level pre-tokenizer cuts a text into pieces.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -178,15 +178,8 @@ class ByteBPE:
         return ids, self.decode(ids)
 
 
-_loaded: dict[str, ByteBPE] = {}
-
-
 def _loaded_bpe(source: bytes) -> ByteBPE:
-    key = hashlib.sha256(source).hexdigest()
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = ByteBPE(source)
-    return _loaded[key]
+    return kept(hashlib.sha256(source).hexdigest(), lambda: ByteBPE(source))
 
 
 def bpe_encode(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = True) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import byte_column, id_text, materialize, plain_words, ship
+from loomgraph.llm.common import byte_column, id_text, kept, materialize, plain_words, ship
 
 WINDOW = 10
 BLOCK = 2
@@ -85,15 +85,9 @@ class Benchmark:
         return found
 
 
-_tables: dict[str, Benchmark] = {}
-
-
 def _benchmark(key: str, items, window: int) -> Benchmark:
     """The tables of a block, built once per worker process."""
-    if key not in _tables:
-        _tables.clear()
-        _tables[key] = Benchmark(items.value, window)
-    return _tables[key]
+    return kept(key, lambda: Benchmark(items.value, window))
 
 
 def _blocks(bench: DataFrame, item_col: str, text_col: str, block_words: int) -> list[DataFrame]:

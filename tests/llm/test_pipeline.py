@@ -2,9 +2,12 @@
 
 import random
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from loomgraph.llm import common
 from loomgraph.llm.common import plain_words
 
 
@@ -65,3 +68,32 @@ def test_ids_that_repeat_or_are_missing(spark, tmp_path):
 def test_empty_tables(spark, tmp_path):
     write(spark, tmp_path, [], "doc_id long, text string, lang string, source string, n_chars long")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_workers_get_bounded_batches_and_keep_one_operators_tables(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["b"])
+
+    long_texts = spark.range(0, 300, 1, 1).select(F.repeat(F.lit("some text "), 10_000).alias("text"))
+    got = [r.b for r in common.materialize(long_texts.mapInArrow(sizes, "b long"), "sizes").collect()]
+    assert sum(got) > 30_000_000 and max(got) < 5_000_000
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None
+    first = common.kept("tokens of one operator", list)
+    assert common.kept("tokens of one operator", list) is first
+    common.kept("tables of another", dict)
+    assert list(common._kept) == ["tables of another"]
+    common.WordHashes()
+    assert not common._kept
+
+
+def test_whole_texts_are_read_while_a_table_is_written(spark, tmp_path, monkeypatch):
+    """Stages that end in Python return tables, so that their batches are bounded whoever writes the result."""
+    labels = []
+    monkeypatch.setattr(corpus_pipeline, "materialize", lambda df, label: (labels.append(label), common.materialize(df, label))[1])
+    write(spark, tmp_path, [(1, "one text of some words", "en", "s", 22)], "doc_id long, text string, lang string, source string, n_chars long", bench=[(1, "words that are elsewhere")])
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[3:]:
+        before = len(labels)
+        assert [r.doc_id for r in stage(spark, docs, str(tmp_path)).collect()] == [1], name
+        assert len(labels) == before + 1, name
