@@ -64,14 +64,14 @@ def at_work(tasks: DataFrame, deps: DataFrame, contended: DataFrame) -> DataFram
 def plan(tasks: DataFrame, deps: DataFrame, contended: DataFrame, cyclic: DataFrame | None = None) -> DataFrame:
     """(id, stage, level, priority, created_at, ready, holder, startable): pending and blocked tasks by wave, running and reviewed ones.
 
-    stage: wave, running or review. Tasks on cycles and those behind failed or unfinished work that is no wave's are in none.
+    stage: wave, running or review; waves are as many as the longest chain asks for. Tasks on cycles and those behind failed or unfinished work that is no wave's are in none.
     cyclic: the nodes of cycles, where they are at hand.
     """
     deps = written(deps.select("task_id", "depends_on"), "deps")
     if cyclic is None:
         cyclic = g.components_of_cycles(deps.select(F.col("task_id").alias("a"), F.col("depends_on").alias("b")))
     view = r.task_view(tasks, deps).select("id", "priority", "created_at", "ready")
-    in_wave = view.join(g.waves(tasks, deps, cyclic), "id").withColumn("stage", F.lit("wave"))
+    in_wave = view.join(g.waves(tasks, deps, cyclic, most=None), "id").withColumn("stage", F.lit("wave"))
     return _placed(in_wave, contended).unionByName(at_work(tasks, deps, contended))
 
 

@@ -591,7 +591,7 @@ lev AS (SELECT id, max(level) AS level FROM walk GROUP BY id)"""
 
 def waves_of(m):
     cyclic = g.components_of_cycles(m.task_deps.select(c("task_id").alias("a"), c("depends_on").alias("b")))
-    return g.waves(m.tasks, m.task_deps, cyclic)
+    return g.waves(m.tasks, m.task_deps, cyclic, most=None)
 
 
 @query("plan_waves", "SELECT id, level FROM lev WHERE id NOT IN (SELECT id FROM stall)", WAVES)
