@@ -42,3 +42,9 @@ def both(spark, deep, name, only=lambda row: True):
 def test_a_summary_has_all_waves(spark, deep):
     got, want = both(spark, deep, "schedule_summary")
     assert got == want and int(want[0]["waves"]) >= 70
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no input tables here")
+def test_status_has_all_waves(spark, deep):
+    got, want = both(spark, deep, "status", lambda row: row["section"] == "schedule")
+    assert got == want and ("waves", "70") in [(row["key"], row["value"]) for row in got]
