@@ -14,7 +14,7 @@ from loomgraph.operators import source_text as tx
 from loomgraph.operators import state as st
 from loomgraph.registry import HANDLE, ORACLE, QUERIES, STORED, SYM, SYMS, query
 from loomgraph.sources.adapter import DAY, HOUR, millis
-from loomgraph.sources.tables import shared_dir
+from loomgraph.sources.tables import shared_dir, written
 from loomgraph.streaming import jobs as sj
 from loomgraph.streaming import leases as ls
 
@@ -559,8 +559,7 @@ def _(m):
 @query("conflicts", "SELECT t.id AS task, x.symbol, x.agent, x.lease, x.holder, x.relation FROM (SELECT ts.task_id AS id, cl.symbol, t.assignee AS agent, l.id AS lease, l.agent AS holder, cl.relation FROM tasks t JOIN task_symbols ts ON ts.task_id = t.id JOIN closure cl ON cl.symbol = ts.symbol_id JOIN leases l ON l.symbol_id = cl.other, k WHERE t.assignee IS NOT NULL AND l.state = 'active' AND l.expires_at > now AND l.agent <> t.assignee) x JOIN tasks t ON t.id = x.id", CLOSURE)
 def _(m):
     asking = m.tasks.filter("assignee is not null").join(m.task_symbols, c("id") == c("task_id")).select(c("id").alias("task"), c("symbol_id").alias("symbol"), c("assignee").alias("agent"))
-    found = r.conflicts(m.leases, m.symbols, asking.select("symbol", "agent").distinct(), m.now)
-    return asking.join(found, ["symbol", "agent"]).select("task", "symbol", "agent", "lease", "holder", "relation")
+    return r.conflicts(m.leases, m.symbols, written(asking, "asking"), m.now).select("task", "symbol", "agent", "lease", "holder", "relation")
 
 
 REACH = "reach AS (SELECT task_id AS a, depends_on AS b FROM task_deps UNION SELECT reach.a, d.depends_on FROM reach JOIN task_deps d ON d.task_id = reach.b), cyc AS (SELECT x.a AS node, min(x.b) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a)"

@@ -359,3 +359,21 @@ def test_requests_and_tasks_are_replayed_without_a_frame_a_key(spark):
     got = state.request_fold(log)
     assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()
     assert {r.id: (r.request, r.outcome, r.state) for r in got.collect()} == {3 * k + i: (f"r{k}", "done", x) for k in range(400) for i, x in enumerate(["fulfilled", "accepted", "open"])}
+
+
+def test_conflicts_make_their_rows_in_the_last_join(spark):
+    rng = random.Random(8)
+    symbols = spark.createDataFrame([("s", None), ("f", "s")] + [(f"m{i}", "f" if i % 3 else "m0") for i in range(1, 30)] + [("m0", "f")], "id string, parent_id string")
+    made = [(f"L{i:03d}", rng.choice(["s", "f", "m0", "m1", "m3", "gone"]), f"A{rng.randint(0, 3)}", rng.choice([50, 150]), 1, rng.choice(["active", "expired"])) for i in range(90)]
+    leases = spark.createDataFrame(made, "id string, symbol_id string, agent string, expires_at long, priority long, state string")
+    asked = [(f"T{i}", f"m{i % 30}" if i < 38 else "f", f"A{i % 4}") for i in range(40)]
+    up = {"s": [], "f": ["s"], "m0": ["f", "s"]} | {f"m{i}": ["f", "s"] if i % 3 else ["m0", "f", "s"] for i in range(1, 30)}
+    want = [
+        (task, x, agent, lease, holder, "same" if x == at else "ancestor" if at in up[x] else "descendant")
+        for task, x, agent in asked for lease, at, holder, until, _, state in made
+        if state == "active" and until > 100 and holder != agent and (at == x or at in up[x] or x in up.get(at, []))
+    ]
+    got = relational.conflicts(leases, symbols, spark.createDataFrame(asked, "task string, symbol string, agent string"), 100)
+    assert rows(got.select("task", "symbol", "agent", "lease", "holder", "relation")) == sorted(want) and want
+    joins = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+    assert "holder" in joins[0]
