@@ -6,6 +6,7 @@ import json
 import os
 import uuid
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyarrow import fs
@@ -14,11 +15,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.operators.parse import MOST_BYTES, is_indexable
-from loomgraph.sources.listing import SKIPPED, ignore_rules, is_ignored, listed, walk_names
+from loomgraph.sources.listing import SKIPPED, entries, ignore_rules, is_ignored, walk_names
 from loomgraph.sources.tables import ship, written
 
 #: Folders that the driver looks for before it hands the trees below them to tasks.
 FAN = 64
+#: Names that a task holds at once.
+LISTED = 10_000
 
 
 def _open(root: str) -> tuple[fs.FileSystem, str]:
@@ -29,27 +32,26 @@ def _open(root: str) -> tuple[fs.FileSystem, str]:
 def names(spark: SparkSession, root: str) -> DataFrame:
     """(path, size, modified_ms, ignores) of all files below a folder without skipped folders; ignores: the text of an ignore file.
 
-    The driver lists from the top until it has enough folders, whose trees tasks then walk. Spark's own file source isn't used: it
-    passes over names that start with an underscore or a dot.
+    The driver looks for folders from the top until it has enough of them, whose trees tasks then walk; files are listed by tasks
+    only, those of the folders above too. Spark's own file source isn't used: it passes over names that start with an underscore or a dot.
     """
     ship(spark)
     files, top = _open(root)
-    found, folders = [], [top]
+    above, folders = [], [top]
     while folders and len(folders) < FAN:
-        more, here = listed(files, folders.pop(0), top, SKIPPED)
-        folders += more
-        found += here
+        above.append(folders.pop(0))
+        folders += [path for path, is_folder, _, _ in entries(files, above[-1]) if is_folder and path.rpartition("/")[2] not in SKIPPED]
     schema = "path string, size long, modified_ms long, ignores string"
 
     def walk_trees(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for folder in part["folder"]:
-                yield pd.DataFrame(walk_names(files, folder, top), columns=["path", "size", "modified_ms", "ignores"])
+            for folder, deep in zip(part["folder"], part["deep"], strict=True):
+                found = walk_names(files, folder, top, deep=bool(deep))
+                while rows := list(islice(found, LISTED)):
+                    yield pd.DataFrame(rows, columns=["path", "size", "modified_ms", "ignores"])
 
-    near = spark.createDataFrame(found, schema)
-    if not folders:
-        return near
-    return near.unionByName(spark.createDataFrame([(f,) for f in folders], "folder string").repartition(len(folders)).mapInPandas(walk_trees, schema))
+    todo = [(f, False) for f in above] + [(f, True) for f in folders]
+    return spark.createDataFrame(todo, "folder string, deep boolean").repartition(len(todo), "folder").mapInPandas(walk_trees, schema)
 
 
 def walk(spark: SparkSession, root: str) -> DataFrame:

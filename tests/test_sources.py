@@ -205,3 +205,42 @@ def test_a_watched_folder_tells_of_what_appeared_changed_and_went(spark, tmp_pat
     assert not watch.to_look_at(out)[1]
     assert seen(out) == [("b", "added", "again")]
     assert len(list((state / "listings").iterdir())) <= 2
+
+
+def test_a_listing_is_held_by_bucket_and_tasks_get_no_paths(tmp_path, monkeypatch):
+    """As many files as wanted: what one process holds of a listing, and what is sent to tasks, is bounded."""
+    root = tmp_path / "code"
+    (root / "sub").mkdir(parents=True)
+    (root / ".gitignore").write_text("*.log\n")
+    (root / "sub" / ".gitignore").write_text("!kept.log\n/no*\n")
+    wanted = {f"f{i}" for i in range(60)} | {f"sub/g{i}" for i in range(60)} | {"sub/kept.log"}
+    for name in wanted | {"a.log", "sub/b.log", "sub/no1"}:
+        (root / name).write_text(name)
+    monkeypatch.setattr(watch, "HELD", 7)
+    monkeypatch.setattr(watch, "BUCKETS", 4)
+    reader = watch.FolderReader({"path": str(root), "listings": str(tmp_path / "listings"), "filespertask": "9"})
+    loaded, load = [], reader._load
+    monkeypatch.setattr(reader, "_load", lambda *x: (loaded.append(len(found := load(*x))), found)[1])
+    one = reader.latestOffset()
+    assert reader.latestOffset() == one
+    parts = reader.partitions(reader.initialOffset(), one)
+    assert len(parts) == -(-len(wanted) // 9) and not any("f1" in str(vars(p)) for p in parts)
+    got = [x for p in parts for x in reader.read(p)]
+    assert sorted(x[0] for x in got) == sorted(wanted) and all(x[1] == "added" and x[4] == x[0] for x in got)
+    assert max(loaded) < len(wanted) // 2
+    (root / "f3").unlink()
+    (root / "f4").write_text("other")
+    two = reader.latestOffset()
+    assert sorted((x[0], x[1]) for p in reader.partitions(one, two) for x in reader.read(p)) == [("f3", "deleted"), ("f4", "modified")]
+    reader.commit(two)
+    assert [x.name for x in (tmp_path / "listings").iterdir()] == [str(two["listing"])]
+
+
+def test_the_driver_lists_no_files_of_a_repository(spark, tmp_path, monkeypatch):
+    (tmp_path / "src" / "node_modules").mkdir(parents=True)
+    for name in ("a.py", "src/_b.py", "src/.c.py", "src/node_modules/d.py"):
+        (tmp_path / name).write_text("x")
+    monkeypatch.setattr(spark, "createDataFrame", lambda data, *x, f=spark.createDataFrame: (sent.extend(data), f(data, *x))[1])
+    sent = []
+    assert sorted(r.path for r in repo.names(spark, str(tmp_path)).collect()) == ["a.py", "src/.c.py", "src/_b.py"]
+    assert sorted(sent) == [(str(tmp_path), False), (f"{tmp_path}/src", False)]
